@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vigilog.operators import detect, ingest
 from vigilog.rules.pack import packaged_rules
-from vigilog.session import use_utc
+from vigilog.session import prepare
 
 SOURCES = ["linux", "windows", "nginx", "zeek_conn"]
 PAGE_TIME = "15/Jan/2024:10:23:45 +0000"
@@ -139,7 +139,7 @@ class Tables:
     """Fixture views over one folder of the given tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = use_utc(spark)
+        self.spark = prepare(spark)
         self.sf_dir = sf_dir
 
     def read(self, name: str) -> DataFrame:

@@ -8,12 +8,19 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-DEFAULTS = {
+# Settings every query relies on; they can be changed on a running session.
+# The JVM does not compile methods beyond 8000 bytes, so a stage of many rules runs
+# faster as separate operators than as one huge generated method.
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **RUNTIME,
 }
 
 
@@ -27,9 +34,10 @@ def get_session(app: str = "vigilog", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Stored times are UTC; pin the session so that text and time agree."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
     return spark
 
 
