@@ -58,10 +58,14 @@ def spark_rows(df):
     return names, rows
 
 
+TIMES = {}
+
+
 def compare(spark, con, key, run, sql, sf_dir):
     """Difference as text, or an empty text when both give the same rows."""
     df = run(spark, sf_dir)
     names, got = spark_rows(df)
+    TIMES["spark"] = time.time() - TIMES["start"]
     if sql is None:
         return "", sum(got.values())
     sql_names, want, types = sql_rows(con, sql)
@@ -111,7 +115,7 @@ def main():
     todo, twins = queries(), oracle_sql()
     bad = []
     for key in args.keys or todo:
-        start = time.time()
+        start = TIMES["start"] = TIMES["spark"] = time.time()
         try:
             diff, rows = compare(spark, con, key, todo[key], twins.get(key), sf_dir)
         except Exception as e:
@@ -119,7 +123,8 @@ def main():
         mark = "BAD" if diff else ("ok" if key in twins else "rows")
         if diff:
             bad.append(key)
-        print(f"{mark:4} {key:28} rows={rows:<7} {time.time() - start:5.1f}s {diff}", flush=True)
+        print(f"{mark:4} {key:28} rows={rows:<7} {TIMES['spark']:5.1f}s spark "
+              f"{time.time() - start:5.1f}s all {diff}", flush=True)
     print(f"{len(args.keys or todo)} queries, {len(bad)} differ: {bad}")
     spark.stop()
 

@@ -266,8 +266,8 @@ def distinct_entries(entries: Column) -> Column:
 
 def merge_attrs(base: Column, override: Column) -> Column:
     """Union of two maps; entries of ``override`` replace those of ``base``."""
-    kept = F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(override), k))
-    return F.coalesce(F.map_concat(kept, override), base)
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(override, k))
+    return F.when(override.isNull(), base).otherwise(F.map_concat(kept, override))
 
 
 # Event field names and the canonical names they take.

@@ -36,8 +36,8 @@ def counted_matches(
     hits = found.select("*", F.explode_outer("_hits").alias("_rule")).where(
         F.col("_rule").isNotNull()
     )
-    groups = F.array(
-        *[detect._field_values(r.log_source, "intent")[field] for r, (_, field, _) in specs]
+    groups = F.expr(
+        f"array({', '.join(detect.field_sql(r.log_source, f, 'intent') for r, (_, f, _) in specs)})"
     )
     widths = F.array(
         *[F.lit(timeframe_seconds(timeframe or frame)) for _, (frame, _, _) in specs]

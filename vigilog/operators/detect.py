@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import parsers as P
-from vigilog.functions.text import basename, strip
+from vigilog.functions.text import strip
 from vigilog.operators import ingest
 from vigilog.rules.compiler import (
     FIELD_MAP,
@@ -16,88 +17,82 @@ from vigilog.rules.compiler import (
     RuleCompiler,
     aggregation_of,
     fields_of,
+    quoted,
 )
 from vigilog.rules.pack import Rule
 
 RAW_LINE_LENGTH = 500
-
-
-def _linux_fields(r: Column) -> dict[str, Column]:
-    return {
-        "program": r["app_name"],
-        "message": r["raw_message"],
-        "pid": r["pid"].cast("string"),
-    }
-
-
-def _nginx_fields(r: Column) -> dict[str, Column]:
-    return {
-        "method": r["request_method"],
-        "path": r["request_uri"],
-        "status_code": r["status"].cast("string"),
-        "bytes": r["body_bytes_sent"].cast("string"),
-        "user_agent": r["http_user_agent"],
-        "remote_addr": r["remote_addr"],
-        "referer": r["http_referer"],
-    }
-
-
-def _windows_fields(attrs: Column) -> dict[str, Column]:
-    return {
-        "channel": F.coalesce(attrs["channel"], attrs["LogName"]),
-        "event_id": F.coalesce(attrs["event_id"], attrs["EventID"]),
-        "message": attrs["message"],
-        "user_name": attrs["TargetUserName"],
-    }
-
-
-COMPAT_FIELDS = {"linux": _linux_fields, "nginx": _nginx_fields, "windows": _windows_fields}
-
-
-def _more_linux(r: Column) -> dict[str, Column]:
-    return {
-        "name": r["app_name"],
-        "process": r["app_name"],
-        "cmdline": r["raw_message"],
-        "user": r["ssh_user"],
-        "ssh_user": r["ssh_user"],
-        "ssh_ip": r["ssh_ip"],
-        "source_ip": r["ssh_ip"],
-        "remote_address": r["ssh_ip"],
-    }
-
-
-def _more_nginx(r: Column) -> dict[str, Column]:
-    request = F.concat_ws(" ", r["request_method"], r["request_uri"], r["server_protocol"])
-    return {
-        "request": F.when(r.isNotNull(), request),
-        "status": r["status"].cast("string"),
-        "responsecode": r["status"].cast("string"),
-        "bytessent": r["body_bytes_sent"].cast("string"),
-        "requestmethod": r["request_method"],
-    }
-
-
-def _more_windows(attrs: Column) -> dict[str, Column]:
-    def value(name: str) -> Column:
-        return P.canonical_value(attrs, name)
-
-    command, image, parent = value("cmdline"), value("name"), value("parent")
-    process = F.coalesce(basename(image), basename(value("process_name")))
-    return {
-        "name": process,
-        "process": process,
-        "process_name": process,
-        "exe": image,
-        "parent": basename(parent),
-        "parent_process_name": basename(parent),
-        "cmdline": command,
-        "command_line": command,
-        "user": value("user"),
-    }
-
-
-INTENT_FIELDS = {"linux": _more_linux, "nginx": _more_nginx, "windows": _more_windows}
+RAW_FIELD = "'raw', lower(content)"
+
+
+# SQL of the fields a stored log offers to rules, by source.
+COMPAT_FIELDS = {
+    "linux": {
+        "program": "linux.app_name",
+        "message": "linux.raw_message",
+        "pid": "CAST(linux.pid AS STRING)",
+    },
+    "nginx": {
+        "method": "nginx.request_method",
+        "path": "nginx.request_uri",
+        "status_code": "CAST(nginx.status AS STRING)",
+        "bytes": "CAST(nginx.body_bytes_sent AS STRING)",
+        "user_agent": "nginx.http_user_agent",
+        "remote_addr": "nginx.remote_addr",
+        "referer": "nginx.http_referer",
+    },
+    "windows": {
+        "channel": "coalesce(windows['channel'], windows['LogName'])",
+        "event_id": "coalesce(windows['event_id'], windows['EventID'])",
+        "message": "windows['message']",
+        "user_name": "windows['TargetUserName']",
+    },
+}
+
+
+def _canonical(name: str) -> str:
+    events_names = [old for old, new in P.CANONICAL_FIELDS.items() if new == name]
+    return f"coalesce({', '.join(f'windows[{n!r}]' for n in [name, *events_names])})"
+
+
+def _basename(text: str) -> str:
+    return f"substring_index({text}, {quoted(chr(92))}, -1)"
+
+
+_PROCESS = f"coalesce({_basename(_canonical('name'))}, {_basename(_canonical('process_name'))})"
+
+# Further names that intent mode understands.
+INTENT_FIELDS = {
+    "linux": {
+        "name": "linux.app_name",
+        "process": "linux.app_name",
+        "cmdline": "linux.raw_message",
+        "user": "linux.ssh_user",
+        "ssh_user": "linux.ssh_user",
+        "ssh_ip": "linux.ssh_ip",
+        "source_ip": "linux.ssh_ip",
+        "remote_address": "linux.ssh_ip",
+    },
+    "nginx": {
+        "request": "nginx.request_method || ' ' || nginx.request_uri || ' ' "
+        "|| nginx.server_protocol",
+        "status": "CAST(nginx.status AS STRING)",
+        "responsecode": "CAST(nginx.status AS STRING)",
+        "bytessent": "CAST(nginx.body_bytes_sent AS STRING)",
+        "requestmethod": "nginx.request_method",
+    },
+    "windows": {
+        "name": _PROCESS,
+        "process": _PROCESS,
+        "process_name": _PROCESS,
+        "exe": _canonical("name"),
+        "parent": _basename(_canonical("parent")),
+        "parent_process_name": _basename(_canonical("parent")),
+        "cmdline": _canonical("cmdline"),
+        "command_line": _canonical("cmdline"),
+        "user": _canonical("user"),
+    },
+}
 
 
 VIEW_PARSERS = (ingest.LINUX, ingest.NGINX, ingest.WINDOWS)
@@ -121,26 +116,16 @@ def parsed_view(logs: DataFrame) -> DataFrame:
     return out.select(*logs.columns, *[record(p) for p in VIEW_PARSERS])
 
 
-def _field_values(source: str, mode: str) -> dict[str, Column]:
-    record = F.col(source)
-    values = COMPAT_FIELDS[source](record)
-    if mode == "intent":
-        values = {**values, **INTENT_FIELDS[source](record)}
-    if "hostname" not in values:
-        values["hostname"] = F.col("hostname")
-        values["ip_address"] = F.col("ip_address")
-    return values
-
-
-def _resolved(source: str, name: str, mode: str, known: dict[str, Column]) -> Column:
+def field_sql(source: str, name: str, mode: str) -> str:
     """The field's own text: its column, else the event attribute of that name."""
-    if name in known and source == "windows":
-        return F.coalesce(known[name], F.col("windows")[name])
-    if name in known:
-        return known[name]
+    values = dict(COMPAT_FIELDS[source], hostname="hostname", ip_address="ip_address")
+    if mode == "intent":
+        values.update(INTENT_FIELDS[source])
+    found = values.get(name)
     if source == "windows":
-        return F.col("windows")[name]
-    return F.lit(None).cast("string")
+        attribute = f"windows[{quoted(name)}]"
+        return attribute if found is None else f"coalesce({found}, {attribute})"
+    return "CAST(NULL AS STRING)" if found is None else found
 
 
 def row_rules(rules: Sequence[Rule], mode: str) -> list[Rule]:
@@ -160,25 +145,23 @@ def with_fields(view: DataFrame, rules: Sequence[Rule], mode: str) -> DataFrame:
     """
     columns = []
     for source in dict.fromkeys(r.log_source for r in rules):
-        known = _field_values(source, mode)
         names = fields_of(r for r in rules if r.log_source == source)
         fields = [
-            F.lower(_resolved(source, n, mode, known)).alias(f"f{i}") for i, n in enumerate(names)
+            f"'f{i}', lower({field_sql(source, name, mode)})" for i, name in enumerate(names)
         ]
-        fields.append(F.lower("content").alias("raw"))
+        struct = f"named_struct({', '.join([*fields, RAW_FIELD])})"
         columns.append(
-            F.when(F.col("log_source") == source, F.struct(*fields)).alias(f"_f_{source}")
+            F.expr(f"CASE WHEN log_source = '{source}' THEN {struct} END").alias(f"_f_{source}")
         )
     return view.select("*", *columns)
 
 
-def rule_condition(rule: Rule, rules: Sequence[Rule], mode: str = "intent") -> Column:
-    """The rule as a boolean Column over ``with_fields(view, rules, mode)``."""
+def rule_sql(rule: Rule, rules: Sequence[Rule], mode: str = "intent") -> str:
+    """The rule as a condition over ``with_fields(view, rules, mode)``."""
     names = fields_of(r for r in rules if r.log_source == rule.log_source)
-    struct = F.col(f"_f_{rule.log_source}")
-    positions = {name: struct[f"f{i}"] for i, name in enumerate(names)}
-    fields = Fields(lambda name: positions[name], struct["raw"])
-    return RuleCompiler(rule, fields, mode).condition()
+    struct = f"_f_{rule.log_source}"
+    positions = {name: f"{struct}.f{i}" for i, name in enumerate(names)}
+    return RuleCompiler(rule, Fields(positions.__getitem__, f"{struct}.raw"), mode).condition()
 
 
 def matching_logs(logs: DataFrame, rule: Rule, mode: str = "intent") -> DataFrame:
@@ -186,7 +169,7 @@ def matching_logs(logs: DataFrame, rule: Rule, mode: str = "intent") -> DataFram
     kept = [c for c in logs.columns]
     view = with_fields(_with_host(parsed_view(logs)), [rule], mode)
     own = view.where(F.col("log_source") == rule.log_source)
-    return own.where(rule_condition(rule, [rule], mode)).select(*kept)
+    return own.where(rule_sql(rule, [rule], mode)).select(*kept)
 
 
 def _with_host(view: DataFrame) -> DataFrame:
@@ -198,16 +181,15 @@ def _with_host(view: DataFrame) -> DataFrame:
 
 def matched_rules(view: DataFrame, rules: Sequence[Rule], mode: str) -> DataFrame:
     """Rows with the positions of the matching rules, an empty array for none."""
-    by_source = F.lit(None).cast("array<int>")
+    branches = []
     for source in dict.fromkeys(r.log_source for r in rules):
         hits = [
-            F.when(rule_condition(rule, rules, mode), F.lit(i))
+            f"CASE WHEN {rule_sql(rule, rules, mode)} THEN {i} END"
             for i, rule in enumerate(rules)
             if rule.log_source == source
         ]
-        by_source = F.when(
-            F.col("log_source") == source, F.array_compact(F.array(*hits))
-        ).otherwise(by_source)
+        branches.append(f"WHEN '{source}' THEN array_compact(array({', '.join(hits)}))")
+    by_source = F.expr(f"CASE log_source {' '.join(branches)} END")
     return with_fields(view, rules, mode).select(*view.columns, by_source.alias("_hits"))
 
 
@@ -261,18 +243,10 @@ def alert_key(rule_id: Column, log_id: Column) -> Column:
 
 def build_alerts(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Alert rows of (log, rule position) matches."""
-    texts = F.array(
-        *[
-            F.struct(
-                F.lit(r.id).alias("id"),
-                F.lit(r.title).alias("title"),
-                F.lit(r.description).alias("description"),
-                F.lit(r.level).alias("level"),
-                _strings(r.falsepositives).alias("falsepositives"),
-                _strings(r.references).alias("references"),
-            )
-            for r in rules
-        ]
+    texts = rule_constants(
+        rules,
+        "id string, title string, description string, level string, "
+        "falsepositives array<string>, references array<string>",
     )
     rule = F.get(texts, F.col("_rule"))
     return matches.select(
@@ -294,8 +268,10 @@ def build_alerts(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def _strings(items: Sequence[str]) -> Column:
-    return F.array(*[F.lit(i) for i in items]).cast("array<string>")
+def rule_constants(rules: Sequence[Rule], schema: str) -> Column:
+    """The rules' texts as one constant array, in rule order."""
+    rows = json.dumps([vars(rule) for rule in rules])
+    return F.from_json(F.lit(rows), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def alert_metadata(alerts: DataFrame) -> Column:

@@ -153,11 +153,14 @@ def event_record(
         F.lit("recv_time"), F.col("recv_time").cast("string"),
         F.lit("src_ip"), F.col("src_ip"),
     )
-    entries = P.distinct_entries(P.message_entries(F.col(attrs)[message]))
-    with_meta = P.merge_attrs(F.col(attrs), meta)
-    return parsed.withColumn(
-        attrs, P.merge_attrs(with_meta, F.map_from_entries(entries))
+    staged = (
+        parsed.withColumn("_meta", meta)
+        .withColumn("_entries", P.message_entries(F.col(attrs)[message]))
+        .withColumn("_fields", F.map_from_entries(P.distinct_entries(F.col("_entries"))))
+        .withColumn("_attrs", P.merge_attrs(F.col(attrs), F.col("_meta")))
+        .withColumn(attrs, P.merge_attrs(F.col("_attrs"), F.col("_fields")))
     )
+    return staged.drop("_meta", "_entries", "_fields", "_attrs")
 
 
 def canonical_events(events: DataFrame, attrs: str = "attrs") -> DataFrame:

@@ -1,5 +1,11 @@
 """Named queries: importing this package registers all of them."""
 
 from vigilog.plans import alert_sql  # noqa: F401  (adds the alert views)
-from vigilog.plans import lookup_queries, parse_queries, stat_queries  # noqa: F401
+from vigilog.plans import (  # noqa: F401
+    detect_queries,
+    lookup_queries,
+    parse_queries,
+    stat_queries,
+    window_queries,
+)
 from vigilog.plans.catalog import ORACLES, QUERIES  # noqa: F401

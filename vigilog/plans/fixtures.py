@@ -410,7 +410,7 @@ def with_views(body: str) -> str:
                 visit(sql)
 
     visit(body)
-    views = [f"{n} AS ({CTES[n]})" for n in CTES if n in needed]
+    views = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in needed]
     body = body.strip()
     if not views:
         return body

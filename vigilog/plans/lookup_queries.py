@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigilog.operators import ingest, lookups, stats
 from vigilog.plans.catalog import query, sql_time
 from vigilog.plans.fixtures import Tables
-from vigilog.rules.pack import active_rules_for_source, rules_frame
+from vigilog.rules import pack
 
 RECV = sql_time("l.recv_time")
 TRIGGERED = sql_time("a.triggered_at")
@@ -207,15 +207,11 @@ SELECT r.rule_id, count(*) AS logs FROM rule_text r JOIN log_entry l ON l.log_so
 WHERE r.rule_id LIKE 'web-%' GROUP BY r.rule_id""",
 )
 def active_rules_for_source(t: Tables):
-    active = active_rules_for_source_table(t)
+    active = pack.active_rules_for_source(pack.rules_frame(t.spark), "nginx")
     per_source = t.logs.groupBy("log_source").agg(F.count("*").alias("logs"))
     return active.join(per_source, "log_source").select(F.col("id").alias("rule_id"), "logs")
 
 
-def active_rules_for_source_table(t: Tables):
-    return active_rules_for_source(rules_frame(t.spark), "nginx")
-
-
 @query(
     "alert_detail",
     sql=f"""

@@ -1,21 +1,21 @@
-"""Detection blocks to boolean Columns.
+"""Detection blocks to SQL conditions.
 
 ``mode="intent"`` gives every modifier its evident meaning. ``mode="compat"``
 reproduces the plain matcher: unknown modifiers compare for equality, a field
 that is absent is looked for in the whole raw line, and the connective of a
 condition is decided by its text alone.
+
+A condition is one SQL text, so a pack of rules reaches the planner as one
+expression instead of thousands of single Column calls.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import reduce
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from vigilog.rules.pack import Rule
 
 # Rule field names and the log fields they read.
@@ -47,13 +47,19 @@ FIELD_MAP = {
     },
 }
 EMPTY_VALUES = ["", "-"]
+TEXT_MODIFIERS = ("contains", "startswith", "endswith")
 AGGREGATE_MODIFIERS = {"count", "count|gte", "duplicate"}
 # Longer "contains" lists become one alternation.
 ALTERNATION_SIZE = 8
 
 
-def false() -> Column:
-    return F.lit(False)
+FALSE = "false"
+
+
+def quoted(text: str) -> str:
+    """SQL literal of a text."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def log_field(source: str, name: str) -> str:
@@ -70,12 +76,14 @@ def values_of(value: Any) -> list[str]:
     return [str(v) for v in items]
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, false())
+def any_of(conditions: Iterable[str]) -> str:
+    parts = [c for c in conditions if c != FALSE]
+    return f"({' OR '.join(parts)})" if parts else FALSE
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def all_of(conditions: Iterable[str]) -> str:
+    parts = list(conditions)
+    return FALSE if FALSE in parts else f"({' AND '.join(parts)})"
 
 
 def safe_regex(pattern: str) -> str | None:
@@ -87,41 +95,50 @@ def safe_regex(pattern: str) -> str | None:
     return pattern.replace("(?P<", "(?<")
 
 
+@dataclass(frozen=True)
 class Fields:
-    """Where a rule's field values are found in the rows it is applied to.
+    """SQL of a rule's field values in the rows it is applied to, lower-cased.
 
-    ``present(name)`` is the field's own text or null and ``raw`` the whole line,
-    both lower-cased; ``searched(name)`` is the text the plain matcher tests.
+    ``present(name)`` is the field's own text or null and ``raw`` the whole line.
     """
 
-    def __init__(self, present: Callable[[str], Column], raw: Column):
-        self.present = present
-        self.raw = raw
+    present: Callable[[str], str]
+    raw: str
 
-    def searched(self, name: str, with_raw: bool) -> Column:
+    def searched(self, name: str, with_raw: bool) -> str:
         own = self.present(name)
-        return F.coalesce(own, self.raw, F.lit("")) if with_raw else own
+        return f"coalesce({own}, {self.raw}, '')" if with_raw else own
 
 
-def match_contains(text: Column, values: list[str]) -> Column:
+def match_contains(text: str, values: list[str]) -> str:
     lowered = [v.lower() for v in values]
     if len(lowered) > ALTERNATION_SIZE:
-        return text.rlike("|".join(re.escape(v) for v in lowered))
-    return any_of(text.contains(v) for v in lowered)
+        pattern = "|".join(re.escape(v) for v in lowered)
+        return f"{text} RLIKE {quoted(pattern)}"
+    return any_of(f"contains({text}, {quoted(v)})" for v in lowered)
 
 
-def match_regex(text: Column, value: str) -> Column:
+def match_regex(text: str, value: str) -> str:
     pattern = safe_regex(value)
-    return false() if pattern is None else text.rlike(f"(?id){pattern}")
+    return FALSE if pattern is None else f"{text} RLIKE {quoted('(?id)' + pattern)}"
 
 
-def match_plain(text: Column, value: str) -> Column:
+def match_plain(text: str, value: str) -> str:
     """Equality, or an anchored pattern when the value holds a ``*``."""
     value = value.lower()
     if "*" not in value:
-        return text == value
+        return f"{text} = {quoted(value)}"
     pattern = safe_regex(value.replace("*", ".*"))
-    return false() if pattern is None else text.rlike(f"(?id)^{pattern}$")
+    return FALSE if pattern is None else f"{text} RLIKE {quoted(f'(?id)^{pattern}$')}"
+
+
+def match_list(text: str, values: list[str]) -> str:
+    return f"{text} IN ({', '.join(quoted(v) for v in values)})"
+
+
+def known(condition: str) -> str:
+    """The condition with unknown taken as false."""
+    return condition if condition in (FALSE, "true") else f"coalesce({condition}, false)"
 
 
 class RuleCompiler:
@@ -134,66 +151,67 @@ class RuleCompiler:
         self.fields = fields
         self.compat = mode == "compat"
 
-    def condition(self) -> Column:
+    def condition(self) -> str:
         text = self.rule.detection.get("condition", "selection")
-        found = self._compat_condition(text) if self.compat else self._condition(text)
-        return F.coalesce(found, false())
+        return self._compat_condition(text) if self.compat else self._condition(text)
 
     # -- conditions ------------------------------------------------------------
 
-    def _condition(self, text: str) -> Column:
+    def _condition(self, text: str) -> str:
         """``or`` of ``and`` of optionally negated block names; anything else is false."""
         if re.search(r"[()|]|\bof\b", text):
-            return false()
+            return FALSE
         return any_of(
-            all_of(self._term(term) for term in branch.split(" and "))
+            all_of(self._term(term.strip()) for term in branch.split(" and "))
             for branch in text.split(" or ")
         )
 
-    def _term(self, term: str) -> Column:
-        term = term.strip()
+    def _term(self, term: str) -> str:
         if term.startswith("not "):
-            return ~F.coalesce(self.block(term[4:].strip()), false())
-        return F.coalesce(self.block(term), false())
+            return f"NOT {self._named(term[4:])}"
+        return self._named(term)
 
-    def _compat_condition(self, text: str) -> Column:
-        def named(part: str) -> Column:
-            return F.coalesce(self.block(part.strip()), false())
+    def _named(self, name: str) -> str:
+        return known(self.block(name.strip()))
 
+    def _compat_condition(self, text: str) -> str:
+        """The first connective found anywhere in the text splits the whole condition."""
         if text == "selection":
-            return named(text)
+            return self._named(text)
         if "and not" in text:
             sides = text.split(" and not ")
-            return named(sides[0]) & ~named(sides[1]) if len(sides) == 2 else false()
+            if len(sides) != 2:
+                return FALSE
+            return all_of([self._named(sides[0]), f"NOT {self._named(sides[1])}"])
         if "or" in text:
-            return any_of(map(named, text.split(" or ")))
+            return any_of(self._named(part) for part in text.split(" or "))
         if "and" in text:
-            return all_of(map(named, text.split(" and ")))
-        return false()
+            return all_of(self._named(part) for part in text.split(" and "))
+        return FALSE
 
     # -- blocks ----------------------------------------------------------------
 
-    def block(self, name: str) -> Column:
+    def block(self, name: str) -> str:
         content = self.rule.detection.get(name)
         if not content:
-            return false()
+            return FALSE
         if name == "aggregation" and not self.compat:
             # Counted over groups of rows, see operators.correlate.
-            return F.lit(True)
+            return "true"
         if isinstance(content, dict):
             return self._fields(content)
         if isinstance(content, list):
             maps = [self._fields(c) for c in content if isinstance(c, dict) and c]
             words = [str(c) for c in content if not isinstance(c, dict)]
             if words and not self.compat:
-                maps.append(match_contains(F.coalesce(self.fields.raw, F.lit("")), words))
+                maps.append(match_contains(f"coalesce({self.fields.raw}, '')", words))
             return any_of(maps)
-        return false()
+        return FALSE
 
-    def _fields(self, block: dict[str, Any]) -> Column:
+    def _fields(self, block: dict[str, Any]) -> str:
         return all_of(self._field(key, value) for key, value in block.items())
 
-    def _field(self, key: str, value: Any) -> Column:
+    def _field(self, key: str, value: Any) -> str:
         name, modifier = split_key(key)
         field = log_field(self.rule.log_source, name)
         values = values_of(value)
@@ -201,41 +219,39 @@ class RuleCompiler:
             return self._compat_field(field, modifier, values)
         return self._intent_field(field, modifier, values)
 
-    def _compat_field(self, field: str, modifier: str | None, values: list[str]) -> Column:
+    def _compat_field(self, field: str, modifier: str | None, values: list[str]) -> str:
         text = self.fields.searched(field, with_raw=True)
         if modifier == "re":
             return any_of(match_regex(text, v.lower()) for v in values)
-        matched = self._text_match(text, modifier, values)
-        return any_of(match_plain(text, v) for v in values) if matched is None else matched
+        if modifier in TEXT_MODIFIERS:
+            return self._text_match(text, modifier, values)
+        return any_of(match_plain(text, v) for v in values)
 
     @staticmethod
-    def _text_match(text: Column, modifier: str | None, values: list[str]) -> Column | None:
+    def _text_match(text: str, modifier: str, values: list[str]) -> str:
         if modifier == "contains":
             return match_contains(text, values)
-        if modifier == "startswith":
-            return any_of(text.startswith(v.lower()) for v in values)
-        if modifier == "endswith":
-            return any_of(text.endswith(v.lower()) for v in values)
-        return None
+        return any_of(f"{modifier}({text}, {quoted(v.lower())})" for v in values)
 
-    def _intent_field(self, field: str, modifier: str | None, values: list[str]) -> Column:
+    def _intent_field(self, field: str, modifier: str | None, values: list[str]) -> str:
         own = self.fields.present(field)
         text = self.fields.searched(field, with_raw=not self.rule.require_fields)
-        if modifier in ("contains", "startswith", "endswith"):
+        lowered = [v.lower() for v in values]
+        if modifier in TEXT_MODIFIERS:
             return self._text_match(text, modifier, values)
         if modifier == "re":
             return any_of(match_regex(text, v) for v in values)
         if modifier in ("in", "ip_in"):
-            return own.isin([v.lower() for v in values])
+            return match_list(own, lowered)
         if modifier == "not_in":
-            return own.isNotNull() & ~own.isin([v.lower() for v in values])
+            return f"({own} IS NOT NULL AND NOT {match_list(own, lowered)})"
         if modifier == "gte":
-            return own.try_cast("double") >= F.lit(float(values[0]))
+            return f"try_cast({own} AS DOUBLE) >= {float(values[0])}D"
         if modifier == "empty":
-            empty = own.isNull() | own.isin(EMPTY_VALUES)
-            return empty if values[0].lower() == "true" else ~empty
+            empty = f"({own} IS NULL OR {match_list(own, EMPTY_VALUES)})"
+            return empty if lowered[0] == "true" else f"NOT {empty}"
         if modifier in AGGREGATE_MODIFIERS:
-            return F.lit(True)
+            return "true"
         return any_of(match_plain(own, v) for v in values)
 
 
