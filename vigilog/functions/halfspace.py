@@ -25,19 +25,21 @@ def forest(features: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     inner = 2**HEIGHT - 1
     axis = rng.integers(0, features, size=(TREES, inner))
+    at = rng.uniform(PADDING, 1 - PADDING, size=(TREES, inner))
     cut = np.empty((TREES, inner))
-    for tree in range(TREES):
-        low = np.zeros((inner, features))
-        high = np.ones((inner, features))
-        for node in range(inner):
-            a = axis[tree, node]
-            span = high[node, a] - low[node, a]
-            at = rng.uniform(low[node, a] + PADDING * span, high[node, a] - PADDING * span)
-            cut[tree, node] = at
-            for child, bound, keep in ((2 * node + 1, high, low), (2 * node + 2, low, high)):
-                if child < inner:
-                    low[child], high[child] = low[node], high[node]
-                    (high if bound is high else low)[child, a] = at
+    trees = np.arange(TREES)[:, None]
+    low = np.zeros((TREES, 1, features))
+    high = np.ones((TREES, 1, features))
+    for depth in range(HEIGHT):
+        nodes = np.arange(2**depth - 1, 2 ** (depth + 1) - 1)
+        here = np.arange(len(nodes))[None, :]
+        a = axis[:, nodes]
+        bottom, top = low[trees, here, a], high[trees, here, a]
+        cut[:, nodes] = bottom + at[:, nodes] * (top - bottom)
+        # Children in heap order: the left one ends at the cut, the right one starts there.
+        low, high = np.repeat(low, 2, axis=1), np.repeat(high, 2, axis=1)
+        high[trees, 2 * here, a] = cut[:, nodes]
+        low[trees, 2 * here + 1, a] = cut[:, nodes]
     return axis, cut
 
 
@@ -59,10 +61,9 @@ def paths(points: np.ndarray) -> np.ndarray:
 
 def masses(visited: np.ndarray) -> np.ndarray:
     """Points per node of every tree."""
-    out = np.zeros((TREES, 2 ** (HEIGHT + 1) - 1))
-    trees = np.broadcast_to(np.arange(TREES), visited.shape)
-    np.add.at(out, (trees.ravel(), visited.ravel()), 1)
-    return out
+    nodes = 2 ** (HEIGHT + 1) - 1
+    places = visited + np.arange(TREES) * nodes
+    return np.bincount(places.ravel(), minlength=TREES * nodes).reshape(TREES, nodes)
 
 
 def scores(visited: np.ndarray, mass: np.ndarray) -> np.ndarray:

@@ -203,13 +203,24 @@ def event_accepts(line: Column) -> Column:
     return line.startswith("{") & line.endswith("}")
 
 
-def event_attrs(line: Column) -> Column:
-    """JSON object as a string map; null if invalid. A repeated key appears twice."""
+def event_objects(line: Column) -> Column:
+    """The JSON objects of a line; null if the text is not JSON throughout.
+
+    The line is read as the only element of an array, so that text after the
+    object makes it invalid.
+    """
     return F.from_json(
-        line, "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+        F.concat(F.lit("["), line, F.lit("]")),
+        "array<map<string,string>>",
+        {"mode": "PERMISSIVE", "allowSingleQuotes": "false"},
     )
 
 
+def event_attrs(objects: Column) -> Column:
+    """Attributes of the one object of a line; the last value of a repeated key."""
+    return F.when(F.size(objects) == 1, last_key_wins(F.get(objects, 0)))
+
+
 def last_key_wins(attrs: Column) -> Column:
     """Keep the last entry of every key of a map that may hold a key twice."""
     keys = F.map_keys(attrs)

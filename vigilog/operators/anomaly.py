@@ -164,7 +164,7 @@ def _score_window(rows: pd.DataFrame) -> pd.DataFrame:
     own = rows[(rows["age"] == 0) & ~rows["is_kept"]].sort_values("position")
     names = [f.split()[0] for f in SCORE_SCHEMA.split(", ")]
     if own.empty:
-        return pd.DataFrame({n: [] for n in names})
+        return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
     is_linux = own["log_source"].iloc[0] == "linux"
 
     def usual(age: int) -> pd.DataFrame:

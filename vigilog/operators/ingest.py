@@ -37,11 +37,11 @@ def has_groups(n: int) -> Callable[[Column], Column]:
 WINDOWS = LineParser(
     "windows",
     P.event_accepts,
-    P.event_attrs,
+    P.event_objects,
     lambda attrs: attrs.isNotNull(),
     lambda attrs: attrs,
     lambda attrs: attrs["hostname"],
-    refine=P.last_key_wins,
+    refine=P.event_attrs,
 )
 ZEEK_CONN = LineParser(
     "zeek_conn",
@@ -115,9 +115,8 @@ def parse_lines(
     for p in parsers:
         raw = f"_raw_{p.log_type}"
         raw_columns.append(raw)
-        out = out.withColumn(
-            raw, F.when(unclaimed & p.accepts(F.col("_text")), p.extract(F.col("_text")))
-        )
+        candidate = unclaimed & p.accepts(F.col("_text"))
+        out = out.withColumn(raw, F.when(candidate, p.extract(F.col("_text"))))
         if p.refine:
             out = out.withColumn(raw, p.refine(F.col(raw)))
         matched = p.matched(F.col(raw))
