@@ -87,12 +87,45 @@ def all_of(conditions: Iterable[str]) -> str:
 
 
 def safe_regex(pattern: str) -> str | None:
-    """The pattern in Java's spelling, or null when it is not a valid pattern."""
+    """The pattern in Java's spelling, or null when it is not a valid pattern.
+
+    Rule patterns follow Python's syntax. Java differs in a brace that repeats
+    nothing, in brackets and ``&&`` inside a character class, and in named groups.
+    """
     try:
         re.compile(pattern)
     except re.error:
         return None
-    return pattern.replace("(?P<", "(?<")
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(JAVA_ESCAPES.get(pattern[i : i + 2], pattern[i : i + 2]))
+            i += 2
+            continue
+        repeat = re.match(r"\{(\d*)(,?)(\d*)\}", pattern[i:])
+        if in_class:
+            opens = out[-1] in ("[", "[^")
+            if c == "]" and not opens:
+                in_class = False
+            elif c in "[]&":
+                c = "\\" + c
+        elif c == "[":
+            in_class = True
+            if pattern[i + 1 : i + 2] == "^":
+                c, i = "[^", i + 1
+        elif repeat and (repeat[1] or repeat[3]):
+            low, comma, high = repeat.groups()
+            c, i = f"{{{low or 0}{comma}{high}}}", i + len(repeat[0]) - 1
+        elif c == "{":
+            c = "\\{"
+        out.append(c)
+        i += 1
+    return "".join(out).replace("(?P<", "(?<")
+
+
+# Escapes whose meaning differs between the two pattern languages.
+JAVA_ESCAPES = {"\\Z": "\\z"}
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from importlib import resources
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,8 +90,6 @@ def read_yaml_rules(spark: SparkSession, path: str) -> DataFrame:
 
     Files whose name ends in ``.disabled`` are left out. Needs a YAML package.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def to_json(texts: pd.Series) -> pd.Series:
         import yaml
