@@ -191,7 +191,7 @@ def test_registered_parser_has_priority(spark):
         lambda line: F.split(line, "=", 2),
         ingest.has_groups(2),
         lambda raw: F.struct(F.get(raw, 0).alias("key"), F.get(raw, 1).alias("value")),
-        lambda r: r["key"],
+        lambda r: F.col(f"{r}.key"),
     )
     line = "Dec  6 10:00:03 host app: a=b"
     first = ingest.DEFAULT_PARSERS.register(csv, priority=0)

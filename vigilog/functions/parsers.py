@@ -90,22 +90,21 @@ def syslog_accepts(line: Column) -> Column:
     return ~line.startswith("{") & ~line.rlike(IPV4_LEAD + "-")
 
 
-def syslog_struct(captures: Column) -> Column:
-    app = F.get(captures, 2)
-
-    def ssh(i: int) -> Column:
-        return F.when(app == "sshd", blank_to_null(F.get(captures, i)))
-
-    return F.struct(
-        F.get(captures, 0).alias("timestamp"),
-        F.get(captures, 1).alias("hostname"),
-        app.alias("app_name"),
-        blank_to_null(F.get(captures, 3)).try_cast("bigint").alias("pid"),
-        F.get(captures, 7).alias("raw_message"),
-        ssh(4).alias("ssh_action"),
-        ssh(5).alias("ssh_user"),
-        ssh(6).alias("ssh_ip"),
-    )
+def syslog_struct(raw: str) -> Column:
+    """Record of the captures in column ``raw``."""
+
+    def ssh(i: int) -> str:
+        return f"CASE WHEN get({raw}, 2) = 'sshd' THEN nullif(get({raw}, {i}), '') END"
+
+    return F.expr(f"""named_struct(
+        'timestamp', get({raw}, 0),
+        'hostname', get({raw}, 1),
+        'app_name', get({raw}, 2),
+        'pid', try_cast(nullif(get({raw}, 3), '') AS BIGINT),
+        'raw_message', get({raw}, 7),
+        'ssh_action', {ssh(4)},
+        'ssh_user', {ssh(5)},
+        'ssh_ip', {ssh(6)})""")
 
 
 # ---- web access -----------------------------------------------------------
@@ -135,35 +134,29 @@ def access_time(time_local: Column) -> Column:
     return F.try_to_timestamp(first, F.lit(ACCESS_TIME))
 
 
-def status_category(status: Column) -> Column:
-    """Class of an HTTP status; null for a missing or zero status."""
-    known = F.when(status.between(200, 299), "success")
-    known = known.when(status.between(300, 399), "redirect")
-    known = known.when(status.between(400, 499), "client_error")
-    known = known.when(status.between(500, 599), "server_error")
-    return F.when(status != 0, known.otherwise("unknown"))
-
-
-def access_struct(captures: Column) -> Column:
-    def group(i: int) -> Column:
-        return F.get(captures, i)
-
-    status = group(6).try_cast("int")
-    has_tail = group(8) != ""
-    return F.struct(
-        group(0).alias("remote_addr"),
-        group(1).alias("remote_user"),
-        group(2).alias("time_local"),
-        group(3).alias("request_method"),
-        group(4).alias("request_uri"),
-        group(5).alias("server_protocol"),
-        status.alias("status"),
-        group(7).try_cast("bigint").alias("body_bytes_sent"),
-        F.when(has_tail, group(9)).alias("http_referer"),
-        F.when(has_tail, group(10)).alias("http_user_agent"),
-        access_time(group(2)).alias("timestamp"),
-        status_category(status).alias("status_category"),
-    )
+def access_struct(raw: str) -> Column:
+    """Record of the captures in column ``raw``."""
+    status = f"try_cast(get({raw}, 6) AS INT)"
+    time = f"split(btrim(get({raw}, 2)), '[ ]+')[0]"
+    return F.expr(f"""named_struct(
+        'remote_addr', get({raw}, 0),
+        'remote_user', get({raw}, 1),
+        'time_local', get({raw}, 2),
+        'request_method', get({raw}, 3),
+        'request_uri', get({raw}, 4),
+        'server_protocol', get({raw}, 5),
+        'status', {status},
+        'body_bytes_sent', try_cast(get({raw}, 7) AS BIGINT),
+        'http_referer', CASE WHEN get({raw}, 8) != '' THEN get({raw}, 9) END,
+        'http_user_agent', CASE WHEN get({raw}, 8) != '' THEN get({raw}, 10) END,
+        'timestamp', try_to_timestamp({time}, '{ACCESS_TIME}'),
+        'status_category', CASE
+            WHEN {status} = 0 THEN NULL
+            WHEN {status} BETWEEN 200 AND 299 THEN 'success'
+            WHEN {status} BETWEEN 300 AND 399 THEN 'redirect'
+            WHEN {status} BETWEEN 400 AND 499 THEN 'client_error'
+            WHEN {status} BETWEEN 500 AND 599 THEN 'server_error'
+            WHEN {status} IS NOT NULL THEN 'unknown' END)""")
 
 
 # ---- network connections ---------------------------------------------------
@@ -179,22 +172,22 @@ def conn_captures(line: Column) -> Column:
     return _captures(line, CONN_RECORD, CONN_GROUPS, rest="")
 
 
-def conn_struct(captures: Column) -> Column:
-    fields = []
-    for i, name in enumerate(CONN_FIELDS):
-        value = F.get(captures, i)
+def conn_struct(raw: str) -> Column:
+    """Record of the captures in column ``raw``.
+
+    The last token of the line is matched but never kept.
+    """
+
+    def value(i: int, name: str) -> str:
+        text = f"get({raw}, {i})"
         if name == "ts":
-            micros = F.round(value.cast("double") * 1000000).cast("bigint")
-            fields.append(F.timestamp_micros(micros).alias("ts"))
-        elif name in CONN_INTS:
-            fields.append(value.try_cast("int").alias(name))
-        elif name in CONN_LONGS:
-            fields.append(value.try_cast("bigint").alias(name))
-        else:
-            fields.append(value.alias(name))
-    # The last token of the line is matched but never kept.
-    fields.append(F.lit(None).cast("string").alias("tunnel_parents"))
-    return F.struct(*fields)
+            return f"timestamp_micros(CAST(round(CAST({text} AS DOUBLE) * 1000000) AS BIGINT))"
+        if name in CONN_INTS:
+            return f"try_cast({text} AS INT)"
+        return f"try_cast({text} AS BIGINT)" if name in CONN_LONGS else text
+
+    fields = [f"'{name}', {value(i, name)}" for i, name in enumerate(CONN_FIELDS)]
+    return F.expr(f"named_struct({', '.join(fields)}, 'tunnel_parents', CAST(NULL AS STRING))")
 
 
 # ---- Windows events ---------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions import halfspace as H
 from vigilog.functions.text import app_name_heuristic, basename, first_present, shannon_entropy
+from vigilog.operators.detect import parsed_view
 from vigilog.operators.sequence import in_order
 from vigilog.operators.templates import mask_variables, template_key
 
@@ -71,29 +72,29 @@ def linux_tokens(message: Column) -> Column:
     )
 
 
-def host_events(
-    logs: DataFrame, servers: DataFrame, windows: DataFrame, linux: DataFrame
-) -> DataFrame:
-    """Windows and Linux events with host, feature slots and entropy."""
+def host_events(logs: DataFrame, servers: DataFrame) -> DataFrame:
+    """Windows and Linux events with host, feature slots and entropy.
+
+    Records are parsed from the logs as they are read, so the logs are neither read
+    again nor joined to their details.
+    """
     host = F.lower(F.trim("hostname"))
     named = servers.select(F.col("id").alias("server_id"), host.alias("host"))
-    base = logs.select("id", "server_id", "recv_time", "log_source").join(named, "server_id")
+    own = logs.where(F.col("log_source").isin("windows", "linux"))
+    base = own.select("id", "server_id", "recv_time", "log_source", "content")
+    view = parsed_view(base.join(named, "server_id"))
+    message = F.col("linux.raw_message")
+    masked = view.withColumn("_template", mask_variables(message))
 
     def slots(tokens: Column, buckets: int) -> Column:
         return F.transform(tokens, lambda t: signed_slot(t, buckets))
 
-    win = windows.select(
-        F.col("log_entry_id").alias("id"),
-        slots(windows_tokens(F.col("attrs")), WINDOWS_BUCKETS).alias("slots"),
-        F.lit(0.0).alias("entropy"),
-    )
-    lin = linux.where(F.col("raw_message") != "").select(
-        F.col("log_entry_id").alias("id"),
-        slots(linux_tokens(F.col("raw_message")), LINUX_BUCKETS).alias("slots"),
-        shannon_entropy(mask_variables(F.col("raw_message"))).alias("entropy"),
-    )
-    return base.join(win.unionByName(lin), "id").select(
-        "id", "host", "log_source", "recv_time", "slots", "entropy"
+    windows, linux = F.col("windows").isNotNull(), message != ""
+    return masked.where(windows | linux).select(
+        "id", "host", "log_source", "recv_time",
+        F.when(windows, slots(windows_tokens(F.col("windows")), WINDOWS_BUCKETS))
+        .otherwise(slots(linux_tokens(message), LINUX_BUCKETS)).alias("slots"),
+        F.when(linux, shannon_entropy(F.col("_template"))).otherwise(0.0).alias("entropy"),
     )
 
 

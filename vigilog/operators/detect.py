@@ -110,8 +110,8 @@ def parsed_view(logs: DataFrame) -> DataFrame:
     out = P.fence(out, *[f"_raw_{p.log_type}" for p in VIEW_PARSERS])
 
     def record(p: ingest.LineParser) -> Column:
-        raw = F.col(f"_raw_{p.log_type}")
-        return F.when(p.matched(raw), p.build(raw)).alias(p.log_type)
+        raw = f"_raw_{p.log_type}"
+        return F.when(p.matched(F.col(raw)), p.build(raw)).alias(p.log_type)
 
     return out.select(*logs.columns, *[record(p) for p in VIEW_PARSERS])
 
@@ -221,20 +221,16 @@ _NO_RULE = Rule("", "", "", "", "", "", {})
 
 def matched_fields() -> Column:
     """JSON of the common fields present in the log."""
-    linux, nginx, windows = (F.col(s) for s in ("linux", "nginx", "windows"))
-    return F.to_json(
-        F.struct(
-            F.date_format("recv_time", P.STORED_TIME).alias("timestamp"),
-            F.col("hostname").alias("hostname"),
-            linux["app_name"].alias("program"),
-            F.coalesce(linux["raw_message"], windows["message"]).alias("message"),
-            F.coalesce(windows["event_id"], windows["EventID"]).alias("event_id"),
-            F.coalesce(windows["channel"], windows["LogName"]).alias("channel"),
-            nginx["request_method"].alias("method"),
-            nginx["request_uri"].alias("path"),
-            nginx["status"].alias("status_code"),
-        )
-    )
+    return F.expr(f"""to_json(named_struct(
+        'timestamp', date_format(recv_time, '{P.STORED_TIME}'),
+        'hostname', hostname,
+        'program', linux.app_name,
+        'message', coalesce(linux.raw_message, windows['message']),
+        'event_id', coalesce(windows['event_id'], windows['EventID']),
+        'channel', coalesce(windows['channel'], windows['LogName']),
+        'method', nginx.request_method,
+        'path', nginx.request_uri,
+        'status_code', nginx.status))""")
 
 
 def alert_key(rule_id: Column, log_id: Column) -> Column:

@@ -17,16 +17,17 @@ class LineParser:
     """One log format.
 
     ``accepts`` is a cheap test on the stripped line and ``extract`` the raw fields
-    of a line; ``refine`` works on the extracted column, ``matched`` tells whether
-    the line parsed, ``build`` makes the typed record and ``hostname`` names its host.
+    of a line; ``refine`` works on the extracted column and ``matched`` tells whether
+    the line parsed. ``build`` makes the typed record from the name of the extracted
+    column, and ``hostname`` names its host from the name of the record column.
     """
 
     log_type: str
     accepts: Callable[[Column], Column]
     extract: Callable[[Column], Column]
     matched: Callable[[Column], Column]
-    build: Callable[[Column], Column]
-    hostname: Callable[[Column], Column]
+    build: Callable[[str], Column]
+    hostname: Callable[[str], Column]
     refine: Callable[[Column], Column] | None = None
 
 
@@ -39,8 +40,8 @@ WINDOWS = LineParser(
     P.event_accepts,
     P.event_objects,
     lambda attrs: attrs.isNotNull(),
-    lambda attrs: attrs,
-    lambda attrs: attrs["hostname"],
+    F.col,
+    lambda attrs: F.col(attrs)["hostname"],
     refine=P.event_attrs,
 )
 ZEEK_CONN = LineParser(
@@ -49,7 +50,7 @@ ZEEK_CONN = LineParser(
     P.conn_captures,
     has_groups(P.CONN_GROUPS),
     P.conn_struct,
-    lambda r: r["orig_h"],
+    lambda r: F.col(f"{r}.orig_h"),
 )
 NGINX = LineParser(
     "nginx",
@@ -57,7 +58,7 @@ NGINX = LineParser(
     P.access_captures,
     has_groups(P.ACCESS_GROUPS),
     P.access_struct,
-    lambda r: r["remote_addr"],
+    lambda r: F.col(f"{r}.remote_addr"),
 )
 NGINX_STRICT = replace(NGINX, extract=lambda line: P.access_captures(line, strict=True))
 LINUX = LineParser(
@@ -66,7 +67,7 @@ LINUX = LineParser(
     P.syslog_captures,
     has_groups(P.SYSLOG_GROUPS),
     P.syslog_struct,
-    lambda r: r["hostname"],
+    lambda r: F.col(f"{r}.hostname"),
 )
 
 
@@ -124,14 +125,12 @@ def parse_lines(
         log_type = F.coalesce(log_type, F.when(matched, F.lit(p.log_type)))
     out = P.fence(out.withColumn("log_type", log_type), "log_type", *raw_columns)
 
-    def own(p: LineParser, value: Column) -> Column:
-        return F.when(F.col("log_type") == p.log_type, value)
-
-    built = [own(p, p.build(F.col(f"_raw_{p.log_type}"))).alias(p.log_type) for p in parsers]
-    hosts = [own(p, p.hostname(p.build(F.col(f"_raw_{p.log_type}")))) for p in parsers]
-    return out.select(
-        *envelopes.columns, "log_type", *built, F.coalesce(*hosts).alias("hostname")
-    )
+    built = [
+        F.when(F.col("log_type") == p.log_type, p.build(f"_raw_{p.log_type}")).alias(p.log_type)
+        for p in parsers
+    ]
+    typed = out.select(*envelopes.columns, "log_type", *built)
+    return typed.withColumn("hostname", F.coalesce(*[p.hostname(p.log_type) for p in parsers]))
 
 
 def unparsed_lines(envelopes: DataFrame, parsers: ParserRegistry = DEFAULT_PARSERS) -> DataFrame:
@@ -233,7 +232,7 @@ def _details(logs: DataFrame, parser: LineParser) -> DataFrame:
     own = logs.where(F.col("log_source") == parser.log_type)
     raw = extracted(own.select("id", "log_source", "content"), parser)
     return raw.where(parser.matched(F.col("_raw"))).select(
-        F.col("id").alias("log_entry_id"), "content", parser.build(F.col("_raw")).alias("d")
+        F.col("id").alias("log_entry_id"), "content", parser.build("_raw").alias("d")
     )
 
 

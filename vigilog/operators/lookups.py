@@ -18,6 +18,13 @@ def newest(df: DataFrame, time: str) -> Column:
     return df.agg(F.max(time)).scalar()
 
 
+def since(df: DataFrame, time: str, start: Column | str) -> DataFrame:
+    """Rows from ``start`` on; a ``day`` partition column is filtered too, if there is one."""
+    start = F.lit(start) if isinstance(start, str) else start
+    found = df.where(F.col(time) >= start)
+    return found.where(F.col("day") >= F.to_date(start)) if "day" in df.columns else found
+
+
 def page(df: DataFrame, time: str, limit: int | None, offset: int = 0) -> DataFrame:
     """Newest rows first, ties by id."""
     ordered = df.orderBy(F.desc(time), F.desc("id"))
@@ -47,7 +54,7 @@ def recent_logs(
     if server_id is not None:
         found = found.where(F.col("server_id") == server_id)
     if start_time is not None:
-        found = found.where(F.col("recv_time") >= start_time)
+        found = since(found, "recv_time", start_time)
     if end_time is not None:
         found = found.where(F.col("recv_time") <= end_time)
     return page(found, "recv_time", limit, offset).join(
@@ -119,7 +126,7 @@ def filter_alerts(
         found = found.where(F.col("server_id") == server_id)
     if hours is not None:
         now = newest(alerts, "triggered_at") if as_of is None else as_of
-        found = found.where(F.col("triggered_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+        found = since(found, "triggered_at", now - F.expr(f"INTERVAL {hours} HOURS"))
     total = found.agg(F.count("*")).scalar()
     ordered = found.orderBy(F.desc("triggered_at"), F.desc("alert_id")).offset(offset)
     paged = ordered if limit is None else ordered.limit(limit)
@@ -135,7 +142,7 @@ def logs_last_hours(
 ) -> DataFrame:
     """Logs of the last hours, of one server or of every server."""
     now = newest(logs, "recv_time") if as_of is None else as_of
-    found = logs.where(F.col("recv_time") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    found = since(logs, "recv_time", now - F.expr(f"INTERVAL {hours} HOURS"))
     if server_id is not None:
         found = found.where(F.col("server_id") == server_id)
     if log_source is not None:

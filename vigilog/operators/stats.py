@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.text import preview
 from vigilog.operators.detect import latest
-from vigilog.operators.lookups import newest
+from vigilog.operators.lookups import newest, since
 
 # Severities from worst to least, and the sources always reported.
 SEVERITIES = ["critical", "high", "medium", "low"]
@@ -46,16 +46,14 @@ def age_status(
 
 def log_totals(logs: DataFrame, servers: DataFrame, alerts: DataFrame) -> DataFrame:
     """Total logs, servers and alerts, and logs by type, one row per measure."""
-    by_type = logs.groupBy(F.concat(F.lit("logs_"), "log_source").alias("measure")).agg(
-        _count("total")
+    per_source = logs.groupBy("log_source").agg(_count("n"))
+    names = F.array(F.lit("logs"), F.concat(F.lit("logs_"), "log_source"))
+    out = per_source.select(F.explode(names).alias("measure"), "n").groupBy("measure").agg(
+        F.sum("n").alias("total")
     )
-    totals = [
-        df.agg(_count("total")).select(F.lit(name).alias("measure"), "total")
-        for name, df in (("logs", logs), ("servers", servers), ("alerts", alerts))
-    ]
-    for part in totals:
-        by_type = by_type.unionByName(part)
-    return by_type
+    for name, df in (("servers", servers), ("alerts", alerts)):
+        out = out.unionByName(df.agg(_count("total")).withColumn("measure", F.lit(name)))
+    return out
 
 
 def server_activity(
@@ -177,14 +175,6 @@ def threat_level(critical: Column, high: Column) -> Column:
     )
 
 
-def _severity_counts(where: Column | None = None) -> list[Column]:
-    def matching(name: str) -> Column:
-        same = F.col("severity") == name
-        return same if where is None else same & where
-
-    return [F.count_if(matching(s)).alias(f"alerts_{s}") for s in SEVERITIES]
-
-
 def dashboard_overview(
     logs: DataFrame, servers: DataFrame, alerts: DataFrame, as_of: Column | None = None
 ) -> DataFrame:
@@ -197,20 +187,21 @@ def dashboard_overview(
         F.count_if(F.col("recv_time") >= hour_ago).alias("logs_last_hour"),
     )
     alert_side = alerts.agg(
-        _count("alerts_total"),
-        F.count_if(~F.col("resolved")).alias("alerts_active"),
-        F.count_if(F.col("resolved")).alias("alerts_resolved"),
-        *_severity_counts(),
-        F.count_if(F.col("triggered_at") >= hour_ago).alias("alerts_last_hour"),
-    )
-    one = F.lit(1).alias("_one")
-    joined = (
-        log_side.select("*", one)
-        .join(alert_side.select("*", one), "_one")
-        .join(servers.agg(_count("servers_total")).select("*", one), "_one")
+        F.struct(
+            _count("alerts_total"),
+            F.count_if(~F.col("resolved")).alias("alerts_active"),
+            F.count_if(F.col("resolved")).alias("alerts_resolved"),
+            *[F.count_if(F.col("severity") == s).alias(f"alerts_{s}") for s in SEVERITIES],
+            F.count_if(F.col("triggered_at") >= hour_ago).alias("alerts_last_hour"),
+        )
     )
+    joined = log_side.select(
+        "*",
+        alert_side.scalar().alias("_a"),
+        servers.agg(F.count("*")).scalar().alias("servers_total"),
+    ).select("*", "_a.*")
     level = threat_level(F.col("alerts_critical"), F.col("alerts_high"))
-    return joined.drop("_one").withColumn("threat_level", level)
+    return joined.drop("_a").withColumn("threat_level", level)
 
 
 def threat_levels(alerts: DataFrame) -> DataFrame:
@@ -299,7 +290,7 @@ def alerts_by_server(alerts: DataFrame, servers: DataFrame) -> DataFrame:
 def logs_timeseries(logs: DataFrame, hours: int = 24, as_of: Column | None = None) -> DataFrame:
     """Logs per hour and type in the last hours, newest first."""
     now = newest(logs, "recv_time") if as_of is None else as_of
-    recent = logs.where(F.col("recv_time") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    recent = since(logs, "recv_time", now - F.expr(f"INTERVAL {hours} HOURS"))
     hour = F.date_trunc("hour", "recv_time").alias("hour")
     return recent.groupBy(hour, "log_source").agg(_count("logs")).orderBy(
         F.desc("hour"), "log_source"
@@ -309,7 +300,7 @@ def logs_timeseries(logs: DataFrame, hours: int = 24, as_of: Column | None = Non
 def alert_timeline(alerts: DataFrame, hours: int = 24, as_of: Column | None = None) -> DataFrame:
     """Alerts per hour, one column per severity."""
     now = newest(alerts, "triggered_at") if as_of is None else as_of
-    recent = alerts.where(F.col("triggered_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    recent = since(alerts, "triggered_at", now - F.expr(f"INTERVAL {hours} HOURS"))
     hour = F.date_trunc("hour", "triggered_at").alias("hour")
     return recent.groupBy(hour).agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
@@ -335,7 +326,7 @@ def server_timeline(
 
     def per_hour(df: DataFrame, time: str, name: str) -> DataFrame:
         hour = F.date_trunc("hour", time).alias("hour")
-        return df.where(F.col(time) >= first).groupBy("server_id", hour).agg(_count(name))
+        return since(df, time, first).groupBy("server_id", hour).agg(_count(name))
 
     zero = F.lit(0).cast("bigint")
     counts = (

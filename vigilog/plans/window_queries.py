@@ -49,7 +49,7 @@ SELECT id, host, round(coalesce(gap, 0.0), 6) AS delta, round(entropy, 6) AS ent
   coalesce(gap < 0.01, false) OR entropy > 5.5 AS anomaly FROM x""",
 )
 def burst_and_entropy_flags(t: Tables):
-    events = anomaly.host_events(t.logs, t.servers, t.windows, t.linux)
+    events = anomaly.host_events(t.logs, t.servers)
     flags = anomaly.burst_and_entropy_flags(events)
     return flags.withColumn("delta", F.round("delta", 6)).withColumn(
         "entropy", F.round("entropy", 6)
@@ -104,13 +104,13 @@ def hash_features(t: Tables):
 
 @query("host_anomaly_score")
 def host_anomaly_score(t: Tables):
-    events = anomaly.host_events(t.logs, t.servers, t.windows, t.linux)
+    events = anomaly.host_events(t.logs, t.servers)
     return anomaly.host_anomaly_score(events).withColumn("score", F.round("score", 6))
 
 
 @query("persist_host_models")
 def persist_host_models(t: Tables):
-    events = anomaly.host_events(t.logs, t.servers, t.windows, t.linux)
+    events = anomaly.host_events(t.logs, t.servers)
     cut = F.lit("2024-01-16").cast("timestamp")
     earlier = events.where(F.col("recv_time") < cut)
     state = cut_lineage(

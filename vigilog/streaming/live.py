@@ -25,7 +25,7 @@ DETAILS = {
 }
 LOG_SCHEMA = (
     "id bigint, server_id bigint, recv_time timestamp, hostname string, ip_address string, "
-    "content string, batch bigint, log_source string"
+    "content string, batch bigint, log_source string, day date"
 )
 
 
@@ -79,9 +79,8 @@ def append_log_store(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         log_path = batch_folder(f"{store}/log_entry", batch_id)
-        stored_logs(batch, batch_id).write.mode("overwrite").partitionBy("log_source").parquet(
-            log_path
-        )
+        rows = stored_logs(batch, batch_id).withColumn("day", F.to_date("recv_time"))
+        rows.write.mode("overwrite").partitionBy("log_source", "day").parquet(log_path)
         logs = spark.read.schema(LOG_SCHEMA).option("basePath", f"{store}/log_entry").parquet(
             log_path
         )
