@@ -135,7 +135,7 @@ def numbered(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
     )
     return out.select(
         "id", "host", "log_source", "recv_time", "slots", "entropy", "delta",
-        F.coalesce("_flag", flag).alias("flag"), "position",
+        F.coalesce("_flag", flag).alias("flag"), "position", "last_position",
         F.col("_position").isNotNull().alias("is_kept"),
     )
 
@@ -160,30 +160,29 @@ def _points(rows: pd.DataFrame, is_linux: bool) -> np.ndarray:
     return out
 
 
-def _score_window(rows: pd.DataFrame) -> pd.DataFrame:
-    """Scores of the own rows of one window, from the rows of the two before it."""
-    own = rows[(rows["age"] == 0) & ~rows["is_kept"]].sort_values("position")
-    names = [f.split()[0] for f in SCORE_SCHEMA.split(", ")]
-    if own.empty:
-        return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-    is_linux = own["log_source"].iloc[0] == "linux"
+SCORE_COLUMNS = [f.split()[0] for f in SCORE_SCHEMA.split(", ")]
+
 
-    def usual(age: int) -> pd.DataFrame:
-        return rows[(rows["age"] == age) & ~rows["flag"]].sort_values("position")
+def _score_window(rows: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the own rows of one window, from the rows of the two before it.
 
-    known, base = usual(1), usual(2)
+    Masses are counts, so the order of the rows within a window does not matter.
+    """
+    age, flag = rows["age"].to_numpy(), rows["flag"].to_numpy()
+    own = rows[(age == 0) & ~rows["is_kept"].to_numpy()]
+    is_linux = rows["log_source"].iloc[0] == "linux"
     score = np.zeros(len(own))
-    if (rows["age"] == 1).any():
-        seen = H.paths(_points(known, is_linux))
-        if (rows["age"] == 2).any():
-            earlier = H.masses(H.paths(_points(base, is_linux)))
+    if len(own) and (age == 1).any():
+        seen = H.paths(_points(rows[(age == 1) & ~flag], is_linux))
+        if (age == 2).any():
+            earlier = H.masses(H.paths(_points(rows[(age == 2) & ~flag], is_linux)))
             judged = H.scores(seen, earlier)
-            learn = judged <= THRESHOLD if is_linux else judged < WINDOWS_LEARN_BELOW
-            seen = seen[:, learn]
+            seen = seen[:, judged <= THRESHOLD if is_linux else judged < WINDOWS_LEARN_BELOW]
         score = H.scores(H.paths(_points(own, is_linux)), H.masses(seen))
-    own = own.assign(score=np.where(own["flag"], 1.0, score))
-    own["anomaly"] = own["flag"] | (own["score"] > THRESHOLD)
-    return own[names]
+    flagged_own = own["flag"].to_numpy()
+    score = np.where(flagged_own, 1.0, score)
+    own = own.assign(score=score, anomaly=flagged_own | (score > THRESHOLD))
+    return own[SCORE_COLUMNS]
 
 
 def host_anomaly_score(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -197,9 +196,12 @@ def host_anomaly_score(events: DataFrame, state: DataFrame | None = None) -> Dat
 
 def score_numbered(rows: DataFrame) -> DataFrame:
     window = F.floor(F.col("position") / F.lit(H.WINDOW))
-    target = F.explode(F.sequence(window, window + WINDOWS_BACK)).alias("target")
-    copies = rows.select("*", window.alias("_window"), target).withColumn(
-        "age", F.col("target") - F.col("_window")
+    last = F.floor(F.col("last_position") / F.lit(H.WINDOW))
+    targets = F.sequence(window, F.least(window + WINDOWS_BACK, last))
+    copies = (
+        rows.select("*", window.alias("_window"), F.explode(targets).alias("target"))
+        .withColumn("age", F.col("target") - F.col("_window"))
+        .drop("last_position")
     )
     return copies.groupBy("host", "log_source", "target").applyInPandas(
         _score_window, SCORE_SCHEMA
@@ -211,10 +213,10 @@ def next_state(rows: DataFrame) -> DataFrame:
 
     At most three windows of events are kept per host.
     """
-    last = rows.groupBy("host", "log_source").agg(F.max("position").alias("_max"))
-    newest = F.floor((F.col("_max") + 1) / F.lit(H.WINDOW)) - WINDOWS_BACK
-    joined = rows.join(last, ["host", "log_source"])
-    kept = joined.where(F.floor(F.col("position") / F.lit(H.WINDOW)) >= newest)
+    following = F.floor((F.col("last_position") + 1) / F.lit(H.WINDOW))
+    kept = rows.where(
+        F.floor(F.col("position") / F.lit(H.WINDOW)) >= following - WINDOWS_BACK
+    )
     return kept.select(*STATE_COLUMNS)
 
 

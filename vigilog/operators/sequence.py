@@ -26,7 +26,7 @@ def in_order(
     bucket_seconds: int = BUCKET_SECONDS,
     first_position: str | None = None,
 ) -> DataFrame:
-    """Add ``prev_time`` and the 0-based ``position`` of each row within its key.
+    """Add ``prev_time``, the 0-based ``position`` within the key and its last position.
 
     Rows are ordered by time, then ``tie``. ``first_position`` names a column whose
     least value in a key is where its positions start.
@@ -38,14 +38,14 @@ def in_order(
     summary = bucketed.groupBy(*key, "_bucket").agg(
         F.max(time).alias("_last"), F.count("*").alias("_n"), F.min(start).alias("_start")
     )
+    whole = Window.partitionBy(*key)
+    base = F.coalesce(F.min("_start").over(whole), F.lit(0))
     carried = summary.select(
         *key,
         "_bucket",
         F.lag("_last").over(before).alias("_before"),
-        (
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-            + F.coalesce(F.min("_start").over(Window.partitionBy(*key)), F.lit(0))
-        ).alias("_offset"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + base).alias("_offset"),
+        (F.sum("_n").over(whole) + base - 1).alias("last_position"),
     )
     inside = Window.partitionBy(*key, "_bucket").orderBy(time, tie)
     local = bucketed.withColumn("_lag", F.lag(time).over(inside)).withColumn(
@@ -56,6 +56,7 @@ def in_order(
         *df.columns,
         F.coalesce("_lag", "_before").alias("prev_time"),
         (F.col("_offset") + F.col("_row") - 1).alias("position"),
+        "last_position",
     )
 
 

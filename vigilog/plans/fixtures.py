@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vigilog.operators import detect, ingest
 from vigilog.rules.pack import packaged_rules
-from vigilog.session import prepare
+from vigilog.session import prepare, spread
 
 SOURCES = ["linux", "windows", "nginx", "zeek_conn"]
 PAGE_TIME = "15/Jan/2024:10:23:45 +0000"
@@ -161,7 +161,7 @@ class Tables:
 
     @cached_property
     def logs(self) -> DataFrame:
-        events = self.read("events").select(
+        events = spread(self.read("events")).select(
             F.col("event_id").alias("id"),
             F.col("user_id").alias("server_id"),
             F.col("ts").cast("timestamp").alias("recv_time"),
@@ -192,7 +192,7 @@ class Tables:
             F.col("ip_address").alias("src_ip"),
             F.col("content").alias("line"),
         )
-        pages = self.read("pages").select(
+        pages = spread(self.read("pages")).select(
             _text("p", F.col("page_id")).alias("line_id"),
             file_time.alias("recv_time"),
             F.lit("file_upload").alias("src_ip"),
@@ -203,7 +203,7 @@ class Tables:
                 " HTTP/1.1\" 200 ", F.length("html"), " \"", F.col("url"), "\" \"Mozilla/5.0\"",
             ).alias("line"),
         )
-        documents = self.read("documents").select(
+        documents = spread(self.read("documents")).select(
             "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")
         ).select(
             _text("d", F.col("doc_id"), "-", F.col("n")).alias("line_id"),

@@ -8,6 +8,7 @@ from vigilog.functions import parsers as P
 from vigilog.functions import text as X
 from vigilog.operators import detect, ingest
 from vigilog.plans.catalog import query, sql_time
+from vigilog.session import spread
 from vigilog.plans.fixtures import ACCESS_SQL, ACCESS_TAIL_SQL, FILE_TIME, Tables, _q
 
 
@@ -329,7 +330,7 @@ SELECT d.doc_id, coalesce(round(e.entropy, 6), 0.0) AS entropy FROM documents d
     GROUP BY doc_id, ch) GROUP BY doc_id) e USING (doc_id)""",
 )
 def shannon_entropy(t: Tables):
-    return t.read("documents").select(
+    return spread(t.read("documents")).select(
         "doc_id", F.round(X.shannon_entropy(F.col("text")), 6).alias("entropy")
     )
 
