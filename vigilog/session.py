@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,16 +32,33 @@ def get_session(app: str = "vigilog", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session made elsewhere."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per Spark application.
+
+    Workers run functions of the package but need not have it installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="vigilog-package-"), "vigilog")
+        context.addPyFile(shutil.make_archive(target, "zip", root, "vigilog"))
+        _SHIPPED.add(context.applicationId)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def spread(df):
     """A scan of fewer pieces than there are cores, dealt out to all cores.
 
