@@ -63,9 +63,10 @@ TIMES = {}
 
 def compare(spark, con, key, run, sql, sf_dir):
     """Difference as text, or an empty text when both give the same rows."""
+    started = time.time()
     df = run(spark, sf_dir)
     names, got = spark_rows(df)
-    TIMES["spark"] = time.time() - TIMES["start"]
+    TIMES["spark"] = time.time() - started
     if sql is None:
         return "", sum(got.values())
     sql_names, want, types = sql_rows(con, sql)
@@ -115,7 +116,7 @@ def main():
     todo, twins = queries(), oracle_sql()
     bad = []
     for key in args.keys or todo:
-        start = TIMES["start"] = TIMES["spark"] = time.time()
+        start, TIMES["spark"] = time.time(), 0.0
         try:
             diff, rows = compare(spark, con, key, todo[key], twins.get(key), sf_dir)
         except Exception as e:
