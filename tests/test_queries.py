@@ -3,20 +3,19 @@
 import pytest
 from compare import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from vigilog.plans import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-TWINS = oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("key", list(queries()))
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query(spark, con, key):
-    diff, _ = compare(spark, con, key, queries()[key], TWINS.get(key), SF_DIR)
+    diff, _ = compare(spark, con, key, QUERIES[key], ORACLES.get(key), SF_DIR)
     assert not diff, diff
 
 
