@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import decontaminate, simhash
+from vigilog.llm import decontaminate, licenses, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,86 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_quality",
+    sql=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+runs AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS times
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4))),
+again AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM runs WHERE times > 1) GROUP BY doc_id),
+stutter AS (SELECT doc_id, count(*) AS n_stutter
+  FROM (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM d WHERE len(w) > 1)
+  WHERE w[i] = w[i - 1] GROUP BY doc_id),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words,
+  length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_stutter, 0) AS n_stutter
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN stutter USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+    OR 10 * word_chars < 25 * n_words OR 10 * word_chars > 150 * n_words
+    OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 40 * n_lines
+    OR 100 * n_capitals > 30 * word_chars OR 100 * n_stutter > 20 * n_words) AS kept
+FROM f""",
+)
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select("doc_id", *quality.BASE, failed.alias("base_failed"), "kept")
+
+
+@query(
+    "op4_mixing",
+    sql=r"""
+WITH RECURSIVE d AS (SELECT doc_id, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  md5('20240601|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size,
+  [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source),
+total AS (SELECT sum(size)::DOUBLE AS total FROM s),
+levels AS (
+  SELECT 1 AS round, (SELECT total FROM total) / (SELECT sum(weight) FROM s) AS level
+  UNION ALL
+  SELECT round + 1, (SELECT (t.total - coalesce(sum(3 * size) FILTER (3 * size <= weight * level), 0))
+      / nullif(sum(weight) FILTER (3 * size > weight * level), 0) FROM s, total t GROUP BY t.total)
+  FROM levels WHERE round < 60 AND level IS NOT NULL),
+level AS (SELECT coalesce(max(level), 0.0) AS level FROM levels),
+t AS (SELECT source, size AS source_size,
+  CASE WHEN 3 * size <= weight * level THEN (3 * size)::DOUBLE ELSE weight * level END AS target,
+  CASE WHEN 3 * size <= weight * level THEN 3 ELSE floor(weight * level / size) END::BIGINT AS whole
+  FROM s, level),
+k AS (SELECT source, key, sum(size) AS size,
+  sum(sum(size)) OVER (PARTITION BY source ORDER BY key) - sum(size) AS before FROM d GROUP BY source, key)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+  (d.size * (whole + (2 * k.before + k.size <= 2 * (target - whole * source_size))::INT))::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.key = d.key""",
+)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.uniform_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
