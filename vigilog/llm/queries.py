@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import decontaminate, licenses, mixing, quality, sharding, simhash, tokenfile
+from vigilog.llm import decontaminate, hmm, licenses, mixing, quality, sharding, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return tokenfile.written_documents(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op9_hmm")
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(table(spark, sf_dir, "documents"))

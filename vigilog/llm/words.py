@@ -147,8 +147,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose texts hold about SLICE_BYTES; a longer text is one piece."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose texts hold about ``size`` bytes; a longer text is one piece."""
     if batch.num_rows == 0:
         return
     at = batch.schema.get_field_index(column)
@@ -157,6 +159,6 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     row = 0
     while row < batch.num_rows:
         done = ends[row - 1] if row else 0
-        stop = max(row + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        stop = max(row + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield batch.slice(row, stop - row)
         row = stop
