@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import decontaminate, hmm, licenses, mixing, quality, sharding, simhash, tokenfile
+from vigilog.llm import (
+    decontaminate,
+    hmm,
+    licenses,
+    mixing,
+    passages,
+    quality,
+    sharding,
+    simhash,
+    tokenfile,
+    warc,
+)
+from vigilog.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +175,41 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hmm")
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written derivatives hold of each page."""
+    responses = warc.page_responses(table(spark, sf_dir, "pages"))
+    folder = shared_dir(spark, "llm-warc")
+    files = warc.write_files(warc.derive(responses), folder)
+    found = warc.read_files(spark, files, folder)
+    meta, text = F.col("warc_type") == "metadata", F.col("warc_type") == "conversion"
+    told = F.col("block").cast("string")
+    at = "$.Envelope.Payload-Metadata.HTTP-Response-Metadata"
+    of_response = (
+        found.select(
+            "refers_to",
+            "target_uri",
+            F.col("headers")["WARC-Source-Payload-Digest"].alias("payload_digest"),
+            F.when(meta, F.col("record_id")).alias("metadata_id"),
+            F.when(text, F.col("record_id")).alias("conversion_id"),
+            F.when(meta, F.get_json_object(told, f"{at}.HTML-Metadata.Head.Title")).alias("title"),
+            F.when(meta, F.json_array_length(F.get_json_object(told, f"{at}.HTML-Metadata.Links"))).alias("n_links"),
+            F.when(text, F.sha1("block")).alias("text_sha1"),
+            F.when(text, F.length(told)).alias("n_text_chars"),
+            "digest_ok",
+        )
+        .groupBy("refers_to")
+        .agg(
+            *[F.max(c).alias(c) for c in ("target_uri", "payload_digest", "metadata_id", "conversion_id", "title",
+                                          "n_links", "text_sha1", "n_text_chars")],
+            F.bool_and("digest_ok").alias("digests_ok"),
+        )
+    )
+    return responses.select("page_id", F.col("record_id").alias("refers_to")).join(of_response, "refers_to", "left")
+
+
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
