@@ -246,3 +246,66 @@ def test_patterns_mean_the_same_in_both_languages(spark, pattern):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.t for r in df.where(F.col("t").rlike(safe_regex(pattern))).collect()]
     assert got == [t for t in texts if re.search(pattern, t)]
+
+
+@pytest.mark.parametrize("pattern", ["(?P<a>f)ailed (?P=a)", "(?a)failed", "(f)?ailed(?(1)x|y)", "(?<=a+)b", "["])
+def test_patterns_of_one_language_never_stop_the_pass(spark, pattern):
+    from vigilog.rules.compiler import safe_regex
+
+    spelled = safe_regex(pattern)
+    df = spark.createDataFrame([("failed f",), ("b",)], "t string")
+    if pattern.startswith("(?P"):
+        assert [r.t for r in df.where(F.col("t").rlike(spelled)).collect()] == ["failed f"]
+    else:
+        assert spelled is None
+    detection = {"selection": {"message|re": pattern}, "condition": "selection"}
+    assert hits(spark, detection) == []
+
+
+def test_gte_takes_the_lowest_number(spark):
+    assert hits(spark, {"selection": {"size|gte": ["many", 100, 12]}}) == [3]
+    assert hits(spark, {"selection": {"size|gte": "many"}}) == []
+
+
+COUNTING = [
+    {"selection": {"count|gte": 1}},
+    {"selection": {"message|contains": "a", "count|gte": 1}},
+    {"selection": {"remote_address|count|gte": 1}},
+    {"selection": {"remote_address|duplicate": True}},
+    {"selection": {"message|contains": "a"}, "aggregation": {"SourceIp|count": ">0"}},
+]
+
+
+@pytest.mark.parametrize("detection", COUNTING)
+def test_counting_rules_alert_on_no_single_row(spark, detection):
+    rule = Rule("c", "Counts", "", "low", "s", "windows", {**detection, "condition": "selection"})
+    assert detect.run_rules(window_logs(spark), [rule]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "detection, expected",
+    [
+        ({"selection": {"x|count|gte": 2}}, (None, "x", 2)),
+        ({"selection": {"count|gte": 20}}, (None, None, 20)),
+        ({"selection": {"x|duplicate": True}}, ("x", "server", 2)),
+        ({"aggregation": {"x|count": ">5"}}, ("x", None, 6)),
+        ({"aggregation": {"x|count": ">=5"}}, ("x", None, 5)),
+        ({"aggregation": {"x|count": 5}}, ("x", None, 6)),
+        ({"aggregation": {"x|count": "some"}}, ("x", None, 2**63 - 1)),
+    ],
+)
+def test_what_a_rule_counts(detection, expected):
+    from vigilog.rules.compiler import counting_of
+
+    got = counting_of(Rule("c", "", "", "", "", "linux", detection))
+    assert (got.group, got.distinct, got.least) == expected
+    assert counting_of(Rule("c", "", "", "", "", "linux", {"selection": {"x|gte": 5}})) is None
+
+
+def test_rule_tables_have_no_limit(spark):
+    rows = [
+        {"id": f"r{i}", "log_source": "windows", "detection": {"selection": {"EventID": 100_000 + i}}}
+        for i in range(6000)
+    ]
+    table = pack.rules_frame(spark, rows)
+    assert len(pack.collect_rules(table)) == 6000

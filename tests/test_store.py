@@ -213,3 +213,25 @@ def test_shared_folder_comes_from_the_session():
     assert first.startswith("file:/shared/place/x-") and first != second
     with pytest.raises(ValueError):
         shared_dir(Cluster, "x")
+
+
+def test_pages_keep_their_order_without_broadcast(spark):
+    from vigilog.operators import lookups
+
+    rows = [(i, i % 7, f"2024-01-{1 + i % 28:02d}", "linux", f"line {i}") for i in range(200)]
+    logs = spark.createDataFrame(
+        rows, "id bigint, server_id bigint, t string, log_source string, content string"
+    ).selectExpr("id", "server_id", "CAST(t AS timestamp) AS recv_time", "log_source", "content")
+    servers = spark.createDataFrame([(i, f"h{i}", "a") for i in range(7)], "id bigint, hostname string, ip_address string")
+    alerts = logs.selectExpr("concat('a', id) AS alert_id", "id AS log_entry_id", "server_id", "recv_time AS triggered_at")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        recent = [(r.recv_time, r.id) for r in lookups.recent_logs(logs, servers, 30).collect()]
+        found = [(r.recv_time, r.id) for r in lookups.search_logs(logs, servers, "line", limit=30).collect()]
+        after = [r.id for r in lookups.incremental_fetch(logs, servers, 50, 30).collect()]
+        report = [(r.triggered_at, r.alert_id) for r in lookups.alert_report(alerts, logs, servers, 30).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert recent == sorted(recent, reverse=True) and found == recent and len(recent) == 30
+    assert after == list(range(51, 81))
+    assert report == sorted(report, reverse=True) and len(report) == 30

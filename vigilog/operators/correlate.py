@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilog.operators import detect
 from vigilog.operators.sequence import trailing_counts
-from vigilog.rules.compiler import aggregation_of
+from vigilog.rules.compiler import FIELD_MAP, SERVER, counting_of
 from vigilog.rules.pack import Rule
 
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -25,72 +25,63 @@ def timeframe_seconds(timeframe: str) -> int:
     return int(number) * UNIT_SECONDS[unit]
 
 
-def counted_matches(
-    logs: DataFrame, rules: Sequence[Rule], timeframe: str | None = None
-) -> tuple[DataFrame, list[tuple[Rule, int]]]:
-    """Matches of counting rules with their group value and window, and the limits."""
-    specs = [(r, aggregation_of(r)) for r in rules if r.enabled and aggregation_of(r)]
-    active = [r for r, _ in specs]
-    view = detect._with_host(detect.parsed_view(logs))
-    found = detect.matched_rules(view, active, "intent")
-    hits = found.select("*", F.explode_outer("_hits").alias("_rule")).where(
-        F.col("_rule").isNotNull()
-    )
-    groups = F.expr(
-        f"array({', '.join(detect.field_sql(r.log_source, f, 'intent') for r, (_, f, _) in specs)})"
-    )
-    widths = F.array(
-        *[F.lit(timeframe_seconds(timeframe or frame)) for _, (frame, _, _) in specs]
-    )
-    width = F.get(widths, F.col("_rule"))
-    start = F.floor(F.unix_seconds("recv_time") / width) * width
-    rows = hits.select(
-        "_rule",
-        F.get(groups, F.col("_rule")).alias("source"),
-        F.timestamp_seconds(start).alias("window_start"),
-        "recv_time",
-    )
-    return rows, [(r, limit) for r, (_, _, limit) in specs]
+ALERT_GROUPS = (
+    "rule_id string, severity string, source string, window_start timestamp, matches bigint"
+)
 
 
 def threshold_alerts(
     logs: DataFrame,
     rules: Sequence[Rule],
     timeframe: str | None = None,
-    limit: int | None = None,
+    least: int | None = None,
 ) -> DataFrame:
-    """Groups of matches above a counting rule's limit, per rule, source and window.
+    """Groups of matches that reach a counting rule's limit, per rule, source and window.
 
-    All counting rules are decided in one pass and one partial aggregation.
-    ``timeframe`` and ``limit`` replace the values written in the rules.
+    All counting rules are decided in one pass. Rows are first counted for each counted
+    value, then the values for each group, so a busy source is small when it is grouped.
+    ``timeframe`` and ``least`` replace the values written in the rules. Without a
+    counting rule there are no rows.
     """
-    rows, specs = counted_matches(logs, rules, timeframe)
-    counts = rows.groupBy("_rule", "source", "window_start").agg(F.count("*").alias("matches"))
-    limits = F.array(*[F.lit(n if limit is None else limit) for _, n in specs])
-    ids = F.array(*[F.lit(r.id) for r, _ in specs])
-    levels = F.array(*[F.lit(r.level) for r, _ in specs])
-    return counts.where(F.col("matches") > F.get(limits, F.col("_rule"))).select(
-        F.get(ids, F.col("_rule")).alias("rule_id"),
-        F.get(levels, F.col("_rule")).alias("severity"),
-        "source", "window_start", "matches",
-    )
-
-
-def count_rule(rows: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:
-    """Groups of at least ``at_least`` rows."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("matches"))
-    return counts.where(F.col("matches") >= at_least)
-
-
-def distinct_count_rule(rows: DataFrame, key: str, value: str, at_least: int) -> DataFrame:
-    """Keys seen with at least ``at_least`` different values."""
-    counts = rows.groupBy(key).agg(F.countDistinct(value).alias("distinct_values"))
-    return counts.where(F.col("distinct_values") >= at_least)
+    counting = [(r, c) for r in rules if r.enabled and r.log_source in FIELD_MAP and (c := counting_of(r))]
+    if not counting:
+        return logs.sparkSession.createDataFrame([], ALERT_GROUPS)
+    active = [r for r, _ in counting]
+    view = detect._with_host(detect.parsed_view(logs))
+    found = detect.matched_rules(view, active, "intent")
+    hits = found.select("*", F.explode_outer("_hits").alias("_rule")).where(F.col("_rule").isNotNull())
 
+    def field(rule: Rule, name: str | None) -> str:
+        if name is None or name == SERVER:
+            return "CAST(server_id AS STRING)"
+        return detect.field_sql(rule.log_source, name, "intent")
 
-def duplicate_key_rule(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys that should have one value but have more, such as an address in use twice."""
-    return distinct_count_rule(rows.where(F.col(key).isNotNull()), key, value, 2)
+    groups = F.expr(f"array({', '.join(field(r, c.group) for r, c in counting)})")
+    values = F.expr(
+        f"array({', '.join(field(r, c.distinct) if c.distinct else 'CAST(NULL AS STRING)' for r, c in counting)})"
+    )
+    of_rule = F.col("_rule")
+    width = F.get(F.array(*[F.lit(timeframe_seconds(timeframe or c.timeframe)) for _, c in counting]), of_rule)
+    start = F.floor(F.unix_seconds("recv_time") / width) * width
+    by_value = hits.select(
+        "_rule",
+        F.get(groups, of_rule).alias("source"),
+        F.get(values, of_rule).alias("value"),
+        F.timestamp_seconds(start).alias("window_start"),
+    ).where("source IS NOT NULL").groupBy("_rule", "source", "window_start", "value").agg(F.count("*").alias("n"))
+    distinct = F.get(F.array(*[F.lit(c.distinct is not None) for _, c in counting]), of_rule)
+    sums = by_value.groupBy("_rule", "source", "window_start").agg(
+        F.sum("n").alias("n"), F.count("value").alias("different")
+    )
+    matches = F.when(distinct, F.col("different")).otherwise(F.col("n"))
+    limits = F.array(*[F.lit(c.least if least is None else least).cast("long") for _, c in counting])
+    ids = F.array(*[F.lit(r.id) for r in active])
+    levels = F.array(*[F.lit(r.level) for r in active])
+    return sums.withColumn("matches", matches).where(F.col("matches") >= F.get(limits, of_rule)).select(
+        F.get(ids, of_rule).alias("rule_id"),
+        F.get(levels, of_rule).alias("severity"),
+        "source", "window_start", "matches",
+    )
 
 
 def failed_password_lines(logs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from vigilog.rules.compiler import (
     FIELD_MAP,
     Fields,
     RuleCompiler,
-    aggregation_of,
+    counting_of,
     fields_of,
     quoted,
 )
@@ -134,7 +134,7 @@ def row_rules(rules: Sequence[Rule], mode: str) -> list[Rule]:
         r
         for r in rules
         if r.enabled and r.log_source in FIELD_MAP
-        and (mode == "compat" or aggregation_of(r) is None)
+        and (mode == "compat" or counting_of(r) is None)
     ]
 
 

@@ -33,6 +33,11 @@ def page(df: DataFrame, time: str, limit: int | None, offset: int = 0) -> DataFr
     return ordered if limit is None else ordered.limit(limit)
 
 
+def newest_first(df: DataFrame, time: str, key: str = "id") -> DataFrame:
+    """The order of ``page`` again, for rows of a page that were joined since."""
+    return df.orderBy(F.desc(time), F.desc(key))
+
+
 def _server_names(servers: DataFrame) -> DataFrame:
     return servers.select(F.col("id").alias("server_id"), "hostname", "ip_address")
 
@@ -57,9 +62,8 @@ def recent_logs(
         found = since(found, "recv_time", start_time)
     if end_time is not None:
         found = found.where(F.col("recv_time") <= end_time)
-    return page(found, "recv_time", limit, offset).join(
-        _server_names(servers), "server_id", "left"
-    )
+    rows = page(found, "recv_time", limit, offset)
+    return newest_first(rows.join(_server_names(servers), "server_id", "left"), "recv_time")
 
 
 def search_logs(
@@ -80,9 +84,8 @@ def search_logs(
     if hostname is not None:
         named = servers.where(F.col("hostname") == hostname)
         found = found.join(named.select(F.col("id").alias("server_id")), "server_id", "left_semi")
-    return page(found, "recv_time", limit, offset).join(
-        _server_names(servers), "server_id", "left"
-    )
+    rows = page(found, "recv_time", limit, offset)
+    return newest_first(rows.join(_server_names(servers), "server_id", "left"), "recv_time")
 
 
 def search_servers(
@@ -163,7 +166,7 @@ def incremental_fetch(
     """Logs after a checkpoint id, in id order, with their server."""
     ordered = logs.where(F.col("id") > last_id).orderBy("id")
     batch = ordered if limit is None else ordered.limit(limit)
-    return batch.join(_server_names(servers), "server_id", "left")
+    return batch.join(_server_names(servers), "server_id", "left").orderBy("id")
 
 
 def log_detail(
@@ -287,7 +290,8 @@ def alert_report(
         F.col("id").alias("log_entry_id"), F.substring("content", 1, 60).alias("preview")
     )
     joined = top.join(log, "log_entry_id").join(_server_names(servers), "server_id", "left")
-    return joined.withColumn("hostname", F.coalesce("hostname", F.lit("Unknown")))
+    named = joined.withColumn("hostname", F.coalesce("hostname", F.lit("Unknown")))
+    return newest_first(named, "triggered_at", "alert_id")
 
 
 def log_previews(rows: DataFrame, text: str, length: int) -> DataFrame:

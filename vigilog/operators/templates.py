@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.session import cut_lineage
+
 WILDCARD = "<*>"
 # Tokens that must agree for two messages to share a template.
 SIMILARITY = 0.4
@@ -13,8 +15,6 @@ MASKS = [
     (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
     (r"\b\d+\b", "<NUM>"),
 ]
-# Copies of a count row, so that a very frequent key is joined in several tasks.
-SALTS = 16
 
 
 def mask_variables(message: Column) -> Column:
@@ -42,8 +42,8 @@ def _position_hash(seed: int):
     return lambda token, i: F.xxhash64(F.lit(seed), token, i)
 
 
-def merge_templates(templates: DataFrame, rounds: int = 2) -> DataFrame:
-    """Merge templates that differ in one token, ``rounds`` times over.
+def merge_templates(templates: DataFrame) -> DataFrame:
+    """Merge templates that differ in one token, over and over until none does.
 
     Each template offers itself once per token position with that token replaced by
     a wildcard, and takes the replacement shared with most other templates. The
@@ -52,12 +52,22 @@ def merge_templates(templates: DataFrame, rounds: int = 2) -> DataFrame:
     rows, and templates meet by hash only: no pairs are formed and no group of
     templates is brought together.
     """
-    merged = templates.select("template", "size")
-    for _ in range(rounds):
-        merged = _merge_once(merged)
+    spark = templates.sparkSession
+    merged = cut_lineage(spark, templates.select("template", "size"), "templates")
+    now = _state(merged)
+    while True:
+        # Each round is written, so that the next does not repeat the ones before.
+        merged = cut_lineage(spark, _merge_once(merged), "templates")
+        before, now = now, _state(merged)
+        if now == before:
+            break
     return merged.select(F.size(F.split("template", " ")).alias("tokens"), "template", "size")
 
 
+def _state(templates: DataFrame) -> tuple:
+    return tuple(templates.agg(F.count("*"), F.bit_xor(template_key(F.col("template")))).first())
+
+
 def _merge_once(templates: DataFrame) -> DataFrame:
     tokens = F.split("template", " ")
     hashed = templates.select(
@@ -84,10 +94,8 @@ def _merge_once(templates: DataFrame) -> DataFrame:
     shared = offers.groupBy("k1", "k2").agg(F.count("*").alias("sharing")).where(
         F.col("sharing") > 1
     )
-    copies = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = offers.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
     best = F.max_by("position", F.struct("sharing", -F.col("position")))
-    chosen = salted.join(copies, ["k1", "k2", "salt"]).groupBy("t1", "t2").agg(
+    chosen = offers.join(shared, ["k1", "k2"]).groupBy("t1", "t2").agg(
         best.alias("position")
     )
     joined = hashed.select("template", "size", "tokens", "t1", "t2").join(

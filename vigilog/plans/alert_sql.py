@@ -19,7 +19,7 @@ LINUX_RULES = {
         "AND NOT contains(m, 'cron.daily')",
     "lin-session-any": "contains(m, 'started session') OR p = 'login'",
     "lin-tmp-exec":
-        "contains(raw, 'pwd=/tmp') OR contains(raw, 'pwd=/dev/shm') "
+        "contains(raw, 'pwd=/srv/jobs') OR contains(raw, 'pwd=/dev/shm') "
         "OR contains(raw, 'pwd=/var/tmp') OR contains(raw, '(deleted)') OR contains(raw, '/tmp/.') "
         "OR contains(raw, '/dev/shm/.') OR contains(raw, 'ld_preload=') "
         "OR contains(raw, 'base64 -d') OR contains(raw, 'mkfifo') OR contains(raw, 'nc -e')",
@@ -44,12 +44,8 @@ WINDOWS_RULES = {
         "OR contains(c, 'hidden') OR contains(c, 'certutil') OR contains(c, 'bitsadmin') "
         "OR contains(c, 'mshta'))",
     "win-shadow-delete": "regexp_matches(c, '^.*vssadmin.*delete.*shadows.*$')",
-    "win-office-child":
-        "b IN ('cmd.exe', 'powershell.exe', 'wscript.exe') "
-        "AND pb IN ('winword.exe', 'excel.exe', 'outlook.exe')",
-    "win-svchost-parent":
-        "b IN ('svchost.exe', 'lsass.exe') "
-        "AND pb NOT IN ('wininit.exe', 'services.exe', 'smss.exe')",
+    "win-console-start": "b = 'cmd.exe' AND starts_with(pb, 'win')",
+    "win-host-in-temp": r"b IN ('svchost.exe', 'csrss.exe') AND contains(n, '\temp\')",
     "win-temp-image":
         r"(contains(n, '\temp\') OR contains(n, '\appdata\local\') OR contains(n, '\downloads\')) "
         "AND ends_with(n, '.exe')",
@@ -60,29 +56,20 @@ WINDOWS_RULES = {
 
 # r: request, p: path, a: agent, s: status, f: referer, z: bytes, v: method.
 NGINX_RULES = {
-    "web-script-tag":
-        "contains(r, '<script') OR contains(r, '%3cscript') OR contains(r, 'javascript:') "
-        "OR contains(r, 'onerror=') OR contains(r, 'onload=') OR contains(r, 'alert(') "
-        "OR contains(r, 'document.cookie') OR contains(r, 'eval(') OR contains(r, '<iframe') "
-        "OR contains(r, '<svg')",
+    "web-markup-query":
+        "contains(r, '<object') OR contains(r, '%3cobject') OR contains(r, '<embed') "
+        "OR contains(r, 'vbscript:') OR contains(r, 'srcdoc=') OR contains(r, 'onpointerover=') "
+        "OR contains(r, '<marquee') OR contains(r, '<math') OR contains(r, 'formaction=')",
     "web-path-climb":
         "contains(p, '../') OR contains(p, '..%2f') OR contains(p, '/etc/passwd') "
         "OR contains(p, 'win.ini')",
     "web-sql-injection":
         "contains(r, ''' or ''') OR contains(r, 'union select') OR contains(r, 'sleep(') "
         "OR contains(r, 'information_schema') OR contains(r, 'drop table')",
-    "web-scanner-agent":
-        "contains(a, 'sqlmap') OR contains(a, 'nikto') OR contains(a, 'nmap') "
-        "OR contains(a, 'masscan') OR contains(a, 'dirbuster')",
-    "web-auth-denied":
-        "(contains(r, 'admin') OR contains(r, 'login') OR contains(r, 'auth')) "
-        "AND s IN (401, 403) AND NOT contains(r, 'logout')",
-    "web-auth-passed":
-        "(contains(r, 'admin') OR contains(r, 'login') OR contains(r, 'auth')) "
-        "AND s IN (200, 302) AND NOT contains(r, 'logout')",
-    "web-no-referer":
-        "(contains(r, 'post') OR contains(r, 'put') OR contains(r, 'delete')) "
-        "AND (f IS NULL OR f IN ('', '-'))",
+    "web-probe-agent": "regexp_matches(a, '^(sqlmap|wfuzz)/[0-9.]+')",
+    "web-login-refused": "ends_with(p, '/login') AND s IN (401, 403) AND v <> 'put'",
+    "web-lookup-redirect": "contains(p, '/lookup') AND s = 302",
+    "web-blind-write": "v IN ('put', 'patch') AND (f IS NULL OR f IN ('', '-'))",
     "web-large-reply": "z >= 10000",
     "web-server-error": "starts_with(CAST(s AS VARCHAR), '5')",
     "web-admin-method": "v = 'put' AND starts_with(p, '/admin/')",

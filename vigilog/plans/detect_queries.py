@@ -281,55 +281,91 @@ def dedupe_alerts(t: Tables):
     return detect.dedupe_alerts(found.unionByName(again), stored)
 
 
-# The data is thin: at most a few requests per address and day.
-API_ABUSE = """
-SELECT 'web-api-abuse' AS rule_id, 'medium' AS severity, remote_addr AS source,
-  recv_time, log_entry_id FROM nginx_low JOIN nginx_d USING (log_entry_id)
-  JOIN log_entry l ON l.id = log_entry_id
-  WHERE contains(r, '/api/') OR contains(r, '/v1/') OR contains(r, '/admin/')
-UNION ALL SELECT 'web-flood', 'medium', remote_addr, recv_time, log_entry_id
-FROM nginx_d JOIN log_entry l ON l.id = log_entry_id"""
+DAY = f"{sql_time("date_trunc('day', l.recv_time)")} AS window_start"
+#: Matching rows of the packaged counting rules: rule, severity, group, counted value, log.
+COUNTED = """
+SELECT 'web-item-rush' AS rule_id, 'medium' AS severity, remote_addr AS source,
+  NULL AS value, log_entry_id FROM nginx_low JOIN nginx_d USING (log_entry_id)
+  WHERE starts_with(p, '/api/items') OR starts_with(p, '/lookup')
+UNION ALL SELECT 'web-flood', 'medium', remote_addr, NULL, log_entry_id FROM nginx_d
+UNION ALL SELECT 'web-heavy-client', 'high', remote_addr, NULL, log_entry_id
+  FROM nginx_low JOIN nginx_d USING (log_entry_id) WHERE starts_with(p, '/api') AND z >= 5000
+UNION ALL SELECT 'lin-sshd-volume', 'low', CAST(server_id AS VARCHAR), NULL, log_entry_id
+  FROM linux_d JOIN log_entry l ON l.id = log_entry_id WHERE lower(app_name) = 'sshd'
+UNION ALL SELECT 'lin-user-spread', 'low', ssh_user, CAST(server_id AS VARCHAR), log_entry_id
+  FROM linux_d JOIN log_entry l ON l.id = log_entry_id WHERE ssh_user IS NOT NULL
+UNION ALL SELECT 'web-agent-mix', 'low', CAST(server_id AS VARCHAR), http_user_agent, log_entry_id
+  FROM nginx_low JOIN nginx_d USING (log_entry_id) JOIN log_entry l ON l.id = log_entry_id
+  WHERE contains(p, '/')"""
 
 
+# The data is thin: at most a few requests per address and day.
 @query(
     "threshold_rule",
     sql=f"""
-SELECT rule_id, severity, source, {sql_time("date_trunc('day', recv_time)")} AS window_start,
-  count(*) AS matches FROM ({API_ABUSE}) GROUP BY ALL HAVING count(*) > 2""",
+SELECT rule_id, severity, source, window_start,
+  CASE WHEN rule_id IN ('lin-user-spread', 'web-agent-mix') THEN d ELSE n END AS matches
+FROM (SELECT rule_id, severity, c.source, {DAY}, count(*) AS n, count(DISTINCT value) AS d
+  FROM ({COUNTED}) c JOIN log_entry l ON l.id = c.log_entry_id GROUP BY ALL) WHERE matches >= 3""",
 )
 def threshold_rule(t: Tables):
-    return correlate.threshold_alerts(t.logs, t.rules, timeframe="1d", limit=2)
+    return correlate.threshold_alerts(t.logs, t.rules, timeframe="1d", least=3)
+
+
+def counting_rule(source: str, selection: dict, frame: str = "1d", **aggregation) -> Rule:
+    """A rule that counts by its own window and limit."""
+    block = {"aggregation": {"timeframe": frame, **aggregation}} if aggregation else {}
+    named = "selection and aggregation" if aggregation else "selection"
+    return one_rule(source, selection, named, **block)
+
+
+# The window and the limit are the rule's own.
+@query(
+    "threshold_rule_own_limits",
+    sql=f"""
+SELECT 'one' AS rule_id, 'medium' AS severity, remote_addr AS source, {DAY}, count(*) AS matches
+FROM nginx_d JOIN log_entry l ON l.id = log_entry_id
+WHERE request_method = 'GET' GROUP BY ALL HAVING count(*) >= 2""",
+)
+def threshold_rule_own_limits(t: Tables):
+    rule = counting_rule("nginx", {"RequestMethod": "GET"}, **{"SourceIp|count": ">=2"})
+    return correlate.threshold_alerts(t.logs, [rule])
 
 
 @query(
     "count_rule",
-    sql="""
-SELECT orig_h, resp_p, count(*) AS matches FROM conn_d GROUP BY orig_h, resp_p
-HAVING count(*) >= 20""",
+    sql=f"""
+SELECT 'one' AS rule_id, 'medium' AS severity, CAST(server_id AS VARCHAR) AS source, {DAY},
+  count(*) AS matches FROM linux_d JOIN log_entry l ON l.id = log_entry_id
+WHERE app_name = 'sshd' GROUP BY ALL HAVING count(*) >= 2""",
 )
 def count_rule(t: Tables):
-    return correlate.count_rule(t.conns, ["orig_h", "resp_p"], 20)
+    rule = counting_rule("linux", {"ProcessName": "sshd", "count|gte": 2})
+    return correlate.threshold_alerts(t.logs, [rule], timeframe="1d")
 
 
 @query(
     "distinct_count_rule",
-    sql="""
-SELECT resp_h, count(DISTINCT orig_h) AS distinct_values FROM conn_d WHERE resp_p = 443
-GROUP BY resp_h HAVING count(DISTINCT orig_h) >= 2""",
+    sql=f"""
+SELECT 'one' AS rule_id, 'medium' AS severity, CAST(server_id AS VARCHAR) AS source, {DAY},
+  count(DISTINCT request_uri) AS matches FROM nginx_d JOIN log_entry l ON l.id = log_entry_id
+WHERE contains(http_user_agent, 'Mozilla') GROUP BY ALL HAVING count(DISTINCT request_uri) >= 2""",
 )
 def distinct_count_rule(t: Tables):
-    https = t.conns.where(F.col("resp_p") == 443)
-    return correlate.distinct_count_rule(https, "resp_h", "orig_h", 2)
+    rule = counting_rule("nginx", {"UserAgent|contains": "mozilla", "Url|count|gte": 2})
+    return correlate.threshold_alerts(t.logs, [rule], timeframe="1d")
 
 
 @query(
     "duplicate_key_rule",
-    sql="""
-SELECT ssh_user, count(DISTINCT ssh_ip) AS distinct_values FROM linux_d
-WHERE ssh_user IS NOT NULL GROUP BY ssh_user HAVING count(DISTINCT ssh_ip) > 1""",
+    sql=f"""
+SELECT 'one' AS rule_id, 'medium' AS severity, ssh_user AS source, {DAY},
+  count(DISTINCT server_id) AS matches FROM linux_d JOIN log_entry l ON l.id = log_entry_id
+WHERE ssh_user IS NOT NULL GROUP BY ALL HAVING count(DISTINCT server_id) >= 2""",
 )
 def duplicate_key_rule(t: Tables):
-    return correlate.duplicate_key_rule(t.linux, "ssh_user", "ssh_ip")
+    rule = counting_rule("linux", {"ssh_user|duplicate": True})
+    return correlate.threshold_alerts(t.logs, [rule], timeframe="1d")
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vigilog.operators import detect, ingest
 from vigilog.rules.pack import packaged_rules
-from vigilog.session import prepare, spread
+from vigilog.session import prepare
 
 SOURCES = ["linux", "windows", "nginx", "zeek_conn"]
 PAGE_TIME = "15/Jan/2024:10:23:45 +0000"
@@ -44,15 +44,15 @@ def linux_line() -> Column:
         {
             "error": _text(
                 "Failed password for invalid user ", user, " from ",
-                F.col("ip_address"), " port 22 ssh2",
+                F.col("ip_address"), " port 50022 ssh2",
             ),
             "signup": _text(
-                "Accepted publickey for ", user, " from ", F.col("ip_address"), " port 22 ssh2"
+                "Accepted publickey for ", user, " from ", F.col("ip_address"), " port 50022 ssh2"
             ),
             "click": "(root) CMD (run-parts /etc/cron.hourly)",
             "view": "Started session",
         },
-        "attacker : TTY=pts/0 ; PWD=/tmp ; USER=root ; COMMAND=/bin/bash",
+        "oper7 : TTY=pts/4 ; PWD=/srv/jobs ; USER=root ; COMMAND=/bin/zsh",
     )
     when = F.date_format("recv_time", "MMM dd HH:mm:ss")
     pid = 1000 + F.col("id") % 9000
@@ -64,7 +64,7 @@ def nginx_line() -> Column:
     uri = _by_type(
         {
             "click": "/api/items",
-            "view": "/search?q=<script>alert(1)</script>",
+            "view": "/lookup?term=<object>",
             "purchase": "/login",
             "signup": "/admin/login",
         },
@@ -161,7 +161,7 @@ class Tables:
 
     @cached_property
     def logs(self) -> DataFrame:
-        events = spread(self.read("events")).select(
+        events = self.read("events").select(
             F.col("event_id").alias("id"),
             F.col("user_id").alias("server_id"),
             F.col("ts").cast("timestamp").alias("recv_time"),
@@ -192,7 +192,7 @@ class Tables:
             F.col("ip_address").alias("src_ip"),
             F.col("content").alias("line"),
         )
-        pages = spread(self.read("pages")).select(
+        pages = self.read("pages").select(
             _text("p", F.col("page_id")).alias("line_id"),
             file_time.alias("recv_time"),
             F.lit("file_upload").alias("src_ip"),
@@ -203,7 +203,7 @@ class Tables:
                 " HTTP/1.1\" 200 ", F.length("html"), " \"", F.col("url"), "\" \"Mozilla/5.0\"",
             ).alias("line"),
         )
-        documents = spread(self.read("documents")).select(
+        documents = self.read("documents").select(
             "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")
         ).select(
             _text("d", F.col("doc_id"), "-", F.col("n")).alias("line_id"),
@@ -290,12 +290,12 @@ SELECT e.event_id AS id, e.user_id AS server_id, e.ts AS recv_time, s.server_typ
      WHEN 'view' THEN 'systemd' ELSE 'sudo' END || '[' || (1000 + e.event_id % 9000) || ']: ' ||
    CASE e.event_type
      WHEN 'error' THEN 'Failed password for invalid user u' || (e.user_id % 7) || ' from '
-       || s.ip_address || ' port 22 ssh2'
+       || s.ip_address || ' port 50022 ssh2'
      WHEN 'signup' THEN 'Accepted publickey for u' || (e.user_id % 7) || ' from '
-       || s.ip_address || ' port 22 ssh2'
+       || s.ip_address || ' port 50022 ssh2'
      WHEN 'click' THEN '(root) CMD (run-parts /etc/cron.hourly)'
      WHEN 'view' THEN 'Started session'
-     ELSE 'attacker : TTY=pts/0 ; PWD=/tmp ; USER=root ; COMMAND=/bin/bash' END
+     ELSE 'oper7 : TTY=pts/4 ; PWD=/srv/jobs ; USER=root ; COMMAND=/bin/zsh' END
  WHEN 'windows' THEN '{{"timestamp":"' || strftime(e.ts, '%Y-%m-%d %H:%M:%S')
    || '","hostname":"' || s.hostname || '","channel":"Security","event_id":'
    || CASE e.event_type WHEN 'error' THEN '4625' WHEN 'signup' THEN '4624' ELSE '4688' END
@@ -318,7 +318,7 @@ SELECT e.event_id AS id, e.user_id AS server_id, e.ts AS recv_time, s.server_typ
  WHEN 'nginx' THEN s.ip_address || ' - - [' || strftime(e.ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "'
    || CASE e.event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' ELSE 'GET' END || ' '
    || CASE e.event_type WHEN 'click' THEN '/api/items'
-       WHEN 'view' THEN '/search?q=<script>alert(1)</script>' WHEN 'purchase' THEN '/login'
+       WHEN 'view' THEN '/lookup?term=<object>' WHEN 'purchase' THEN '/login'
        WHEN 'signup' THEN '/admin/login' ELSE '/../../etc/passwd' END || ' HTTP/1.1" '
    || CASE e.event_type WHEN 'click' THEN '200' WHEN 'view' THEN '302' WHEN 'purchase' THEN '401'
        WHEN 'signup' THEN '403' ELSE '500' END

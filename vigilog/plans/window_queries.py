@@ -66,23 +66,36 @@ def mine_templates(t: Tables):
     return templates.masked_templates(t.linux, "raw_message")
 
 
+def _merge_round(i: int) -> str:
+    """One round of merging, from view ``g<i>`` of (template, size) to the next."""
+    return f"""
+k{i} AS (SELECT *, string_split(template, ' ') AS tk FROM g{i}),
+o{i} AS (SELECT template, p, array_to_string(tk[1:p-1] || ['<*>'] || tk[p+1:], ' ') AS k
+  FROM (SELECT *, unnest(generate_series(2, len(tk))) AS p FROM k{i}
+        WHERE len(list_filter(tk, lambda x: x = '<*>')) + 1 <= floor(len(tk) * 0.6))
+  WHERE NOT starts_with(tk[p], '<')),
+c{i} AS (SELECT k, count(*) AS sharing FROM o{i} GROUP BY k HAVING count(*) > 1),
+b{i} AS (SELECT o{i}.template, o{i}.k FROM o{i} JOIN c{i} USING (k)
+  QUALIFY row_number() OVER (PARTITION BY o{i}.template ORDER BY c{i}.sharing DESC, o{i}.p) = 1),
+g{i + 1} AS (SELECT coalesce(b{i}.k, k{i}.template) AS template, sum(k{i}.size) AS size
+  FROM k{i} LEFT JOIN b{i} USING (template) GROUP BY 1)"""
+
+
+# More rounds than these messages need; a round that changes nothing is harmless.
+SQL_ROUNDS = 4
+
+
 @query(
     "merge_templates",
     sql=f"""
-WITH g AS (SELECT template, string_split(template, ' ') AS tk, count(*) AS size
+WITH g0 AS (SELECT template, count(*) AS size
   FROM (SELECT {MASK_SQL} AS template FROM linux_d) GROUP BY template),
-o AS (SELECT template, p, array_to_string(tk[1:p-1] || ['<*>'] || tk[p+1:], ' ') AS k
-  FROM (SELECT *, unnest(generate_series(2, len(tk))) AS p FROM g
-        WHERE 1 <= floor(len(tk) * 0.6)) WHERE NOT starts_with(tk[p], '<')),
-c AS (SELECT k, count(*) AS sharing FROM o GROUP BY k HAVING count(*) > 1),
-b AS (SELECT o.template, o.k FROM o JOIN c USING (k)
-  QUALIFY row_number() OVER (PARTITION BY o.template ORDER BY c.sharing DESC, o.p) = 1)
-SELECT CAST(max(len(g.tk)) AS INTEGER) AS tokens, coalesce(b.k, g.template) AS template,
-  CAST(sum(g.size) AS BIGINT) AS size
-FROM g LEFT JOIN b USING (template) GROUP BY 2""",
+{", ".join(_merge_round(i) for i in range(SQL_ROUNDS))}
+SELECT CAST(len(string_split(template, ' ')) AS INTEGER) AS tokens, template,
+  CAST(size AS BIGINT) AS size FROM g{SQL_ROUNDS}""",
 )
 def merge_templates(t: Tables):
-    return templates.merge_templates(templates.masked_templates(t.linux, "raw_message"), rounds=1)
+    return templates.merge_templates(templates.masked_templates(t.linux, "raw_message"))
 
 
 @query("hash_features")

@@ -14,8 +14,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 from vigilog.rules.pack import Rule
 
 # Rule field names and the log fields they read.
@@ -49,9 +53,7 @@ FIELD_MAP = {
 EMPTY_VALUES = ["", "-"]
 TEXT_MODIFIERS = ("contains", "startswith", "endswith")
 AGGREGATE_MODIFIERS = {"count", "count|gte", "duplicate"}
-# Longer "contains" lists become one alternation.
-ALTERNATION_SIZE = 8
-
+DEFAULT_TIMEFRAME = "1m"
 
 FALSE = "false"
 
@@ -87,7 +89,7 @@ def all_of(conditions: Iterable[str]) -> str:
 
 
 def safe_regex(pattern: str) -> str | None:
-    """The pattern in Java's spelling, or null when it is not a valid pattern.
+    """The pattern in Java's spelling, or null when one of both languages has no such pattern.
 
     Rule patterns follow Python's syntax. Java differs in a brace that repeats
     nothing, in brackets and ``&&`` inside a character class, and in named groups.
@@ -96,6 +98,20 @@ def safe_regex(pattern: str) -> str | None:
         re.compile(pattern)
     except re.error:
         return None
+    spelled = _java_spelling(pattern)
+    return spelled if _java_accepts(spelled) else None
+
+
+@lru_cache(maxsize=10_000)
+def _java_accepts(pattern: str) -> bool:
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:  # a PatternSyntaxException is one
+        return False
+    return True
+
+
+def _java_spelling(pattern: str) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
@@ -121,7 +137,8 @@ def safe_regex(pattern: str) -> str | None:
             c = "\\{"
         out.append(c)
         i += 1
-    return "".join(out).replace("(?P<", "(?<")
+    named = "".join(out).replace("(?P<", "(?<")
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", named)
 
 
 # Escapes whose meaning differs between the two pattern languages.
@@ -144,11 +161,7 @@ class Fields:
 
 
 def match_contains(text: str, values: list[str]) -> str:
-    lowered = [v.lower() for v in values]
-    if len(lowered) > ALTERNATION_SIZE:
-        pattern = "|".join(re.escape(v) for v in lowered)
-        return f"{text} RLIKE {quoted(pattern)}"
-    return any_of(f"contains({text}, {quoted(v)})" for v in lowered)
+    return any_of(f"contains({text}, {quoted(v.lower())})" for v in values)
 
 
 def match_regex(text: str, value: str) -> str:
@@ -169,6 +182,16 @@ def match_list(text: str, values: list[str]) -> str:
     return f"{text} IN ({', '.join(quoted(v) for v in values)})"
 
 
+def match_gte(text: str, values: list[str]) -> str:
+    """At least one of the limits is reached; a limit that is no number never is."""
+    limits = [n for n in map(number, values) if n is not None]
+    return any_of(f"try_cast({text} AS DOUBLE) >= {n}D" for n in limits)
+
+
+def number(text: str) -> float | None:
+    return float(text) if re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)\s*", text) else None
+
+
 def known(condition: str) -> str:
     """The condition with unknown taken as false."""
     return condition if condition in (FALSE, "true") else f"coalesce({condition}, false)"
@@ -246,6 +269,9 @@ class RuleCompiler:
 
     def _field(self, key: str, value: Any) -> str:
         name, modifier = split_key(key)
+        if counts(key) and not self.compat:
+            # Decided over groups of rows, see operators.correlate.
+            return "true"
         field = log_field(self.rule.log_source, name)
         values = values_of(value)
         if self.compat:
@@ -279,28 +305,76 @@ class RuleCompiler:
         if modifier == "not_in":
             return f"({own} IS NOT NULL AND NOT {match_list(own, lowered)})"
         if modifier == "gte":
-            return f"try_cast({own} AS DOUBLE) >= {float(values[0])}D"
+            return match_gte(own, values)
         if modifier == "empty":
             empty = f"({own} IS NULL OR {match_list(own, EMPTY_VALUES)})"
             return empty if lowered[0] == "true" else f"NOT {empty}"
-        if modifier in AGGREGATE_MODIFIERS:
-            return "true"
         return any_of(match_plain(own, v) for v in values)
 
 
-def aggregation_of(rule: Rule) -> tuple[str, str, int] | None:
-    """(timeframe, counted field, limit) of a rule that counts rows, if it does."""
-    block = rule.detection.get("aggregation")
-    if not isinstance(block, dict):
-        return None
-    for key, value in block.items():
-        name, modifier = split_key(key)
-        if modifier == "count":
-            limit = int(re.sub(r"\D", "", str(value)))
-            return block.get("timeframe", "1m"), log_field(rule.log_source, name), limit
+def counts(key: str) -> bool:
+    """Whether a block's key counts rows instead of testing one."""
+    name, modifier = split_key(key)
+    return modifier in AGGREGATE_MODIFIERS or (name == "count" and modifier == "gte")
+
+
+@dataclass(frozen=True)
+class Counting:
+    """What a counting rule counts in each group and window of its matching rows.
+
+    ``field`` names the group; without one rows are grouped by their server. With
+    ``distinct`` the different values of that field are counted instead of rows.
+    The rule fires at ``least`` or more.
+    """
+
+    timeframe: str
+    group: str | None
+    distinct: str | None
+    least: int
+
+
+def counting_of(rule: Rule) -> Counting | None:
+    """The count a rule asks for, if it asks for one.
+
+    Three spellings: ``field|count: '>n'`` (or ``>=n``) counts rows for each value of the
+    field, ``count|gte: n`` rows for each server, ``field|count|gte: n`` different values
+    for each server; ``field|duplicate`` asks for a value that two servers share. A limit
+    that is no number is never reached.
+    """
+    for name, block in rule.detection.items():
+        for part in block if isinstance(block, list) else [block]:
+            if not isinstance(part, dict):
+                continue
+            frame = str(part.get("timeframe", DEFAULT_TIMEFRAME)) if name == "aggregation" else DEFAULT_TIMEFRAME
+            for key, value in part.items():
+                if counts(key):
+                    return _counting(rule, key, values_of(value)[0], frame)
     return None
 
 
+NEVER = 2**63 - 1
+
+
+def _counting(rule: Rule, key: str, limit: str, frame: str) -> Counting:
+    name, modifier = split_key(key)
+    field = log_field(rule.log_source, name)
+    if modifier == "duplicate":
+        return Counting(frame, field, SERVER, 2 if limit.lower() == "true" else NEVER)
+    sign, digits = re.fullmatch(r"\s*(>=|>|)\s*(\d*)\s*", limit).groups() if _is_limit(limit) else ("", "")
+    least = NEVER if not digits else int(digits) + (sign == ">")
+    if modifier == "count":
+        return Counting(frame, field, None, least if sign else least + (least != NEVER))
+    return Counting(frame, None, None if name == "count" else field, least)
+
+
+def _is_limit(text: str) -> bool:
+    return re.fullmatch(r"\s*(>=|>|)\s*\d+\s*", text) is not None
+
+
+#: Stands for the server of a row where a field's name is meant.
+SERVER = "server"
+
+
 def fields_of(rules: Iterable[Rule]) -> list[str]:
     """Log fields the blocks of ``rules`` read, in a stable order."""
     names: dict[str, None] = {}

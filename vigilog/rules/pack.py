@@ -29,9 +29,6 @@ RULE_SCHEMA = T.StructType(
     ]
 )
 
-# Rules become expressions of one query plan, so their number is checked.
-MAX_RULES = 5000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -144,11 +141,11 @@ def packaged_rules() -> list[Rule]:
 
 
 def collect_rules(table: DataFrame) -> list[Rule]:
-    """Rules of a rule table, for compilation on the driver; their number is bounded."""
-    rows = table.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table may hold at most {MAX_RULES} rules")
-    return [rule_from_row(row.asDict(recursive=True)) for row in rows]
+    """Rules of a rule table, for compilation on the driver, in the table's order.
+
+    Rows come a partition at a time; what is kept is the rules alone.
+    """
+    return [rule_from_row(row.asDict(recursive=True)) for row in table.toLocalIterator()]
 
 
 def rules_frame(spark: SparkSession, rows: list[dict[str, Any]] | None = None) -> DataFrame:

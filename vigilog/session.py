@@ -59,16 +59,6 @@ def ship_package(spark: SparkSession) -> SparkSession:
 _SHIPPED: set[str] = set()
 
 
-def spread(df):
-    """A scan of fewer pieces than there are cores, dealt out to all cores.
-
-    Parsing costs far more than moving a line, and a few unsplittable files would
-    keep all but a few cores idle. A table of enough pieces is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
