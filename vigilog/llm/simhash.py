@@ -43,8 +43,11 @@ PROBE_COST, PAIR_COST = 1.0, 0.05  # a moved probe row against one comparison
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed long that holds each row's 64 bits."""
-    narrow = plain(docs, doc_id=id_col, text=text_col)
+    """(doc_id, row_key, fp): the signed long that holds each row's 64 bits.
+
+    ``row_key`` is the same for rows of the same id and text only.
+    """
+    narrow = plain(docs, doc_id=id_col, text=text_col).select("doc_id", row_key().alias("row_key"), "text")
 
     def scan(batches):
         from xxhash import xxh64_intdigest
@@ -55,11 +58,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 for t in batch.column("text")
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))],
-                ["doc_id", "fp"],
-            )
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(values, np.uint64).view(np.int64))],
+                ["doc_id", "row_key", "fp"],
+            )
+
+    return narrow.mapInArrow(scan, f"doc_id {dict(narrow.dtypes)['doc_id']}, row_key string, fp long")
+
 
-    return narrow.mapInArrow(scan, f"doc_id {dict(narrow.dtypes)['doc_id']}, fp long")
+def row_key():
+    """128 bits of ``doc_id`` and ``text``, nulls told from empty values."""
+    parts = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.md5(F.col(c).cast("string"))))
+             for c in ("doc_id", "text")]
+    return F.md5(F.concat_ws("|", *parts))
 
 
 def _fingerprint(text: bytes, digest) -> int:
@@ -308,6 +318,19 @@ def _forest(a: np.ndarray, b: np.ndarray, limit: int, out_a: list, out_b: list)
         out_b.append(roots[other])
 
 
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """(doc_id, row_key, fp, root, component_id); ``root`` names a component, with or without ids."""
+    prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(keep(links(distinct.select("fp"), limit), "links").distinct())
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+    placed = keep(placed, "fingerprint-roots")
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(placed.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
 ) -> DataFrame:
@@ -316,16 +339,7 @@ def near_duplicates(
     ``fingerprint`` is 16 lowercase hex digits, ``component_id`` the smallest id that links
     of at most ``limit`` differing bits reach.
     """
-    prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(keep(links(distinct.select("fp"), limit), "links").distinct())
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    placed = keep(placed, "fingerprint-roots")
-    classes = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = placed.join(classes, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select(
+    return classes(docs, id_col=id_col, text_col=text_col, limit=limit).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -333,11 +347,12 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The documents, all columns, one row for each component: that of the smallest doc_id.
 
-    Rows without a doc_id stay only if no row with one is in their component; they cannot
-    be told apart, so all of them stay then.
+    A row without an id is taken only if none of its component has one.
     """
-    classes = near_duplicates(docs, limit=limit)
-    chosen = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("chosen_id")).distinct()
-    left = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionAll(left.where("doc_id IS NULL"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    chosen = classes(docs, limit=limit).groupBy("root").agg(F.min(order).alias("c")).select("c.row_key")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"),
+        docs["text"].alias("text"),
+    ).select("doc", row_key().alias("row_key"))
+    return rows.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"]).select("doc.*")
