@@ -50,10 +50,69 @@ def test_state_makes_two_runs_equal_to_one(spark):
     for cut in (100, 250, 260, 780):
         at = F.lit(START + timedelta(seconds=cut * 30 - 1))
         earlier, later = df.where(F.col("recv_time") < at), df.where(F.col("recv_time") >= at)
-        state = anomaly.next_state(anomaly.numbered(earlier))
-        assert state.groupBy("host").count().agg(F.max("count")).first()[0] <= 750
-        parts = {**scores(earlier), **scores(later, state)}
-        assert parts == whole
+        first = anomaly.score_events(earlier)
+        state = anomaly.next_state(first)
+        assert state.groupBy("host").count().agg(F.max("count")).first()[0] <= 500
+        parts = {r.id: (round(r.score, 9), r.anomaly) for r in anomaly.verdicts(first).collect()}
+        assert {**parts, **scores(later, state)} == whole
+
+
+def along_the_host(rows, window):
+    """Scores by one run along each host, window after window."""
+    import numpy as np
+    import pandas as pd
+
+    from vigilog.functions import halfspace as H
+
+    out = {}
+    for host in sorted({r[1] for r in rows}):
+        own = sorted((r for r in rows if r[1] == host), key=lambda r: (r[3], r[0]))
+        times = [r[3] for r in own]
+        delta = [0.0] + [(b - a).total_seconds() for a, b in zip(times, times[1:])]
+        points = anomaly._points(
+            pd.Series([np.array(r[4]) for r in own]), pd.Series(delta), pd.Series([r[5] for r in own]), False
+        )
+        leaf, mass = H.leaves(points), None
+        for at in range(0, len(own), window):
+            here = leaf[at : at + window]
+            score = np.zeros(len(here)) if mass is None else H.scores(here, mass, window)
+            mass = H.masses(here[score < anomaly.WINDOWS_LEARN_BELOW])
+            out.update({r[0]: round(float(x), 9) for r, x in zip(own[at : at + window], score)})
+    return out
+
+
+def test_passes_give_the_scores_of_one_run_along_the_host(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [
+        (1000 * h + i, f"h{h}", "windows", START + timedelta(seconds=i),
+         [1 + rng.randrange(20) for _ in range(3)] if (i // 7) % 3 else [2, 3, -4], 0.0)
+        for h in range(2) for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = along_the_host(rows, 10)
+    assert len(set(want.values())) > 20 and any(x >= anomaly.WINDOWS_LEARN_BELOW for x in want.values())
+    for group in (1, 3, 64):
+        monkeypatch.setattr(anomaly, "GROUP_WINDOWS", group)
+        got = anomaly.host_anomaly_score(df, window=10).select("id", "score").collect()
+        assert {r.id: round(r.score, 9) for r in got} == want
+
+
+def test_one_busy_host_spreads_over_tasks(spark):
+    from vigilog.operators.sequence import in_order
+
+    df = spark.range(0, 40_000, 1, 4).selectExpr(
+        "id", "'h' AS host", "timestamp_millis(1700000000000 + id % 1000) AS t"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = in_order(df, ["host"], "t", "id")
+        pieces = rows.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(pieces) == 8 and max(r["count"] for r in pieces) < 20_000
+    want = sorted((i % 1000, i) for i in range(40_000))
+    got = sorted((r.position, r.id) for r in rows.select("position", "id").collect())
+    assert [i for _, i in got] == [i for _, i in want] and got[0][0] == 0 and got[-1][0] == 39_999
 
 
 def test_linux_limits(spark):

@@ -31,16 +31,18 @@ def test_inter_arrival_across_buckets(spark):
     for i, key, at in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         want[i] = (at - last[key]).total_seconds() if key in last else 0.0
         last[key] = at
-    for bucket in (5, 3600):
-        got = sequence.inter_arrival(events(spark, rows), "key", "at", "id", bucket).collect()
+    for pieces in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(pieces))
+        got = sequence.inter_arrival(events(spark, rows), "key", "at", "id").collect()
         assert {r.id: round(r.delta, 6) for r in got} == want
         assert sum(r.is_first for r in got) == len(last)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_positions_continue_from_a_start(spark):
     rows = hot_events(200)
     df = events(spark, rows).withColumn("start", F.lit(40).cast("bigint"))
-    got = sequence.in_order(df, ["key"], "at", "id", 60, first_position="start").collect()
+    got = sequence.in_order(df, ["key"], "at", "id", first_position="start").collect()
     want, seen = {}, {}
     for i, key, at in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         want[i] = 40 + seen.get(key, 0)

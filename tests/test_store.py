@@ -173,8 +173,12 @@ def test_store_is_appended_batch_by_batch(spark, tmp_path):
     assert details.join(logs, details.log_entry_id == logs.id).count() == 4
     assert details.where("ssh_user = 'root'").count() == 3
     assert details.where("raw_message = 'caf\ufffd'").count() == 1
-    servers = spark.read.parquet(f"{store}/server")
-    assert sorted(r.hostname for r in servers.collect()) == ["unknown", "web1", "web2"]
+    servers = {r.hostname: r for r in live.store_servers(spark, store).collect()}
+    assert sorted(servers) == ["unknown", "web1", "web2"]
+    seen = logs.where("hostname = 'web1'").agg(F.min("recv_time"), F.max("recv_time")).first()
+    assert (servers["web1"].first_seen, servers["web1"].last_seen) == tuple(seen)
+    shift = live.TASK_BITS + live.ROW_BITS
+    assert logs.where(f"shiftright(id, {shift}) <> batch").count() == 0
     batches = sorted(r.batch for r in logs.select("batch").distinct().collect())
     assert batches == [0, 1]
 
@@ -235,3 +239,15 @@ def test_pages_keep_their_order_without_broadcast(spark):
     assert recent == sorted(recent, reverse=True) and found == recent and len(recent) == 30
     assert after == list(range(51, 81))
     assert report == sorted(report, reverse=True) and len(report) == 30
+
+
+def test_registry_times_move(spark):
+    at = lambda *days: spark.createDataFrame(
+        [("h", "a", "linux", NOW + timedelta(days=d)) for d in days],
+        "hostname string, ip_address string, server_type string, recv_time timestamp",
+    )
+    seen = stats.sightings(at(1, 2)).unionByName(stats.sightings(at(5, 0)))
+    row = stats.registry(seen).collect()
+    assert [(r.first_seen, r.last_seen) for r in row] == [(NOW, NOW + timedelta(days=5))]
+    assert [r.is_new for r in stats.register_servers(at(1), at(0)).collect()] == [False]
+    assert [r.is_new for r in stats.register_servers(at(1), at()).collect()] == [True]

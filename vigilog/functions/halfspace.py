@@ -43,37 +43,35 @@ def forest(features: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     return axis, cut
 
 
-def paths(points: np.ndarray) -> np.ndarray:
-    """Heap position of every point at every depth of every tree."""
+def leaves(points: np.ndarray) -> np.ndarray:
+    """Number of the leaf each point falls into, 0 to 2**HEIGHT - 1, in every tree.
+
+    A leaf names the whole way to it: the node at depth d is its first d bits.
+    """
     axis, cut = forest(points.shape[1])
-    n = len(points)
     trees = np.arange(TREES)
-    rows = np.arange(n)[:, None]
-    node = np.zeros((n, TREES), dtype=np.int64)
-    visited = np.empty((HEIGHT + 1, n, TREES), dtype=np.int64)
-    visited[0] = node
-    for depth in range(HEIGHT):
+    rows = np.arange(len(points))[:, None]
+    node = np.zeros((len(points), TREES), dtype=np.int64)
+    for _ in range(HEIGHT):
         right = points[rows, axis[trees, node]] >= cut[trees, node]
         node = 2 * node + 1 + right
-        visited[depth + 1] = node
-    return visited
+    return node - (2**HEIGHT - 1)
 
 
-def masses(visited: np.ndarray) -> np.ndarray:
-    """Points per node of every tree."""
-    nodes = 2 ** (HEIGHT + 1) - 1
-    places = visited + np.arange(TREES) * nodes
-    return np.bincount(places.ravel(), minlength=TREES * nodes).reshape(TREES, nodes)
+def masses(leaf: np.ndarray) -> np.ndarray:
+    """Points per leaf of every tree; inner nodes are sums of their leaves."""
+    places = leaf + np.arange(TREES) * 2**HEIGHT
+    return np.bincount(places.ravel(), minlength=TREES * 2**HEIGHT).reshape(TREES, -1)
 
 
-def scores(visited: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """Anomaly score of each point, 0 (usual) to 1 (never seen)."""
-    n = visited.shape[1]
+def scores(leaf: np.ndarray, mass: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Anomaly score of each point, 0 (usual) to 1 (never seen), against leaf masses."""
     trees = np.arange(TREES)
-    total = np.zeros(n)
-    walking = np.ones((n, TREES), dtype=bool)
+    total = np.zeros(len(leaf))
+    walking = np.ones(leaf.shape, dtype=bool)
     for depth in range(HEIGHT + 1):
-        here = mass[trees, visited[depth]]
+        level = mass.reshape(TREES, 2**depth, -1).sum(axis=2)
+        here = level[trees, leaf >> (HEIGHT - depth)]
         total += (here * walking).sum(axis=1) * 2.0**depth
-        walking &= here >= SIZE_LIMIT * WINDOW
-    return 1.0 - total / (TREES * WINDOW * (2.0 ** (HEIGHT + 1) - 1))
+        walking &= here >= SIZE_LIMIT * window
+    return 1.0 - total / (TREES * window * (2.0 ** (HEIGHT + 1) - 1))

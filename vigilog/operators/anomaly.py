@@ -1,10 +1,12 @@
 """Per-host anomaly scores of Windows and Linux events.
 
-A host's events are numbered and cut into windows of 250. The events of a window
-are scored with the node masses of the window before, to which an event counts
-only if it looked usual itself; that is judged with the masses of the window before
-that one. So a window needs the two before it and nothing else: every window of
-every host is its own small group, however many events a host has.
+A host's events are numbered and cut into windows. The events of a window are scored
+with the node masses of the window before, to which an event counts only if it looked
+usual itself when it was scored. Consecutive windows form small groups that are worked
+through in order; what a group needs of the one before is which events of its last
+window counted. Passes start from a guess (all but flagged events) and repeat until no
+such decision changes, which gives the same scores as one run along each host, without
+a task per host.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilog.functions import halfspace as H
 from vigilog.functions.text import app_name_heuristic, basename, first_present, shannon_entropy
 from vigilog.operators.detect import parsed_view
 from vigilog.operators.sequence import in_order
-from vigilog.operators.templates import mask_variables, template_key
+from vigilog.operators.templates import mask_variables
+from vigilog.session import cut_lineage
 
 # Feature buckets, decision limits, and keys naming user and process.
 WINDOWS_BUCKETS = 20
@@ -33,12 +37,17 @@ USER_KEYS = [
 PROCESS_KEYS = [
     "ProcessName", "ProcessInformation_Process_Name", "CallerProcessName", "NewProcessName",
 ]
-WINDOWS_BACK = 2
+GROUP_WINDOWS = 16  # windows of a host that one group works through
+
+
+def token_hash(token: Column) -> Column:
+    """Whole number of the first 60 bits of the token's MD5."""
+    return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("bigint")
 
 
 def signed_slot(token: Column, buckets: int) -> Column:
     """Bucket of a token, 1 to ``buckets``, negative for half of the tokens."""
-    h = F.xxhash64(token)
+    h = token_hash(F.coalesce(token, F.lit("")))
     slot = (F.pmod(h, F.lit(buckets)) + 1).cast("int")
     return F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, -slot).otherwise(slot)
 
@@ -68,7 +77,7 @@ def windows_tokens(attrs: Column) -> Column:
 def linux_tokens(message: Column) -> Column:
     template = mask_variables(message)
     return F.array(
-        template_key(template).cast("string"), app_name_heuristic(message), template
+        F.md5(template), app_name_heuristic(message), template
     )
 
 
@@ -105,8 +114,8 @@ def flagged(log_source: Column, delta: Column, is_first: Column, entropy: Column
 
 
 STATE_COLUMNS = [
-    "id", "host", "log_source", "recv_time", "slots", "entropy", "delta", "flag", "position",
-]
+    "id", "host", "log_source", "recv_time", "slots", "entropy", "delta", "flag", "position", "learned",
+]
 
 
 def numbered(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -116,12 +125,13 @@ def numbered(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
         F.lit(None).cast("double").alias("_delta"),
         F.lit(None).cast("boolean").alias("_flag"),
         F.lit(None).cast("bigint").alias("_position"),
+        F.lit(None).cast("boolean").alias("_learned"),
     )
     if state is not None:
         kept = state.select(
             "id", "host", "log_source", "recv_time", "slots", "entropy",
             F.col("delta").alias("_delta"), F.col("flag").alias("_flag"),
-            F.col("position").alias("_position"),
+            F.col("position").alias("_position"), F.col("learned").alias("_learned"),
         )
         fresh = fresh.unionByName(kept)
     ordered = in_order(
@@ -136,87 +146,139 @@ def numbered(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return out.select(
         "id", "host", "log_source", "recv_time", "slots", "entropy", "delta",
         F.coalesce("_flag", flag).alias("flag"), "position", "last_position",
-        F.col("_position").isNotNull().alias("is_kept"),
+        F.col("_learned").alias("learned"), F.col("_position").isNotNull().alias("is_kept"),
     )
 
 
-SCORE_SCHEMA = (
-    "id bigint, host string, log_source string, recv_time timestamp, delta double, "
-    "entropy double, score double, anomaly boolean"
-)
+@F.pandas_udf(T.ArrayType(T.ShortType()))
+def leaf_numbers(
+    log_source: pd.Series, slots: pd.Series, delta: pd.Series, entropy: pd.Series
+) -> pd.Series:
+    """The event's leaf in every tree; it fixes all nodes on the way."""
+    out = np.zeros((len(log_source), H.TREES), dtype=np.int16)
+    is_linux = (log_source == "linux").to_numpy()
+    for linux in (False, True):
+        own = np.flatnonzero(is_linux == linux)
+        if len(own):
+            out[own] = H.leaves(_points(slots.iloc[own], delta.iloc[own], entropy.iloc[own], linux))
+    return pd.Series(list(out))
 
 
-def _points(rows: pd.DataFrame, is_linux: bool) -> np.ndarray:
+def _points(slots: pd.Series, delta: pd.Series, entropy: pd.Series, is_linux: bool) -> np.ndarray:
     buckets = LINUX_BUCKETS if is_linux else WINDOWS_BUCKETS
-    out = np.zeros((len(rows), buckets + (2 if is_linux else 1)))
-    if len(rows):
-        slots = np.stack(rows["slots"].to_numpy())
-        at = np.arange(len(rows))
-        for column in slots.T:
-            np.add.at(out, (at, np.abs(column) - 1), np.sign(column))
-        out[:, buckets] = rows["delta"]
-        if is_linux:
-            out[:, buckets + 1] = rows["entropy"]
+    out = np.zeros((len(slots), buckets + (2 if is_linux else 1)))
+    at = np.arange(len(slots))
+    for column in np.stack(slots.to_numpy()).T:
+        np.add.at(out, (at, np.abs(column) - 1), np.sign(column))
+    out[:, buckets] = delta
+    if is_linux:
+        out[:, buckets + 1] = entropy
     return out
 
 
-SCORE_COLUMNS = [f.split()[0] for f in SCORE_SCHEMA.split(", ")]
+PASS_SCHEMA = "host string, log_source string, position bigint, id bigint, score double, learned boolean"
 
 
-def _score_window(rows: pd.DataFrame) -> pd.DataFrame:
-    """Scores of the own rows of one window, from the rows of the two before it.
+def _score_group(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Scores of the windows of one group, in order, from the window before the first.
 
     Masses are counts, so the order of the rows within a window does not matter.
     """
-    age, flag = rows["age"].to_numpy(), rows["flag"].to_numpy()
-    own = rows[(age == 0) & ~rows["is_kept"].to_numpy()]
-    is_linux = rows["log_source"].iloc[0] == "linux"
-    score = np.zeros(len(own))
-    if len(own) and (age == 1).any():
-        seen = H.paths(_points(rows[(age == 1) & ~flag], is_linux))
-        if (age == 2).any():
-            earlier = H.masses(H.paths(_points(rows[(age == 2) & ~flag], is_linux)))
-            judged = H.scores(seen, earlier)
-            seen = seen[:, judged <= THRESHOLD if is_linux else judged < WINDOWS_LEARN_BELOW]
-        score = H.scores(H.paths(_points(own, is_linux)), H.masses(seen))
-    flagged_own = own["flag"].to_numpy()
-    score = np.where(flagged_own, 1.0, score)
-    own = own.assign(score=score, anomaly=flagged_own | (score > THRESHOLD))
-    return own[SCORE_COLUMNS]
-
-
-def host_anomaly_score(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    rows = rows.sort_values("position", kind="stable")
+    number = rows["position"].to_numpy() // window
+    flag, border = rows["flag"].to_numpy(), rows["border"].to_numpy()
+    known, kept = rows["known"].to_numpy(), rows["is_kept"].to_numpy()
+    leaf = np.stack(rows["leaves"].to_numpy()).astype(np.int64)
+    below = rows["log_source"].iloc[0] != "linux"
+    learned = np.where(border | kept, known, ~flag).astype(bool)
+    score = np.zeros(len(rows))
+    mass, previous = None, None
+    for n in np.unique(number):
+        own = np.flatnonzero(number == n)
+        new = own[~border[own]]
+        if mass is not None and previous == n - 1 and len(new):
+            score[new] = H.scores(leaf[new], mass, window)
+            usual = score[new] < WINDOWS_LEARN_BELOW if below else score[new] <= THRESHOLD
+            fresh = ~kept[new]
+            learned[new[fresh]] = (~flag[new] & usual)[fresh]
+        mass, previous = H.masses(leaf[own[learned[own]]]), n
+    done = ~border
+    out = rows.loc[done, ["host", "log_source", "position", "id"]]
+    return out.assign(score=score[done], learned=learned[done])
+
+
+def score_events(events: DataFrame, state: DataFrame | None = None, window: int = H.WINDOW) -> DataFrame:
+    """``numbered`` rows with ``score``, ``anomaly`` and whether the model learned them.
+
+    Rows kept in ``state`` are among them, with the decision they were kept with.
+    """
+    spark = events.sparkSession
+    leaf = leaf_numbers("log_source", "slots", "delta", "entropy")
+    rows = numbered(events, state).withColumn("leaves", leaf)
+    number = F.floor(F.col("position") / F.lit(window))
+    group = F.floor(number / F.lit(GROUP_WINDOWS))
+    is_last = (number + 1) % GROUP_WINDOWS == 0
+    last_group = F.floor(F.floor(F.col("last_position") / F.lit(window)) / F.lit(GROUP_WINDOWS))
+    guess = F.coalesce("learned", ~F.col("flag"))
+    rows = cut_lineage(
+        spark, rows.withColumn("window", number).withColumn("grp", group).withColumn("known", guess), "host-rows"
+    )
+    small = ["host", "log_source", "position", "id", "flag", "known", "is_kept", "leaves"]
+
+    def copies(table: DataFrame) -> DataFrame:
+        own = table.select(*small, "grp", F.lit(False).alias("border"))
+        behind = table.where(is_last & (F.col("grp") < last_group)).select(
+            *small, (F.col("grp") + 1).alias("grp"), F.lit(True).alias("border")
+        )
+        return own.unionByName(behind)
+
+    decided = rows
+    while True:
+        scored = cut_lineage(
+            spark,
+            copies(decided).groupBy("host", "log_source", "grp").applyInPandas(
+                lambda pdf: _score_group(pdf, window), PASS_SCHEMA
+            ),
+            "host-pass",
+        )
+        key = ["host", "log_source", "position", "id"]
+        now = scored.select(*key, "score", F.col("learned").alias("now"))
+        joined = decided.drop("score").join(now, key)
+        changed = joined.where(is_last & (F.col("grp") < last_group) & (F.col("now") != F.col("known")))
+        settled = changed.isEmpty()
+        decided = joined.withColumn("known", F.col("now")).drop("now")
+        if settled:
+            break
+        decided = cut_lineage(spark, decided, "host-decided")
+    score = F.when(F.col("flag"), F.lit(1.0)).otherwise(F.col("score"))
+    return decided.select(
+        "id", "host", "log_source", "recv_time", "slots", "entropy", "delta", "flag", "position",
+        "last_position", "is_kept", F.col("known").alias("learned"), score.alias("score"),
+        (F.col("flag") | (score > THRESHOLD)).alias("anomaly"),
+    )
+
+
+def host_anomaly_score(
+    events: DataFrame, state: DataFrame | None = None, window: int = H.WINDOW
+) -> DataFrame:
     """Score and verdict of every event of ``host_events``.
 
     With the ``state`` left by earlier events of the hosts, scores are the same as
     if earlier and new events had been scored together.
     """
-    return score_numbered(numbered(events, state))
+    return verdicts(score_events(events, state, window))
 
 
-def score_numbered(rows: DataFrame) -> DataFrame:
-    window = F.floor(F.col("position") / F.lit(H.WINDOW))
-    last = F.floor(F.col("last_position") / F.lit(H.WINDOW))
-    targets = F.sequence(window, F.least(window + WINDOWS_BACK, last))
-    copies = (
-        rows.select("*", window.alias("_window"), F.explode(targets).alias("target"))
-        .withColumn("age", F.col("target") - F.col("_window"))
-        .drop("last_position")
-    )
-    return copies.groupBy("host", "log_source", "target").applyInPandas(
-        _score_window, SCORE_SCHEMA
+def verdicts(scored: DataFrame) -> DataFrame:
+    return scored.where("NOT is_kept").select(
+        "id", "host", "log_source", "recv_time", "delta", "entropy", "score", "anomaly"
     )
 
 
-def next_state(rows: DataFrame) -> DataFrame:
-    """What scoring later events needs of ``numbered`` rows.
-
-    At most three windows of events are kept per host.
-    """
-    following = F.floor((F.col("last_position") + 1) / F.lit(H.WINDOW))
-    kept = rows.where(
-        F.floor(F.col("position") / F.lit(H.WINDOW)) >= following - WINDOWS_BACK
-    )
+def next_state(scored: DataFrame, window: int = H.WINDOW) -> DataFrame:
+    """What scoring later events needs of ``score_events`` rows: two windows per host at most."""
+    following = F.floor((F.col("last_position") + 1) / F.lit(window))
+    kept = scored.where(F.floor(F.col("position") / F.lit(window)) >= following - 1)
     return kept.select(*STATE_COLUMNS)
 
 

@@ -1,21 +1,18 @@
 """Order-dependent values per key without one task per key.
 
-A key may hold a large part of all rows, so no window runs over a whole key. Rows
-are put into time buckets, windows run inside (key, bucket), and what crosses a
-bucket border is carried by a summary of one row per (key, bucket). The windows
-over the summaries grow with the calendar, not with the number of rows.
+A key may hold a large part of all rows, so no window runs over a whole key. Rows are
+range-partitioned by key and time, windows run inside (piece, key), and what crosses
+the border of a piece is carried by a summary of one row per (key, piece).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 3600
-
+from vigilog.session import cut_lineage
 
-def time_bucket(time: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(time) / F.lit(seconds))
+BUCKET_SECONDS = 3600
 
 
 def in_order(
@@ -23,35 +20,36 @@ def in_order(
     key: list[str],
     time: str,
     tie: str,
-    bucket_seconds: int = BUCKET_SECONDS,
     first_position: str | None = None,
 ) -> DataFrame:
     """Add ``prev_time``, the 0-based ``position`` within the key and its last position.
 
     Rows are ordered by time, then ``tie``. ``first_position`` names a column whose
-    least value in a key is where its positions start.
+    least value in a key is where its positions start. The rows are written once, so
+    what they are made of is computed once and every use sees the same pieces.
     """
-    bucketed = df.withColumn("_bucket", time_bucket(F.col(time), bucket_seconds))
+    ranged = df.repartitionByRange(*key, time, tie).withColumn("_piece", F.spark_partition_id())
+    pieces = cut_lineage(df.sparkSession, ranged, "in-order")
     start = F.lit(None).cast("bigint") if first_position is None else F.col(first_position)
-    before = Window.partitionBy(*key).orderBy("_bucket")
+    before = Window.partitionBy(*key).orderBy("_piece")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    summary = bucketed.groupBy(*key, "_bucket").agg(
+    summary = pieces.groupBy(*key, "_piece").agg(
         F.max(time).alias("_last"), F.count("*").alias("_n"), F.min(start).alias("_start")
     )
     whole = Window.partitionBy(*key)
     base = F.coalesce(F.min("_start").over(whole), F.lit(0))
     carried = summary.select(
         *key,
-        "_bucket",
+        "_piece",
         F.lag("_last").over(before).alias("_before"),
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + base).alias("_offset"),
         (F.sum("_n").over(whole) + base - 1).alias("last_position"),
     )
-    inside = Window.partitionBy(*key, "_bucket").orderBy(time, tie)
-    local = bucketed.withColumn("_lag", F.lag(time).over(inside)).withColumn(
+    inside = Window.partitionBy("_piece", *key).orderBy(time, tie)
+    local = pieces.withColumn("_lag", F.lag(time).over(inside)).withColumn(
         "_row", F.row_number().over(inside)
     )
-    joined = local.join(carried, [*key, "_bucket"])
+    joined = local.join(carried, ["_piece", *key])
     return joined.select(
         *df.columns,
         F.coalesce("_lag", "_before").alias("prev_time"),
@@ -61,10 +59,10 @@ def in_order(
 
 
 def inter_arrival(
-    events: DataFrame, key: str, time: str, tie: str, bucket_seconds: int = BUCKET_SECONDS
+    events: DataFrame, key: str, time: str, tie: str
 ) -> DataFrame:
     """Add ``delta``, the seconds since the key's previous event; 0 for the first."""
-    ordered = in_order(events, [key], time, tie, bucket_seconds)
+    ordered = in_order(events, [key], time, tie)
     micros = F.unix_micros(time) - F.unix_micros("prev_time")
     delta = F.coalesce(micros / F.lit(1000000.0), F.lit(0.0))
     return ordered.select(

@@ -440,14 +440,29 @@ def detection_rate(logs: DataFrame, alerts: DataFrame) -> DataFrame:
     return counts.withColumn("percent", rate)
 
 
-def register_servers(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """Servers named by ``records`` that the registry does not hold yet.
+SERVER_KEY = ["hostname", "ip_address", "server_type"]
 
-    The key is a hash of (hostname, ip, type), so every run gives the same one.
+
+def sightings(records: DataFrame) -> DataFrame:
+    """Servers named by ``records`` with the first and last time they were seen there.
+
+    The id is a hash of (hostname, ip, type), so every run gives the same one.
     """
-    key = ["hostname", "ip_address", "server_type"]
-    found = records.groupBy(*key).agg(
+    return records.groupBy(*SERVER_KEY).agg(
         F.min("recv_time").alias("first_seen"), F.max("recv_time").alias("last_seen")
+    ).select(F.xxhash64(*SERVER_KEY).alias("id"), *SERVER_KEY, "first_seen", "last_seen")
+
+
+def registry(seen: DataFrame) -> DataFrame:
+    """One row a server from ``sightings`` of any number of batches."""
+    return seen.groupBy("id", *SERVER_KEY).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+
+
+def register_servers(records: DataFrame, known: DataFrame) -> DataFrame:
+    """``sightings`` of ``records``, and whether the registry does not hold the server yet."""
+    held = known.select(*SERVER_KEY).distinct().withColumn("_held", F.lit(True))
+    return sightings(records).join(held, SERVER_KEY, "left").select(
+        "id", *SERVER_KEY, "first_seen", "last_seen", F.col("_held").isNull().alias("is_new")
     )
-    new = found.join(registry.select(*key), key, "left_anti")
-    return new.select(F.xxhash64(*key).alias("id"), *key, "first_seen", "last_seen")

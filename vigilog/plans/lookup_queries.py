@@ -303,7 +303,9 @@ def alert_log_server_report(t: Tables):
     "register_servers",
     sql=f"""
 SELECT hostname, ip_address, server_type, {sql_time("min(recv_time)")} AS first_seen,
-  {sql_time("max(recv_time)")} AS last_seen
+  {sql_time("max(recv_time)")} AS last_seen,
+  NOT EXISTS (SELECT 1 FROM server s WHERE s.hostname = x.hostname
+    AND s.ip_address = x.ip_address AND s.server_type = x.server_type) AS is_new
 FROM (SELECT r.log_type AS server_type, r.src_ip AS ip_address, r.recv_time,
   CASE r.log_type WHEN 'linux' THEN s.hostname
    WHEN 'windows' THEN json_extract_string(r.t, '$.hostname')
@@ -311,8 +313,6 @@ FROM (SELECT r.log_type AS server_type, r.src_ip AS ip_address, r.recv_time,
    ELSE string_split(r.t, chr(9))[3] END AS hostname
   FROM typed_line r LEFT JOIN server s ON s.ip_address = r.src_ip
   WHERE r.log_type IS NOT NULL) x
-WHERE NOT EXISTS (SELECT 1 FROM server s WHERE s.hostname = x.hostname
-  AND s.ip_address = x.ip_address AND s.server_type = x.server_type)
 GROUP BY hostname, ip_address, server_type""",
 )
 def register_servers(t: Tables):

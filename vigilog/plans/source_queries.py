@@ -203,7 +203,8 @@ def stream_raw_logs(t: Tables):
 @query(
     "append_log_store",
     sql="""
-SELECT log_type AS log_source, count(*) AS logs, count(*) AS details FROM typed_line
+SELECT log_type AS log_source, count(*) AS logs, count(*) AS ids, count(*) AS details,
+  CAST(sum(length(line)) AS BIGINT) AS chars FROM typed_line
 WHERE log_type IS NOT NULL GROUP BY log_type""",
 )
 def append_log_store(t: Tables):
@@ -214,11 +215,17 @@ def append_log_store(t: Tables):
     logs = t.spark.read.schema(live.LOG_SCHEMA).parquet(f"{store}/log_entry")
     details = None
     for table, (source, _) in live.DETAILS.items():
-        rows = t.spark.read.parquet(f"{store}/{table}").select(F.lit(source).alias("log_source"))
+        rows = t.spark.read.parquet(f"{store}/{table}").select(
+            F.lit(source).alias("log_source"), F.col("log_entry_id").alias("id")
+        )
         details = rows if details is None else details.unionByName(rows)
-    per_detail = details.groupBy("log_source").agg(F.count("*").alias("details"))
-    per_log = logs.groupBy("log_source").agg(F.count("*").alias("logs"))
-    return per_log.join(per_detail, "log_source")
+    found = logs.join(details.withColumn("detail", F.lit(1)), ["log_source", "id"], "left")
+    return found.groupBy("log_source").agg(
+        F.count("*").alias("logs"),
+        F.countDistinct("id").alias("ids"),
+        F.count("detail").alias("details"),
+        F.sum(F.length("content")).alias("chars"),
+    )
 
 
 def _log_table(t: Tables) -> str:

@@ -98,6 +98,21 @@ def merge_templates(t: Tables):
     return templates.merge_templates(templates.masked_templates(t.linux, "raw_message"))
 
 
+# A host has few events here; the width is one that they fill.
+MODEL_WINDOW = 20
+HASH_SQL = "CAST('0x' || substr(md5(coalesce({0}, '')), 1, 15) AS BIGINT)"
+SLOT_SQL = (
+    f"CASE WHEN ({HASH_SQL.format('tk')} >> 40) & 1 = 1 THEN -1 ELSE 1 END "
+    f"* CAST({HASH_SQL.format('tk')} % n + 1 AS INTEGER)"
+)
+#: Tokens of each event: the model's features are signed counts of their slots.
+TOKEN_SQL = r"""
+SELECT log_entry_id, 20 AS n, unnest([coalesce(e, '0'), pn, un]) AS tk, generate_subscripts([1, 2, 3], 1) AS at
+FROM (SELECT log_entry_id, json_extract_string(content, '$.event_id') AS e,
+  string_split(json_extract_string(content, '$.NewProcessName'), '\')[-1] AS pn,
+  json_extract_string(content, '$.TargetUserName') AS un FROM windows_d)"""
+
+
 @query("hash_features")
 def hash_features(t: Tables):
     windows = t.windows.select(
@@ -118,19 +133,18 @@ def hash_features(t: Tables):
 @query("host_anomaly_score")
 def host_anomaly_score(t: Tables):
     events = anomaly.host_events(t.logs, t.servers)
-    return anomaly.host_anomaly_score(events).withColumn("score", F.round("score", 6))
+    scored = anomaly.host_anomaly_score(events, window=MODEL_WINDOW)
+    return scored.withColumn("score", F.round("score", 6))
 
 
 @query("persist_host_models")
 def persist_host_models(t: Tables):
     events = anomaly.host_events(t.logs, t.servers)
     cut = F.lit("2024-01-16").cast("timestamp")
-    earlier = events.where(F.col("recv_time") < cut)
-    state = cut_lineage(
-        t.spark, anomaly.next_state(anomaly.numbered(earlier)), "host-models"
-    )
-    later = events.where(F.col("recv_time") >= cut)
-    return anomaly.host_anomaly_score(later, state).withColumn("score", F.round("score", 6))
+    first = anomaly.score_events(events.where(F.col("recv_time") < cut), window=MODEL_WINDOW)
+    state = cut_lineage(t.spark, anomaly.next_state(first, MODEL_WINDOW), "host-models")
+    later = anomaly.host_anomaly_score(events.where(F.col("recv_time") >= cut), state, MODEL_WINDOW)
+    return anomaly.verdicts(first).unionByName(later).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -80,7 +80,9 @@ def append_log_store(
     def write(batch: DataFrame, batch_id: int) -> None:
         log_path = batch_folder(f"{store}/log_entry", batch_id)
         rows = stored_logs(batch, batch_id).withColumn("day", F.to_date("recv_time"))
-        rows.write.mode("overwrite").partitionBy("log_source", "day").parquet(log_path)
+        # Few files for each folder; a large one is still written by many tasks.
+        dealt = rows.hint("rebalance", "log_source", "day")
+        dealt.write.mode("overwrite").partitionBy("log_source", "day").parquet(log_path)
         logs = spark.read.schema(LOG_SCHEMA).option("basePath", f"{store}/log_entry").parquet(
             log_path
         )
@@ -89,8 +91,7 @@ def append_log_store(
                 batch_folder(f"{store}/{table}", batch_id)
             )
         servers = logs.withColumnRenamed("log_source", "server_type")
-        known = _known_servers(spark, store, batch_id)
-        stats.register_servers(servers, known).write.mode("overwrite").parquet(
+        stats.sightings(servers).write.mode("overwrite").parquet(
             batch_folder(f"{store}/server", batch_id)
         )
 
@@ -103,12 +104,22 @@ SERVER_SCHEMA = (
 )
 
 
-def _known_servers(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
-    """Servers registered by earlier batches."""
-    if batch_id == 0:
-        return spark.createDataFrame([], SERVER_SCHEMA)
-    table = spark.read.schema(SERVER_SCHEMA).parquet(f"{store}/server")
-    return table.where(F.col("batch") < batch_id)
+def store_servers(spark: SparkSession, store: str) -> DataFrame:
+    """The registry: each server with the first and last time of all batches."""
+    return stats.registry(spark.read.schema(SERVER_SCHEMA).parquet(f"{store}/server"))
+
+
+# An id holds the batch, the task and the row in it. Larger numbers stop the batch.
+TASK_BITS, ROW_BITS = 14, 22
+
+
+def row_ids(batch_id: int) -> Column:
+    """Ids that no other row of any batch has, rising with the batch."""
+    n = F.monotonically_increasing_id()
+    task, row = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (task < (1 << TASK_BITS)) & (row < (1 << ROW_BITS)) & F.lit(batch_id < 1 << 27)
+    joined = F.lit(batch_id << (TASK_BITS + ROW_BITS)) + F.shiftleft(task, ROW_BITS) + row
+    return F.when(fits, joined).otherwise(F.raise_error(F.lit("batch too large for its ids")).cast("bigint"))
 
 
 def stored_logs(batch: DataFrame, batch_id: int = 0) -> DataFrame:
@@ -123,7 +134,7 @@ def stored_logs(batch: DataFrame, batch_id: int = 0) -> DataFrame:
     )
     resolved = ingest.resolve_envelope(records, F.col("_received"))
     return resolved.select(
-        F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()).alias("id"),
+        row_ids(batch_id).alias("id"),
         F.xxhash64("hostname", "ip_address", "log_source").alias("server_id"),
         "recv_time", "hostname", "ip_address", "content", "log_source",
     )
