@@ -549,9 +549,18 @@ def test_encoding_word_by_word_is_that_of_the_text(texts):
 def test_remembered_words_are_bounded(monkeypatch):
     coder = tokenfile.Encoder(vocabulary())
     monkeypatch.setattr(tokenfile, "CACHED_WORDS", 5)
-    for i in range(20):
-        coder.encode([f"x{i} y{i} z"[: 5 + i].encode()], 1)
-        assert len(coder.known) <= 5
+    for i in range(60):
+        text = f"x{i} Y{i % 7}, z."
+        got = np.frombuffer(coder.encode([text.encode()], 1)[0], coder.dtype).tolist()
+        assert got == coder.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert len(coder.known) <= 5 + 8 and len(coder.older) <= 5 + 8
+
+
+def test_tokenizers_that_join_across_blanks_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_token_files_of_odd_rows(spark, make, tmp_path):

@@ -13,8 +13,8 @@ mask without a copy (``sequence``). A task writes under a name of its own and re
 file when it is whole; a task that runs again writes the same bytes.
 
 Texts are split at ASCII blanks and each different word is encoded once by the tokenizer
-library; the tokenizers meant here drop blanks and never join across them, so this is the
-encoding of the whole text (a test compares both). Null and empty texts hold the end id
+library; the tokenizers meant here drop blanks and never join across them (others are
+refused), so this is the encoding of the whole text; a test compares both. Null and empty texts hold the end id
 alone. Rows that repeat are written each. An empty table gives no files and no rows.
 Columns beyond the named ones are not looked at.
 """
@@ -40,13 +40,21 @@ from vigilog.session import shared_dir
 LENGTH = 1024  # ids of a sequence
 BATCH = 256  # sequences of a batch
 END_ID = 1
-CACHED_WORDS = 300_000  # encodings a worker remembers; then it starts again
+CACHED_WORDS = 500_000  # words of a generation that a worker remembers
+MARKS = ".,;:!?"
+_SLICE = 8 << 20
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as bytes, remembering the ids of each word."""
+    """Ids of texts as bytes, remembering the ids of words.
+
+    Words are remembered in two generations: when the young one is full it becomes the
+    old one, whose words come back when they are met again. Where the tokenizer itself
+    lowers case and cuts marks off letters, a word is looked up without them first, so
+    ``The`` and ``the,`` are not encoded anew.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,19 +62,61 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.lowers = self._ids(["aQ Z9"]) == self._ids(["aq z9"])
+        self.cuts = all(self._ids([f"ab{m}"]) == self._ids(["ab", m]) for m in ("?!", *MARKS))
+        if self._ids(["ab c"]) != self._ids(["ab", "c"]):
+            raise ValueError("the tokenizer joins words across blanks")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[int]:
+        return [i for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Make the ids of ``words`` known: from the old generation, from parts, or anew.
+
+        A word's parts are its core and the marks after it, in lower case, where their
+        encodings end to end are that of the word.
+        """
+        if len(self.known) >= CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        known, older, marks = self.known, self.older, MARKS.encode()
+        new, cores, tails = [], [], []
+        for word in words.difference(known):
+            if word in older:
+                known[word] = older[word]
+                continue
+            # A special token's text, which begins with <, is not lower-cased.
+            core = plain_word = word.lower() if self.lowers and word.isascii() and b"<" not in word else word
+            tail = b""
+            if self.cuts and plain_word[-1] in marks:
+                core = plain_word.rstrip(marks)
+                if core[-1:].isalnum():
+                    tail = plain_word[len(core) :]
+                else:
+                    core = plain_word
+            new.append(word)
+            cores.append(core)
+            tails.append(tail)
+        parts = {*cores, *tails}.difference(known)
+        parts.discard(b"")
+        unseen = []
+        for part in parts:
+            if part in older:
+                known[part] = older[part]
+            else:
+                unseen.append(part)
+        for at in range(0, len(unseen), 10_000):
+            piece = unseen[at : at + 10_000]
+            coded = self.tokenizer.encode_batch_fast([p.decode() for p in piece], add_special_tokens=False)
+            for part, code in zip(piece, coded):
+                known[part] = np.array(code.ids, self.dtype).tobytes()
+        for word, core, tail in zip(new, cores, tails):
+            known[word] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         split = [t.split() for t in texts]  # on bytes: ASCII blanks only
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 10_000):
-            piece = new[at : at + 10_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in piece], add_special_tokens=False)
-            for word, code in zip(piece, coded):
-                self.known[word] = np.array(code.ids, self.dtype).tobytes()
+        self._learn(set().union(*split))
         end = np.array([end_id], self.dtype).tobytes()
         return [b"".join([*map(self.known.__getitem__, words), end]) for words in split]
 
@@ -134,7 +184,7 @@ def write_files(
         data = index = None
         at = n_docs = 0
         for incoming in batches:
-            for part in slices(incoming):
+            for part in slices(incoming, size=_SLICE):
                 if data is None:
                     files = [fs.open_output_stream(f"{own}.arrow"), fs.open_output_stream(f"{own}.docs.arrow")]
                     data = SequenceWriter(files[0], coder.dtype, length, batch)
