@@ -100,20 +100,31 @@ def merge_templates(t: Tables):
 
 # A host has few events here; the width is one that they fill.
 MODEL_WINDOW = 20
-HASH_SQL = "CAST('0x' || substr(md5(coalesce({0}, '')), 1, 15) AS BIGINT)"
-SLOT_SQL = (
-    f"CASE WHEN ({HASH_SQL.format('tk')} >> 40) & 1 = 1 THEN -1 ELSE 1 END "
-    f"* CAST({HASH_SQL.format('tk')} % n + 1 AS INTEGER)"
-)
-#: Tokens of each event: the model's features are signed counts of their slots.
-TOKEN_SQL = r"""
-SELECT log_entry_id, 20 AS n, unnest([coalesce(e, '0'), pn, un]) AS tk, generate_subscripts([1, 2, 3], 1) AS at
-FROM (SELECT log_entry_id, json_extract_string(content, '$.event_id') AS e,
-  string_split(json_extract_string(content, '$.NewProcessName'), '\')[-1] AS pn,
-  json_extract_string(content, '$.TargetUserName') AS un FROM windows_d)"""
+TOKENS_SQL = rf"""
+SELECT log_entry_id, 20 AS n, [coalesce(json_extract_string(content, '$.event_id'), '0'),
+  lower(string_split(json_extract_string(content, '$.NewProcessName'), '\')[-1]),
+  lower(json_extract_string(content, '$.TargetUserName'))] AS tk FROM windows_d
+UNION ALL
+SELECT log_entry_id, 40, [md5(t), CASE WHEN len(string_split(raw_message, ':')) > 2
+  THEN string_split(trim(string_split(raw_message, ':')[3], ' ' || chr(9)), '[')[1]
+  ELSE 'unknown' END, t]
+FROM (SELECT log_entry_id, raw_message, {MASK_SQL} AS t FROM linux_d)"""
 
 
-@query("hash_features")
+@query(
+    "hash_features",
+    sql=f"""
+WITH tok AS ({TOKENS_SQL}),
+h AS (SELECT log_entry_id, n, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS h
+  FROM (SELECT log_entry_id, n, unnest(tk) AS x FROM tok)),
+s AS (SELECT log_entry_id, h % n + 1 AS slot,
+  CASE WHEN (h >> 40) & 1 = 1 THEN -1 ELSE 1 END AS sign FROM h),
+f AS (SELECT d.log_entry_id, d.i, CAST(coalesce(sum(s.sign), 0) AS INTEGER) AS v
+  FROM (SELECT log_entry_id, unnest(range(1, n + 1)) AS i FROM tok) d
+  LEFT JOIN s ON s.log_entry_id = d.log_entry_id AND s.slot = d.i GROUP BY 1, 2)
+SELECT log_entry_id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY i) AS features
+FROM f GROUP BY log_entry_id""",
+)
 def hash_features(t: Tables):
     windows = t.windows.select(
         "log_entry_id",
@@ -127,7 +138,8 @@ def hash_features(t: Tables):
             anomaly.linux_tokens(F.col("raw_message")), anomaly.LINUX_BUCKETS
         ).alias("features"),
     )
-    return windows.unionByName(linux)
+    told = F.transform("features", lambda x: x.cast("int").cast("string"))
+    return windows.unionByName(linux).select("log_entry_id", F.array_join(told, " ").alias("features"))
 
 
 @query("host_anomaly_score")
