@@ -131,6 +131,18 @@ def plan_sources(
     )
 
 
+SALT_DIGITS = 2  # hex digits of the key: rows of one source meet their plan in 256 places
+
+
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of (source, key, ...) with their source's plan, a large source in many tasks."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(16**SALT_DIGITS - 1)),
+                         lambda i: F.lpad(F.lower(F.hex(i.cast("long"))), SALT_DIGITS, "0"))
+    copies = plan.withColumnRenamed("source", "s").withColumn("place", F.explode(places))
+    here = F.substring("key", 1, SALT_DIGITS) == F.col("place")
+    return rows.join(copies, F.col("source").eqNullSafe(F.col("s")) & here)
+
+
 def times() -> Column:
     return F.col("whole") + (F.col("key") <= F.col("cut")).cast("int")
 
@@ -145,8 +157,7 @@ def mixture(
         narrow.select("doc_id", "source", document_size().alias("size"), seeded_key(seed).alias("key")),
         "mix-documents",
     )
-    plan = plan_sources(sized, weights, max_epochs).withColumnRenamed("source", "s")
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
+    return with_plan(sized, plan_sources(sized, weights, max_epochs)).select(
         "doc_id", "source", "size", "source_size", "target", times().alias("times")
     )
 
@@ -162,10 +173,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, see
     sized = keep(
         keyed.select("source", document_size().alias("size"), seeded_key(seed).alias("key")), "mix-documents"
     )
-    plan = plan_sources(sized, weights, max_epochs).withColumnRenamed("source", "s")
+    rows = keyed.select("doc", "source", seeded_key(seed).alias("key"))
     return (
-        keyed.select("doc", "source", seeded_key(seed).alias("key"))
-        .join(plan, F.col("source").eqNullSafe(F.col("s")))
+        with_plan(rows, plan_sources(sized, weights, max_epochs))
         .select("doc", F.explode(F.array_repeat(F.lit(1), times())).alias("copy"))
         .select("doc.*")
     )
