@@ -23,6 +23,7 @@ NON_BLANK = np.ones(256, dtype=bool)
 NON_BLANK[9:14] = NON_BLANK[32] = False
 
 SLICE_BYTES = 4 << 20  # text bytes handled at once; only memory depends on it
+_BLOCK = 1 << 20
 _U = np.uint64
 _BASE, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64)
@@ -45,7 +46,7 @@ class _Powers:
 
     def get(self, n: int):
         if len(self.up) < n:
-            n = max(n, SLICE_BYTES + 1)
+            n = max(n, 2 * _BLOCK)
             inverse = pow(_BASE, -1, 1 << 64)
             for name, base in (("up", _BASE), ("down", inverse)):
                 steps = np.full(n, base, dtype=np.uint64)
@@ -101,10 +102,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit number a word; the same words give the same numbers everywhere."""
-        up, down = _POWERS.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out = np.empty(len(self), dtype=np.uint64)
+        i = 0
+        while i < len(self):  # a block of bytes at a time, a longer word alone
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + _BLOCK)))
+            low, high = self.starts[i], self.ends[j - 1]
+            up, down = _POWERS.get(high - low + 1)
+            sums = np.zeros(high - low + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.data[low:high]] * up[: high - low], out=sums[1:])
+            begin, end = self.starts[i:j] - low, self.ends[i:j] - low
+            out[i:j] = mix((sums[end] - sums[begin]) * down[begin])
+            i = j
+        return out
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
