@@ -6,6 +6,7 @@ events is scored with the node masses of an earlier window (Tan, Ting and Liu, 2
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -19,13 +20,18 @@ PADDING = 0.15
 SIZE_LIMIT = 0.1
 
 
+def node_hash(seed: int, tree: int, node: int) -> int:
+    """60 bits from which a node's cut feature and place are drawn."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()[:15], 16)
+
+
 @lru_cache(maxsize=8)
 def forest(features: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Cut feature and cut value of every inner node, trees by heap position."""
-    rng = np.random.default_rng(seed)
     inner = 2**HEIGHT - 1
-    axis = rng.integers(0, features, size=(TREES, inner))
-    at = rng.uniform(PADDING, 1 - PADDING, size=(TREES, inner))
+    drawn = np.array([[node_hash(seed, t, n) for n in range(inner)] for t in range(TREES)])
+    axis = drawn % features
+    at = PADDING + (1 - 2 * PADDING) * ((drawn // 1000) % 1_000_000) / 1_000_000
     cut = np.empty((TREES, inner))
     trees = np.arange(TREES)[:, None]
     low = np.zeros((TREES, 1, features))

@@ -179,7 +179,7 @@ def _points(slots: pd.Series, delta: pd.Series, entropy: pd.Series, is_linux: bo
 PASS_SCHEMA = "host string, log_source string, position bigint, id bigint, score double, learned boolean"
 
 
-def _score_group(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+def _score_group(rows: pd.DataFrame, window: int, threshold: float) -> pd.DataFrame:
     """Scores of the windows of one group, in order, from the window before the first.
 
     Masses are counts, so the order of the rows within a window does not matter.
@@ -198,7 +198,7 @@ def _score_group(rows: pd.DataFrame, window: int) -> pd.DataFrame:
         new = own[~border[own]]
         if mass is not None and previous == n - 1 and len(new):
             score[new] = H.scores(leaf[new], mass, window)
-            usual = score[new] < WINDOWS_LEARN_BELOW if below else score[new] <= THRESHOLD
+            usual = score[new] < WINDOWS_LEARN_BELOW if below else score[new] <= threshold
             fresh = ~kept[new]
             learned[new[fresh]] = (~flag[new] & usual)[fresh]
         mass, previous = H.masses(leaf[own[learned[own]]]), n
@@ -207,7 +207,9 @@ def _score_group(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     return out.assign(score=score[done], learned=learned[done])
 
 
-def score_events(events: DataFrame, state: DataFrame | None = None, window: int = H.WINDOW) -> DataFrame:
+def score_events(
+    events: DataFrame, state: DataFrame | None = None, window: int = H.WINDOW, threshold: float = THRESHOLD
+) -> DataFrame:
     """``numbered`` rows with ``score``, ``anomaly`` and whether the model learned them.
 
     Rows kept in ``state`` are among them, with the decision they were kept with.
@@ -237,7 +239,7 @@ def score_events(events: DataFrame, state: DataFrame | None = None, window: int
         scored = cut_lineage(
             spark,
             copies(decided).groupBy("host", "log_source", "grp").applyInPandas(
-                lambda pdf: _score_group(pdf, window), PASS_SCHEMA
+                lambda pdf: _score_group(pdf, window, threshold), PASS_SCHEMA
             ),
             "host-pass",
         )
@@ -254,19 +256,19 @@ def score_events(events: DataFrame, state: DataFrame | None = None, window: int
     return decided.select(
         "id", "host", "log_source", "recv_time", "slots", "entropy", "delta", "flag", "position",
         "last_position", "is_kept", F.col("known").alias("learned"), score.alias("score"),
-        (F.col("flag") | (score > THRESHOLD)).alias("anomaly"),
+        (F.col("flag") | (score > threshold)).alias("anomaly"),
     )
 
 
 def host_anomaly_score(
-    events: DataFrame, state: DataFrame | None = None, window: int = H.WINDOW
+    events: DataFrame, state: DataFrame | None = None, window: int = H.WINDOW, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Score and verdict of every event of ``host_events``.
 
     With the ``state`` left by earlier events of the hosts, scores are the same as
     if earlier and new events had been scored together.
     """
-    return verdicts(score_events(events, state, window))
+    return verdicts(score_events(events, state, window, threshold))
 
 
 def verdicts(scored: DataFrame) -> DataFrame:

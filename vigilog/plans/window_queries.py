@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilog.functions import halfspace
 from vigilog.operators import anomaly, sequence, templates
-from vigilog.plans.catalog import query
+from vigilog.plans.catalog import query, sql_time
 from vigilog.plans.fixtures import Tables, _q
 from vigilog.session import cut_lineage
 
@@ -98,8 +99,9 @@ def merge_templates(t: Tables):
     return templates.merge_templates(templates.masked_templates(t.linux, "raw_message"))
 
 
-# A host has few events here; the width is one that they fill.
+# A host has few events here; the width is one that they fill, the threshold one they reach.
 MODEL_WINDOW = 20
+MODEL_THRESHOLD = 0.4
 TOKENS_SQL = rf"""
 SELECT log_entry_id, 20 AS n, [coalesce(json_extract_string(content, '$.event_id'), '0'),
   lower(string_split(json_extract_string(content, '$.NewProcessName'), '\')[-1]),
@@ -142,20 +144,109 @@ def hash_features(t: Tables):
     return windows.unionByName(linux).select("log_entry_id", F.array_join(told, " ").alias("features"))
 
 
-@query("host_anomaly_score")
+TREES, HEIGHT, PADDING = halfspace.TREES, halfspace.HEIGHT, halfspace.PADDING
+SQL_WINDOWS = 8  # windows a host may fill in the test tables
+
+
+def _level_sql(d: int) -> str:
+    """Nodes of depth ``d`` of every tree, with the ranges that reach them."""
+    if d == 0:
+        ranges = "list_transform(range(f), lambda x: 0.0::DOUBLE) AS lo, list_transform(range(f), lambda x: 1.0::DOUBLE) AS hi"
+        source = f"SELECT f, t.tree, 0 AS node, {ranges} FROM (VALUES (21), (42)) AS v(f), range({TREES}) AS t(tree)"
+    else:
+        changed = "list_transform({0}, lambda x, i: CASE WHEN i = axis + 1 AND side = {1} THEN cut ELSE x END)"
+        source = (
+            f"SELECT f, tree, 2 * node + 1 + side AS node, {changed.format('lo', 1)} AS lo, "
+            f"{changed.format('hi', 0)} AS hi FROM level{d - 1}, (VALUES (0), (1)) AS v(side)"
+        )
+    drawn = f"CAST('0x' || substr(md5('{halfspace.SEED}:' || tree || ':' || node), 1, 15) AS BIGINT)"
+    place = f"{PADDING} + {1 - 2 * PADDING} * ((h // 1000) % 1000000) / 1000000"
+    return f"""level{d} AS MATERIALIZED (
+  SELECT *, lo[axis + 1] + ({place})::DOUBLE * (hi[axis + 1] - lo[axis + 1]) AS cut
+  FROM (SELECT *, CAST(h % f AS INTEGER) AS axis FROM (SELECT *, {drawn} AS h FROM ({source}))))"""
+
+
+def _window_sql(w: int) -> str:
+    """Scores and learned events of window ``w`` from those of the window before."""
+    if w == 0:
+        scored = "SELECT id, log_source, flag, 0.0::DOUBLE AS score FROM ev WHERE win = 0"
+    else:
+        scored = f"""
+SELECT e.id, e.log_source, e.flag, 1 - (CASE WHEN any_value(p.host) IS NULL THEN NULL ELSE sum(tot) END)
+  / ({TREES} * {MODEL_WINDOW} * {2.0 ** (HEIGHT + 1) - 1}) AS score
+FROM ev e LEFT JOIN (SELECT DISTINCT host, log_source FROM ev WHERE win = {w - 1}) p USING (host, log_source)
+JOIN (SELECT id, tree, sum(mass * power(2, depth)) FILTER (depth <= coalesce(light, {HEIGHT})) AS tot
+  FROM (SELECT *, min(depth) FILTER (mass < {halfspace.SIZE_LIMIT * MODEL_WINDOW}) OVER (PARTITION BY id, tree) AS light
+    FROM (SELECT v.id, v.tree, v.depth, coalesce(m.mass, 0) AS mass FROM visited v
+      LEFT JOIN (SELECT host, log_source, tree, node, count(*) AS mass FROM visited
+        JOIN learned{w - 1} USING (id) GROUP BY ALL) m USING (host, log_source, tree, node)
+      WHERE v.win = {w})) GROUP BY id, tree) t ON t.id = e.id
+WHERE e.win = {w} GROUP BY e.id, e.log_source, e.flag"""
+    return f"""scored{w} AS MATERIALIZED ({scored}),
+learned{w} AS MATERIALIZED (SELECT id FROM scored{w} WHERE NOT flag
+  AND CASE WHEN log_source = 'linux' THEN score <= {MODEL_THRESHOLD} ELSE score < {anomaly.WINDOWS_LEARN_BELOW} END)"""
+
+
+SCORES_SQL = f"""
+WITH tok AS MATERIALIZED ({TOKENS_SQL}),
+th AS (SELECT log_entry_id, n, CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) AS h
+  FROM (SELECT log_entry_id, n, unnest(tk) AS x FROM tok)),
+ts AS (SELECT log_entry_id, h % n + 1 AS slot,
+  CASE WHEN (h >> 40) & 1 = 1 THEN -1 ELSE 1 END AS sign FROM th),
+tf AS (SELECT d.log_entry_id, d.i, coalesce(sum(ts.sign), 0)::DOUBLE AS v
+  FROM (SELECT log_entry_id, unnest(range(1, n + 1)) AS i FROM tok) d
+  LEFT JOIN ts ON ts.log_entry_id = d.log_entry_id AND ts.slot = d.i GROUP BY 1, 2),
+feat AS (SELECT log_entry_id AS id, list(v ORDER BY i) AS x FROM tf GROUP BY 1),
+mt AS (SELECT log_entry_id AS id, {MASK_SQL} AS template FROM linux_d WHERE raw_message <> ''),
+ent AS (SELECT template, -sum(p * log2(p)) AS entropy FROM (
+  SELECT template, count(*) / sum(count(*)) OVER (PARTITION BY template) AS p
+  FROM (SELECT template, unnest(regexp_extract_all(template, '(?s).')) AS ch
+        FROM (SELECT DISTINCT template FROM mt)) GROUP BY template, ch) GROUP BY template),
+base AS (SELECT l.id, lower(trim(s.hostname)) AS host, l.log_source, l.recv_time,
+  coalesce(ent.entropy, 0.0) AS entropy FROM log_entry l JOIN server s ON s.id = l.server_id
+  LEFT JOIN mt ON mt.id = l.id LEFT JOIN ent USING (template)
+  WHERE mt.id IS NOT NULL OR l.id IN (SELECT log_entry_id FROM windows_d)),
+ord AS (SELECT *, row_number() OVER w - 1 AS position,
+  (epoch_us(recv_time) - epoch_us(lag(recv_time) OVER w)) / 1000000.0 AS gap
+  FROM base WINDOW w AS (PARTITION BY host, log_source ORDER BY recv_time, id)),
+ev AS MATERIALIZED (SELECT ord.*, position // {MODEL_WINDOW} AS win, coalesce(gap, 0.0) AS delta,
+  log_source = 'linux' AND (coalesce(gap < 0.01, false) OR entropy > 5.5) AS flag,
+  CASE WHEN log_source = 'linux' THEN x || [coalesce(gap, 0.0)::DOUBLE, entropy::DOUBLE]
+    ELSE x || [coalesce(gap, 0.0)::DOUBLE] END AS x
+  FROM ord JOIN feat USING (id)),
+{", ".join(_level_sql(d) for d in range(HEIGHT))},
+nodes AS MATERIALIZED ({" UNION ALL ".join(f"SELECT f, tree, node, axis, cut FROM level{d}" for d in range(HEIGHT))}),
+walk0 AS (SELECT id, host, log_source, win, x, len(x) AS f, t.tree, 0 AS node FROM ev, range({TREES}) AS t(tree)),
+{", ".join(
+    f"walk{d + 1} AS MATERIALIZED (SELECT id, host, log_source, win, x, f, tree, "
+    f"2 * node + 1 + (x[axis + 1] >= cut)::INTEGER AS node FROM walk{d} JOIN nodes USING (f, tree, node))"
+    for d in range(HEIGHT))},
+visited AS MATERIALIZED ({" UNION ALL ".join(
+    f"SELECT id, host, log_source, win, tree, node, {d} AS depth FROM walk{d}" for d in range(HEIGHT + 1))}),
+{", ".join(_window_sql(w) for w in range(SQL_WINDOWS))},
+sc AS ({" UNION ALL ".join(f"SELECT id, score FROM scored{w}" for w in range(SQL_WINDOWS))})
+SELECT ev.id, ev.host, ev.log_source, {sql_time("ev.recv_time")} AS recv_time, ev.delta::DOUBLE AS delta,
+  ev.entropy::DOUBLE AS entropy, round(CASE WHEN flag THEN 1.0 ELSE score END, 6) AS score,
+  flag OR score > {MODEL_THRESHOLD} AS anomaly
+FROM ev JOIN sc USING (id)"""
+
+
+@query("host_anomaly_score", sql=SCORES_SQL)
 def host_anomaly_score(t: Tables):
     events = anomaly.host_events(t.logs, t.servers)
-    scored = anomaly.host_anomaly_score(events, window=MODEL_WINDOW)
+    scored = anomaly.host_anomaly_score(events, window=MODEL_WINDOW, threshold=MODEL_THRESHOLD)
     return scored.withColumn("score", F.round("score", 6))
 
 
-@query("persist_host_models")
+# Two runs, the second from what the first kept, are one run.
+@query("persist_host_models", sql=SCORES_SQL)
 def persist_host_models(t: Tables):
     events = anomaly.host_events(t.logs, t.servers)
     cut = F.lit("2024-01-16").cast("timestamp")
-    first = anomaly.score_events(events.where(F.col("recv_time") < cut), window=MODEL_WINDOW)
+    model = {"window": MODEL_WINDOW, "threshold": MODEL_THRESHOLD}
+    first = anomaly.score_events(events.where(F.col("recv_time") < cut), **model)
     state = cut_lineage(t.spark, anomaly.next_state(first, MODEL_WINDOW), "host-models")
-    later = anomaly.host_anomaly_score(events.where(F.col("recv_time") >= cut), state, MODEL_WINDOW)
+    later = anomaly.host_anomaly_score(events.where(F.col("recv_time") >= cut), state, **model)
     return anomaly.verdicts(first).unionByName(later).withColumn("score", F.round("score", 6))
 
 
