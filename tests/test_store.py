@@ -150,6 +150,13 @@ def test_parsed_batch_formats(spark, tmp_path):
         sinks.write_parsed_batch(parsed, str(path), kind)
         folders = sorted(p.name for p in path.iterdir() if p.is_dir())
         assert folders == ["log_type=linux", "log_type=nginx", "log_type=windows"]
+        reader = spark.read.options(**sinks.CSV_OPTIONS) if kind == "csv" else spark.read
+        linux = getattr(reader, kind)(f"{path}/log_type=linux").first()
+        assert (linux.app_name, linux.raw_message, linux.hostname) == ("syslog", "Test one", "host1")
+        nginx = getattr(reader, kind)(f"{path}/log_type=nginx").first()
+        assert (int(nginx.status), nginx.request_uri) == (404, "/Test")
+        windows = getattr(reader, kind)(f"{path}/log_type=windows").first()
+        assert '"event_id":"4625"' in windows.attrs
     with pytest.raises(ValueError):
         sinks.write_parsed_batch(parsed, str(tmp_path / "x"), "xml")
 
@@ -251,3 +258,29 @@ def test_registry_times_move(spark):
     assert [(r.first_seen, r.last_seen) for r in row] == [(NOW, NOW + timedelta(days=5))]
     assert [r.is_new for r in stats.register_servers(at(1), at(0)).collect()] == [False]
     assert [r.is_new for r in stats.register_servers(at(1), at()).collect()] == [True]
+
+
+def test_record_hooks_skip_the_records_they_fail_on(spark, tables):
+    from vigilog.operators import hooks
+
+    def change(record):
+        if record["id"] == 2:
+            raise RuntimeError("no")
+        return {"content": record["content"].upper(), "other": 1} if record["id"] == 1 else None
+
+    logs = tables[0]
+    got = {r.id: r.content for r in hooks.run_log_hooks(logs, [hooks.record_hook(change)]).collect()}
+    assert got == {1: LINES[0][2].upper(), 2: LINES[1][2], 3: LINES[2][2]}
+
+
+def test_threshold_stream_drops_late_rows(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "server_id bigint, recv_time timestamp"
+    for days in ([0, 0, 0], [5], [5], [0, 0]):
+        rows = [(1, NOW + timedelta(days=d)) for d in days]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    rows = live.stream_table(spark, path, schema, files_per_batch=1)
+    live.stream_threshold(rows, "server_id", "1 day", 1, out, str(tmp_path / "c"), "1 day").awaitTermination()
+    updates = spark.read.parquet(out)
+    got = live.latest_windows(updates, "server_id").orderBy("window_start").collect()
+    assert [r.matches for r in got] == [3, 2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
@@ -28,3 +29,34 @@ def run_log_hooks(logs: DataFrame, hooks: Sequence[Hook]) -> DataFrame:
         if changed is not None:
             logs = changed
     return logs
+
+
+def record_hook(change: Callable[[dict], dict | None]) -> Hook:
+    """A hook that changes one record at a time; one it fails on stays as it is.
+
+    ``change`` takes the record's columns by name and returns those that change, or
+    nothing. Its columns keep their types.
+    """
+
+    def hook(logs: DataFrame) -> DataFrame:
+        columns = logs.columns
+
+        def run(batches):
+            for batch in batches:
+                rows, failed = [], 0
+                for row in batch.to_pylist():
+                    try:
+                        changed = change(dict(row)) or {}
+                        one = {**row, **{c: v for c, v in changed.items() if c in columns}}
+                        rows.append(pa.RecordBatch.from_pylist([one], batch.schema))
+                    except Exception as error:  # whatever a user's function raises
+                        failed, last = failed + 1, error
+                        rows.append(pa.RecordBatch.from_pylist([row], batch.schema))
+                if failed:
+                    LOG.warning("record hook left %d records as they were: %s", failed, last)
+                if rows:
+                    yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+        return logs.mapInArrow(run, logs.schema)
+
+    return hook

@@ -257,12 +257,12 @@ def top_threats(alerts: DataFrame, limit: int = 10) -> DataFrame:
 def affected_hosts(alerts: DataFrame, servers: DataFrame) -> DataFrame:
     """Per host: distinct alerts, greatest severity as text and by rank.
 
-    The alert id is the key of an alert table, so alerts are counted once per copy
-    of the id; they are counted per server before the names are joined.
+    The alert id is the key of an alert table, so rows are counted; they are counted per
+    server before the names are joined.
     """
     rank = severity_rank(F.col("severity"))
     per_server = alerts.groupBy(F.col("server_id").alias("id")).agg(
-        F.countDistinct("alert_id").alias("alerts"),
+        F.count("*").alias("alerts"),
         F.max("severity").alias("max_severity"),
         F.min(rank).alias("best"),
     )

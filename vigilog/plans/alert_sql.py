@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilog.plans.fixtures import CTES, _q
+from vigilog.plans.fixtures import CTES, FOREIGN, _q
 from vigilog.rules.pack import packaged_rows
 
 # m: message, p: program, raw: whole line, all lower-cased.
@@ -122,6 +122,9 @@ SELECT h.rule_id || '_' || l.id AS alert_id, l.id AS log_entry_id, l.server_id,
   h.rule_id, t.severity, t.title, t.description, l.recv_time AS triggered_at,
   l.id % 3 = 0 AS resolved
 FROM rule_hit h JOIN rule_text t USING (rule_id) JOIN log_entry l ON l.id = h.log_entry_id"""
+CTES["foreign_alert"] = f"""
+SELECT * REPLACE (CASE WHEN log_entry_id % 7 = 0 THEN server_id + {FOREIGN} ELSE server_id END
+  AS server_id) FROM alert"""
 CTES["alert_text"] = """
 SELECT a.*, substr(l.content, 1, 500) AS raw_line,
   coalesce(d.raw_message, json_extract_string(w.content, '$.message')) AS message

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from vigilog.operators import correlate, detect
@@ -9,6 +11,7 @@ from vigilog.plans.catalog import query, sql_time
 from vigilog.plans.fixtures import Tables
 from vigilog.rules import pack
 from vigilog.rules.pack import Rule
+from vigilog.session import shared_dir
 
 
 def one_rule(source: str, selection, condition: str = "selection", **blocks) -> Rule:
@@ -29,7 +32,10 @@ FROM rule_text t LEFT JOIN rule_hit h USING (rule_id) GROUP BY ALL""",
 )
 def load_rule_table(t: Tables):
     per_rule = t.alerts.groupBy("rule_id").agg(F.count("*").alias("n"))
-    table = pack.rules_frame(t.spark).withColumnRenamed("id", "rule_id")
+    path = shared_dir(t.spark, "rules")
+    rows = [json.dumps(r) for r in [*pack.packaged_rows(), {"id": "no-detection"}]]
+    t.spark.createDataFrame([(r,) for r in rows], "value string").write.text(f"{path}/linux")
+    table = pack.read_rules(t.spark, path).withColumnRenamed("id", "rule_id")
     return table.join(per_rule, "rule_id", "left").select(
         "rule_id", "title", "level", F.coalesce("n", F.lit(0)).alias("alerts")
     )
@@ -379,8 +385,8 @@ SELECT log_entry_id, ssh_ip, {sql_time("recv_time")} AS recv_time, recent FROM (
   WHERE contains(lower(l.content), 'failed password')) WHERE recent > 2""",
 )
 def brute_force_sliding(t: Tables):
-    failed = correlate.failed_password_lines(t.logs).select(
-        F.col("id").alias("log_entry_id"), "recv_time"
+    failed = detect.parsed_view(correlate.failed_password_lines(t.logs))
+    failures = failed.where("linux IS NOT NULL").select(
+        F.col("id").alias("log_entry_id"), "recv_time", F.col("linux.ssh_ip").alias("ssh_ip")
     )
-    failures = failed.join(t.linux.select("log_entry_id", "ssh_ip"), "log_entry_id")
     return correlate.brute_force(failures, "ssh_ip", seconds=86400, limit=2)

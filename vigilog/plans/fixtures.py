@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from vigilog.operators import detect, ingest
 from vigilog.rules.pack import packaged_rules
-from vigilog.session import prepare
+from vigilog.session import cut_lineage, prepare
 
 SOURCES = ["linux", "windows", "nginx", "zeek_conn"]
 PAGE_TIME = "15/Jan/2024:10:23:45 +0000"
 FILE_TIME = "2024-01-31 00:00:00"
+FOREIGN = 100_000_000  # added to ids of servers to make them unknown
 
 
 def _text(*parts: str | Column) -> Column:
@@ -235,14 +236,24 @@ class Tables:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """Alerts of the packaged rules; every third log's alerts are resolved."""
+        """Alerts of the packaged rules; every third log's alerts are resolved.
+
+        They are written once, so a query that uses them several times derives them once.
+        """
         found = detect.run_rules(self.logs, self.rules)
-        return found.select(
+        rows = found.select(
             "alert_id", "log_entry_id", "server_id", "log_source", "rule_id",
             "severity", "title", "description",
             F.col("recv_time").alias("triggered_at"),
             (F.col("log_entry_id") % 3 == 0).alias("resolved"),
         )
+        return cut_lineage(self.spark, rows, "alerts")
+
+    @property
+    def foreign_alerts(self) -> DataFrame:
+        """The alerts, every seventh log's with a server that the registry does not hold."""
+        foreign = F.when(F.col("log_entry_id") % 7 == 0, F.col("server_id") + FOREIGN)
+        return self.alerts.withColumn("server_id", F.coalesce(foreign, "server_id"))
 
 
 # ---- the same views as SQL ----------------------------------------------------

@@ -252,11 +252,10 @@ def alerts_server_log(t: Tables):
     "alerts_left_server",
     sql=f"""
 SELECT {ALERT_COLUMNS}, coalesce(s.hostname, 'Unknown') AS hostname, s.ip_address
-FROM alert a LEFT JOIN server s ON s.id = a.server_id AND s.id % 2 = 0""",
+FROM foreign_alert a LEFT JOIN server s ON s.id = a.server_id""",
 )
 def alerts_left_server(t: Tables):
-    known = t.servers.where(F.col("id") % 2 == 0)
-    return lookups.alerts_left_server(t.alerts, known)
+    return lookups.alerts_left_server(t.foreign_alerts, t.servers)
 
 
 @query(

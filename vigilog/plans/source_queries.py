@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilog.functions.text import strip
-from vigilog.operators import hooks, ingest, snapshots
+from vigilog.operators import detect, hooks, ingest, snapshots
 from vigilog.plans.catalog import query, sql_time
-from vigilog.plans.fixtures import FILE_TIME, Tables
+from vigilog.plans.fixtures import ACCESS_SQL, FILE_TIME, HEADER_SQL, Tables, _q
 from vigilog.session import shared_dir
 from vigilog.sources import exports, files, sinks
 from vigilog.streaming import live
@@ -81,13 +81,25 @@ def read_conn_logs(t: Tables):
 
 @query(
     "write_parsed_batch",
-    sql="SELECT log_type, src_ip, line FROM typed_line WHERE log_type IS NOT NULL",
+    sql=f"""
+SELECT log_type, src_ip, line, CASE log_type
+  WHEN 'linux' THEN regexp_extract(t, {_q(HEADER_SQL)}, 3)
+  WHEN 'nginx' THEN regexp_extract(t, {_q(ACCESS_SQL)}, 4)
+  WHEN 'zeek_conn' THEN string_split(t, chr(9))[2]
+  ELSE json_extract_string(t, '$.channel') END AS field
+FROM typed_line WHERE log_type IS NOT NULL""",
 )
 def write_parsed_batch(t: Tables):
     path = shared_dir(t.spark, "parsed")
-    sinks.write_parsed_batch(ingest.parse_lines(t.raw_lines), path, "json")
-    schema = "recv_time timestamp, src_ip string, line string, record string, log_type string"
-    return t.spark.read.schema(schema).json(path).select("log_type", "src_ip", "line")
+    sinks.write_parsed_batch(ingest.parse_lines(t.raw_lines), path, "csv")
+    field = {"linux": "app_name", "nginx": "request_method", "zeek_conn": "uid", "windows": "attrs"}
+    out = None
+    for log_type, name in field.items():
+        rows = t.spark.read.options(**sinks.CSV_OPTIONS).csv(f"{path}/log_type={log_type}")
+        value = F.get_json_object(name, "$.channel") if log_type == "windows" else F.col(name)
+        rows = rows.select(F.lit(log_type).alias("log_type"), "src_ip", "line", value.alias("field"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(
@@ -144,9 +156,8 @@ def export_ocsf(t: Tables):
 
 
 def _alert_export(t: Tables):
-    known = t.servers.where(F.col("server_type") != "nginx")
-    names = known.select(F.col("id").alias("server_id"), "hostname")
-    return exports.alert_rows(t.alerts.join(names, "server_id", "left"))
+    names = t.servers.select(F.col("id").alias("server_id"), "hostname")
+    return exports.alert_rows(t.foreign_alerts.join(names, "server_id", "left"))
 
 
 # Sealed text is a 12-byte nonce, the JSON of the alert and a 16-byte tag.
@@ -161,7 +172,7 @@ SELECT CAST(strlen('{"alert_id":"' || a.alert_id || '","title":"' || a.title
   || '":' || chr(92) || '"' || a.rule_id || chr(92) || '",' || chr(92) || '"log_source' || chr(92)
   || '":' || chr(92) || '"' || a.log_source || chr(92) || '",' || chr(92) || '"log_entry_id'
   || chr(92) || '":' || a.log_entry_id || '}"}') + 28 AS INTEGER) AS bytes
-FROM alert a LEFT JOIN server s ON s.id = a.server_id AND s.server_type <> 'nginx'""",
+FROM foreign_alert a LEFT JOIN server s ON s.id = a.server_id""",
 )
 def export_alerts_encrypted(t: Tables):
     sealed = exports.encrypt_alerts(_alert_export(t), EXAMPLE_KEY)
@@ -175,7 +186,7 @@ SELECT a.alert_id, a.title, a.description, a.severity, a.resolved,
   strftime(a.triggered_at, '%Y-%m-%dT%H:%M:%S.%f') AS triggered_at,
   coalesce(s.hostname, 'Unknown') AS hostname, '{"rule_id":"' || a.rule_id || '","log_source":"'
     || a.log_source || '","log_entry_id":' || a.log_entry_id || '}' AS metadata
-FROM alert a LEFT JOIN server s ON s.id = a.server_id AND s.server_type <> 'nginx'""",
+FROM foreign_alert a LEFT JOIN server s ON s.id = a.server_id""",
 )
 def import_alerts_encrypted(t: Tables):
     path = shared_dir(t.spark, "sealed")
@@ -267,14 +278,20 @@ def stream_parse(t: Tables):
 @query(
     "stream_threshold",
     sql=f"""
-SELECT server_id, {sql_time("date_trunc('day', recv_time)")} AS window_start, count(*) AS matches
-FROM log_entry GROUP BY ALL HAVING count(*) > 2""",
+SELECT server_id, {sql_time("date_trunc('day', triggered_at)")} AS window_start, count(*) AS matches
+FROM alert WHERE rule_id = 'lin-ssh-failed' GROUP BY ALL HAVING count(*) > 1""",
 )
 def stream_threshold(t: Tables):
     out = shared_dir(t.spark, "windows")
-    logs = live.stream_table(t.spark, _log_table(t), t.logs.schema)
+    # Three files, one after the other in time, so that the watermark moves between batches.
+    path = shared_dir(t.spark, "logs")
+    for start, end in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        part = t.logs.where((F.col("recv_time") >= start) & (F.col("recv_time") < end))
+        part.coalesce(1).write.mode("append").parquet(path)
+    logs = live.stream_table(t.spark, path, t.logs.schema, files_per_batch=1)
+    found = detect.run_rules(logs, [r for r in t.rules if r.id == "lin-ssh-failed"])
     live.stream_threshold(
-        logs, "server_id", "1 day", 2, out, shared_dir(t.spark, "checkpoint"), delay="40 days"
+        found, "server_id", "1 day", 1, out, shared_dir(t.spark, "checkpoint"), delay="1 day"
     ).awaitTermination()
     schema = "server_id bigint, window_start timestamp, matches bigint, batch bigint"
     return live.latest_windows(t.spark.read.schema(schema).parquet(out), "server_id")
@@ -361,7 +378,13 @@ def log_hooks(t: Tables):
             "id", F.upper("log_source").alias("log_source"), F.length("content").alias("size")
         )
 
-    return hooks.run_log_hooks(t.logs, [without_connections, failing, unchanged, with_size])
+    def failing_on_most(record):
+        return {"content": record["content"], "server_id": 1 // (record["id"] % 2)}
+
+    record_hooks = [hooks.record_hook(failing_on_most)]
+    return hooks.run_log_hooks(
+        t.logs, [without_connections, failing, unchanged, *record_hooks, with_size]
+    )
 
 
 @query(

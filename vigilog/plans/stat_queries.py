@@ -210,12 +210,11 @@ def affected_hosts(t: Tables):
     "alerts_by_server",
     sql="""
 SELECT coalesce(s.hostname, 'ID:' || a.server_id) AS server, count(*) AS alerts
-FROM alert a LEFT JOIN server s ON s.id = a.server_id AND s.server_type <> 'nginx'
+FROM foreign_alert a LEFT JOIN server s ON s.id = a.server_id
 GROUP BY a.server_id, s.hostname""",
 )
 def alerts_by_server(t: Tables):
-    known = t.servers.where("server_type <> 'nginx'")
-    return stats.alerts_by_server(t.alerts, known)
+    return stats.alerts_by_server(t.foreign_alerts, t.servers)
 
 
 @query(

@@ -4,35 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilog.functions.parsers import STORED_TIME
+from vigilog.session import cut_lineage
 
 CSV_COLUMNS = ["Timestamp", "Level", "Source", "Message"]
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true"}
 
 
-def _record_json(parsed: DataFrame) -> Column:
-    types = [c for c in parsed.columns if c in ("linux", "nginx", "windows", "zeek_conn")]
-    return F.coalesce(*[F.to_json(F.col(c)) for c in types])
-
-
 def write_parsed_batch(
     parsed: DataFrame, path: str, file_format: str = "json", mode: str = "append"
 ) -> None:
     """Rows of ``ingest.parse_lines`` to one folder per log type, as NDJSON or CSV.
 
-    Every row holds the envelope and its record as JSON text.
+    Every row holds the envelope and the columns of its type; attributes without fixed
+    names are one JSON column ``attrs``. The parsed rows are written once before, so
+    lines are parsed once however many types there are.
     """
     if file_format not in ("json", "csv"):
         raise ValueError(f"unknown format {file_format!r}")
-    rows = parsed.where(F.col("log_type").isNotNull()).select(
-        "log_type", "recv_time", "src_ip", "line", _record_json(parsed).alias("record")
-    )
-    writer = rows.write.mode(mode).partitionBy("log_type")
-    if file_format == "csv":
-        writer.options(header="true", escape='"').csv(path)
-    else:
-        writer.json(path)
+    spark = parsed.sparkSession
+    rows = cut_lineage(spark, parsed.where(F.col("log_type").isNotNull()), "parsed")
+    found = {r["log_type"] for r in rows.select("log_type").distinct().collect()}
+    for field in parsed.schema.fields:
+        if field.name not in found:
+            continue
+        own = rows.where(F.col("log_type") == field.name)
+        if isinstance(field.dataType, T.StructType):
+            columns = [F.col(f"{field.name}.{c}").alias(c) for c in field.dataType.fieldNames()]
+        else:
+            columns = [F.to_json(F.col(field.name)).alias("attrs")]
+        writer = own.select("recv_time", "src_ip", "line", *columns).write.mode(mode)
+        target = f"{path}/log_type={field.name}"
+        if file_format == "csv":
+            writer.options(**CSV_OPTIONS).csv(target)
+        else:
+            writer.json(target)
 
 
 def archive_lines(envelopes: DataFrame) -> DataFrame:
