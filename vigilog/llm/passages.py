@@ -17,8 +17,9 @@ similarity of ``SIMILARITY`` or more.
 * In each meeting all texts are paired with one of them. A pair is examined whole: its
   windows are intersected over all functions, intervals covered by at least
   ``ENOUGH`` functions are candidates, and their shingle sets decide.
-* Rounds go on with another text of each meeting that still holds unlinked texts, until a
-  round links nothing new; so a meeting costs rows, not pairs, for each of its texts.
+* Rounds go on with LEADS other texts of each meeting that still holds several classes,
+  until a round links nothing new; so a meeting costs a few rows, not all pairs, for each
+  of its texts, and one of few texts is compared in full.
 * Equal texts are one text from the start. Connected components of the links are classes.
 
 Null texts have no words and no passages. Rows that repeat share their text's class. Rows
@@ -28,11 +29,12 @@ empty table gives no rows. Columns beyond the named ones are not looked at.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.llm.components import components
@@ -46,53 +48,67 @@ HASHES, ENOUGH = 5, 3
 CONTEXT = 20  # words around a place that divide a meeting
 SHIFT = 8  # words by which places may drift inside one passage
 BLOOM_BITS = 26
+LEADS = 4  # texts of a meeting that a later round pairs with the others
+ALIGNED = 0.6  # share of a span's tokens that must be paired before its sets are compared
+_AT_ONCE = 1_000_000  # words of pairs examined together
 _LEAST = MIN_WORDS - SHINGLE + 1  # shingles of the shortest passage
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def compact_windows(values: np.ndarray, first: np.ndarray, least: int):
+def compact_windows(values: np.ndarray, first: np.ndarray, least: int, ties: bool = True):
     """(place, left, right) of the compact windows of at least ``least`` tokens.
 
-    ``values`` are the hashes of texts put end to end, text ``d`` at first[d]:first[d + 1];
-    bounds are inclusive and stay inside the text. Of equal hashes the leftmost is smaller.
+    ``values`` are the hashes (none 0) of texts put end to end, text ``d`` at
+    first[d]:first[d + 1]; bounds are inclusive and stay inside the text. Of equal hashes
+    the leftmost is smaller. Without ``ties``, a window is left out whose hash stands in
+    the window of an equal one less than ``least`` tokens before it, as in a text that
+    repeats a few words over and over.
     """
     n = len(values)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
     low = sliding_min(values, least)
-    sizes = np.diff(first)
-    end = np.repeat(first[1:], sizes)
+    end = np.repeat(first[1:], np.diff(first))
     whole = np.arange(len(low)) + least <= end[: len(low)]
     # A place has a window long enough only if it is smallest in some run of that length,
     # and then so is the nearest smaller place on either side: the tree needs no others.
-    padded = np.full(n + 2 * least, np.uint64(0), dtype=np.uint64)
+    # It is smallest in one of the runs around it if it equals the largest of their minima.
+    padded = np.zeros(n + 2 * least, dtype=np.uint64)
     padded[least : least + len(low)] = np.where(whole, low, np.uint64(0))
-    # Largest of the minima of the runs around a place: the place is smallest in one of them
-    # exactly if it equals that.
     best = ~sliding_min(~padded, least)[1 : n + 1]
     places = np.flatnonzero((values == best) & (best > 0))
+    if not len(places):
+        return (np.zeros(0, np.int64),) * 3
     owner = np.searchsorted(first, places, side="right") - 1
-    begins, ends = first[owner], first[owner + 1] - 1
-    left, right = [], [0] * len(places)
-    stack: list[int] = []
-    spots, hashes, owners = places.tolist(), values[places].tolist(), owner.tolist()
-    starts, stops = begins.tolist(), ends.tolist()
-    now = -1
-    for i, (spot, value) in enumerate(zip(spots, hashes)):
-        if owners[i] != now:
-            for j in stack:
-                right[j] = stops[j]
-            stack = []
-            now = owners[i]
-        while stack and hashes[stack[-1]] > value:
-            right[stack.pop()] = spot - 1
-        left.append(spots[stack[-1]] + 1 if stack else starts[i])
-        stack.append(i)
-    for j in stack:
-        right[j] = stops[j]
-    left, right = np.array(left, np.int64), np.array(right, np.int64)
-    long = right - left + 1 >= least
-    return places[long], left[long], right[long]
+    # A 0 between texts, smaller than every hash, ends all searches.
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    at = np.arange(len(places)) + np.cumsum(np.diff(owner, prepend=-1) != 0)
+    tree = np.zeros(len(places) + len(starts) + 1, dtype=np.uint64)
+    spot = np.full(len(tree), -1, dtype=np.int64)
+    tree[at], spot[at] = values[places], places
+    before, after = _nearest_smaller(tree, -1)[at], _nearest_smaller(tree, 1)[at]
+    left = np.where(spot[before] < 0, first[owner], spot[before] + 1)
+    right = np.where(spot[after] < 0, first[owner + 1] - 1, spot[after] - 1)
+    kept = right - left + 1 >= least
+    if not ties:
+        kept &= (tree[before] != tree[at]) | (places - spot[before] >= least)
+    return places[kept], left[kept], right[kept]
+
+
+def _nearest_smaller(tree: np.ndarray, side: int) -> np.ndarray:
+    """For each value the nearest smaller one on a side (on the left equal ones count).
+
+    All links are followed at once: what lies between a value and where its link points is
+    never smaller, so a link that points at a larger value may take over that one's link.
+    """
+    link = np.arange(len(tree)) + side
+    link[0], link[-1] = 0, len(tree) - 1
+    todo = np.flatnonzero(tree)
+    while len(todo):
+        there = tree[link[todo]]
+        todo = todo[there > tree[todo] if side < 0 else there >= tree[todo]]
+        link[todo] = link[link[todo]]
+    return link
 
 
 def _tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +130,7 @@ def _meetings(words: Words, nodes: np.ndarray, nonce: int) -> pa.RecordBatch:
     keys, contexts, owners = [], [], []
     for seed in _SEEDS:
         values = mix(tokens ^ seed)
-        place, _, _ = compact_windows(values, bounds, _LEAST)
+        place, _, _ = compact_windows(values, bounds, _LEAST, ties=False)
         word = at[place]
         to_right = np.zeros(len(word), np.uint64)
         fits = word + CONTEXT <= doc_end[word]
@@ -205,32 +221,52 @@ def meetings(texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_shared, "grp long, node long").distinct()
 
 
+@dataclass
 class Prepared:
-    """A text's word hashes with its windows, made when first asked for."""
-
-    def __init__(self, packed: bytes):
-        self.hashes = mix(np.frombuffer(packed, np.uint32).astype(np.uint64))
-        first = np.array([0, len(self.hashes)])
-        self.tokens, bounds, _ = _tokens(self.hashes, first)
-        found = [compact_windows(mix(self.tokens ^ s), bounds, _LEAST) for s in _SEEDS]
-        self.function = np.repeat(np.arange(HASHES), [len(f[0]) for f in found])
-        self.place, self.left, self.right = (np.concatenate([f[x] for f in found]) for x in range(3))
-        self.key = mix(self.tokens[self.place] ^ _SEEDS[self.function])
-        self.by_key = np.argsort(self.key, kind="stable")
+    """A text's tokens and its windows, in order of their keys."""
+
+    tokens: np.ndarray
+    key: np.ndarray
+    function: np.ndarray
+    place: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def prepared(packed: list[bytes]) -> list[Prepared]:
+    """All texts' windows at once: one run over the texts for all functions."""
+    short = [np.frombuffer(x, np.uint32) for x in packed]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int64)
+    hashes = mix(np.concatenate([np.zeros(0, np.uint32), *short]).astype(np.uint64))
+    tokens, bounds, _ = _tokens(hashes, first)
+    n = len(tokens)
+    values = np.concatenate([mix(tokens ^ s) for s in _SEEDS])
+    firsts = np.concatenate([bounds[:-1] + f * n for f in range(HASHES)] + [[HASHES * n]]).astype(np.int64)
+    place, left, right = compact_windows(values, firsts, _LEAST, ties=False)
+    function = place // n if n else place
+    place, left, right = place - function * n, left - function * n, right - function * n
+    text = np.searchsorted(bounds, place, side="right") - 1
+    key = mix(tokens[place] ^ _SEEDS[function])
+    order = np.lexsort((key, text))
+    text = text[order]
+    place, left, right = (x[order] - bounds[text] for x in (place, left, right))
+    key, function = key[order], function[order]
+    cuts = np.searchsorted(text, np.arange(len(packed) + 1)).tolist()
+    edges = bounds.tolist()
+    return [
+        Prepared(tokens[edges[d] : edges[d + 1]], *(x[cuts[d] : cuts[d + 1]] for x in (key, function, place, left, right)))
+        for d in range(len(packed))
+    ]
 
 
 def _collisions(a: Prepared, b: Prepared):
     """Windows of both texts with the same function and hash; each place with the other's first."""
-    keys_a, keys_b = a.key[a.by_key], b.key[b.by_key]
-    to_b = np.searchsorted(keys_b, keys_a)
-    to_b_ok = np.minimum(to_b, max(len(keys_b) - 1, 0))
-    hit = (keys_b[to_b_ok] == keys_a) if len(keys_b) else np.zeros(len(keys_a), dtype=bool)
-    one = a.by_key[hit], b.by_key[to_b_ok[hit]]
-    to_a = np.searchsorted(keys_a, keys_b)
-    to_a_ok = np.minimum(to_a, max(len(keys_a) - 1, 0))
-    hit = (keys_a[to_a_ok] == keys_b) if len(keys_a) else np.zeros(len(keys_b), dtype=bool)
-    two = a.by_key[to_a_ok[hit]], b.by_key[hit]
-    return np.concatenate((one[0], two[0])), np.concatenate((one[1], two[1]))
+    if not len(a.key) or not len(b.key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    to_b = np.minimum(np.searchsorted(b.key, a.key), len(b.key) - 1)
+    to_a = np.minimum(np.searchsorted(a.key, b.key), len(a.key) - 1)
+    one, two = np.flatnonzero(b.key[to_b] == a.key), np.flatnonzero(a.key[to_a] == b.key)
+    return np.concatenate((one, to_a[two])), np.concatenate((to_b[one], two))
 
 
 def near_passages(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
@@ -241,87 +277,105 @@ def near_passages(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
     drift = a.place[i] - b.place[j]
     order = np.argsort(drift, kind="stable")
     i, j, drift = i[order], j[order], drift[order]
+    low = np.maximum(a.left[i], b.left[j] + drift)
+    high = np.minimum(a.right[i], b.right[j] + drift) + 1
+    edges = np.flatnonzero(np.diff(drift) > SHIFT) + 1
+    begins, ends = np.append(0, edges), np.append(edges, len(i))
     out: set[tuple[int, int, int, int]] = set()
-    for own in np.split(np.arange(len(i)), np.flatnonzero(np.diff(drift) > SHIFT) + 1):
-        low = np.maximum(a.left[i[own]], b.left[j[own]] + drift[own])
-        high = np.minimum(a.right[i[own]], b.right[j[own]] + drift[own]) + 1
-        wide = high - low >= _LEAST - SHIFT
-        if np.unique(a.function[i[own]][wide]).size < ENOUGH:
+    for x in np.flatnonzero(ends - begins >= ENOUGH).tolist():
+        own = slice(begins[x], ends[x])
+        wide = high[own] - low[own] >= _LEAST - SHIFT
+        function = a.function[i[own]][wide]
+        if np.count_nonzero(np.bincount(function, minlength=HASHES)) < ENOUGH:
             continue
-        low, high, function = low[wide], high[wide], a.function[i[own]][wide]
-        marks = np.unique(np.concatenate((low, high)))
-        cover = np.zeros(len(marks), np.int64)
-        for f in range(HASHES):
-            step = np.zeros(len(marks), np.int64)
-            np.add.at(step, np.searchsorted(marks, low[function == f]), 1)
-            np.add.at(step, np.searchsorted(marks, high[function == f]), -1)
-            cover += np.cumsum(step) > 0
-        enough = np.concatenate(([False], cover >= ENOUGH, [False]))
-        opened = np.flatnonzero(enough[1:] & ~enough[:-1])
-        closed = np.flatnonzero(~enough[1:] & enough[:-1])
-        for x, y in zip(marks[opened].tolist(), marks[np.minimum(closed, len(marks) - 1)].tolist()):
-            out.update(_verified(a.tokens, b.tokens, x, y, int(drift[own[0]]), int(drift[own[-1]])))
+        drifts = np.unique(drift[own][wide])
+        for begin, end in _covered(low[own][wide], high[own][wide], function):
+            out.update(_verified(a.tokens, b.tokens, begin, end, drifts))
     return sorted(out)
 
 
-def _verified(a: np.ndarray, b: np.ndarray, begin: int, end: int, drift_low: int, drift_high: int):
-    """Spans inside begin..end of ``a`` that are near-duplicates of spans of ``b``."""
-    back = max(0, begin - drift_high - SHIFT), min(len(b), end - drift_low + SHIFT)
-    places_in_b: dict[int, list[int]] = {}
-    for p, x in enumerate(b[back[0] : back[1]].tolist(), back[0]):
-        places_in_b.setdefault(x, []).append(p)
-    pairs = []
-    for p, x in enumerate(a[begin:end].tolist(), begin):
-        if places := places_in_b.get(x):
-            at = bisect_left(places, p - (drift_low + drift_high) // 2)
-            q = min(places[max(at - 1, 0) : at + 1], key=lambda q: abs(2 * (p - q) - drift_low - drift_high))
-            if drift_low - SHIFT <= p - q <= drift_high + SHIFT:
-                pairs.append((p, q))
-    found, todo = [], [pairs]
+def _covered(low: np.ndarray, high: np.ndarray, function: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal intervals that lie in windows of at least ENOUGH functions."""
+    marks = np.unique(np.concatenate((low, high)))
+    step = np.zeros((HASHES, len(marks)), np.int64)
+    np.add.at(step, (function, np.searchsorted(marks, low)), 1)
+    np.add.at(step, (function, np.searchsorted(marks, high)), -1)
+    enough = (np.cumsum(step, axis=1) > 0).sum(0) >= ENOUGH
+    change = np.diff(np.concatenate(([0], enough.astype(np.int8), [0])))
+    opened, closed = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    return list(zip(marks[opened].tolist(), marks[np.minimum(closed, len(marks) - 1)].tolist()))
+
+
+def _verified(a: np.ndarray, b: np.ndarray, begin: int, end: int, drifts: np.ndarray):
+    """Spans inside begin..end of ``a`` that are near-duplicates of spans of ``b``.
+
+    Equal tokens are paired along the drifts of the windows that met; between the ends of
+    a run of pairs the token sets decide, and a span that is not alike enough is cut at
+    its widest gap.
+    """
+    back = np.full(end - begin, -1, np.int64)
+    for d in drifts.tolist():
+        low, high = max(begin, d), min(end, len(b) + d)
+        if high > low:
+            at = np.flatnonzero(a[low:high] == b[low - d : high - d]) + low
+            at = at[back[at - begin] < 0]
+            back[at - begin] = at - d
+    p = np.flatnonzero(back >= 0)
+    q = back[p]
+    p = p + begin
+    if len(p) < _LEAST * SIMILARITY:
+        return []
+    gaps = np.maximum(np.diff(p), np.abs(np.diff(q)))
+    found, todo = [], [(0, len(p))]
     while todo:
-        part = todo.pop()
-        if len(part) < _LEAST * SIMILARITY:
+        x, y = todo.pop()
+        if y - x < _LEAST * SIMILARITY:
             continue
-        p = np.array(part)
-        a0, a1, b0, b1 = p[0, 0], p[-1, 0] + 1, p[:, 1].min(), p[:, 1].max() + 1
+        a0, a1, b0, b1 = p[x], p[y - 1] + 1, q[x:y].min(), q[x:y].max() + 1
         if min(a1 - a0, b1 - b0) < _LEAST:
             continue
-        one, two = np.unique(a[a0:a1]), np.unique(b[b0:b1])
-        common = np.intersect1d(one, two, assume_unique=True).size
-        if common >= SIMILARITY * (one.size + two.size - common):
+        # Far fewer pairs than either span has tokens: no need to compare the sets.
+        if y - x >= ALIGNED * max(a1 - a0, b1 - b0) and _alike(a[a0:a1], b[b0:b1]):
             found.append((int(a0), int(a1) + SHINGLE - 1, int(b0), int(b1) + SHINGLE - 1))
             continue
-        gaps = np.maximum(np.diff(p[:, 0]), np.abs(np.diff(p[:, 1])))
-        if not len(gaps) or gaps.max() <= 1:
-            continue
-        cut = int(gaps.argmax()) + 1
-        todo += [part[:cut], part[cut:]]
+        cut = x + int(gaps[x : y - 1].argmax())
+        if gaps[cut] > 1:
+            todo += [(x, cut + 1), (cut + 1, y)]
     return found
 
 
-def _examined(batches):
-    """Verified passages of pairs: (a, b, a_begin, a_end, b_begin, b_end)."""
-    remembered: dict[str, Prepared] = {}
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sets of tokens have the similarity asked for."""
+    one, two = np.unique(a), np.unique(b)
+    common = len(one) + len(two) - len(np.unique(np.concatenate((one, two))))
+    return common >= SIMILARITY * (len(one) + len(two) - common)
 
-    def ready(name, packed):
-        if name not in remembered:
-            if len(remembered) >= 64:
-                remembered.clear()
-            remembered[name] = Prepared(packed.as_py())
-        return remembered[name]
 
+def _examined(batches):
+    """Verified passages of pairs: (a, b, a_begin, a_end, b_begin, b_end)."""
     names = ["a", "b", "a_begin", "a_end", "b_begin", "b_end"]
     for batch in batches:
-        rows = []
-        for at in range(batch.num_rows):
-            a, b = batch.column("id_a")[at].as_py(), batch.column("id_b")[at].as_py()
-            one = ready(a, batch.column("words_a")[at])
-            two = ready(b, batch.column("words_b")[at])
-            rows += [(a, b, *span) for span in near_passages(one, two)]
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.string() if n in "ab" else pa.int32()) for n, c in zip(names, cols)], names
-        )
+        sizes = [pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("words_a", "words_b")]
+        steps = np.cumsum(sizes[0] + sizes[1]) // (4 * _AT_ONCE)
+        for step in np.unique(steps):
+            own = np.flatnonzero(steps == step)
+            yield _pairs_examined(batch.slice(int(own[0]), len(own)), names)
+
+
+def _pairs_examined(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    ids = [batch.column(c).to_pylist() for c in ("id_a", "id_b")]
+    packed: dict[str, bytes] = {}
+    for side, column in zip(ids, ("words_a", "words_b")):
+        words = batch.column(column)
+        for at, name in enumerate(side):
+            if name not in packed:
+                packed[name] = words[at].as_py()
+    ready = dict(zip(packed, prepared(list(packed.values()))))
+    rows = [(a, b, *span) for a, b in zip(*ids) for span in near_passages(ready[a], ready[b])]
+    cols = list(zip(*rows)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.string() if n in "ab" else pa.int32()) for n, c in zip(names, cols)], names
+    )
 
 
 def _needed(nodes: DataFrame):
@@ -359,47 +413,61 @@ def _packed_texts(texts: DataFrame, meet: DataFrame) -> DataFrame:
     return found.groupBy("node", "id").agg(F.first("words").alias("words"))
 
 
-def _links(texts: DataFrame, meet: DataFrame) -> DataFrame:
-    """Verified passages over all rounds, as _examined gives them."""
+def _links(texts: DataFrame, meet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified passages of all rounds, as _examined gives them, and (node, root) of their texts."""
     spark = texts.sparkSession
     packed = keep(_packed_texts(texts, meet), "passage-texts")
-    one = packed.select(F.col("node").alias("x"), F.col("id").alias("id_a"), F.col("words").alias("words_a"))
-    two = packed.select(F.col("node").alias("y"), F.col("id").alias("id_b"), F.col("words").alias("words_b"))
-    tested = found = labels = None
+    lead = meet.groupBy("grp").agg(F.min("node").alias("lead"))
+    pairs = meet.join(lead, "grp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    tested = keep(pairs.distinct(), "passage-pairs")
+    found = _passages_of(tested, packed)
+    roots = keep(components(found.select("a", "b").distinct()), "passage-roots")
+    names = packed.select("node", "id")
     turn = 0
     while True:
-        if labels is None:
-            lead = meet.groupBy("grp").agg(F.min("node").alias("lead"))
-            pairs = meet.join(lead, "grp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
-            pairs = pairs.distinct()
-        else:
-            placed = meet.join(labels, "node", "left").select(
-                "grp", "node", F.coalesce("label", F.col("node").cast("string")).alias("label")
-            )
-            first = placed.groupBy("grp").agg(F.min_by("label", "node").alias("head"),
-                                                F.min("label").alias("low"), F.max("label").alias("high"))
-            placed = placed.join(first.where("low <> high").select("grp", "head"), "grp")
-            lead = placed.where("label <> head").groupBy("grp").agg(
-                F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")
-            )
-            pairs = (
-                placed.join(lead, "grp").where("label <> lead.label")
-                .select(F.least("node", "lead.node").alias("x"), F.greatest("node", "lead.node").alias("y")).distinct()
-                .join(tested, ["x", "y"], "left_anti")
-            )
+        # Meetings whose texts are all of one class are done for good.
+        label = F.min(F.coalesce("root", "id")).alias("label")
+        labels = names.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").groupBy("node").agg(label)
+        placed = meet.select("grp", "node").join(labels, "node")
+        sides = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        open_groups = sides.where("low <> high").select("grp")
+        meet = keep(placed.join(open_groups, "grp"), "passage-open")
+        pairs = _more_pairs(meet, turn).join(tested, ["x", "y"], "left_anti")
         pairs = keep(pairs, "passage-pairs")
-        if pairs.isEmpty():
-            return found if found is not None else spark.createDataFrame([], _FOUND)
-        seen = pairs.join(one, "x").join(two, "y").where("id_a <> id_b")
-        new = keep(seen.select("id_a", "words_a", "id_b", "words_b").mapInArrow(_examined, _FOUND), "passage-links")
+        new = _passages_of(pairs, packed)
         if new.isEmpty():
-            return found if found is not None else new
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = new if found is None else found.unionAll(new)
-        roots = components(found.select("a", "b").distinct())
-        labels = keep(packed.select("node", "id").join(roots, packed["id"] == roots["node"])
-                      .groupBy(packed["node"]).agg(F.min("root").alias("label")), "passage-labels")
-        turn += 1
+            return found, roots
+        roots = keep(_merged(roots, new), "passage-roots")
+        found, tested, turn = found.unionAll(new), tested.unionAll(pairs), turn + 1
+
+
+def _more_pairs(meet: DataFrame, turn: int) -> DataFrame:
+    """Each open meeting's texts with LEADS of them, other each turn, of other classes."""
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    leads = meet.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADS)
+    leads = leads.select("grp", F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+    met = meet.join(leads, "grp").where("label <> lead_label")
+    return met.select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y")).distinct()
+
+
+def _passages_of(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    one = packed.select(F.col("node").alias("x"), F.col("id").alias("id_a"), F.col("words").alias("words_a"))
+    two = packed.select(F.col("node").alias("y"), F.col("id").alias("id_b"), F.col("words").alias("words_b"))
+    seen = pairs.join(two, "y").join(one, "x").where("id_a <> id_b")
+    return keep(seen.select("id_a", "words_a", "id_b", "words_b").mapInArrow(_examined, _FOUND), "passage-links")
+
+
+def _merged(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """Roots after the links of a round: only the classes that it joins are worked on."""
+    ids = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = roots.unionAll(ids.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    known = keep(known, "passage-roots")
+    root_a = known.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    root_b = known.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    edges = new.select("a", "b").distinct().join(root_a, "a").join(root_b, "b")
+    joined = components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return known.join(joined, "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
 
 
 _FOUND = "a string, b string, a_begin int, a_end int, b_begin int, b_end int"
@@ -418,8 +486,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         "doc_id", F.xxhash64(text).alias("node"), F.md5(text).alias("id"), text.alias("text")
     )
     meet = keep(meetings(texts.select("node", "text")), "passage-meetings")
-    found = _links(texts, meet)
-    roots = components(found.select("a", "b").distinct())
+    found, roots = _links(texts, meet)
     places = F.explode(
         F.array(
             F.struct(F.col("a").alias("id"), F.col("a_begin").alias("begin"), F.col("a_end").alias("end")),
@@ -442,8 +509,16 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def _classified(texts: DataFrame, roots: DataFrame, spans: DataFrame) -> DataFrame:
-    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    rows = keep(texts.select("doc_id", "id", words.alias("n_words")), "passage-rows")
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words = pa.array(Words(part.column("text"), ALNUM).counts, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("id"), words], ["doc_id", "id", "n_words"]
+                )
+
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, id string, n_words long"
+    rows = keep(texts.select("doc_id", "id", "text").mapInArrow(count, schema), "passage-rows")
     by_text = rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_words").alias("n"))
     known = (
         by_text.join(roots.withColumnRenamed("node", "id"), "id", "left")
