@@ -46,8 +46,8 @@ ROUNDS = 3
 FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 8 << 20
 PIECE = 1024
-PRIOR = 50.0  # pseudo tokens of the whole corpus in each state's emissions
-_AT_ONCE = 250_000  # tokens of pieces handled together
+PRIOR = 1000.0  # pseudo tokens of the whole corpus in each state's emissions
+_AT_ONCE = 150_000  # tokens of pieces handled together
 
 
 def held_out(doc_id) -> bool:
