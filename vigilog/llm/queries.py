@@ -207,7 +207,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.bool_and("digest_ok").alias("digests_ok"),
         )
     )
-    return responses.select("page_id", F.col("record_id").alias("refers_to")).join(of_response, "refers_to", "left")
+    # The planner takes the size of the list of files for that of the records, so it is told
+    # not to broadcast them.
+    pages = responses.select("page_id", F.col("record_id").alias("refers_to"))
+    return pages.join(of_response.hint("merge"), "refers_to", "left")
 
 
 @query("op3_passages")
