@@ -40,7 +40,7 @@ from vigilog.session import shared_dir
 LENGTH = 1024  # ids of a sequence
 BATCH = 256  # sequences of a batch
 END_ID = 1
-CACHED_WORDS = 500_000  # words of a generation that a worker remembers
+CACHED_WORDS = 350_000  # words of a generation that a worker remembers
 MARKS = ".,;:!?"
 _SLICE = 8 << 20
 
