@@ -218,7 +218,22 @@ def meetings(texts: DataFrame) -> DataFrame:
 
     rows = texts.mapInArrow(scan, "key long, around long, node long")
     dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_shared, "grp long, node long").distinct()
+    return _different(keep(dealt.mapInArrow(_shared, "grp long, node long").distinct(), "passage-windows"))
+
+
+def _different(meet: DataFrame) -> DataFrame:
+    """One of the meetings that hold the same texts, and none of a single text.
+
+    A copied passage is met once for each function and place, each time by the same texts;
+    their number and 128 bits of all of them tell.
+    """
+    told = meet.groupBy("grp").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h1"),
+        F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("h2"),
+    )
+    one = told.where("n > 1").groupBy("n", "h1", "h2").agg(F.min("grp").alias("grp")).select("grp")
+    return meet.join(one, "grp", "left_semi")
 
 
 @dataclass
@@ -398,10 +413,7 @@ def _packed_texts(texts: DataFrame, meet: DataFrame) -> DataFrame:
     def scan(batches):
         bits = told.value
         for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-            place = node >> np.uint64(64 - BLOOM_BITS)
-            wanted = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-            for part in slices(batch.filter(pa.array(wanted))):
+            for part in slices(batch.filter(pa.array(_maybe(bits, batch.column("node"))))):
                 words = Words(part.column("text"), ALNUM)
                 short = (words.hashes() >> np.uint64(32)).astype(np.uint32)
                 packed = [short[a:b].tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
@@ -451,12 +463,30 @@ def _more_pairs(meet: DataFrame, turn: int) -> DataFrame:
 
 
 def _passages_of(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    one = packed.select(F.col("node").alias("x"), F.col("id").alias("id_a"), F.col("words").alias("words_a"))
-    two = packed.select(F.col("node").alias("y"), F.col("id").alias("id_b"), F.col("words").alias("words_b"))
+    # Only the texts of these pairs are moved.
+    one = _among(packed, pairs.select(F.col("x").alias("node"))).toDF("x", "id_a", "words_a")
+    two = _among(packed, pairs.select(F.col("y").alias("node"))).toDF("y", "id_b", "words_b")
     seen = pairs.join(two, "y").join(one, "x").where("id_a <> id_b")
     return keep(seen.select("id_a", "words_a", "id_b", "words_b").mapInArrow(_examined, _FOUND), "passage-links")
 
 
+def _among(packed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``packed`` whose node may be one of ``nodes``, by a Bloom filter of fixed size."""
+    told = packed.sparkSession.sparkContext.broadcast(_needed(nodes.distinct()))
+
+    def scan(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_maybe(told.value, batch.column("node"))))
+
+    return packed.select("node", "id", "words").mapInArrow(scan, "node long, id string, words binary")
+
+
+def _maybe(bits: np.ndarray, nodes: pa.Array) -> np.ndarray:
+    node = nodes.to_numpy(zero_copy_only=False).view(np.uint64)
+    place = node >> np.uint64(64 - BLOOM_BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _merged(roots: DataFrame, new: DataFrame) -> DataFrame:
     """Roots after the links of a round: only the classes that it joins are worked on."""
     ids = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
