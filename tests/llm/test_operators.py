@@ -241,6 +241,38 @@ def test_passages_planted(spark, make):
     assert all(got[300 + i]["n_repeated"] >= 190 for i in range(8))
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_every_context_of_a_slice_goes_on(seed):
+    """A text of a slice goes on where a smaller one holds the same words in another context."""
+    rng = random.Random(seed)
+    stock = [[f"w{rng.randrange(10**6)}" for _ in range(15)] for _ in range(6)]
+    tail = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    ahead = [w for line in stock for w in [*line, *(f"x{rng.randrange(10**6)}" for _ in range(20))]]
+    behind = [w for line in stock for w in [*line, *(f"y{rng.randrange(10**6)}" for _ in range(20))]]
+    first, second, third = " ".join(ahead), " ".join(behind + tail), " ".join(tail[:5] + behind)
+
+    def sent(texts, nodes):
+        return passages._meetings(Words(pa.array(texts), ALNUM), np.array(nodes, np.uint64)).to_pylist()
+
+    def groups(rows, node):
+        return {r["grp"] for r in rows if r["node"] == node}
+
+    by_itself, both = sent([second], [2]), sent([first, second], [1, 2])
+    assert groups(by_itself, 2) & groups(sent([third], [3]), 3)
+    assert groups(by_itself, 2) <= groups(both, 2)
+    assert {r["grp"] for r in both} == {r["grp"] for r in both if not r["met"]}
+
+
+def test_shared_rows_are_whole_and_single():
+    rows = [(g, n, False) for g, n in [(1, 5)] * 3 + [(2, 5), (2, 6), (2, 6), (3, 1), (4, 1), (4, 2), (4, 3)]]
+    rows += [(5, 1, True), (6, 2, True)]
+    for size in (1, 2, 3, 20):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("grp", "node", "met"), r)) for r in p]) for p in parts]
+        got = [r for b in passages._shared(batches) for r in zip(*b.to_pydict().values())]
+        assert sorted(got) == [(2, 5), (2, 6), (4, 1), (4, 2), (4, 3), (5, 1), (6, 2)]
+
+
 def test_passages_of_odd_rows(spark, make):
     got = passages.repeated_passages(make(odd_rows())).collect()
     assert len(got) == len(odd_rows())

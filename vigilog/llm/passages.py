@@ -9,11 +9,11 @@ similarity of ``SIMILARITY`` or more.
   form one compact window (left, place, right): places and bounds come from the Cartesian
   tree of the hashes. Only windows that hold a span of the least length are kept, about
   two for each such length of text.
-* Windows with the same function and smallest hash meet. Meetings are made first inside a
-  slice of texts, with one holder a slice going on, so a passage that stands everywhere
-  does not send a row for each place to one task. A meeting is cut by the 20 words to the
-  right and those to the left of the place, which every near-duplicate of this length
-  shares around most of its places; short lines found everywhere meet nobody.
+* Windows with the same function and smallest hash meet if the 20 words to the right or
+  those to the left of the place are the same, which every near-duplicate of this length
+  shares around most of its places; short lines found everywhere meet nobody. Texts of
+  one slice that share a window have met; one of them looks for texts of other slices,
+  so a passage that stands everywhere does not send a row for each place to one task.
 * In each meeting all texts are paired with one of them. A pair is examined whole: its
   windows are intersected over all functions, intervals covered by at least
   ``ENOUGH`` functions are candidates, and their shingle sets decide.
@@ -120,104 +120,113 @@ def _tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return runs[at], bounds, at
 
 
-def _meetings(words: Words, nodes: np.ndarray, nonce: int) -> pa.RecordBatch:
-    """(key, around, node): the windows of a slice; ``around`` packs both contexts."""
+def _contexts(hashes: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the CONTEXT words from each place on, and of those up to its shingle's end; 0 if there are fewer.
+
+    ``first`` are the bounds of the texts, ``word`` the words at which the shingles begin.
+    """
+    around = shingles(hashes, CONTEXT)
+    text = np.searchsorted(first, word, side="right") - 1
+    to_right, to_left = np.zeros((2, len(word)), np.uint64)
+    fits = word + CONTEXT <= first[text + 1]
+    to_right[fits] = around[word[fits]]
+    back = word + SHINGLE - CONTEXT
+    fits = back >= first[text]
+    to_left[fits] = around[back[fits]]
+    return to_right, to_left
+
+
+def _meetings(words: Words, nodes: np.ndarray) -> pa.RecordBatch:
+    """(grp, node, met): the windows of a slice, by key and the words to one side of the place.
+
+    All texts of a group that has several here have met; the first of each group looks for
+    texts of other slices.
+    """
     hashes = words.hashes()
     tokens, bounds, at = _tokens(hashes, words.first)
-    around = shingles(hashes, CONTEXT)
-    doc_begin = np.repeat(words.first[:-1], words.counts)
-    doc_end = words.doc_end()
-    keys, contexts, owners = [], [], []
+    groups, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for seed in _SEEDS:
         values = mix(tokens ^ seed)
         place, _, _ = compact_windows(values, bounds, _LEAST, ties=False)
         word = at[place]
-        to_right = np.zeros(len(word), np.uint64)
-        fits = word + CONTEXT <= doc_end[word]
-        to_right[fits] = around[word[fits]]
-        to_left = np.zeros(len(word), np.uint64)
-        back = word + SHINGLE - CONTEXT
-        fits = back >= doc_begin[word]
-        to_left[fits] = around[back[fits]]
-        keys.append(mix(values[place] ^ seed))
-        contexts.append((to_right & ~np.uint64(0xFFFFFFFF)) | (to_left >> np.uint64(32)))
-        owners.append(nodes[np.searchsorted(words.first, word, side="right") - 1])
-    key, context, node = np.concatenate(keys), np.concatenate(contexts), np.concatenate(owners)
-    order = np.lexsort((node, key))
-    key, context, node = key[order], context[order], node[order]
-    # The first text of each key in this slice goes on; all texts of a key that has several
-    # here meet under a key of the slice.
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    group = np.cumsum(new) - 1
-    begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(key)) - 1
-    holder = node == node[begins][group] if len(key) else new
-    several = (node[ends] != node[begins])[group] if len(key) else new
-    own_key = mix(key[several] ^ mix(np.array([nonce], np.uint64)))
+        key = mix(values[place] ^ seed)
+        owner = nodes[np.searchsorted(words.first, word, side="right") - 1]
+        for tag, side in enumerate(_contexts(hashes, words.first, word), 1):
+            groups.append(mix(key ^ mix(side ^ np.uint64(tag)))[side != 0])
+            owners.append(owner[side != 0])
+    grp, node = np.concatenate(groups), np.concatenate(owners)
+    order = np.lexsort((node, grp))
+    grp, node = grp[order], node[order]
+    once = np.ones(len(grp), dtype=bool)
+    once[1:] = (grp[1:] != grp[:-1]) | (node[1:] != node[:-1])
+    grp, node = grp[once], node[once]
+    new = np.ones(len(grp), dtype=bool)
+    new[1:] = grp[1:] != grp[:-1]
+    several = ~new
+    several[:-1] |= ~new[1:]
+    met = np.repeat([False, True], [np.count_nonzero(new), np.count_nonzero(several)])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate((key[holder], own_key)).view(np.int64)),
-            pa.array(np.concatenate((context[holder], context[several])).view(np.int64)),
-            pa.array(np.concatenate((node[holder], node[several])).view(np.int64)),
+            pa.array(np.concatenate((grp[new], grp[several])).view(np.int64)),
+            pa.array(np.concatenate((node[new], node[several])).view(np.int64)),
+            pa.array(met),
         ],
-        ["key", "around", "node"],
+        ["grp", "node", "met"],
     )
 
 
 def _shared(batches):
-    """Rows of keys that stand next to a row of the same key, as (grp, node) by context."""
-    rest = None
+    """Rows that have met and, of the others, those whose group stands next to them with another text.
+
+    The others come in order of group and text.
+    """
+    rest, given = None, False  # rows of a group that may go on; whether the first was yielded
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "around", "node")]
+        done = batch.column("met").to_numpy(zero_copy_only=False)
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "node")]
+        if done.any():
+            yield _rows(*(c[done] for c in now))
+        now = [c[~done] for c in now]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
-        if len(now[0]) < 2:
-            rest = now if len(now[0]) else rest
+        if not len(now[0]):
             continue
-        same = np.zeros(len(now[0]) + 1, dtype=bool)
-        same[1:-1] = (now[0][1:] == now[0][:-1]) & (now[2][1:] != now[2][:-1])
-        met = same[1:] | same[:-1]
-        # Rows of one text in a row of others count by their neighbours' key.
-        run = np.cumsum(np.concatenate(([True], now[0][1:] != now[0][:-1]))) - 1
-        met = np.bincount(run, met)[run] > 0
-        last = run == run[-1]
-        out = met & ~last
-        rest = [c[last] for c in now]
+        once = np.ones(len(now[0]), dtype=bool)
+        once[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
+        grp, node = (c[once] for c in now)
+        last = grp == grp[-1]
+        met = np.zeros(len(grp) + 1, dtype=bool)
+        met[1:-1] = grp[1:] == grp[:-1]
+        out = met[1:] | met[:-1]
+        many = np.count_nonzero(last) > 1 << 20  # a group of very many rows goes on piece by piece
+        if not many:
+            out &= ~last
+        if given:
+            out[0] = False
         if out.any():
-            yield _grouped([c[out] for c in now])
-        if len(rest[0]) > 1 << 20:  # a key of very many rows goes on piece by piece
-            if met[last].any():
-                yield _grouped(rest)
-            rest = [c[-1:] for c in rest]
-    if rest is not None and len(rest[0]) and (rest[2] != rest[2][0]).any():
-        yield _grouped(rest)
+            yield _rows(grp[out], node[out])
+        given = many or (given and bool(last[0]))
+        rest = [grp[-1:], node[-1:]] if many else [grp[last], node[last]]
+    if rest is not None and len(rest[0]) > 1:
+        yield _rows(*(c[int(given) :] for c in rest))
 
 
-def _grouped(cols) -> pa.RecordBatch:
-    key, around, node = cols
-    right, left = around & ~np.uint64(0xFFFFFFFF), around << np.uint64(32)
-    sides = [(right, np.uint64(1)), (left, np.uint64(2))]
-    grp = np.concatenate([mix(key ^ mix(side ^ tag))[side != 0] for side, tag in sides])
-    nodes = np.concatenate([node[side != 0] for side, _ in sides])
-    return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(nodes.view(np.int64))], ["grp", "node"])
+def _rows(grp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(node)], ["grp", "node"])
 
 
 def meetings(texts: DataFrame) -> DataFrame:
     """(grp, node): texts, by the 64-bit ``node`` of (node, text), that share a window."""
 
     def scan(batches):
-        from pyspark import TaskContext
-
-        nonce = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch):
-                nonce += 1
                 nodes = part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-                yield _meetings(Words(part.column("text"), ALNUM), nodes, nonce)
+                yield _meetings(Words(part.column("text"), ALNUM), nodes)
 
-    rows = texts.mapInArrow(scan, "key long, around long, node long")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "node")
+    rows = texts.mapInArrow(scan, "grp long, node long, met boolean")
+    place = F.when(F.col("met"), F.xxhash64("grp", "node")).otherwise(F.col("grp"))
+    dealt = rows.repartition(place).sortWithinPartitions("met", "grp", "node")
     return _different(keep(dealt.mapInArrow(_shared, "grp long, node long").distinct(), "passage-windows"))
 
 
