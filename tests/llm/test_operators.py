@@ -273,6 +273,27 @@ def test_shared_rows_are_whole_and_single():
         assert sorted(got) == [(2, 5), (2, 6), (4, 1), (4, 2), (4, 3), (5, 1), (6, 2)]
 
 
+def test_crowded_meetings_are_finished(spark, make, monkeypatch):
+    """Two near-duplicates that meet only where many texts hold one of two stock lines, and no lead is one of them."""
+    import xxhash
+
+    monkeypatch.setattr(passages, "LEADS", 0)  # as if every draw had missed
+    rng = random.Random(7)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    lines = text(40), text(40)
+    rows = [(i, " ".join(text(60) + lines[i % 2] + text(60))) for i in range(120)]
+    node = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    pair = []
+    while len(pair) < 2:  # the largest nodes, so that neither is the first lead
+        new = " ".join(text(60) + lines[0] + text(1) + lines[1] + text(60))
+        if 0.98 * 2**63 < node(new) < 2**63:
+            pair.append(new)
+    got = repeated(make(rows + [(1000 + i, t) for i, t in enumerate(pair)]))
+    assert all(got[i]["class_id"] == i and got[i]["n_repeated"] == 0 for i in range(120))
+    assert got[1000]["class_id"] == got[1001]["class_id"] == 1000
+    assert got[1000]["n_repeated"] >= 70
+
+
 def test_passages_of_odd_rows(spark, make):
     got = passages.repeated_passages(make(odd_rows())).collect()
     assert len(got) == len(odd_rows())

@@ -18,8 +18,9 @@ similarity of ``SIMILARITY`` or more.
   windows are intersected over all functions, intervals covered by at least
   ``ENOUGH`` functions are candidates, and their shingle sets decide.
 * Rounds go on with LEADS other texts of each meeting that still holds several classes,
-  until a round links nothing new; so a meeting costs a few rows, not all pairs, for each
-  of its texts, and one of few texts is compared in full.
+  until a round links nothing new. What is open then is finished: its texts are dealt to
+  blocks of about BLOCK, and each two blocks meet in a cell, where all pairs of different
+  classes are examined that share windows of ENOUGH functions.
 * Equal texts are one text from the start. Connected components of the links are classes.
 
 Null texts have no words and no passages. Rows that repeat share their text's class. Rows
@@ -49,6 +50,7 @@ CONTEXT = 20  # words around a place that divide a meeting
 SHIFT = 8  # words by which places may drift inside one passage
 BLOOM_BITS = 26
 LEADS = 4  # texts of a meeting that a later round pairs with the others
+BLOCK = 64  # texts of a block when a meeting is finished
 ALIGNED = 0.6  # share of a span's tokens that must be paired before its sets are compared
 _AT_ONCE = 1_000_000  # words of pairs examined together
 _LEAST = MIN_WORDS - SHINGLE + 1  # shingles of the shortest passage
@@ -377,16 +379,15 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _examined(batches):
     """Verified passages of pairs: (a, b, a_begin, a_end, b_begin, b_end)."""
-    names = ["a", "b", "a_begin", "a_end", "b_begin", "b_end"]
     for batch in batches:
         sizes = [pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("words_a", "words_b")]
         steps = np.cumsum(sizes[0] + sizes[1]) // (4 * _AT_ONCE)
         for step in np.unique(steps):
             own = np.flatnonzero(steps == step)
-            yield _pairs_examined(batch.slice(int(own[0]), len(own)), names)
+            yield _pairs_examined(batch.slice(int(own[0]), len(own)))
 
 
-def _pairs_examined(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+def _pairs_examined(batch: pa.RecordBatch) -> pa.RecordBatch:
     ids = [batch.column(c).to_pylist() for c in ("id_a", "id_b")]
     packed: dict[str, bytes] = {}
     for side, column in zip(ids, ("words_a", "words_b")):
@@ -395,7 +396,11 @@ def _pairs_examined(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
             if name not in packed:
                 packed[name] = words[at].as_py()
     ready = dict(zip(packed, prepared(list(packed.values()))))
-    rows = [(a, b, *span) for a, b in zip(*ids) for span in near_passages(ready[a], ready[b])]
+    return _found([(a, b, *span) for a, b in zip(*ids) for span in near_passages(ready[a], ready[b])])
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["a", "b", "a_begin", "a_end", "b_begin", "b_end"]
     cols = list(zip(*rows)) if rows else [[]] * 6
     return pa.RecordBatch.from_arrays(
         [pa.array(c, pa.string() if n in "ab" else pa.int32()) for n, c in zip(names, cols)], names
@@ -457,7 +462,8 @@ def _links(texts: DataFrame, meet: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = keep(pairs, "passage-pairs")
         new = _passages_of(pairs, packed)
         if new.isEmpty():
-            return found, roots
+            new = _rest_of(meet, packed)
+            return found.unionAll(new), keep(_merged(roots, new), "passage-roots")
         roots = keep(_merged(roots, new), "passage-roots")
         found, tested, turn = found.unionAll(new), tested.unionAll(pairs), turn + 1
 
@@ -471,6 +477,65 @@ def _more_pairs(meet: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y")).distinct()
 
 
+def _rest_of(meet: DataFrame, packed: DataFrame) -> DataFrame:
+    """Passages of all pairs of different classes in open meetings, but not of classes that a cell has joined."""
+    sizes = meet.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = meet.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    cells = dealt.select("grp", "node", "label", "block", other).select(
+        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label"
+    )
+    texts = _among(packed, meet.select("node"))
+    rows = cells.join(texts, "node").select("grp", "low", "high", "block", "label", "id", "words")
+    return keep(rows.groupBy("grp", "low", "high").applyInArrow(_cell_examined, _FOUND), "passage-links")
+
+
+def _cell_examined(cell: pa.Table) -> pa.Table:
+    """Passages of the pairs of a cell, of two blocks or of one; a class that a pair joins counts as one."""
+    cell = cell.sort_by("id")
+    ids, labels = cell.column("id").to_pylist(), cell.column("label").to_pylist()
+    block = cell.column("block").to_numpy()
+    crossing = cell.column("low")[0] != cell.column("high")[0]
+    ready = prepared(cell.column("words").to_pylist())
+    pairs = np.triu(_functions_shared(ready) >= ENOUGH, 1)
+    pairs &= np.unique(labels, return_inverse=True)[1][:, None] != np.unique(labels, return_inverse=True)[1]
+    if crossing:
+        pairs &= block[:, None] != block
+    up = {x: x for x in labels}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    rows = []
+    for x, y in zip(*(side.tolist() for side in np.nonzero(pairs))):
+        one, two = top(labels[x]), top(labels[y])
+        if one != two and (spans := near_passages(ready[x], ready[y])):
+            rows += [(ids[x], ids[y], *span) for span in spans]
+            up[one] = two
+    return pa.Table.from_batches([_found(rows)])
+
+
+def _functions_shared(ready: list[Prepared]) -> np.ndarray:
+    """For each two texts the number of functions of which they share a window's key."""
+    key = np.concatenate([p.key for p in ready])
+    function = np.concatenate([p.function for p in ready])
+    text = np.repeat(np.arange(len(ready)), [len(p.key) for p in ready])
+    out = np.zeros((len(ready), len(ready)), np.int64)
+    for f in range(HASHES):
+        _, number = np.unique(key[function == f], return_inverse=True)
+        at, number = np.unique(np.stack((text[function == f], number)), axis=1)
+        common = np.bincount(number)[number] > 1
+        _, number = np.unique(number[common], return_inverse=True)
+        if len(number):
+            holds = np.zeros((len(ready), number.max() + 1), np.float32)
+            holds[at[common], number] = 1
+            out += holds @ holds.T > 0
+    return out
+
+
 def _passages_of(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     # Only the texts of these pairs are moved.
     one = _among(packed, pairs.select(F.col("x").alias("node"))).toDF("x", "id_a", "words_a")
