@@ -106,6 +106,13 @@ def test_clean_documents_keeps_columns(spark, make):
     same(left.select("doc_id").collect(), [(2,), (2,), (None,)])
 
 
+def test_clean_documents_judges_each_row(spark, make):
+    held = "a b c d e f g h i j"
+    docs = make([(None, held), (None, "z " * 20), (None, None), (None, ""), (1, held), (1, "y " * 20), (1, held), (2, held)])
+    left = decontaminate.clean_documents(docs, bench(spark, [(1, held, "x", "y")]))
+    same(left.select("doc_id", "text").collect(), [(None, "z " * 20), (None, None), (None, ""), (1, "y " * 20)])
+
+
 # --- WARC --------------------------------------------------------------------------
 
 

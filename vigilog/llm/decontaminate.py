@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.llm.scratch import keep, plain
+from vigilog.llm.simhash import row_key
 from vigilog.llm.words import ALNUM, Words, shingles, sliding_min, slices
 
 SPAN = 10
@@ -238,8 +239,11 @@ def contamination(
 def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark window.
 
-    Rows that share a doc_id go together; rows without a doc_id are kept if none of them
-    holds a window.
+    Each row is judged by its own text, whatever rows share its doc_id or have none.
     """
-    bad = contamination(docs, benchmark, span=span).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"),
+        docs["text"].alias("text"),
+    ).select("doc", "text", row_key().alias("row_key"))
+    bad = contamination(rows, benchmark, id_col="row_key", span=span).where("contaminated")
+    return rows.join(bad.select(F.col("doc_id").alias("row_key")), "row_key", "left_anti").select("doc.*")
