@@ -434,6 +434,60 @@ def test_license_scan_of_odd_rows(spark, make):
     assert licenses.scan(make([])).collect() == []
 
 
+def matches_of(pattern, rng):
+    """Some texts that the pattern matches, drawn from its parse tree."""
+    from re import _parser
+
+    def draw(tree):
+        out = ""
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                kind, value = rng.choice(arg)
+                if str(kind) == "CATEGORY":
+                    out += rng.choice("0123456789")
+                else:
+                    out += chr(rng.randint(*value) if str(kind) == "RANGE" else value)
+            elif op == "BRANCH":
+                out += draw(rng.choice(arg[1]))
+            elif op == "SUBPATTERN":
+                out += draw(arg[3])
+            elif op == "MAX_REPEAT":
+                out += "".join(draw(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+            else:
+                assert op == "ASSERT"
+        return out
+
+    tree = _parser.parse(pattern)
+    return {draw(tree) for _ in range(60)}
+
+
+def test_keywords_leave_out_no_match():
+    rng = random.Random(3)
+    for rule in licenses.rules():
+        assert all(rule["keyword"] in text.split() for text in matches_of(rule["pattern"], rng)), rule
+
+
+def test_license_names_without_abbreviations(spark, make):
+    texts = {
+        "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0": "cc-by-nc-nd",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa",
+        "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc",
+        "Creative Commons Attribution-NoDerivatives 4.0": "cc-by-nd",
+        "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa",
+        "Creative Commons Attribution 4.0": "cc-by",
+        "under the Zero-Clause BSD": "0bsd",
+        "GPL3 or later": "gpl",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(make(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_license_suppression(spark, make):
     got = licenses.scan(make([(1, "licensed under the GNU Affero General Public License v3.0"), (1, None)])).collect()
     assert sorted(r["labels"] for r in got) == ["", "agpl"]

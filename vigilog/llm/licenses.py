@@ -4,6 +4,7 @@ A text is lower-cased (A-Z) and brought to its words ``[^\\x00-\\x2F\\x3A-\\x60\
 with one space around each. A rule is a regular expression over that form with a label, a
 priority and a keyword; it runs only on texts that hold its keyword as a word. Rules are
 made of the families below, each in several forms (identifier, grant, address, name).
+Every match of a rule holds its keyword, so the keyword leaves out no match (tested).
 
 Detections that overlap are resolved from left to right: one that lies inside another is
 suppressed, of two that cross the lower priority goes; equal spans keep the higher
@@ -35,7 +36,8 @@ _V = "(?: version| v)?"
 FAMILIES = [
     ("agpl", "affero", f"gnu affero general public license(?:{_V} \\d+(?: 0)?)?", "agpl(?: \\d 0)?(?: only| or later)?", "gnu org licenses agpl(?: \\d 0)?"),
     ("gpl", "gnu", f"gnu (?:general public license|gpl)(?:{_V} [123](?: 0)?)?(?: or (?:any )?later)?", "gpl(?: [123] 0)?(?: only| or later)?", "gnu org (?:licenses|copyleft) (?:old licenses )?gpl(?: \\d 0)?"),
-    ("gpl", "gpl", f"gpl(?:{_V} ?[123](?: 0)?)(?: or (?:any )?later)?", "", ""),
+    ("gpl", "gpl", "gpl(?: version ?| v ?| )[123](?: 0)?(?: or (?:any )?later)?", "", ""),
+    *[("gpl", f"gpl{n}", f"gpl{n}(?: 0)?(?: or (?:any )?later)?", "", "") for n in (1, 2, 3)],
     ("lgpl", "lesser", f"gnu lesser general public license(?:{_V} [23](?: [01])?)?", "lgpl(?: [23] [01])?(?: only| or later)?", "gnu org (?:licenses|copyleft) (?:old licenses )?lgpl(?: \\d \\d)?"),
     ("lgpl", "library", f"gnu library general public license(?:{_V} 2(?: [01])?)?", "", ""),
     ("gfdl", "documentation", f"gnu free documentation license(?:{_V} 1 [123])?", "gfdl(?: 1 [123])?(?: only| or later)?", "gnu org licenses fdl(?: 1 \\d)?"),
@@ -47,7 +49,8 @@ FAMILIES = [
     ("bsd-3-clause", "bsd", "(?:(?:new|modified|revised) bsd license|bsd 3 clause(?: license)?|3 clause bsd(?: license)?)", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd license|bsd 4 clause(?: license)?|4 clause bsd(?: license)?)", "bsd 4 clause", ""),
     ("bsd", "bsd", "(?:bsd style license|bsd license)", "bsd", "opensource org licenses bsd license"),
-    ("0bsd", "0bsd", "(?:zero clause bsd|0bsd)(?: license)?", "0bsd", "opensource org licenses 0bsd"),
+    ("0bsd", "0bsd", "0bsd(?: license)?", "0bsd", "opensource org licenses 0bsd"),
+    ("0bsd", "zero", "zero clause bsd(?: license)?", "", ""),
     ("isc", "isc", "isc license", "isc", "opensource org licenses isc(?: license)?"),
     ("zlib", "zlib", "zlib(?: libpng)? license", "zlib", "zlib net zlib license"),
     ("boost", "boost", f"boost software license(?:{_V} 1 0)?", "bsl 1 0", "boost org license 1 0"),
@@ -76,11 +79,16 @@ FAMILIES = [
     ("beerware", "beerware", "beerware license", "beerware", ""),
     ("public-domain", "domain", "(?:dedicated to|released into|placed in|in) the public domain", "", "creativecommons org licenses publicdomain"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by-nc-nd", "nd", "(?:cc |creative commons )?(?:by nc nd|attribution noncommercial noderivatives)(?: [1234] [05])?", "cc by nc nd [1234] [05]", "creativecommons org licenses by nc nd(?: \\d \\d)?"),
-    ("cc-by-nc-sa", "sa", "(?:cc |creative commons )?(?:by nc sa|attribution noncommercial sharealike)(?: [1234] [05])?", "cc by nc sa [1234] [05]", "creativecommons org licenses by nc sa(?: \\d \\d)?"),
-    ("cc-by-nc", "nc", "(?:cc |creative commons )?(?:by nc|attribution noncommercial)(?: [1234] [05])?", "cc by nc [1234] [05]", "creativecommons org licenses by nc(?: \\d \\d)?"),
-    ("cc-by-nd", "nd", "(?:cc |creative commons )?(?:by nd|attribution noderivatives)(?: [1234] [05])?", "cc by nd [1234] [05]", "creativecommons org licenses by nd(?: \\d \\d)?"),
-    ("cc-by-sa", "sa", "(?:cc |creative commons )?(?:by sa|attribution sharealike)(?: [1234] [05])?", "cc by sa [1234] [05]", "creativecommons org licenses by sa(?: \\d \\d)?"),
+    ("cc-by-nc-nd", "nd", "(?:cc |creative commons )?by nc nd(?: [1234] [05])?", "cc by nc nd [1234] [05]", "creativecommons org licenses by nc nd(?: \\d \\d)?"),
+    ("cc-by-nc-nd", "noderivatives", "(?:cc |creative commons )?attribution noncommercial noderivatives(?: [1234] [05])?", "", ""),
+    ("cc-by-nc-sa", "sa", "(?:cc |creative commons )?by nc sa(?: [1234] [05])?", "cc by nc sa [1234] [05]", "creativecommons org licenses by nc sa(?: \\d \\d)?"),
+    ("cc-by-nc-sa", "sharealike", "(?:cc |creative commons )?attribution noncommercial sharealike(?: [1234] [05])?", "", ""),
+    ("cc-by-nc", "nc", "(?:cc |creative commons )?by nc(?: [1234] [05])?", "cc by nc [1234] [05]", "creativecommons org licenses by nc(?: \\d \\d)?"),
+    ("cc-by-nc", "noncommercial", "(?:cc |creative commons )?attribution noncommercial(?: [1234] [05])?", "", ""),
+    ("cc-by-nd", "nd", "(?:cc |creative commons )?by nd(?: [1234] [05])?", "cc by nd [1234] [05]", "creativecommons org licenses by nd(?: \\d \\d)?"),
+    ("cc-by-nd", "noderivatives", "(?:cc |creative commons )?attribution noderivatives(?: [1234] [05])?", "", ""),
+    ("cc-by-sa", "sa", "(?:cc |creative commons )?by sa(?: [1234] [05])?", "cc by sa [1234] [05]", "creativecommons org licenses by sa(?: \\d \\d)?"),
+    ("cc-by-sa", "sharealike", "(?:cc |creative commons )?attribution sharealike(?: [1234] [05])?", "", ""),
     ("cc-by", "cc", "cc by(?: [1234] [05])?", "cc by [1234] [05]", ""),
     ("cc-by", "commons", "creative commons attribution(?: license)?(?: [1234] [05])?", "", "creativecommons org licenses by \\d \\d"),
     ("odbl", "database", "open (?:data commons open )?database license(?: v1 0)?", "odbl 1 0", "opendatacommons org licenses odbl"),
@@ -98,6 +106,11 @@ FAMILIES = [
     ("elastic", "elastic", "elastic license(?: 2 0)?", "elastic 2 0", "elastic co licensing elastic license"),
     ("openrail", "openrail", "(?:creativeml |bigscience )?openrail(?: m| m1)?(?: license)?", "openrail(?: m)?", ""),
     ("llama", "llama", "llama \\d(?: \\d)? community license(?: agreement)?", "llama\\d", "ai meta com llama license"),
+    ("mit", "obtaining", "permission is hereby granted free of charge to any person obtaining a copy", "", ""),
+    ("boost", "obtaining", "permission is hereby granted free of charge to any person or organization obtaining a copy", "", ""),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "", ""),
+    ("isc", "fee", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", "", ""),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", "", ""),
     ("all-rights-reserved", "reserved", "all rights reserved", "", ""),
     ("proprietary", "proprietary", "proprietary and confidential", "", ""),
 ]
