@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from vigilog.llm import (
     decontaminate,
     hmm,
+    language,
     licenses,
     mixing,
     passages,
     quality,
+    runs,
     sharding,
     simhash,
     tokenfile,
     warc,
+    whitening,
 )
 from vigilog.session import shared_dir
 
@@ -216,3 +219,59 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_passages")
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_language")
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+    return white.select(
+        "vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.col("explained")[F.col("at")].alias("explained"),
+        "identity_error",
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by a hash of its id, goes over to repeating some words."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w").cast("long")
+    told = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    told = told.withColumn("a", F.when(n > 0, F.col("g") % n))
+    told = told.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    from_a = F.transform(
+        F.sequence(F.lit(0).cast("long"), n - 1 - F.col("a")),
+        lambda i: F.get("w", (F.col("a") + i % F.col("p")).cast("int")),
+    )
+    again = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a").cast("int")), from_a)
+    return told.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / (-F.col("best.p"))).alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
