@@ -59,6 +59,8 @@ def spark_rows(df):
 
 
 TIMES = {}
+#: Queries whose tables are too small at a scale to hold what they look for.
+THIN = {"sf0.001": {"duplicate_key_rule"}}
 
 
 def compare(spark, con, key, run, sql, sf_dir):
@@ -79,6 +81,8 @@ def compare(spark, con, key, run, sql, sf_dir):
             f"   only spark {sum(extra.values())}: {list(extra)[:3]}\n"
             f"   only sql   {sum(missing.values())}: {list(missing)[:3]}"
         ), sum(got.values())
+    if not got and key not in THIN.get(sf_dir.rsplit("/", 1)[-1], ()):
+        return "no rows on either side: nothing is compared", 0
     spark_types = dict(df.dtypes)
     pairs = {n: (spark_types[n], types[n]) for n in names}
     odd = {n: p for n, p in pairs.items() if not same_type(*p)}

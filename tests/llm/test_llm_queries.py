@@ -24,7 +24,7 @@ def test_twin(spark, key):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_op1_finds_something(spark):

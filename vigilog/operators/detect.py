@@ -16,6 +16,7 @@ from vigilog.rules.compiler import (
     Fields,
     RuleCompiler,
     counting_of,
+    plain_part,
     fields_of,
     quoted,
 )
@@ -129,13 +130,12 @@ def field_sql(source: str, name: str, mode: str) -> str:
 
 
 def row_rules(rules: Sequence[Rule], mode: str) -> list[Rule]:
-    """Enabled rules decided on one row; counting rules are left to ``correlate``."""
-    return [
-        r
-        for r in rules
-        if r.enabled and r.log_source in FIELD_MAP
-        and (mode == "compat" or counting_of(r) is None)
-    ]
+    """Enabled rules decided on one row; what counts is left to ``correlate``."""
+    active = [r for r in rules if r.enabled and r.log_source in FIELD_MAP]
+    if mode == "compat":
+        return active
+    plain = [r if counting_of(r) is None else plain_part(r) for r in active]
+    return [r for r in plain if r is not None]
 
 
 def with_fields(view: DataFrame, rules: Sequence[Rule], mode: str) -> DataFrame:

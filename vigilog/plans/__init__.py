@@ -7,6 +7,7 @@ from vigilog.plans import (  # noqa: F401
     parse_queries,
     source_queries,
     stat_queries,
+    stateful_queries,
     window_queries,
 )
 from vigilog.plans.catalog import ORACLES, QUERIES  # noqa: F401

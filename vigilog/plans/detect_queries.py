@@ -63,10 +63,10 @@ def match_exact(t: Tables):
 
 @query(
     "match_wildcard",
-    sql=r"SELECT log_entry_id AS id FROM nginx_low WHERE regexp_matches(p, '^/se.*=.*script>$')",
+    sql=r"SELECT log_entry_id AS id FROM nginx_low WHERE regexp_matches(p, '^/lo.*=.*object>$')",
 )
 def match_wildcard(t: Tables):
-    return matches(t, one_rule("nginx", {"Url": "/SE*=*script>"}))
+    return matches(t, one_rule("nginx", {"Url": "/LO*=*object>"}))
 
 
 @query(
@@ -305,15 +305,15 @@ UNION ALL SELECT 'web-agent-mix', 'low', CAST(server_id AS VARCHAR), http_user_a
   WHERE contains(p, '/')"""
 
 
-# The data is thin: at most a few requests per address and day.
-@query(
-    "threshold_rule",
-    sql=f"""
+THRESHOLD_SQL = f"""
 SELECT rule_id, severity, source, window_start,
   CASE WHEN rule_id IN ('lin-user-spread', 'web-agent-mix') THEN d ELSE n END AS matches
 FROM (SELECT rule_id, severity, c.source, {DAY}, count(*) AS n, count(DISTINCT value) AS d
-  FROM ({COUNTED}) c JOIN log_entry l ON l.id = c.log_entry_id GROUP BY ALL) WHERE matches >= 3""",
-)
+  FROM ({COUNTED}) c JOIN log_entry l ON l.id = c.log_entry_id GROUP BY ALL) WHERE matches >= 3"""
+
+
+# The data is thin: at most a few requests per address and day.
+@query("threshold_rule", sql=THRESHOLD_SQL)
 def threshold_rule(t: Tables):
     return correlate.threshold_alerts(t.logs, t.rules, timeframe="1d", least=3)
 
@@ -350,6 +350,30 @@ def count_rule(t: Tables):
     return correlate.threshold_alerts(t.logs, [rule], timeframe="1d")
 
 
+# Two counts that must both be met, or many requests of one kind.
+@query(
+    "joined_count_rule",
+    sql=f"""
+WITH r AS (SELECT CAST(server_id AS VARCHAR) AS source, {DAY}, request_uri, request_method
+  FROM nginx_d JOIN log_entry l ON l.id = log_entry_id)
+SELECT 'one' AS rule_id, 'medium' AS severity, source, window_start, max(matches) AS matches FROM (
+  SELECT source, window_start, count(*) AS matches FROM r WHERE request_method = 'GET' GROUP BY ALL
+    HAVING count(*) >= 2 AND count(DISTINCT request_uri) BETWEEN 1 AND 3
+  UNION ALL
+  SELECT source, window_start, count(*) FROM r WHERE request_method = 'POST' GROUP BY ALL
+    HAVING count(*) = 1 OR count(*) > 2) GROUP BY ALL""",
+)
+def joined_count_rule(t: Tables):
+    rule = one_rule(
+        "nginx",
+        {"RequestMethod": "GET", "count|gte": [50, 2], "Url|count|gte": "<=3"},
+        "selection or posts and aggregation",
+        posts={"RequestMethod": "POST", "count|gte": ["=1", ">2"]},
+        aggregation={"timeframe": "1d"},
+    )
+    return correlate.threshold_alerts(t.logs, [rule])
+
+
 @query(
     "distinct_count_rule",
     sql=f"""
@@ -374,16 +398,16 @@ def duplicate_key_rule(t: Tables):
     return correlate.threshold_alerts(t.logs, [rule], timeframe="1d")
 
 
-@query(
-    "brute_force_sliding",
-    sql=f"""
+BRUTE_FORCE_SQL = f"""
 SELECT log_entry_id, ssh_ip, {sql_time("recv_time")} AS recv_time, recent FROM (
   SELECT d.log_entry_id, d.ssh_ip, l.recv_time, count(*) OVER (PARTITION BY d.ssh_ip
     ORDER BY CAST(floor(epoch(l.recv_time)) AS BIGINT)
     RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent
   FROM linux_d d JOIN log_entry l ON l.id = d.log_entry_id
-  WHERE contains(lower(l.content), 'failed password')) WHERE recent > 2""",
-)
+  WHERE contains(lower(l.content), 'failed password')) WHERE recent > 2"""
+
+
+@query("brute_force_sliding", sql=BRUTE_FORCE_SQL)
 def brute_force_sliding(t: Tables):
     failed = detect.parsed_view(correlate.failed_password_lines(t.logs))
     failures = failed.where("linux IS NOT NULL").select(

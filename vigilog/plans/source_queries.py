@@ -275,28 +275,6 @@ def stream_parse(t: Tables):
     )
 
 
-@query(
-    "stream_threshold",
-    sql=f"""
-SELECT server_id, {sql_time("date_trunc('day', triggered_at)")} AS window_start, count(*) AS matches
-FROM alert WHERE rule_id = 'lin-ssh-failed' GROUP BY ALL HAVING count(*) > 1""",
-)
-def stream_threshold(t: Tables):
-    out = shared_dir(t.spark, "windows")
-    # Three files, one after the other in time, so that the watermark moves between batches.
-    path = shared_dir(t.spark, "logs")
-    for start, end in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
-        part = t.logs.where((F.col("recv_time") >= start) & (F.col("recv_time") < end))
-        part.coalesce(1).write.mode("append").parquet(path)
-    logs = live.stream_table(t.spark, path, t.logs.schema, files_per_batch=1)
-    found = detect.run_rules(logs, [r for r in t.rules if r.id == "lin-ssh-failed"])
-    live.stream_threshold(
-        found, "server_id", "1 day", 1, out, shared_dir(t.spark, "checkpoint"), delay="1 day"
-    ).awaitTermination()
-    schema = "server_id bigint, window_start timestamp, matches bigint, batch bigint"
-    return live.latest_windows(t.spark.read.schema(schema).parquet(out), "server_id")
-
-
 @query(
     "stream_counters",
     sql="SELECT log_source, count(*) AS logs FROM log_entry GROUP BY log_source",

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from typing import Any
 
@@ -318,57 +318,165 @@ def counts(key: str) -> bool:
     return modifier in AGGREGATE_MODIFIERS or (name == "count" and modifier == "gte")
 
 
+NEVER = 2**63 - 1
+
+
 @dataclass(frozen=True)
 class Counting:
     """What a counting rule counts in each group and window of its matching rows.
 
     ``field`` names the group; without one rows are grouped by their server. With
     ``distinct`` the different values of that field are counted instead of rows.
-    The rule fires at ``least`` or more.
+    The count is met inside one of ``ranges``, both ends included.
     """
 
     timeframe: str
     group: str | None
     distinct: str | None
-    least: int
+    ranges: tuple[tuple[int, int], ...]
 
+    @property
+    def least(self) -> int:
+        return min(low for low, _ in self.ranges)
 
-def counting_of(rule: Rule) -> Counting | None:
-    """The count a rule asks for, if it asks for one.
 
-    Three spellings: ``field|count: '>n'`` (or ``>=n``) counts rows for each value of the
-    field, ``count|gte: n`` rows for each server, ``field|count|gte: n`` different values
-    for each server; ``field|duplicate`` asks for a value that two servers share. A limit
-    that is no number is never reached.
-    """
+def counting_of(rule: Rule) -> Counting | None:
+    """The first count a rule asks for, if it asks for any."""
     for name, block in rule.detection.items():
         for part in block if isinstance(block, list) else [block]:
-            if not isinstance(part, dict):
-                continue
-            frame = str(part.get("timeframe", DEFAULT_TIMEFRAME)) if name == "aggregation" else DEFAULT_TIMEFRAME
-            for key, value in part.items():
-                if counts(key):
-                    return _counting(rule, key, values_of(value)[0], frame)
+            if isinstance(part, dict):
+                for key, value in part.items():
+                    if counts(key):
+                        return _counting(rule, key, values_of(value), _timeframe(rule))
     return None
 
 
-NEVER = 2**63 - 1
+def _timeframe(rule: Rule) -> str:
+    block = rule.detection.get("aggregation")
+    return str(block.get("timeframe", DEFAULT_TIMEFRAME)) if isinstance(block, dict) else DEFAULT_TIMEFRAME
 
 
-def _counting(rule: Rule, key: str, limit: str, frame: str) -> Counting:
+def _counting(rule: Rule, key: str, limits: list[str], frame: str) -> Counting:
+    """Three spellings: ``field|count: '>n'`` counts rows for each value of the field,
+    ``count|gte: n`` rows for each server, ``field|count|gte: n`` different values for each
+    server; ``field|duplicate`` asks for a value that two servers share. Of several limits
+    one has to be met; one that is no number never is.
+    """
     name, modifier = split_key(key)
     field = log_field(rule.log_source, name)
     if modifier == "duplicate":
-        return Counting(frame, field, SERVER, 2 if limit.lower() == "true" else NEVER)
-    sign, digits = re.fullmatch(r"\s*(>=|>|)\s*(\d*)\s*", limit).groups() if _is_limit(limit) else ("", "")
-    least = NEVER if not digits else int(digits) + (sign == ">")
+        return Counting(frame, field, SERVER, ((2 if limits[0].lower() == "true" else NEVER, NEVER),))
+    bare = ">" if modifier == "count" else ">="
+    ranges = tuple(count_range(limit, bare) or (NEVER, NEVER) for limit in limits)
     if modifier == "count":
-        return Counting(frame, field, None, least if sign else least + (least != NEVER))
-    return Counting(frame, None, None if name == "count" else field, least)
+        return Counting(frame, field, None, ranges)
+    return Counting(frame, None, None if name == "count" else field, ranges)
+
+
+def count_range(limit: str, bare: str = ">=") -> tuple[int, int] | None:
+    """Counts that meet a limit such as ``>5``; ``bare`` is the sign of a mere number."""
+    found = re.fullmatch(r"\s*(>=|<=|==|>|<|=|)\s*(\d+)\s*", limit)
+    if not found:
+        return None
+    sign, n = found[1] or bare, int(found[2])
+    return {
+        ">": (n + 1, NEVER), ">=": (n, NEVER), "<": (1, n - 1), "<=": (1, n), "=": (n, n), "==": (n, n),
+    }[sign]
+
+
+@dataclass(frozen=True)
+class Branch:
+    """One way to satisfy a rule: conditions on rows, and all counts that must be met.
+
+    ``rule`` is the rule with the blocks of this branch alone.
+    """
 
+    rule: Rule
+    counts: tuple[Counting, ...]
 
-def _is_limit(text: str) -> bool:
-    return re.fullmatch(r"\s*(>=|>|)\s*\d+\s*", text) is not None
+
+def branches_of(rule: Rule) -> list[Branch]:
+    """The ways that a rule's condition leaves, one for each ``or`` and each map of a list."""
+    text = rule.detection.get("condition", "selection")
+    if not isinstance(text, str) or re.search(r"[()|]|\bof\b", text):
+        return []
+    return [b for part in text.split(" or ") for b in _ways(rule, [t.strip() for t in part.split(" and ")])]
+
+
+def _ways(rule: Rule, terms: list[str]) -> list[Branch]:
+    ways: list[tuple[dict, list[Counting]]] = [({}, [])]
+    for term in terms:
+        name = term.removeprefix("not ").strip()
+        block = rule.detection.get(name)
+        if term.startswith("not ") or not isinstance(block, (list, dict)):
+            ways = [({**d, name: block}, c) for d, c in ways]
+            continue
+        if isinstance(block, list) and not any(counts(k) for m in block if isinstance(m, dict) for k in m):
+            ways = [({**d, name: block}, c) for d, c in ways]
+            continue
+        maps = block if isinstance(block, list) else [block]
+        ways = [({**d, name: m if isinstance(m, dict) else [m]}, [*c, *_counts_of(rule, m)]) for d, c in ways for m in maps]
+    condition = " and ".join(terms)
+    return [Branch(replace(rule, detection={**d, "condition": condition}), tuple(c)) for d, c in ways]
+
+
+def _counts_of(rule: Rule, part: Any) -> list[Counting]:
+    if not isinstance(part, dict):
+        return []
+    return [_counting(rule, k, values_of(v), _timeframe(rule)) for k, v in part.items() if counts(k)]
+
+
+def plain_part(rule: Rule) -> Rule | None:
+    """What of a counting rule is decided on single rows: its branches without counts."""
+    plain = [b.rule for b in branches_of(rule) if not b.counts]
+    if not plain:
+        return None
+    detection, conditions = {}, []
+    for i, own in enumerate(plain):
+        terms = []
+        for term in own.detection["condition"].split(" and "):
+            name = term.strip().removeprefix("not ").strip()
+            named = name if name == "aggregation" else f"way{i}_{name}"
+            detection[named] = own.detection.get(name)
+            terms.append(f"not {named}" if term.strip().startswith("not ") else named)
+        conditions.append(" and ".join(terms))
+    return replace(rule, detection={**detection, "condition": " or ".join(conditions)})
+
+
+def check_counts(rule: Rule) -> Rule:
+    """The rule, if every count in it has a meaning; else ``ValueError``.
+
+    Without meaning are a limit that is no number with a known sign, a count that is
+    negated or in a block no condition names, and counts of one branch over different groups.
+    """
+
+    def refuse(why: str):
+        raise ValueError(f"rule {rule.id}: {why}")
+
+    if counting_of(rule) is None:
+        return rule
+    for block in rule.detection.values():
+        for part in block if isinstance(block, list) else [block]:
+            for key, value in part.items() if isinstance(part, dict) else ():
+                if counts(key):
+                    told = values_of(value)
+                    if split_key(key)[1] == "duplicate":
+                        if told[0].lower() not in ("true", "false"):
+                            refuse(f"{key}: {told[0]!r} is neither true nor false")
+                    elif bad := [v for v in told if count_range(v) is None]:
+                        refuse(f"{key}: {bad[0]!r} is no limit")
+    ways = branches_of(rule)
+    if len({id_ for b in ways for id_ in b.counts}) == 0:
+        refuse("its condition reads no count")
+    text = str(rule.detection.get("condition", "selection"))
+    for name, block in rule.detection.items():
+        maps = block if isinstance(block, list) else [block]
+        if any(counts(k) for m in maps if isinstance(m, dict) for k in m) and re.search(rf"\bnot {re.escape(name)}\b", text):
+            refuse(f"{name} is negated but counts")
+    for b in ways:
+        if len({c.group for c in b.counts}) > 1:
+            refuse("it counts over different groups at once")
+    return rule
 
 
 #: Stands for the server of a row where a field's name is meant.

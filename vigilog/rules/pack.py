@@ -143,9 +143,12 @@ def packaged_rules() -> list[Rule]:
 def collect_rules(table: DataFrame) -> list[Rule]:
     """Rules of a rule table, for compilation on the driver, in the table's order.
 
-    Rows come a partition at a time; what is kept is the rules alone.
+    Rows come a partition at a time; what is kept is the rules alone. A rule that counts in
+    a way without meaning is refused (``compiler.check_counts``).
     """
-    return [rule_from_row(row.asDict(recursive=True)) for row in table.toLocalIterator()]
+    from vigilog.rules.compiler import check_counts
+
+    return [check_counts(rule_from_row(row.asDict(recursive=True))) for row in table.toLocalIterator()]
 
 
 def rules_frame(spark: SparkSession, rows: list[dict[str, Any]] | None = None) -> DataFrame:
