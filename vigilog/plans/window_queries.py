@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilog.functions import halfspace
-from vigilog.operators import anomaly, sequence, templates
+from vigilog.operators import anomaly, sequence, template_tree, templates
 from vigilog.plans.catalog import query, sql_time
 from vigilog.plans.fixtures import Tables, _q
 from vigilog.session import cut_lineage
@@ -99,6 +99,39 @@ def merge_templates(t: Tables):
     return templates.merge_templates(templates.masked_templates(t.linux, "raw_message"))
 
 
+# The messages of a leaf are of one kind here, so a leaf is a template: what all its messages
+# share, and a wildcard elsewhere.
+@query(
+    "template_ids",
+    sql=f"""
+WITH m AS (SELECT log_entry_id, string_split(template, ' ') AS tk
+  FROM (SELECT log_entry_id, {MASK_SQL} AS template FROM linux_d)),
+l AS (SELECT *, len(tk) || ' ' || array_to_string(list_transform(tk[1:{template_tree.PREFIX}],
+  lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf FROM m),
+p AS (SELECT leaf, i, CASE WHEN min(tk[i]) = max(tk[i]) THEN min(tk[i]) ELSE '<*>' END AS token
+  FROM (SELECT leaf, tk, unnest(range(1, len(tk) + 1)) AS i FROM l) GROUP BY leaf, i),
+t AS (SELECT leaf, string_agg(token, ' ' ORDER BY i) AS template, count(*)::INTEGER AS tokens FROM p GROUP BY leaf),
+n AS (SELECT template, count(*) AS size FROM l JOIN t USING (leaf) GROUP BY template)
+SELECT log_entry_id, CAST('0x' || substr(md5(template), 1, 15) AS BIGINT) AS template_id, template, tokens, size
+FROM l JOIN t USING (leaf) JOIN n USING (template)""",
+)
+def template_ids(t: Tables):
+    found, assigned = template_tree.mined_templates(t.linux, "raw_message")
+    messages = template_tree.with_templates(t.linux.select("log_entry_id", "raw_message"), "raw_message", assigned)
+    return messages.drop("raw_message", "template").join(found, "template_id")
+
+
+# Prose has no templates in common with SQL; the miner is compared with a sequential one.
+@query("document_templates")
+def document_templates(t: Tables):
+    lines = t.read("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    found, assigned = template_tree.mined_templates(lines, "line")
+    told = template_tree.with_templates(lines, "line", assigned).groupBy("template_id").agg(
+        F.countDistinct("doc_id").alias("documents")
+    )
+    return found.join(told, "template_id")
+
+
 # A host has few events here; the width is one that they fill, the threshold one they reach.
 MODEL_WINDOW = 20
 MODEL_THRESHOLD = 0.4
