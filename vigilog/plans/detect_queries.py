@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from vigilog.operators import correlate, detect
+from vigilog.operators import correlate, detect, rule_index
 from vigilog.plans.catalog import query, sql_time
 from vigilog.plans.fixtures import Tables
 from vigilog.rules import pack
@@ -254,6 +254,19 @@ def run_rules(t: Tables):
     return detect.run_rules(t.logs, t.rules).select("log_entry_id", "rule_id", "severity")
 
 
+# The rules besides are indicators of this table's parts: names that no line holds.
+@query("run_indexed_rules", sql="SELECT log_entry_id, rule_id, severity FROM alert")
+def run_indexed_rules(t: Tables):
+    parts = t.read("part").select("p_partkey", "p_name").toLocalIterator()
+    more = [
+        Rule(f"part-{p['p_partkey']}", "", "", "low", "stable", source, {"selection": {"Message|contains": f"part {p['p_name']} {source}"}})
+        for p in parts
+        for source in ("linux", "windows", "nginx")
+    ]
+    found = rule_index.run_rules(t.logs, [*more, *t.rules])
+    return found.select("log_entry_id", "rule_id", "severity")
+
+
 @query(
     "build_alerts",
     sql=f"""

@@ -159,6 +159,9 @@ class Fields:
         own = self.present(name)
         return f"coalesce({own}, {self.raw}, '')" if with_raw else own
 
+    def line(self) -> str:
+        return f"coalesce({self.raw}, '')"
+
 
 def match_contains(text: str, values: list[str]) -> str:
     return any_of(f"contains({text}, {quoted(v.lower())})" for v in values)
@@ -197,15 +200,46 @@ def known(condition: str) -> str:
     return condition if condition in (FALSE, "true") else f"coalesce({condition}, false)"
 
 
+class SqlForm:
+    """Conditions as SQL text."""
+
+    false, true = FALSE, "true"
+    any_of = staticmethod(any_of)
+    all_of = staticmethod(all_of)
+    known = staticmethod(known)
+    contains = staticmethod(match_contains)
+    regex = staticmethod(match_regex)
+    plain = staticmethod(match_plain)
+    listed = staticmethod(match_list)
+    gte = staticmethod(match_gte)
+
+    @staticmethod
+    def negated(condition: str) -> str:
+        return f"NOT {condition}"
+
+    @staticmethod
+    def affix(modifier: str, text: str, value: str) -> str:
+        return f"{modifier}({text}, {quoted(value)})"
+
+    @staticmethod
+    def not_listed(text: str, values: list[str]) -> str:
+        return f"({text} IS NOT NULL AND NOT {match_list(text, values)})"
+
+    @staticmethod
+    def empty(text: str) -> str:
+        return f"({text} IS NULL OR {match_list(text, EMPTY_VALUES)})"
+
+
 class RuleCompiler:
-    """Compiles the row conditions of one rule over ``fields``."""
+    """Compiles the row conditions of one rule over ``fields``, as SQL or in another ``form``."""
 
-    def __init__(self, rule: Rule, fields: Fields, mode: str = "intent"):
+    def __init__(self, rule: Rule, fields: Fields, mode: str = "intent", form=SqlForm):
         if mode not in ("intent", "compat"):
             raise ValueError(f"unknown mode {mode!r}")
         self.rule = rule
         self.fields = fields
         self.compat = mode == "compat"
+        self.form = form
 
     def condition(self) -> str:
         text = self.rule.detection.get("condition", "selection")
@@ -216,19 +250,19 @@ class RuleCompiler:
     def _condition(self, text: str) -> str:
         """``or`` of ``and`` of optionally negated block names; anything else is false."""
         if re.search(r"[()|]|\bof\b", text):
-            return FALSE
-        return any_of(
-            all_of(self._term(term.strip()) for term in branch.split(" and "))
+            return self.form.false
+        return self.form.any_of(
+            self.form.all_of(self._term(term.strip()) for term in branch.split(" and "))
             for branch in text.split(" or ")
         )
 
     def _term(self, term: str) -> str:
         if term.startswith("not "):
-            return f"NOT {self._named(term[4:])}"
+            return self.form.negated(self._named(term[4:]))
         return self._named(term)
 
     def _named(self, name: str) -> str:
-        return known(self.block(name.strip()))
+        return self.form.known(self.block(name.strip()))
 
     def _compat_condition(self, text: str) -> str:
         """The first connective found anywhere in the text splits the whole condition."""
@@ -237,41 +271,41 @@ class RuleCompiler:
         if "and not" in text:
             sides = text.split(" and not ")
             if len(sides) != 2:
-                return FALSE
-            return all_of([self._named(sides[0]), f"NOT {self._named(sides[1])}"])
+                return self.form.false
+            return self.form.all_of([self._named(sides[0]), self.form.negated(self._named(sides[1]))])
         if "or" in text:
-            return any_of(self._named(part) for part in text.split(" or "))
+            return self.form.any_of(self._named(part) for part in text.split(" or "))
         if "and" in text:
-            return all_of(self._named(part) for part in text.split(" and "))
-        return FALSE
+            return self.form.all_of(self._named(part) for part in text.split(" and "))
+        return self.form.false
 
     # -- blocks ----------------------------------------------------------------
 
     def block(self, name: str) -> str:
         content = self.rule.detection.get(name)
         if not content:
-            return FALSE
+            return self.form.false
         if name == "aggregation" and not self.compat:
             # Counted over groups of rows, see operators.correlate.
-            return "true"
+            return self.form.true
         if isinstance(content, dict):
             return self._fields(content)
         if isinstance(content, list):
             maps = [self._fields(c) for c in content if isinstance(c, dict) and c]
             words = [str(c) for c in content if not isinstance(c, dict)]
             if words and not self.compat:
-                maps.append(match_contains(f"coalesce({self.fields.raw}, '')", words))
-            return any_of(maps)
-        return FALSE
+                maps.append(self.form.contains(self.fields.line(), words))
+            return self.form.any_of(maps)
+        return self.form.false
 
     def _fields(self, block: dict[str, Any]) -> str:
-        return all_of(self._field(key, value) for key, value in block.items())
+        return self.form.all_of(self._field(key, value) for key, value in block.items())
 
     def _field(self, key: str, value: Any) -> str:
         name, modifier = split_key(key)
         if counts(key) and not self.compat:
             # Decided over groups of rows, see operators.correlate.
-            return "true"
+            return self.form.true
         field = log_field(self.rule.log_source, name)
         values = values_of(value)
         if self.compat:
@@ -281,16 +315,15 @@ class RuleCompiler:
     def _compat_field(self, field: str, modifier: str | None, values: list[str]) -> str:
         text = self.fields.searched(field, with_raw=True)
         if modifier == "re":
-            return any_of(match_regex(text, v.lower()) for v in values)
+            return self.form.any_of(self.form.regex(text, v.lower()) for v in values)
         if modifier in TEXT_MODIFIERS:
             return self._text_match(text, modifier, values)
-        return any_of(match_plain(text, v) for v in values)
+        return self.form.any_of(self.form.plain(text, v) for v in values)
 
-    @staticmethod
-    def _text_match(text: str, modifier: str, values: list[str]) -> str:
+    def _text_match(self, text: str, modifier: str, values: list[str]) -> str:
         if modifier == "contains":
-            return match_contains(text, values)
-        return any_of(f"{modifier}({text}, {quoted(v.lower())})" for v in values)
+            return self.form.contains(text, values)
+        return self.form.any_of(self.form.affix(modifier, text, v.lower()) for v in values)
 
     def _intent_field(self, field: str, modifier: str | None, values: list[str]) -> str:
         own = self.fields.present(field)
@@ -299,17 +332,17 @@ class RuleCompiler:
         if modifier in TEXT_MODIFIERS:
             return self._text_match(text, modifier, values)
         if modifier == "re":
-            return any_of(match_regex(text, v) for v in values)
+            return self.form.any_of(self.form.regex(text, v) for v in values)
         if modifier in ("in", "ip_in"):
-            return match_list(own, lowered)
+            return self.form.listed(own, lowered)
         if modifier == "not_in":
-            return f"({own} IS NOT NULL AND NOT {match_list(own, lowered)})"
+            return self.form.not_listed(own, lowered)
         if modifier == "gte":
-            return match_gte(own, values)
+            return self.form.gte(own, values)
         if modifier == "empty":
-            empty = f"({own} IS NULL OR {match_list(own, EMPTY_VALUES)})"
-            return empty if lowered[0] == "true" else f"NOT {empty}"
-        return any_of(match_plain(own, v) for v in values)
+            empty = self.form.empty(own)
+            return empty if lowered[0] == "true" else self.form.negated(empty)
+        return self.form.any_of(self.form.plain(own, v) for v in values)
 
 
 def counts(key: str) -> bool:
@@ -396,11 +429,16 @@ class Branch:
 
 
 def branches_of(rule: Rule) -> list[Branch]:
-    """The ways that a rule's condition leaves, one for each ``or`` and each map of a list."""
+    """The ways that a rule's condition leaves, one for each ``or`` and each map of a list.
+
+    A block named ``aggregation`` holds for every branch if the condition does not name it.
+    """
     text = rule.detection.get("condition", "selection")
     if not isinstance(text, str) or re.search(r"[()|]|\bof\b", text):
         return []
-    return [b for part in text.split(" or ") for b in _ways(rule, [t.strip() for t in part.split(" and ")])]
+    always = ["aggregation"] if rule.detection.get("aggregation") and "aggregation" not in text else []
+    parts = [[t.strip() for t in part.split(" and ")] for part in text.split(" or ")]
+    return [b for terms in parts for b in _ways(rule, [*terms, *always])]
 
 
 def _ways(rule: Rule, terms: list[str]) -> list[Branch]:
