@@ -4,8 +4,8 @@ Documents are ordered by id (null ids first, then by text), encoded, closed with
 id, and put end to end. Each range of ids becomes one file
 
     part-000012.arrow       ids: fixed_size_list<uint16 or uint32>[length],
-                            mask: fixed_size_list<bool>[length]; a batch holds ``batch``
-                            sequences; the file's last sequence is padded, mask false
+                            mask: fixed_size_list<uint8>[length]; a batch holds ``batch``
+                            sequences; the file's last sequence is padded, mask 0
     part-000012.docs.arrow  doc_id, start, n_tokens: where each document lies in the file
 
 Every batch but the last is of the same size, so a mapped file gives any sequence and its
@@ -14,7 +14,8 @@ file when it is whole; a task that runs again writes the same bytes.
 
 Texts are split at ASCII blanks and each different word is encoded once by the tokenizer
 library; the tokenizers meant here drop blanks and never join across them (others are
-refused), so this is the encoding of the whole text; a test compares both. Null and empty texts hold the end id
+refused), so this is the encoding of the whole text; a test compares both. Words are told
+apart by 64-bit hashes. Null and empty texts hold the end id
 alone. Rows that repeat are written each. An empty table gives no files and no rows.
 Columns beyond the named ones are not looked at.
 """
@@ -34,26 +35,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.llm.scratch import keep, plain
-from vigilog.llm.words import slices
+from vigilog.llm.words import LOWER, NON_BLANK, Words, slices
 from vigilog.session import shared_dir
 
 LENGTH = 1024  # ids of a sequence
 BATCH = 256  # sequences of a batch
 END_ID = 1
-CACHED_WORDS = 350_000  # words of a generation that a worker remembers
+CACHED_WORDS = 2_000_000  # pieces that a worker remembers before it begins anew
 MARKS = ".,;:!?"
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(MARKS.encode())] = True
+_ASCII_ALNUM = np.zeros(256, dtype=bool)
+_ASCII_ALNUM[48:58] = _ASCII_ALNUM[65:91] = _ASCII_ALNUM[97:123] = True
 _SLICE = 8 << 20
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as bytes, remembering the ids of words.
+    """Ids of texts, each different piece of a text encoded once and remembered.
 
-    Words are remembered in two generations: when the young one is full it becomes the
-    old one, whose words come back when they are met again. Where the tokenizer itself
-    lowers case and cuts marks off letters, a word is looked up without them first, so
-    ``The`` and ``the,`` are not encoded anew.
+    A piece is a word, or a word's core and the marks after it where the tokenizer cuts
+    there itself; where it lowers case, ASCII words are lowered first, so ``The`` and
+    ``the,`` are not encoded anew. Pieces are known by 64-bit hash, in arrays: sorted keys,
+    where their ids begin in a pool, and how many they are.
     """
 
     def __init__(self, vocabulary: str):
@@ -66,59 +71,88 @@ class Encoder:
         self.cuts = all(self._ids([f"ab{m}"]) == self._ids(["ab", m]) for m in ("?!", *MARKS))
         if self._ids(["ab c"]) != self._ids(["ab", "c"]):
             raise ValueError("the tokenizer joins words across blanks")
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.dtype)
 
     def _ids(self, texts: list[str]) -> list[int]:
         return [i for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Make the ids of ``words`` known: from the old generation, from parts, or anew.
-
-        A word's parts are its core and the marks after it, in lower case, where their
-        encodings end to end are that of the word.
-        """
-        if len(self.known) >= CACHED_WORDS:
-            self.older, self.known = self.known, {}
-        known, older, marks = self.known, self.older, MARKS.encode()
-        new, cores, tails = [], [], []
-        for word in words.difference(known):
-            if word in older:
-                known[word] = older[word]
-                continue
+    def _pieces(self, words: Words) -> np.ndarray:
+        """Cut the words into pieces, in place; the pieces before each text, and all."""
+        data, starts, ends = words.data, words.starts, words.ends
+        if self.lowers:
             # A special token's text, which begins with <, is not lower-cased.
-            core = plain_word = word.lower() if self.lowers and word.isascii() and b"<" not in word else word
-            tail = b""
-            if self.cuts and plain_word[-1] in marks:
-                core = plain_word.rstrip(marks)
-                if core[-1:].isalnum():
-                    tail = plain_word[len(core) :]
-                else:
-                    core = plain_word
-            new.append(word)
-            cores.append(core)
-            tails.append(tail)
-        parts = {*cores, *tails}.difference(known)
-        parts.discard(b"")
-        unseen = []
-        for part in parts:
-            if part in older:
-                known[part] = older[part]
-            else:
-                unseen.append(part)
-        for at in range(0, len(unseen), 10_000):
-            piece = unseen[at : at + 10_000]
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in piece], add_special_tokens=False)
-            for part, code in zip(piece, coded):
-                known[part] = np.array(code.ids, self.dtype).tobytes()
-        for word, core, tail in zip(new, cores, tails):
-            known[word] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        split = [t.split() for t in texts]  # on bytes: ASCII blanks only
-        self._learn(set().union(*split))
-        end = np.array([end_id], self.dtype).tobytes()
-        return [b"".join([*map(self.known.__getitem__, words), end]) for words in split]
+            odd = np.concatenate([[0], np.cumsum((data >= 128) | (data == 60))])
+            plain_word = odd[ends] == odd[starts]
+            edge = np.zeros(len(data) + 1, dtype=np.int8)
+            edge[starts[plain_word]] += 1
+            edge[ends[plain_word]] -= 1
+            inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+            data = np.where(inside, LOWER[data], data)
+        cut = ends.copy()
+        if self.cuts:
+            at = np.flatnonzero(_MARK[data[ends - 1]]) if len(ends) else ends
+            while len(at):
+                cut[at] -= 1
+                at = at[cut[at] > starts[at]]
+                at = at[_MARK[data[cut[at] - 1]]]
+            cut = np.where((cut > starts) & _ASCII_ALNUM[data[np.maximum(cut, 1) - 1]], cut, ends)
+        tailed = cut < ends
+        place = np.concatenate([[0], np.cumsum(1 + tailed)])
+        begin, end = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64)
+        begin[place[:-1]], end[place[:-1]] = starts, cut
+        begin[place[:-1][tailed] + 1], end[place[:-1][tailed] + 1] = cut[tailed], ends[tailed]
+        words.data, words.starts, words.ends = data, begin, end
+        return place[words.first]
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces and remember them."""
+        coded = []
+        for at in range(0, len(pieces), 10_000):
+            told = [p.decode("utf-8", "replace") for p in pieces[at : at + 10_000]]
+            coded += [e.ids for e in self.tokenizer.encode_batch_fast(told, add_special_tokens=False)]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        begin = len(self.pool) + np.cumsum(size) - size
+        new = np.fromiter((i for ids in coded for i in ids), self.dtype, int(size.sum()))
+        self.pool = np.concatenate([self.pool, new])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed with ``end_id``, and how many each text has."""
+        words = Words(texts, NON_BLANK, lower=False)
+        first = self._pieces(words)
+        unique, index, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED_WORDS:
+            self._forget()
+        if len(unique):
+            at = np.searchsorted(self.keys, unique)
+            found = np.zeros(len(unique), dtype=bool)
+            if len(self.keys):
+                found = self.keys[np.minimum(at, len(self.keys) - 1)] == unique
+            if not found.all():
+                new = index[~found]
+                data, spans = words.data, zip(words.starts[new].tolist(), words.ends[new].tolist())
+                self._learn(unique[~found], [data[a:b].tobytes() for a, b in spans])
+                at = np.searchsorted(self.keys, unique)
+            at = at[inverse]
+            size, begin = self.size[at], self.begin[at]
+        else:
+            size = begin = np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(size)])
+        sizes = np.diff(sums[first]) + 1
+        ids = np.full(int(sizes.sum()), end_id, dtype=self.dtype)
+        body = np.ones(len(ids), dtype=bool)
+        body[np.cumsum(sizes) - 1] = False
+        ids[body] = self.pool[np.repeat(begin - sums[:-1], size) + np.arange(sums[-1])]
+        return ids, sizes
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -129,7 +163,7 @@ def encoder(vocabulary: str) -> Encoder:
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     return pa.schema(
-        [("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))],
+        [("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))],
         {b"length": str(length).encode()},
     )
 
@@ -156,7 +190,7 @@ class SequenceWriter:
 
     def _put(self, ids: np.ndarray) -> None:
         rows = -(-len(ids) // self.length)
-        mask = np.arange(rows * self.length) < len(ids)
+        mask = (np.arange(rows * self.length) < len(ids)).view(np.uint8)
         padded = np.zeros(rows * self.length, self.dtype)
         padded[: len(ids)] = ids
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
@@ -190,15 +224,12 @@ def write_files(
                     data = SequenceWriter(files[0], coder.dtype, length, batch)
                     fields = [("doc_id", part.column("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())]
                     index = pa.ipc.new_stream(files[1], pa.schema(fields))
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")]
-                coded = coder.encode(texts, end_id)
-                sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // coder.dtype.itemsize
-                for ids in coded:
-                    data.add(ids)
+                ids, sizes = coder.encode(part.column("text"), end_id)
+                data.add(ids.tobytes())
                 columns = [part.column("doc_id"), pa.array(at + np.cumsum(sizes) - sizes), pa.array(sizes)]
                 index.write_batch(pa.RecordBatch.from_arrays(columns, schema=index_schema(columns)))
                 at += int(sizes.sum())
-                n_docs += len(coded)
+                n_docs += part.num_rows
         if data is None:
             return
         data.close()
@@ -232,14 +263,30 @@ def open_stream(fs, path: str) -> pa.RecordBatchReader:
 
 
 def sequence(folder: str, piece: int, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sequence of a file, as a view of the mapped ids, and its mask."""
+    """One sequence of a file and its mask (1 for an id, 0 for padding).
+
+    All batches but the last take the same bytes, so the place of the sequence's batch is
+    computed and no other batch but the first is read. Of a local file both are views.
+    """
     fs, root = pa.fs.FileSystem.from_uri(folder)
-    for batch in open_stream(fs, f"{root}/{file_name(piece)}.arrow"):
-        if number < batch.num_rows:
-            ids, mask = (batch.column(c)[number].values for c in ("ids", "mask"))
-            return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
-        number -= batch.num_rows
-    raise IndexError(number)
+    path = f"{root}/{file_name(piece)}.arrow"
+    source = pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path)
+    schema = pa.ipc.read_schema(source)
+    head = source.tell()
+    batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    if number >= batch.num_rows:
+        whole, width = batch.num_rows, source.tell() - head
+        place = head + number // whole * width
+        if place + 8 >= source.size():  # a stream ends with a mark of eight bytes
+            raise IndexError(number)
+        source.seek(place)
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+        number %= whole
+    if not 0 <= number < batch.num_rows:
+        raise IndexError(number)
+    length = schema.field("ids").type.list_size
+    at = slice(number * length, (number + 1) * length)
+    return tuple(batch.column(c).values.to_numpy()[at] for c in ("ids", "mask"))
 
 
 def read_documents(files: DataFrame, folder: str, id_type: str) -> DataFrame:
@@ -258,7 +305,7 @@ def read_documents(files: DataFrame, folder: str, id_type: str) -> DataFrame:
 def _flat(fs, path: str):
     for batch in open_stream(fs, path):
         ids = batch.column("ids").flatten().to_numpy()
-        yield ids[: batch.column("mask").flatten().true_count]  # only the end is padded
+        yield ids[: int(batch.column("mask").flatten().to_numpy().sum(dtype=np.int64))]  # only the end is padded
 
 
 def _documents(folder: str, piece: int, start: int):
