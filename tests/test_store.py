@@ -10,8 +10,10 @@ from vigilog.rules.pack import packaged_rules
 from vigilog.session import shared_dir
 from vigilog.sources import exports, sinks
 from vigilog.streaming import live
+from vigilog.streaming.store import LogStore, row_id
 
 NOW = datetime(2025, 12, 6, 12)
+F_TIME = datetime(2025, 12, 6, 11)
 LINES = [
     (1, "linux", "Dec  6 10:00:00 host1 syslog[1]: Test one", 120),
     (2, "windows", '{"event_id": 4625, "channel": "Security", "message": "Test two"}', 60),
@@ -184,10 +186,88 @@ def test_store_is_appended_batch_by_batch(spark, tmp_path):
     assert sorted(servers) == ["unknown", "web1", "web2"]
     seen = logs.where("hostname = 'web1'").agg(F.min("recv_time"), F.max("recv_time")).first()
     assert (servers["web1"].first_seen, servers["web1"].last_seen) == tuple(seen)
-    shift = live.TASK_BITS + live.ROW_BITS
-    assert logs.where(f"shiftright(id, {shift}) <> batch").count() == 0
-    batches = sorted(r.batch for r in logs.select("batch").distinct().collect())
-    assert batches == [0, 1]
+    assert {(int(r.id) >> 64, r.batch) for r in logs.collect()} == {(0, 0), (1, 1)}
+    store = LogStore(spark, store)
+    assert store.counters() == {"received": 6, "parsed": 5, "saved": 5, "errors": 1, "batches": 2}
+
+
+def test_ids_have_no_limit(spark):
+    rows = spark.range(0, 3, 1, 1).select(row_id(1 << 40).alias("id"))
+    first = [int(r.id) for r in rows.collect()]
+    assert [i - (1 << 104) for i in first] == [0, 1, 2]
+    # As large as a task's rows may get, and more tasks than any job has.
+    top = F.lit(str((1 << 60) << 64)).cast("decimal(38,0)") + F.lit(2**63 - 1).cast("decimal(38,0)")
+    assert int(spark.range(1).select(top.cast("decimal(38,0)").alias("x")).first().x) == (1 << 124) + 2**63 - 1
+
+
+def envelopes_of(spark, *lines):
+    rows = [(F_TIME, "10.0.0.1", x) for x in lines]
+    return spark.createDataFrame(rows, "recv_time timestamp, src_ip string, line string")
+
+
+LINE = "Dec  6 10:00:03 web1 sshd[1]: Failed password for root from 10.1.1.1 port 1 ssh2"
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "store"))
+    assert store.entries() == [] and store.table("log_entry", live.LOG_SCHEMA).count() == 0
+    store.commit(live.write_batch(store, envelopes_of(spark, LINE, "no log", LINE), 0))
+    seen = live.store_logs(spark, store.path)
+
+    def fails(rows):
+        raise OSError("lost between two tables")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(live.stats, "sightings", fails)
+        with pytest.raises(OSError):
+            store.commit(live.write_batch(store, envelopes_of(spark, LINE), 1))
+    # Its log rows and details lie there, but no manifest names them.
+    assert spark.read.parquet(store.folder("log_entry", 1)).count() == 1
+    assert live.store_logs(spark, store.path).count() == 2 == store.table("linux_log_details").count()
+    store.commit(live.write_batch(store, envelopes_of(spark, LINE), 1))
+    assert live.store_logs(spark, store.path).count() == 3 and seen.count() == 2
+    assert store.counters() == {"received": 4, "parsed": 3, "saved": 3, "errors": 1, "batches": 2}
+
+
+def test_a_committed_batch_is_not_written_again(spark, tmp_path):
+    folder, store = tmp_path / "in", LogStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "one.log").write_text(LINE)
+    store.commit(live.write_batch(store, envelopes_of(spark, LINE, LINE), 0))
+    files = sorted(str(p) for p in (tmp_path / "store").rglob("*.parquet"))
+    # A query that lost its checkpoint after the commit meets the batch again.
+    live.append_log_store(live.stream_raw_logs(spark, str(folder)), store.path, str(tmp_path / "c")).awaitTermination()
+    assert sorted(str(p) for p in (tmp_path / "store").rglob("*.parquet")) == files
+    assert live.store_logs(spark, store.path).count() == 2
+
+
+def test_readers_during_a_compaction(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "store"))
+    for i in range(3):
+        store.commit(live.write_batch(store, envelopes_of(spark, LINE, LINE.replace("web1", f"web{i}")), i))
+    before = live.store_logs(spark, store.path)
+    want = sorted(map(tuple, before.drop("batch").collect()))
+    commit = LogStore.commit
+
+    def seen_before_commit(self, entry):
+        # Everything is written, nothing is named: readers have the old batches.
+        assert sorted(map(tuple, live.store_logs(spark, store.path).drop("batch").collect())) == want
+        commit(self, entry)
+
+    monkeypatch.setattr(LogStore, "commit", seen_before_commit)
+    number = store.compact(live.STORE_SCHEMAS, live.STORE_PARTITIONS)
+    monkeypatch.setattr(LogStore, "commit", commit)
+    after = live.store_logs(spark, store.path)
+    assert number == -1 and {r.batch for r in after.collect()} == {-1}
+    assert sorted(map(tuple, after.drop("batch").collect())) == want == sorted(map(tuple, before.drop("batch").collect()))
+    assert store.table("linux_log_details").count() == 6
+    assert len(live.store_servers(spark, store.path).collect()) == 3
+    assert store.counters()["batches"] == 3 and store.compact(live.STORE_SCHEMAS) is None
+    store.commit(live.write_batch(store, envelopes_of(spark, LINE), 3))
+    assert live.store_logs(spark, store.path).count() == 7
+    assert store.vacuum() == [0, 1, 2] and live.store_logs(spark, store.path).count() == 7
+    assert store.compact(live.STORE_SCHEMAS, live.STORE_PARTITIONS) == -2
+    assert live.store_logs(spark, store.path).count() == 7
 
 
 def test_streamed_alerts_equal_batch_alerts(spark, tables, tmp_path):

@@ -11,6 +11,7 @@ from vigilog.plans.fixtures import ACCESS_SQL, FILE_TIME, HEADER_SQL, Tables, _q
 from vigilog.session import shared_dir
 from vigilog.sources import exports, files, sinks
 from vigilog.streaming import live
+from vigilog.streaming.store import LogStore
 
 # An example key; a caller passes its own.
 EXAMPLE_KEY = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
@@ -211,34 +212,62 @@ def stream_raw_logs(t: Tables):
     return t.spark.read.schema(schema).parquet(out).select("src_ip", "line")
 
 
+def _appended(t: Tables) -> LogStore:
+    path = written(t, t.raw_lines.select("line"), "lines")
+    store = shared_dir(t.spark, "store")
+    raw = live.stream_raw_logs(t.spark, path, files_per_batch=4)
+    live.append_log_store(raw, store, shared_dir(t.spark, "checkpoint")).awaitTermination()
+    return LogStore(t.spark, store)
+
+
+# A log row has one id, its details are those of its own text, and its server's span of
+# times holds its time; the store is compacted in between.
 @query(
     "append_log_store",
     sql="""
 SELECT log_type AS log_source, count(*) AS logs, count(*) AS ids, count(*) AS details,
-  CAST(sum(length(line)) AS BIGINT) AS chars FROM typed_line
-WHERE log_type IS NOT NULL GROUP BY log_type""",
+  CAST(sum(length(line)) AS BIGINT) AS chars, sum(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT))::BIGINT AS texts,
+  count(*) AS seen FROM typed_line WHERE log_type IS NOT NULL GROUP BY log_type""",
 )
 def append_log_store(t: Tables):
-    path = written(t, t.raw_lines.select("line"), "lines")
-    store = shared_dir(t.spark, "store")
-    raw = live.stream_raw_logs(t.spark, path, files_per_batch=4)
-    live.append_log_store(raw, store, shared_dir(t.spark, "checkpoint")).awaitTermination()
-    logs = t.spark.read.schema(live.LOG_SCHEMA).parquet(f"{store}/log_entry")
+    log_store = _appended(t)
+    log_store.compact(live.STORE_SCHEMAS, live.STORE_PARTITIONS)
+    logs = log_store.table("log_entry", live.LOG_SCHEMA)
     details = None
     for table, (source, _) in live.DETAILS.items():
-        rows = t.spark.read.parquet(f"{store}/{table}").select(
+        rows = log_store.table(table, "log_entry_id decimal(38,0), batch bigint").select(
             F.lit(source).alias("log_source"), F.col("log_entry_id").alias("id")
         )
         details = rows if details is None else details.unionByName(rows)
-    found = logs.join(details.withColumn("detail", F.lit(1)), ["log_source", "id"], "left")
+    servers = live.store_servers(t.spark, log_store.path).select(
+        F.col("id").alias("server_id"), "first_seen", "last_seen"
+    )
+    found = logs.join(details.withColumn("detail", F.lit(1)), ["log_source", "id"], "left").join(
+        servers, "server_id", "left"
+    )
+    text = F.conv(F.substring(F.md5("content"), 1, 8), 16, 10).cast("bigint")
     return found.groupBy("log_source").agg(
         F.count("*").alias("logs"),
         F.countDistinct("id").alias("ids"),
         F.count("detail").alias("details"),
         F.sum(F.length("content")).alias("chars"),
+        F.sum(text).alias("texts"),
+        F.count_if(F.col("recv_time").between(F.col("first_seen"), F.col("last_seen"))).alias("seen"),
     )
 
 
+@query(
+    "store_counters",
+    sql="""
+SELECT count(*) AS received, count(log_type) AS parsed, count(log_type) AS saved,
+  count(*) - count(log_type) AS errors FROM typed_line WHERE t <> ''""",
+)
+def store_counters(t: Tables):
+    told = _appended(t).counters()
+    names = ["received", "parsed", "saved", "errors"]
+    return t.spark.createDataFrame([tuple(told[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 def _log_table(t: Tables) -> str:
     path = shared_dir(t.spark, "logs")
     t.logs.write.parquet(path)

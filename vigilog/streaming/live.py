@@ -7,15 +7,17 @@ a failure replaces what it wrote before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilog.operators import detect, ingest, stats
 from vigilog.rules.pack import Rule
 from vigilog.sources.files import UPLOAD, envelopes
+from vigilog.streaming.store import Entry, LogStore, row_id
 
 DETAILS = {
     "linux_log_details": ("linux", ingest.linux_details),
@@ -24,7 +26,7 @@ DETAILS = {
     "zeek_conn_details": ("zeek_conn", ingest.conn_details),
 }
 LOG_SCHEMA = (
-    "id bigint, server_id bigint, recv_time timestamp, hostname string, ip_address string, "
+    "id decimal(38,0), server_id bigint, recv_time timestamp, hostname string, ip_address string, "
     "content string, batch bigint, log_source string, day date"
 )
 
@@ -73,58 +75,72 @@ def append_log_store(
     """Lines to ``log_entry``, the detail tables and the server registry of a store.
 
     A batch of log rows is written first and its details are parsed from what was
-    written, so ids are given once. Files per batch and interval bound a batch.
+    written, so ids are given once. Lines are counted while they are written. The batch is
+    seen by readers of ``LogStore`` once all its tables are there. Files per batch and
+    interval bound a batch.
     """
-    spark = raw.sparkSession
+    log_store = LogStore(raw.sparkSession, store)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log_path = batch_folder(f"{store}/log_entry", batch_id)
-        rows = stored_logs(batch, batch_id).withColumn("day", F.to_date("recv_time"))
-        # Few files for each folder; a large one is still written by many tasks.
-        dealt = rows.hint("rebalance", "log_source", "day")
-        dealt.write.mode("overwrite").partitionBy("log_source", "day").parquet(log_path)
-        logs = spark.read.schema(LOG_SCHEMA).option("basePath", f"{store}/log_entry").parquet(
-            log_path
-        )
-        for table, (_, details) in DETAILS.items():
-            details(logs).write.mode("overwrite").parquet(
-                batch_folder(f"{store}/{table}", batch_id)
-            )
-        servers = logs.withColumnRenamed("log_source", "server_type")
-        stats.sightings(servers).write.mode("overwrite").parquet(
-            batch_folder(f"{store}/server", batch_id)
-        )
+        if not log_store.has(batch_id):
+            log_store.commit(write_batch(log_store, batch, batch_id))
 
     return start(raw, checkpoint, write, every=every)
 
 
+def write_batch(log_store: LogStore, batch: DataFrame, batch_id: int) -> Entry:
+    """Write the tables of a batch of envelopes; what is to be committed."""
+    counted = Observation(f"ingest-{batch_id}-{uuid.uuid4().hex}")
+    parsed = ingest.parse_lines(batch).observe(
+        counted, F.count("*").alias("received"), F.count("log_type").alias("parsed")
+    )
+    rows = stored_logs(parsed, batch_id).withColumn("day", F.to_date("recv_time"))
+    saved = Observation(f"saved-{batch_id}-{uuid.uuid4().hex}")
+    rows = rows.observe(saved, F.count("*").alias("saved"))
+    path = log_store.folder("log_entry", batch_id)
+    # Few files for each folder; a large one is still written by many tasks.
+    dealt = rows.hint("rebalance", "log_source", "day")
+    dealt.write.mode("overwrite").partitionBy("log_source", "day").parquet(path)
+    base = f"{log_store.path}/log_entry"
+    logs = log_store.spark.read.schema(LOG_SCHEMA).option("basePath", base).parquet(path)
+    for table, (_, details) in DETAILS.items():
+        details(logs).write.mode("overwrite").parquet(log_store.folder(table, batch_id))
+    servers = logs.withColumnRenamed("log_source", "server_type")
+    stats.sightings(servers).write.mode("overwrite").parquet(log_store.folder("server", batch_id))
+    told = counted.get
+    return Entry(
+        batch_id, ("log_entry", *DETAILS, "server"), (), told["received"], told["parsed"], saved.get["saved"]
+    )
+
+
+def store_logs(spark: SparkSession, store: str) -> DataFrame:
+    """Log rows of the whole batches of a store."""
+    return LogStore(spark, store).table("log_entry", LOG_SCHEMA)
+
+
 SERVER_SCHEMA = (
     "id bigint, hostname string, ip_address string, server_type string, "
     "first_seen timestamp, last_seen timestamp, batch bigint"
 )
 
 
-def store_servers(spark: SparkSession, store: str) -> DataFrame:
-    """The registry: each server with the first and last time of all batches."""
-    return stats.registry(spark.read.schema(SERVER_SCHEMA).parquet(f"{store}/server"))
-
-
-# An id holds the batch, the task and the row in it. Larger numbers stop the batch.
-TASK_BITS, ROW_BITS = 14, 22
+#: What ``LogStore.compact`` needs to know of the store's tables.
+STORE_PARTITIONS = {"log_entry": ["log_source", "day"]}
+STORE_SCHEMAS = {
+    "log_entry": LOG_SCHEMA,
+    "server": SERVER_SCHEMA,
+    **dict.fromkeys(DETAILS),
+}
 
 
-def row_ids(batch_id: int) -> Column:
-    """Ids that no other row of any batch has, rising with the batch."""
-    n = F.monotonically_increasing_id()
-    task, row = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (task < (1 << TASK_BITS)) & (row < (1 << ROW_BITS)) & F.lit(batch_id < 1 << 27)
-    joined = F.lit(batch_id << (TASK_BITS + ROW_BITS)) + F.shiftleft(task, ROW_BITS) + row
-    return F.when(fits, joined).otherwise(F.raise_error(F.lit("batch too large for its ids")).cast("bigint"))
+def store_servers(spark: SparkSession, store: str) -> DataFrame:
+    """The registry: each server with the first and last time of all batches."""
+    return stats.registry(LogStore(spark, store).table("server", SERVER_SCHEMA))
 
 
-def stored_logs(batch: DataFrame, batch_id: int = 0) -> DataFrame:
-    """Log rows of a batch of envelopes; lines that do not parse are left out."""
-    parsed = ingest.parse_lines(batch).where(F.col("log_type").isNotNull())
+def stored_logs(parsed: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Log rows of a batch of parsed lines; lines that do not parse are left out."""
+    parsed = parsed.where(F.col("log_type").isNotNull())
     none = F.lit(None).cast("string")
     records = parsed.select(
         F.col("recv_time").alias("_received"),
@@ -134,7 +150,7 @@ def stored_logs(batch: DataFrame, batch_id: int = 0) -> DataFrame:
     )
     resolved = ingest.resolve_envelope(records, F.col("_received"))
     return resolved.select(
-        row_ids(batch_id).alias("id"),
+        row_id(batch_id).alias("id"),
         F.xxhash64("hostname", "ip_address", "log_source").alias("server_id"),
         "recv_time", "hostname", "ip_address", "content", "log_source",
     )
