@@ -208,3 +208,37 @@ def passage_classes(docs, least=50, similarity=0.8):
         for i in range(len(w) - least + 1):
             union.join(seen.setdefault(tuple(w[i : i + least]), d["doc_id"]), d["doc_id"])
     return {d["doc_id"]: union.find(d["doc_id"]) for d in docs}
+
+
+BLOCKS = (
+    "address article aside blockquote body br center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+    "h5 h6 head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul"
+).split()
+
+
+def visible_text(page):
+    """Lines of the text outside of scripts and the like, by a parser; for well-formed pages."""
+    import html.parser
+
+    class Text(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.unseen = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.unseen += tag in ("script", "style", "template", "noscript")
+            self.parts.append("\n" if tag in BLOCKS else "")
+
+        def handle_endtag(self, tag):
+            self.unseen -= tag in ("script", "style", "template", "noscript")
+            self.parts.append("\n" if tag in BLOCKS else "")
+
+        def handle_data(self, data):
+            if not self.unseen:
+                self.parts.append(data.replace("\n", " ").replace("\r", " "))
+
+    reader = Text()
+    reader.feed(page)
+    reader.close()
+    lines = (re.sub(r"\s+", " ", line).strip() for line in "".join(reader.parts).split("\n"))
+    return "\n".join(line for line in lines if line)

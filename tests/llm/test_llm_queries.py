@@ -1,5 +1,8 @@
 """Registered queries beside their SQL twins or plain versions, on the smallest tables."""
 
+import base64
+import hashlib
+import uuid
 import zlib
 from collections import Counter
 
@@ -61,6 +64,14 @@ def test_op2(spark):
             seen.title.strip(), seen.links, pages[r["page_id"]]["url"],
         )
         assert r["digests_ok"] and r["conversion_id"] and r["n_text_chars"]
+        body = pages[r["page_id"]]["html"].encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        source = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert r["payload_digest"] == source and block.partition(b"\r\n\r\n")[2] == body
+        for kind in ("metadata", "conversion"):
+            assert r[f"{kind}_id"] == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r['refers_to']} {kind}')}>"
+        text = brute.visible_text(pages[r["page_id"]]["html"])
+        assert (r["n_text_chars"], r["text_sha1"]) == (len(text), hashlib.sha1(text.encode()).hexdigest())
 
 
 def test_op3(spark, documents):

@@ -197,6 +197,39 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert files.agg({"n_records": "sum"}).first()[0] == 81
 
 
+def test_every_record_has_a_date(spark, tmp_path):
+    dated, undated = warc.derived(response(), "2030-01-01T00:00:00Z"), warc.derived(response(date=None), "2030-01-01T00:00:00Z")
+    assert {r["date"] for r in dated} == {"2024-01-01T00:00:00Z"} and {r["date"] for r in undated} == {"2030-01-01T00:00:00Z"}
+    referred = {k: v for k, v in dated[1]["headers"] if k.startswith("WARC-Refers")}
+    assert referred == {"WARC-Refers-To-Target-URI": "http://e.org/", "WARC-Refers-To-Date": "2024-01-01T00:00:00Z"}
+    assert "WARC-Refers-To-Date" not in dict(undated[0]["headers"])
+    made = spark.createDataFrame([tuple(response(date=None)[c] for c in warc._RECORD_ARROW.names)], warc.RECORD)
+    folder = str(tmp_path / "warc")
+    back = warc.read_files(spark, warc.write_files(warc.derive(made), folder), folder).collect()
+    assert len(back) == 3 and all(r["date"] and r["date"].endswith("Z") for r in back)
+
+
+def test_digests_and_names_are_the_usual_ones():
+    import base64
+    import hashlib
+    import uuid
+
+    for i in range(300):
+        data = bytes(range(i % 256)) * (i % 3)
+        assert warc.digest(data) == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert warc._urn(f"n{i}é") == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'n{i}é')}>"
+
+
+def test_a_file_that_ends_inside_a_record_is_refused(tmp_path):
+    import pyarrow.fs
+
+    whole = warc._member([("WARC-Type", "metadata")], b"some block" * 50)
+    (tmp_path / "a.warc.gz").write_bytes(whole + whole[: len(whole) // 2])
+    fs = pyarrow.fs.LocalFileSystem()
+    with pytest.raises(EOFError):
+        list(warc._records(fs, str(tmp_path / "a.warc.gz")))
+
+
 def test_warc_of_odd_pages(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>a", "x"), (2, "u", "<p>a", "x")],

@@ -150,14 +150,16 @@ def forward(model: Model, buckets, begin, length, before, keep_steps: bool = Fal
     """Scaled forward recursion of many runs at once, longest first.
 
     ``before`` holds each run's state weights ahead of its first token. Returns the last
-    weights (summing to 1), log of the scale, and the weights and scales of every step if
-    asked for.
+    weights (summing to 1), log of the scale, and if asked for the weights, scales, buckets
+    and emissions of every step.
     """
     alive = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
     log_scale = np.zeros(len(begin))
     now, last, steps = before, np.array(before), []
     for t, n in enumerate(alive.tolist()):
-        fresh = (now[:n] if t == 0 else now[:n] @ model.move) * model.emit[buckets[begin[:n] + t]]
+        at = buckets[begin[:n] + t]
+        emit = model.emit[at]
+        fresh = (now[:n] if t == 0 else now[:n] @ model.move) * emit
         scale = fresh.sum(1)
         fresh /= scale[:, None]
         log_scale[:n] += np.log(scale)
@@ -165,7 +167,7 @@ def forward(model: Model, buckets, begin, length, before, keep_steps: bool = Fal
         last[go_on:n] = fresh[go_on:]
         now = fresh
         if keep_steps:
-            steps.append((fresh, scale))
+            steps.append((fresh, scale, at, emit))
     return last, log_scale, steps
 
 
@@ -182,7 +184,7 @@ def expected_counts(model: Model, chunk: Chunk, counts: np.ndarray, moves: np.nd
         _, _, steps = forward(model, chunk.buckets, b, size, before, keep_steps=True)
         behind, told, weights = None, [], []
         for t in range(len(steps) - 1, -1, -1):
-            alpha, _ = steps[t]
+            alpha, scale, at, emit = steps[t]
             n = len(alpha)
             beta = np.ones((n, model.move.shape[0]))
             if behind is not None:
@@ -190,15 +192,14 @@ def expected_counts(model: Model, chunk: Chunk, counts: np.ndarray, moves: np.nd
                 beta[:m] = behind @ model.move.T
                 moves += alpha[:m].T @ behind
             gamma = alpha * beta
-            at = chunk.buckets[b[:n] + t]
             told.append(at)
             weights.append(gamma)
-            behind = model.emit[at] * beta / steps[t][1][:, None]
+            behind = emit * beta / scale[:, None]
             if t == 0:
                 starts += gamma[head].sum(0)
-        told, weights = np.concatenate(told), np.concatenate(weights)
+        told, weights = np.concatenate(told), np.concatenate(weights).T.copy()
         for k in range(counts.shape[1]):
-            counts[:, k] += np.bincount(told, weights[:, k], BUCKETS + 1)
+            counts[:, k] += np.bincount(told, weights[k], BUCKETS + 1)
 
 
 def log_likelihood(model: Model, chunk: Chunk) -> np.ndarray:

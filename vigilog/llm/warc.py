@@ -7,12 +7,14 @@ response gives
   headers, title, metas and links of an HTML page, length and digest of the payload;
 * a ``conversion`` record with the text, for HTML and plain text.
 
-Both name the response in WARC-Refers-To and keep its target and date. Record ids are made
-from the response's id, so a second run gives the same records. Digests are SHA-1 in base
+Both name the response in WARC-Refers-To, with its target and date beside, and keep its
+target and date. Record ids are made from the response's id, so a second run gives the same
+records; responses that repeat give records that repeat, ids included. Digests are SHA-1 in base
 32. Records are written one gzip member each, after a warcinfo record, in one file a task;
 a task writes under a name of its own and renames the file when it is whole.
 
-Nulls: a null target or date is left out of the headers, a null block is empty, a response
+Nulls: a null target is left out of the headers, a null date is the time of the derivation
+(a parameter), a null block is empty, a response
 without an id gets one from its target and block. Malformed HTTP blocks are payload from
 their first byte. Responses that repeat give the same records again. An empty table gives
 no files.
@@ -20,7 +22,6 @@ no files.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
@@ -28,6 +29,7 @@ import json
 import re
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs
@@ -52,6 +54,7 @@ _PART = 4 << 20
 _UNSEEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
 )
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|"
     r"form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|"
@@ -75,7 +78,7 @@ def page_text(page: str) -> str:
 
 def page_metadata(page: str) -> dict:
     """Title, metas and links of an HTML page."""
-    seen = re.sub(r"<!--.*?(?:-->|\Z)", "", page, flags=re.S)
+    seen = _COMMENT.sub("", page) if "<!--" in page else page
     metas, links = [], []
     for name, inside in _ELEMENT.findall(seen):
         got = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(inside)}
@@ -86,8 +89,15 @@ def page_metadata(page: str) -> dict:
     return {"Head": {"Title": html.unescape(title[1]).strip() if title else None, "Metas": metas}, "Links": links}
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS = [a + b for a in _BASE32 for b in _BASE32]
+_TENS = range(150, -1, -10)
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32, ten bits at a time."""
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[n >> k & 1023] for k in _TENS])
 
 
 def http_message(block: bytes) -> tuple[str, dict[str, str], bytes]:
@@ -129,8 +139,11 @@ def _decoded(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def derived(response: dict) -> list[dict]:
-    """The metadata and conversion records of a response record."""
+def derived(response: dict, created: str | None = None) -> list[dict]:
+    """The metadata and conversion records of a response record.
+
+    ``created`` is their date where the response has none.
+    """
     block = response["block"] or b""
     target, date = response["target_uri"], response["date"]
     source = response["record_id"] or _urn(f"{target} {hashlib.sha1(block).hexdigest()}")
@@ -162,6 +175,7 @@ def derived(response: dict) -> list[dict]:
             "Payload-Metadata": {"HTTP-Response-Metadata": message},
         }
     }
+    referred = [("WARC-Refers-To-" + k[5:], _one_line(v)) for k, v in given.items()]
     out = [("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode())]
     if text is not None:
         out.append(("conversion", "text/plain", text.encode("utf-8", "replace")))
@@ -171,9 +185,10 @@ def derived(response: dict) -> list[dict]:
             "record_id": _urn(f"{source} {warc_type}"),
             "refers_to": source,
             "target_uri": target,
-            "date": date,
+            "date": created if date is None else date,
             "headers": [
                 ("Content-Type", mime),
+                *referred,
                 ("WARC-Block-Digest", digest(data)),
                 ("WARC-Source-Payload-Digest", told["WARC-Payload-Digest"]),
             ],
@@ -184,16 +199,29 @@ def derived(response: dict) -> list[dict]:
 
 
 def _urn(name: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+    """A name's UUID of version 5, as uuid.uuid5 makes it."""
+    n = int.from_bytes(hashlib.sha1(uuid.NAMESPACE_URL.bytes + name.encode()).digest()[:16])
+    n = n & ~(0xF000 << 64) & ~(0xC000 << 48) | 5 << 76 | 1 << 63
+    told = f"{n:032x}"
+    return f"<urn:uuid:{told[:8]}-{told[8:12]}-{told[12:16]}-{told[16:20]}-{told[20:]}>"
+
 
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-def derive(responses: DataFrame) -> DataFrame:
-    """Metadata and conversion records of the ``response`` rows; other types give none."""
+
+def derive(responses: DataFrame, created: str | None = None) -> DataFrame:
+    """Metadata and conversion records of the ``response`` rows; other types give none.
+
+    ``created`` dates the records of responses without a date; the time of the call if not
+    given.
+    """
+    created = created or now()
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "block", _PART):
-                rows = [r for x in part.to_pylist() for r in derived(x)]
+                rows = [r for x in part.to_pylist() for r in derived(x, created)]
                 yield pa.RecordBatch.from_pylist(rows, _RECORD_ARROW)
 
     ship_package(responses.sparkSession)
@@ -228,19 +256,24 @@ def page_responses(
     )
 
 
+def _one_line(value: str) -> str:
+    return value.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def _member(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
-    told = ((k, v.replace("\r", "%0D").replace("\n", "%0A")) for k, v in headers if v is not None)
-    lines = [f"{k}: {v}" for k, v in told]
+    lines = [f"{k}: {_one_line(v)}" for k, v in headers if v is not None]
     head = "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"])
     squeeze = zlib.compressobj(GZIP_LEVEL, wbits=31)
     return squeeze.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def write_files(records: DataFrame, folder: str) -> DataFrame:
+def write_files(records: DataFrame, folder: str, created: str | None = None) -> DataFrame:
     """Write the records as ``part-*.warc.gz`` into ``folder``; (path, n_records) of each file.
 
-    ``folder`` is a path of the shared storage.
+    ``folder`` is a path of the shared storage; ``created`` dates the warcinfo records, the
+    time of the call if not given.
     """
+    created = created or now()
 
     def write(batches):
         from pyspark import TaskContext
@@ -254,7 +287,7 @@ def write_files(records: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     out = fs.open_output_stream(own)
                     info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _urn(path)),
-                            ("WARC-Filename", path.rpartition("/")[2]), ("Content-Type", "application/warc-fields")]
+                            ("WARC-Date", created), ("WARC-Filename", path.rpartition("/")[2]), ("Content-Type", "application/warc-fields")]
                     out.write(_member(info, b"format: WARC File Format 1.1\r\n"))
                 for r in part.to_pylist():
                     named = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]),
@@ -309,6 +342,8 @@ def _records(fs, path: str):
         while True:
             data = rest or stream.read(1 << 20)
             if not data:
+                if parts:
+                    raise EOFError(f"{path} ends inside a record")
                 return
             parts.append(member.decompress(data))
             rest = member.unused_data
