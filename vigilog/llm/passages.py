@@ -45,14 +45,14 @@ from vigilog.llm.words import ALNUM, Words, mix, shingles, slices, sliding_min
 SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
-HASHES, ENOUGH = 5, 3
+HASHES, ENOUGH = 5, 2
 CONTEXT = 20  # words around a place that divide a meeting
-SHIFT = 8  # words by which places may drift inside one passage
+SHIFT = 8  # words by which places may drift in any passage; a quarter of it in longer ones
 BLOOM_BITS = 26
 LEADS = 4  # texts of a meeting that a later round pairs with the others
 BLOCK = 64  # texts of a block when a meeting is finished
 ALIGNED = 0.6  # share of a span's tokens that must be paired before its sets are compared
-_AT_ONCE = 1_000_000  # words of pairs examined together
+_AT_ONCE = 200_000  # words of pairs examined together
 _LEAST = MIN_WORDS - SHINGLE + 1  # shingles of the shortest passage
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -249,10 +249,12 @@ def _different(meet: DataFrame) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """A text's tokens and its windows, in order of their keys."""
+    """A text's tokens and its windows, in order of their keys; ``beside`` are the keys with
+    the words to the right and to the left of the place, 0 where there are too few."""
 
     tokens: np.ndarray
     key: np.ndarray
+    beside: np.ndarray
     function: np.ndarray
     place: np.ndarray
     left: np.ndarray
@@ -264,7 +266,7 @@ def prepared(packed: list[bytes]) -> list[Prepared]:
     short = [np.frombuffer(x, np.uint32) for x in packed]
     first = np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int64)
     hashes = mix(np.concatenate([np.zeros(0, np.uint32), *short]).astype(np.uint64))
-    tokens, bounds, _ = _tokens(hashes, first)
+    tokens, bounds, at = _tokens(hashes, first)
     n = len(tokens)
     values = np.concatenate([mix(tokens ^ s) for s in _SEEDS])
     firsts = np.concatenate([bounds[:-1] + f * n for f in range(HASHES)] + [[HASHES * n]]).astype(np.int64)
@@ -273,25 +275,47 @@ def prepared(packed: list[bytes]) -> list[Prepared]:
     place, left, right = place - function * n, left - function * n, right - function * n
     text = np.searchsorted(bounds, place, side="right") - 1
     key = mix(tokens[place] ^ _SEEDS[function])
+    beside = np.stack(
+        [np.where(c != 0, mix(key ^ mix(c ^ np.uint64(tag))), np.uint64(0))
+         for tag, c in enumerate(_contexts(hashes, first, at[place]), 1)], axis=1
+    ).reshape(-1, 2)
     order = np.lexsort((key, text))
-    text = text[order]
+    text, beside = text[order], beside[order]
     place, left, right = (x[order] - bounds[text] for x in (place, left, right))
     key, function = key[order], function[order]
     cuts = np.searchsorted(text, np.arange(len(packed) + 1)).tolist()
     edges = bounds.tolist()
     return [
-        Prepared(tokens[edges[d] : edges[d + 1]], *(x[cuts[d] : cuts[d + 1]] for x in (key, function, place, left, right)))
+        Prepared(tokens[edges[d] : edges[d + 1]], *(x[cuts[d] : cuts[d + 1]] for x in (key, beside, function, place, left, right)))
         for d in range(len(packed))
     ]
 
 
 def _collisions(a: Prepared, b: Prepared):
-    """Windows of both texts with the same function and hash; each place with the other's first."""
+    """Windows of both texts with the same function and hash.
+
+    Each place meets the other text's first one of its key, and the first one that has the
+    same words to its right or to its left: of a key that stands often in both texts every
+    place meets its counterpart, and a run of equal places is met once each.
+    """
     if not len(a.key) or not len(b.key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    to_b = np.minimum(np.searchsorted(b.key, a.key), len(b.key) - 1)
-    to_a = np.minimum(np.searchsorted(a.key, b.key), len(a.key) - 1)
-    one, two = np.flatnonzero(b.key[to_b] == a.key), np.flatnonzero(a.key[to_a] == b.key)
+    found = [_equal(a.key, b.key)]
+    for side in (0, 1):
+        order_a, order_b = (np.argsort(x.beside[:, side], kind="stable") for x in (a, b))
+        i, j = _equal(a.beside[order_a, side], b.beside[order_b, side])
+        found.append((order_a[i], order_b[j]))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    good = a.key[i] == b.key[j]
+    pairs = np.unique(np.stack((i[good], j[good])), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal values of two ascending arrays, each with the other's first."""
+    to_b = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    to_a = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    one, two = np.flatnonzero(b[to_b] == a), np.flatnonzero(a[to_a] == b)
     return np.concatenate((one, to_a[two])), np.concatenate((to_b[one], two))
 
 
@@ -305,12 +329,14 @@ def near_passages(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
     i, j, drift = i[order], j[order], drift[order]
     low = np.maximum(a.left[i], b.left[j] + drift)
     high = np.minimum(a.right[i], b.right[j] + drift) + 1
-    edges = np.flatnonzero(np.diff(drift) > SHIFT) + 1
+    # What is put into a passage moves the places behind it: by a quarter of it at most.
+    span = np.minimum(high[1:] - low[1:], high[:-1] - low[:-1])
+    edges = np.flatnonzero(np.diff(drift) > np.maximum(SHIFT, span // 4)) + 1
     begins, ends = np.append(0, edges), np.append(edges, len(i))
     out: set[tuple[int, int, int, int]] = set()
     for x in np.flatnonzero(ends - begins >= ENOUGH).tolist():
         own = slice(begins[x], ends[x])
-        wide = high[own] - low[own] >= _LEAST - SHIFT
+        wide = high[own] - low[own] >= _LEAST * 3 // 4
         function = a.function[i[own]][wide]
         if np.count_nonzero(np.bincount(function, minlength=HASHES)) < ENOUGH:
             continue
@@ -357,19 +383,35 @@ def _verified(a: np.ndarray, b: np.ndarray, begin: int, end: int, drifts: np.nda
         x, y = todo.pop()
         if y - x < _LEAST * SIMILARITY:
             continue
-        a0, a1, b0, b1 = p[x], p[y - 1] + 1, q[x:y].min(), q[x:y].max() + 1
-        if min(a1 - a0, b1 - b0) < _LEAST:
-            continue
+        a0, a1, b0, b1 = int(p[x]), int(p[y - 1]) + 1, int(q[x:y].min()), int(q[x:y].max()) + 1
         # Far fewer pairs than either span has tokens: no need to compare the sets.
-        if y - x >= ALIGNED * max(a1 - a0, b1 - b0) and _alike(a[a0:a1], b[b0:b1]):
-            found.append((int(a0), int(a1) + SHINGLE - 1, int(b0), int(b1) + SHINGLE - 1))
-            continue
+        if y - x >= ALIGNED * max(a1 - a0, b1 - b0):
+            span = _alike_span(a, b, a0, a1, b0, b1)
+            if span:
+                found.append((span[0], span[1] + SHINGLE - 1, span[2], span[3] + SHINGLE - 1))
+                continue
         cut = x + int(gaps[x : y - 1].argmax())
         if gaps[cut] > 1:
             todo += [(x, cut + 1), (cut + 1, y)]
     return found
 
 
+def _alike_span(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int):
+    """The spans, or ones around them that reach the least length, if their sets are alike; else None.
+
+    An edit near an end of a short passage leaves fewer paired tokens than a passage needs,
+    so up to a fifth of it may lie outside of them, on either side.
+    """
+    short = _LEAST - min(a1 - a0, b1 - b0)
+    for before in range(max(short, 0) + 1):
+        after = max(short, 0) - before
+        at = a0 - before, a1 + after, b0 - before, b1 + after
+        inside = at[0] >= 0 and at[2] >= 0 and at[1] <= len(a) and at[3] <= len(b)
+        if inside and _alike(a[at[0] : at[1]], b[at[2] : at[3]]):
+            return at
+    return None
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the sets of tokens have the similarity asked for."""
     one, two = np.unique(a), np.unique(b)
