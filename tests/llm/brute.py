@@ -150,7 +150,8 @@ def mixture(docs, weights=(1, 2, 3), epochs=3, seed=20240601):
                 extra.add((s, k))
             run += sums[k]
     return [
-        (d["doc_id"], n, by[d["source"]], target[d["source"]], whole[d["source"]] + ((d["source"], key(d)) in extra))
+        (d["doc_id"], n, by[d["source"]], target[d["source"]],
+         min(epochs, whole[d["source"]] + ((d["source"], key(d)) in extra)))
         for d, n in zip(docs, size)
     ]
 

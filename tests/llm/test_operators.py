@@ -756,3 +756,59 @@ def test_components_like_union_find(spark, seed):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     same(got, [(x, union.find(x)) for x in union.up])
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# --- moving only what is decided -----------------------------------------------------
+
+
+def test_filter_holds_every_key(spark):
+    from vigilog.llm import moves
+
+    keys = spark.range(500).select(moves.F.xxhash64("id").alias("key")).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    rows = spark.range(4000).withColumn("m", moves.may_be_in(keys, moves.F.xxhash64("id")))
+    got = {r["id"]: r["m"] for r in rows.collect()}
+    assert all(got[i] for i in range(500)) and sum(got.values()) < 520
+    none = spark.range(50).withColumn("m", moves.may_be_in(keys.limit(0), moves.F.col("id")))
+    assert not any(r["m"] for r in none.collect())
+
+
+def test_salted_join(spark):
+    from vigilog.llm import moves
+
+    rows = spark.range(300).selectExpr("id", "if(id < 200, 1, id) AS k")
+    table = spark.createDataFrame([(1, "one"), (250, "x"), (999, "none")], "k long, name string")
+    got = sorted((r["id"], r["name"]) for r in moves.salted_join(rows, table, "k", "id").collect())
+    assert got == [(i, "one") for i in range(200)] + [(250, "x")]
+
+
+def test_texts_without_words_are_not_repeated_beyond_the_cap(spark, make):
+    docs = make([(1, "", "a"), (2, None, "a"), (3, "one two", "b"), (4, "", "b"), (5, "x " * 50, "c")])
+    got = {r["doc_id"]: r["times"] for r in mixing.mixture(docs).collect()}
+    assert max(got.values()) <= mixing.MAX_EPOCHS and got[1] == got[2] == mixing.MAX_EPOCHS
+
+
+def test_rules_are_ordered_by_what_they_add(spark):
+    texts = ["# " * 40 + "x" * i for i in range(400)] + [f"plain words number {i} " * 5 for i in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    ordered = quality.order_rules(docs)
+    assert sorted(r.name for r in ordered) == sorted(r.name for r in quality.RULES)
+    assert [r.name for r in quality.order_rules(docs.limit(0))] == [r.name for r in quality.RULES]
+
+
+def test_pipeline_of_odd_and_of_no_rows(spark, make, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    items = pa.table({"item_id": pa.array([1, None], pa.int64()), "text": ["some benchmark words " * 5, None]})
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None)] * 3), ("odd", [(i, t, None, s, None) for i, t, s in odd_rows()])):
+        folder = tmp_path / name
+        folder.mkdir()
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        pq.write_table(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema), folder / "documents.parquet")
+        pq.write_table(items, folder / "benchmark.parquet")
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert bool(got) == (name == "odd")
+        assert all(r["n_tokens"] > 1 for r in got)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.llm.moves import may_be_in
 from vigilog.llm.scratch import keep, plain
 from vigilog.llm.simhash import row_key
 from vigilog.llm.words import ALNUM, Words, shingles, sliding_min, slices
@@ -239,11 +240,18 @@ def contamination(
 def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark window.
 
-    Each row is judged by its own text, whatever rows share its doc_id or have none.
+    Each row is judged by its own text, whatever rows share its doc_id or have none; a null
+    text holds no window. Only rows that a filter of the contaminated ones lets through are
+    moved.
     """
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"),
         docs["text"].alias("text"),
     ).select("doc", "text", row_key().alias("row_key"))
     bad = contamination(rows, benchmark, id_col="row_key", span=span).where("contaminated")
-    return rows.join(bad.select(F.col("doc_id").alias("row_key")), "row_key", "left_anti").select("doc.*")
+    bad = keep(bad.select(F.col("doc_id").alias("row_key")), "contaminated")
+    told = rows.select("doc", "row_key").withColumn(
+        "moved", may_be_in(bad.select(F.xxhash64("row_key").alias("key")), F.xxhash64("row_key"))
+    )
+    judged = told.where("moved").join(bad, "row_key", "left_anti")
+    return told.where("NOT moved").select("doc.*").unionByName(judged.select("doc.*"))

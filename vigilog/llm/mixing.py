@@ -135,16 +135,21 @@ SALT_DIGITS = 2  # hex digits of the key: rows of one source meet their plan in
 
 
 def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows of (source, key, ...) with their source's plan, a large source in many tasks."""
+    """Rows of (source, key, ...) with their source's plan, a large source in many tasks.
+
+    The plan is written first, so that the planner knows its size: below its limit it is
+    broadcast and no row moves.
+    """
     places = F.transform(F.sequence(F.lit(0), F.lit(16**SALT_DIGITS - 1)),
                          lambda i: F.lpad(F.lower(F.hex(i.cast("long"))), SALT_DIGITS, "0"))
-    copies = plan.withColumnRenamed("source", "s").withColumn("place", F.explode(places))
+    copies = keep(plan.withColumnRenamed("source", "s").withColumn("place", F.explode(places)), "mix-plan")
     here = F.substring("key", 1, SALT_DIGITS) == F.col("place")
     return rows.join(copies, F.col("source").eqNullSafe(F.col("s")) & here)
 
 
-def times() -> Column:
-    return F.col("whole") + (F.col("key") <= F.col("cut")).cast("int")
+def times(max_epochs: int) -> Column:
+    """How often a row appears; an empty text, which costs no words, no more often than others may."""
+    return F.least(F.col("whole") + (F.col("key") <= F.col("cut")).cast("int"), F.lit(max_epochs))
 
 
 def mixture(
@@ -158,12 +163,16 @@ def mixture(
         "mix-documents",
     )
     return with_plan(sized, plan_sources(sized, weights, max_epochs)).select(
-        "doc_id", "source", "size", "source_size", "target", times().alias("times")
+        "doc_id", "source", "size", "source_size", "target", times(max_epochs).alias("times")
     )
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
-    """The mix: rows of ``docs``, all columns, each as often as it appears."""
+    """The mix: rows of ``docs``, all columns, each as often as it appears.
+
+    Rows without a source are a source of their own; a null text has no words; equal rows
+    have equal places in the seeded order and appear equally often.
+    """
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
         docs["source"].alias("source"),
@@ -176,6 +185,6 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, see
     rows = keyed.select("doc", "source", seeded_key(seed).alias("key"))
     return (
         with_plan(rows, plan_sources(sized, weights, max_epochs))
-        .select("doc", F.explode(F.array_repeat(F.lit(1), times())).alias("copy"))
+        .select("doc", F.explode(F.array_repeat(F.lit(1), times(max_epochs))).alias("copy"))
         .select("doc.*")
     )

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.llm.components import components
+from vigilog.llm.moves import may_be_in, salted_join
 from vigilog.llm.scratch import keep, plain
 
 SHINGLE = 4
@@ -323,12 +324,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(keep(links(distinct.select("fp"), limit), "links").distinct())
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    placed = keep(placed, "fingerprint-roots")
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(placed.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+    placed = keep(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "fingerprint-roots")
+    linked = placed.where("root IS NOT NULL")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    several = salted_join(linked, lowest, "root", "fp").select("fp", "root", "component_id")
+    alone = placed.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("low").alias("component_id"))
+    return prints.join(several.unionByName(alone), "fp")
 
 
 def near_duplicates(
@@ -347,12 +348,20 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The documents, all columns, one row for each component: that of the smallest doc_id.
 
-    A row without an id is taken only if none of its component has one.
+    A row without an id is taken only if none of its component has one; of rows that are
+    equal in id and text one is taken. Null and empty texts have fingerprint zero. Only rows
+    of components with several rows are moved.
     """
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
-    chosen = classes(docs, limit=limit).groupBy("root").agg(F.min(order).alias("c")).select("c.row_key")
+    placed = keep(classes(docs, limit=limit).select("doc_id", "row_key", "root"), "simhash-rows")
+    sizes = placed.groupBy("root").agg(F.min(order).alias("c"), F.count("*").alias("n"))
+    several = keep(sizes.where("n > 1").select("root", "c.row_key"), "simhash-chosen")
+    moved = salted_join(placed, several.select("root"), "root", "row_key").select(F.xxhash64("row_key").alias("key"))
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"),
         docs["text"].alias("text"),
     ).select("doc", row_key().alias("row_key"))
-    return rows.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"]).select("doc.*")
+    told = rows.withColumn("moved", may_be_in(moved, F.xxhash64("row_key")))
+    chosen = sizes.select("c.row_key")
+    of_several = told.where("moved").join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return told.where("NOT moved").select("doc.*").unionByName(of_several.select("doc.*"))
