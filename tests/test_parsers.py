@@ -244,3 +244,8 @@ def test_envelope_defaults(spark):
     assert (b.hostname, b.ip_address, b.log_source, b.content) == ("h", "10.0.0.2", "nginx", "raw")
     assert str(b.recv_time) == "2025-12-06 04:17:07"
     assert (c.ip_address, c.log_source, c.content) == ("0.0.0.0", "unknown", "{}")
+
+
+def test_private_use_characters_are_kept(spark):
+    (row,) = parse(spark, "Dec  4 17:06:42 lap-7 app[157]: a\ue000b \ue001 c")
+    assert row.linux.raw_message == "a\ue000b \ue001 c"

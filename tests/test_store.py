@@ -364,3 +364,44 @@ def test_threshold_stream_drops_late_rows(spark, tmp_path):
     updates = spark.read.parquet(out)
     got = live.latest_windows(updates, "server_id").orderBy("window_start").collect()
     assert [r.matches for r in got] == [3, 2]
+
+
+def test_the_key_stands_in_no_plan(spark, capsys):
+    key = "0f" * 32
+    rows = spark.createDataFrame([("a", "t")], "alert_id string, title string")
+    sealed = exports.encrypt_alerts(rows, key)
+    opened = exports.decrypt_alerts(sealed, key)
+    for df in (sealed, opened):
+        told = df._jdf.queryExecution().toString().lower()
+        assert key not in told and "0f, 0f" not in told
+    assert opened.first().title == "t"
+    assert exports.decrypt_alerts(sealed, "0e" * 32).first().alert_id is None
+
+
+def test_reports_read_rollups_and_no_logs(spark, tmp_path):
+    from vigilog.operators import rollups
+
+    store = LogStore(spark, str(tmp_path / "store"))
+    lines = [LINE.replace("10:00", f"{h:02d}:0{m}").replace("web1", f"web{h % 3}") for h in range(8, 14) for m in range(3)]
+    for n in range(3):  # each hour's logs come in three batches
+        store.commit(live.write_batch(store, envelopes_of(spark, *lines[n::3], "no log"), n))
+    rows, logs = live.store_hourly(spark, store.path), live.store_logs(spark, store.path)
+    assert rows.agg(F.sum("logs")).first()[0] == logs.count() == len(lines)
+    assert rows.count() == logs.select(F.date_trunc("hour", "recv_time"), "server_id", "log_source").distinct().count()
+    servers = live.store_servers(spark, store.path)
+    alerts = spark.createDataFrame([], "server_id long, triggered_at timestamp, severity string, resolved boolean")
+    for name, args in (
+        ("server_timeline", (servers, "logs", alerts, 24)), ("log_totals", ("logs", servers, alerts)),
+        ("server_breakdown", ("logs", alerts, servers)), ("parse_coverage", ("logs",)),
+    ):
+        rolled, whole = (
+            getattr(module, name)(*[table if a == "logs" else a for a in args])
+            for module, table in ((rollups, rows), (stats, logs))
+        )
+        assert sorted(map(tuple, rolled.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+        assert not any("log_entry" in f for f in rolled.inputFiles())
+    seen = store.table("hourly_addresses", live.STORE_SCHEMAS["hourly_addresses"])
+    assert rollups.distinct_addresses(seen).first().addresses == logs.select("ip_address").distinct().count()
+    store.compact(live.STORE_SCHEMAS, live.STORE_PARTITIONS)
+    again = live.store_hourly(spark, store.path)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))

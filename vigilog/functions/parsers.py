@@ -47,8 +47,9 @@ RELAY_PREFIX = r"^(?:\[[^\]]*\]\s+)?(?:<\d{1,3}>)?"
 ACCESS_TIME = "d/MMM/yyyy:H:m:s"
 STORED_TIME = "yyyy-MM-dd HH:mm:ss"
 
-# A private-use character never seen in decoded log text.
-SEPARATOR = "\ue000"
+# Stands between captured groups. A single private-use character may be part of a line and
+# is kept; only these three in a row are not.
+SEPARATOR = "\ue000\ue001\ue002"
 
 
 def _captures(line: Column, pattern: str, groups: int, rest: str = r"(?s:.*)") -> Column:

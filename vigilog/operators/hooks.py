@@ -31,6 +31,15 @@ def run_log_hooks(logs: DataFrame, hooks: Sequence[Hook]) -> DataFrame:
     return logs
 
 
+def _fitting(new: dict, old: dict, schema: pa.Schema, failed: list) -> dict:
+    try:
+        pa.RecordBatch.from_pylist([new], schema)
+    except (pa.ArrowException, TypeError, ValueError, OverflowError) as error:
+        failed.append(error)
+        return old
+    return new
+
+
 def record_hook(change: Callable[[dict], dict | None]) -> Hook:
     """A hook that changes one record at a time; one it fails on stays as it is.
 
@@ -43,19 +52,23 @@ def record_hook(change: Callable[[dict], dict | None]) -> Hook:
 
         def run(batches):
             for batch in batches:
-                rows, failed = [], 0
-                for row in batch.to_pylist():
+                rows, out, failed = batch.to_pylist(), [], []
+                for row in rows:
                     try:
                         changed = change(dict(row)) or {}
-                        one = {**row, **{c: v for c, v in changed.items() if c in columns}}
-                        rows.append(pa.RecordBatch.from_pylist([one], batch.schema))
+                        out.append({**row, **{c: v for c, v in changed.items() if c in columns}})
                     except Exception as error:  # whatever a user's function raises
-                        failed, last = failed + 1, error
-                        rows.append(pa.RecordBatch.from_pylist([row], batch.schema))
+                        failed.append(error)
+                        out.append(row)
+                try:
+                    made = pa.RecordBatch.from_pylist(out, batch.schema)
+                except (pa.ArrowException, TypeError, ValueError, OverflowError):
+                    # Some value does not fit its column: find the records one by one.
+                    out = [_fitting(new, old, batch.schema, failed) for new, old in zip(out, rows)]
+                    made = pa.RecordBatch.from_pylist(out, batch.schema)
                 if failed:
-                    LOG.warning("record hook left %d records as they were: %s", failed, last)
-                if rows:
-                    yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+                    LOG.warning("record hook left %d records as they were: %s", len(failed), failed[-1])
+                yield made
 
         return logs.mapInArrow(run, logs.schema)
 

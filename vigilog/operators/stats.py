@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.functions.text import preview
-from vigilog.operators.detect import latest
+from vigilog.operators.detect import latest, parsed_view
 from vigilog.operators.lookups import newest, since
+from vigilog.session import cut_lineage
 
 # Severities from worst to least, and the sources always reported.
 SEVERITIES = ["critical", "high", "medium", "low"]
@@ -315,23 +316,32 @@ def server_timeline(
     server_id: int | None = None,
     as_of: Column | None = None,
 ) -> DataFrame:
-    """Logs and alerts of every hour in range, zero where there are none."""
-    now = newest(logs, "recv_time") if as_of is None else as_of
-    last = F.date_trunc("hour", now)
-    first = last - F.expr(f"INTERVAL {hours - 1} HOURS")
+    """Logs and alerts of every hour in range, zero where there are none.
+
+    Without ``as_of`` the range ends in the hour of the newest log. Logs are counted by
+    server and hour once; the counts, which are written, tell the newest hour.
+    """
     if server_id is not None:
         servers = servers.where(F.col("id") == server_id)
-        logs = logs.where(F.col("server_id") == server_id)
         alerts = alerts.where(F.col("server_id") == server_id)
+        logs = logs.where(F.col("server_id") == server_id) if as_of is not None else logs
 
     def per_hour(df: DataFrame, time: str, name: str) -> DataFrame:
-        hour = F.date_trunc("hour", time).alias("hour")
-        return since(df, time, first).groupBy("server_id", hour).agg(_count(name))
+        return df.groupBy("server_id", F.date_trunc("hour", time).alias("hour")).agg(_count(name))
 
+    if as_of is None:
+        logged = cut_lineage(logs.sparkSession, per_hour(logs, "recv_time", "logs"), "server-hours")
+        last = F.lit(logged.agg(F.max("hour")).first()[0]).cast("timestamp")
+    else:
+        last = F.date_trunc("hour", as_of)
+    first = last - F.expr(f"INTERVAL {hours - 1} HOURS")
+    if as_of is not None:
+        logged = per_hour(since(logs, "recv_time", first), "recv_time", "logs")
     zero = F.lit(0).cast("bigint")
     counts = (
-        per_hour(logs, "recv_time", "logs").withColumn("alerts", zero)
-        .unionByName(per_hour(alerts, "triggered_at", "alerts").withColumn("logs", zero))
+        logged.withColumn("alerts", zero)
+        .unionByName(per_hour(since(alerts, "triggered_at", first), "triggered_at", "alerts").withColumn("logs", zero))
+        .where(F.col("hour") >= first)
         .groupBy("server_id", "hour")
         .agg(F.sum("logs").alias("logs"), F.sum("alerts").alias("alerts"))
     )
@@ -406,19 +416,24 @@ def source_share(logs: DataFrame) -> DataFrame:
     return counts.withColumn("percent", share)
 
 
-def parse_coverage(logs: DataFrame, details: dict[str, DataFrame]) -> DataFrame:
-    """Parsed and total logs per type and overall, with the health of the parser."""
-    parsed = None
-    for source, rows in details.items():
-        part = rows.agg(_count("parsed")).select(F.lit(source).alias("log_source"), "parsed")
-        parsed = part if parsed is None else parsed.unionByName(part)
-    totals = logs.groupBy("log_source").agg(_count("total"))
-    per_type = totals.join(parsed, "log_source", "left").select(
-        "log_source", F.coalesce("parsed", F.lit(0)).alias("parsed"), "total"
-    )
-    overall = per_type.agg(F.sum("parsed").alias("parsed"), F.sum("total").alias("total")).select(
-        F.lit("all").alias("log_source"), "parsed", "total"
+def parse_coverage(logs: DataFrame) -> DataFrame:
+    """Parsed and total logs per type and overall, with the health of the parser.
+
+    Logs are read and parsed once; the overall row is a level of the same aggregate.
+    """
+    view = parsed_view(logs)
+    parsed = F.col("linux").isNotNull() | F.col("nginx").isNotNull() | F.col("windows").isNotNull()
+    counts = view.select("log_source", parsed.alias("parsed")).rollup("log_source").agg(
+        F.grouping("log_source").alias("whole"),
+        F.count_if("parsed").alias("parsed"),
+        _count("total"),
     )
+    return coverage_report(counts)
+
+
+def coverage_report(counts: DataFrame) -> DataFrame:
+    """Rate and health of (log_source, whole, parsed, total), where ``whole`` marks the overall row."""
+    named = F.when(F.col("whole") == 1, F.lit("all")).otherwise(F.col("log_source"))
     rate = F.when(
         F.col("total") > 0, F.floor(F.col("parsed") * 100 / F.col("total")).cast("bigint")
     ).otherwise(F.lit(0).cast("bigint"))
@@ -427,7 +442,10 @@ def parse_coverage(logs: DataFrame, details: dict[str, DataFrame]) -> DataFrame:
         .when(F.col("rate") > 50, "Needs Attention")
         .otherwise("Poor")
     )
-    return per_type.unionByName(overall).withColumn("rate", rate).withColumn("health", health)
+    told = counts.select(
+        named.alias("log_source"), F.coalesce("parsed", F.lit(0)).alias("parsed"), F.coalesce("total", F.lit(0)).alias("total")
+    )
+    return told.withColumn("rate", rate).withColumn("health", health)
 
 
 def detection_rate(logs: DataFrame, alerts: DataFrame) -> DataFrame:

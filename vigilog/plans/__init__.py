@@ -5,6 +5,7 @@ from vigilog.plans import (  # noqa: F401
     detect_queries,
     lookup_queries,
     parse_queries,
+    rollup_queries,
     source_queries,
     stat_queries,
     stateful_queries,

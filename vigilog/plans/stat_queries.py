@@ -328,9 +328,7 @@ SELECT log_source, parsed, total, CAST(parsed * 100 // total AS BIGINT) AS rate,
     THEN 'Needs Attention' ELSE 'Poor' END AS health FROM d""",
 )
 def parse_coverage(t: Tables):
-    return stats.parse_coverage(
-        t.logs, {"linux": t.linux, "windows": t.windows, "nginx": t.nginx}
-    )
+    return stats.parse_coverage(t.logs)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,15 @@ def event_json(events: DataFrame) -> DataFrame:
     return events.select("id", F.to_json(F.struct(*events.columns)).alias("event"))
 
 
-def _key(key_hex: str) -> Column:
-    return F.unhex(F.lit(key_hex))
+def _key(rows: DataFrame, key_hex: str) -> Column:
+    """The key as a column whose value stands in no plan: tasks read it from a broadcast."""
+    told = rows.sparkSession.sparkContext.broadcast(bytes.fromhex(key_hex))
+
+    @F.pandas_udf("binary")
+    def sealing_key(row: pd.Series) -> pd.Series:
+        return pd.Series([told.value] * len(row))
+
+    return sealing_key(F.lit(0))
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
@@ -88,12 +96,12 @@ def encrypt_alerts(rows: DataFrame, key_hex: str) -> DataFrame:
     if len(key_hex) != 64:
         raise ValueError("the key must be 32 bytes in hex")
     text = F.to_json(F.struct(*rows.columns))
-    sealed = F.aes_encrypt(text, _key(key_hex), F.lit("GCM"))
+    sealed = F.aes_encrypt(text, _key(rows, key_hex), F.lit("GCM"))
     return rows.select(F.regexp_replace(F.base64(sealed), r"\s", "").alias("encrypted_data"))
 
 
 def decrypt_alerts(sealed: DataFrame, key_hex: str) -> DataFrame:
     """Alerts of an encrypted export; rows that do not decrypt are null."""
-    text = F.try_aes_decrypt(F.unbase64("encrypted_data"), _key(key_hex), F.lit("GCM"))
+    text = F.try_aes_decrypt(F.unbase64("encrypted_data"), _key(sealed, key_hex), F.lit("GCM"))
     row = F.from_json(text.cast("string"), ALERT_SCHEMA)
     return sealed.select(row.alias("r")).select("r.*")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilog.operators import detect, ingest, stats
+from vigilog.operators import detect, ingest, rollups, stats
 from vigilog.rules.pack import Rule
 from vigilog.sources.files import UPLOAD, envelopes
 from vigilog.streaming.store import Entry, LogStore, row_id
@@ -107,9 +107,11 @@ def write_batch(log_store: LogStore, batch: DataFrame, batch_id: int) -> Entry:
         details(logs).write.mode("overwrite").parquet(log_store.folder(table, batch_id))
     servers = logs.withColumnRenamed("log_source", "server_type")
     stats.sightings(servers).write.mode("overwrite").parquet(log_store.folder("server", batch_id))
+    rollups.hourly(logs).write.mode("overwrite").parquet(log_store.folder("hourly", batch_id))
+    rollups.hourly_addresses(logs).write.mode("overwrite").parquet(log_store.folder("hourly_addresses", batch_id))
     told = counted.get
     return Entry(
-        batch_id, ("log_entry", *DETAILS, "server"), (), told["received"], told["parsed"], saved.get["saved"]
+        batch_id, tuple(STORE_SCHEMAS), (), told["received"], told["parsed"], saved.get["saved"]
     )
 
 
@@ -129,10 +131,17 @@ STORE_PARTITIONS = {"log_entry": ["log_source", "day"]}
 STORE_SCHEMAS = {
     "log_entry": LOG_SCHEMA,
     "server": SERVER_SCHEMA,
+    "hourly": f"{rollups.HOURLY}, batch bigint",
+    "hourly_addresses": f"{rollups.ADDRESSES}, batch bigint",
     **dict.fromkeys(DETAILS),
 }
 
 
+def store_hourly(spark: SparkSession, store: str) -> DataFrame:
+    """The hourly rows that reports read, of all whole batches."""
+    return rollups.merged(LogStore(spark, store).table("hourly", STORE_SCHEMAS["hourly"]))
+
+
 def store_servers(spark: SparkSession, store: str) -> DataFrame:
     """The registry: each server with the first and last time of all batches."""
     return stats.registry(LogStore(spark, store).table("server", SERVER_SCHEMA))
