@@ -134,3 +134,27 @@ def test_repeating_texts():
     assert spans and all(b - a >= 50 and d - c >= 50 for a, b, c, d in spans)
     assert passages.near_passages(*prepared(["a"] * 300, ["b"] * 300)) == []
     assert passages.near_passages(*prepared([], ["a"] * 60)) == []
+
+
+def test_fewest_tokens():
+    rng = random.Random(2)
+    for _ in range(200):
+        n, k = rng.randrange(0, 130), rng.choice([1, 3, 20, 500])
+        tokens = np.array([rng.randrange(k) for _ in range(n)], dtype=np.uint64)
+        spans = [len(set(tokens[i : i + 46].tolist())) for i in range(n - 45)]
+        assert passages._fewest_tokens(tokens) == min(spans, default=n)
+
+
+def test_texts_with_near_duplicates_share_enough_tokens():
+    rng = random.Random(3)
+    texts = [t for kind in KINDS for _ in range(6) for t in planted(rng, kind)]
+    line = text(rng, 25)
+    texts += [text(rng, 90) + line + text(rng, 90) for _ in range(10)] + [["a", "b"] * 60, ["a", "b"] * 45, []]
+    ready = prepared(*texts)
+    enough = passages._tokens_enough(ready)
+    for x in range(len(texts)):
+        for y in range(x):
+            if passages.near_passages(ready[x], ready[y]):
+                assert enough[x, y]
+    # A shared line of 25 words is no passage.
+    assert not enough[60:70, 60:70][~np.eye(10, dtype=bool)].any()

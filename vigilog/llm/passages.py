@@ -53,6 +53,7 @@ LEADS = 4  # texts of a meeting that a later round pairs with the others
 BLOCK = 64  # texts of a block when a meeting is finished
 ALIGNED = 0.6  # share of a span's tokens that must be paired before its sets are compared
 _AT_ONCE = 200_000  # words of pairs examined together
+_COLUMNS = 8192  # tokens of a cell counted at once
 _LEAST = MIN_WORDS - SHINGLE + 1  # shingles of the shortest passage
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -249,12 +250,16 @@ def _different(meet: DataFrame) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """A text's tokens and its windows, in order of their keys; ``beside`` are the keys with
-    the words to the right and to the left of the place, 0 where there are too few."""
+    """A text's tokens and its windows, in order of their keys.
+
+    ``beside`` are the keys with the words to the right, and those with the words to the left
+    of the place (0 where there are too few), each ascending in ``order``.
+    """
 
     tokens: np.ndarray
     key: np.ndarray
     beside: np.ndarray
+    order: np.ndarray
     function: np.ndarray
     place: np.ndarray
     left: np.ndarray
@@ -285,10 +290,15 @@ def prepared(packed: list[bytes]) -> list[Prepared]:
     key, function = key[order], function[order]
     cuts = np.searchsorted(text, np.arange(len(packed) + 1)).tolist()
     edges = bounds.tolist()
-    return [
-        Prepared(tokens[edges[d] : edges[d + 1]], *(x[cuts[d] : cuts[d + 1]] for x in (key, beside, function, place, left, right)))
-        for d in range(len(packed))
-    ]
+    sides = np.stack([np.lexsort((beside[:, side], text)) for side in (0, 1)])
+    beside = np.stack([beside[sides[side], side] for side in (0, 1)])
+    out = []
+    for d in range(len(packed)):
+        own = slice(cuts[d], cuts[d + 1])
+        rest = (x[own] for x in (key, function, place, left, right))
+        found = next(rest)
+        out.append(Prepared(tokens[edges[d] : edges[d + 1]], found, beside[:, own], sides[:, own] - cuts[d], *rest))
+    return out
 
 
 def _collisions(a: Prepared, b: Prepared):
@@ -302,13 +312,12 @@ def _collisions(a: Prepared, b: Prepared):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     found = [_equal(a.key, b.key)]
     for side in (0, 1):
-        order_a, order_b = (np.argsort(x.beside[:, side], kind="stable") for x in (a, b))
-        i, j = _equal(a.beside[order_a, side], b.beside[order_b, side])
-        found.append((order_a[i], order_b[j]))
+        i, j = _equal(a.beside[side], b.beside[side])
+        found.append((a.order[side][i], b.order[side][j]))
     i, j = (np.concatenate(x) for x in zip(*found))
     good = a.key[i] == b.key[j]
-    pairs = np.unique(np.stack((i[good], j[good])), axis=1)
-    return pairs[0], pairs[1]
+    pairs = np.unique(i[good] * len(b.key) + j[good])
+    return pairs // len(b.key), pairs % len(b.key)
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -539,7 +548,7 @@ def _cell_examined(cell: pa.Table) -> pa.Table:
     block = cell.column("block").to_numpy()
     crossing = cell.column("low")[0] != cell.column("high")[0]
     ready = prepared(cell.column("words").to_pylist())
-    pairs = np.triu(_functions_shared(ready) >= ENOUGH, 1)
+    pairs = np.triu(_tokens_enough(ready) & (_functions_shared(ready) >= ENOUGH), 1)
     pairs &= np.unique(labels, return_inverse=True)[1][:, None] != np.unique(labels, return_inverse=True)[1]
     if crossing:
         pairs &= block[:, None] != block
@@ -560,6 +569,48 @@ def _cell_examined(cell: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_found(rows)])
 
 
+def _fewest_tokens(tokens: np.ndarray) -> int:
+    """The fewest different tokens of any span of the least length."""
+    n = len(tokens)
+    if n < _LEAST:
+        return n
+    order = np.argsort(tokens, kind="stable")
+    before = np.full(n, -1, dtype=np.int64)  # the same token's place before
+    same = tokens[order][1:] == tokens[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    # A token is new in the spans that begin after its place before.
+    at = np.arange(n)
+    step = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(step, np.maximum(before, at - _LEAST) + 1, 1)
+    np.add.at(step, at + 1, -1)
+    return int(np.cumsum(step)[: n - _LEAST + 1].min())
+
+
+def _tokens_enough(ready: list[Prepared]) -> np.ndarray:
+    """Whether two texts have as many tokens in common as any near-duplicate passages of theirs.
+
+    A passage has at least the fewest different tokens of its text's spans, and of the larger
+    of two sets that are alike the other holds a share of SIMILARITY.
+    """
+    n = len(ready)
+    sizes = [len(p.tokens) for p in ready]
+    text = np.repeat(np.arange(n), sizes)
+    _, number = np.unique(np.concatenate([p.tokens for p in ready]), return_inverse=True)
+    held = np.unique(number * n + text)  # a token and a text that holds it
+    number, text = held // n, held % n
+    common = np.bincount(number)[number] > 1
+    _, number = np.unique(number[common], return_inverse=True)
+    text = text[common]
+    shared = np.zeros((n, n), np.float32)
+    for low in range(0, int(number.max(initial=-1)) + 1, _COLUMNS):
+        own = slice(*np.searchsorted(number, (low, low + _COLUMNS)))
+        holds = np.zeros((n, _COLUMNS), np.float32)
+        holds[text[own], number[own] - low] = 1
+        shared += holds @ holds.T
+    fewest = np.array([_fewest_tokens(p.tokens) for p in ready])
+    return shared >= SIMILARITY * np.maximum(fewest[:, None], fewest) - 1e-6
+
+
 def _functions_shared(ready: list[Prepared]) -> np.ndarray:
     """For each two texts the number of functions of which they share a window's key."""
     key = np.concatenate([p.key for p in ready])
