@@ -812,3 +812,33 @@ def test_pipeline_of_odd_and_of_no_rows(spark, make, tmp_path):
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert bool(got) == (name == "odd")
         assert all(r["n_tokens"] > 1 for r in got)
+
+
+MENTIONED = {
+    "GNU GPLv3": "gpl", "LGPL-2.1": "lgpl", "Apache-2.0": "apache", "It is licensed under GPL": "gpl", "BSD-licensed": "bsd",
+    "GNU Affero GPL": "agpl", "Creative Commons Zero": "cc0", "CC BY-NC-SA 4.0": "cc-by-nc-sa", "AGPLv3 or later": "agpl",
+    "lgplv3": "lgpl", "Lesser GPL v3": "lgpl", "GFDL 1.3": "gfdl", "GNU FDL": "gfdl", "Apache v2 licensed": "apache",
+    "apache2 license": "apache", "ASL 2.0": "apache", "MIT-licensed": "mit", "MIT-style license": "mit", "bsd3": "bsd-3-clause",
+    "ISC licensed": "isc", "zlib-licensed": "zlib", "Boost license 1.0": "boost", "MPL 2.0": "mpl", "MPLv2": "mpl", "EPL-2.0": "epl",
+    "EUPL 1.2": "eupl", "Artistic-2.0": "artistic", "SIL OFL 1.1": "ofl", "ODbL": "odbl", "PSF license": "psf",
+    "Server Side Public License v1": "sspl", "BUSL-1.1": "bsl", "cc zero": "cc0", "public domain software": "public-domain",
+    "Creative Commons Attribution 4.0 International": "cc-by", "a proprietary license": "proprietary",
+}
+
+
+def test_plain_mentions(spark, make):
+    from vigilog.llm.licenses import scan
+
+    texts = [*MENTIONED, "He did mit gplus apache helicopters 2 0 zero"]
+    got = {r["doc_id"]: r["labels"] for r in scan(make([(i, f"Some words. {t}, and more", None) for i, t in enumerate(texts)])).collect()}
+    for i, label in enumerate(MENTIONED.values()):
+        assert label in got[i].split(","), texts[i]
+        assert {*got[i].split(",")} <= {label, "cc-by"}, (texts[i], got[i])
+    assert got[len(MENTIONED)] == ""
+
+
+def test_rules_are_hundreds_and_each_is_gated_by_its_own_word():
+    from vigilog.llm.licenses import MENTIONS, rules
+
+    assert len(rules()) > 380 and len({r["pattern"] for r in rules()}) > 0.95 * len(rules())
+    assert all(keyword in pattern for _, keyword, pattern in MENTIONS)

@@ -3,7 +3,8 @@
 A text is lower-cased (A-Z) and brought to its words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
 with one space around each. A rule is a regular expression over that form with a label, a
 priority and a keyword; it runs only on texts that hold its keyword as a word. Rules are
-made of the families below, each in several forms (identifier, grant, address, name).
+made of the families below, each in several forms (identifier, grant, address, name), and
+of mentions written one by one.
 Every match of a rule holds its keyword, so the keyword leaves out no match (tested).
 
 Detections that overlap are resolved from left to right: one that lies inside another is
@@ -115,6 +116,67 @@ FAMILIES = [
     ("proprietary", "proprietary", "proprietary and confidential", "", ""),
 ]
 
+#: Plain mentions, each written by itself: (label, keyword, pattern).
+MENTIONS = [
+    ("agpl", "affero", "(?:gnu )?affero gpl(?: v?3(?: 0)?)?"),
+    ("agpl", "agpl", "(?:gnu )?agpl(?: v?3(?: 0)?)?(?: licen[cs]ed?)?"),
+    ("agpl", "agplv3", "(?:gnu )?agplv3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl3", "(?:gnu )?agpl3(?: 0)?"),
+    ("gpl", "gpl", "(?:gnu )?gpl(?: licen[cs]ed?)?"),
+    ("gpl", "gplv1", "(?:gnu )?gplv1(?: 0)?(?: only| or later)?"),
+    ("gpl", "gplv2", "(?:gnu )?gplv2(?: 0)?(?: only| or later)?"),
+    ("gpl", "gplv3", "(?:gnu )?gplv3(?: 0)?(?: only| or later)?"),
+    ("gpl", "gpled", "gpled"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl(?: v?[23](?: [01])?)?(?: licen[cs]ed?)?"),
+    ("lgpl", "lgplv2", "(?:gnu )?lgplv2(?: [01])?(?: only| or later)?"),
+    ("lgpl", "lgplv3", "(?:gnu )?lgplv3(?: 0)?(?: only| or later)?"),
+    ("lgpl", "lgpl2", "(?:gnu )?lgpl2(?: [01])?"),
+    ("lgpl", "lgpl3", "(?:gnu )?lgpl3(?: 0)?"),
+    ("lgpl", "lesser", "(?:gnu )?lesser gpl(?: v?[23](?: [01])?)?"),
+    ("gfdl", "gfdl", "(?:gnu )?gfdl(?: v?1 [123])?"),
+    ("gfdl", "fdl", "gnu fdl(?: v?1 [123])?"),
+    ("apache", "apache", "apache (?:v ?)?2 0(?: licen[cs]ed?)?"),
+    ("apache", "apache", "apache (?:v2|2) licen[cs]ed?"),
+    ("apache", "apache", "apache licen[cs]ed"),
+    ("apache", "apache2", "apache2 licen[cs]ed?"),
+    ("apache", "asl", "asl (?:v2|2 0)"),
+    ("mit", "mit", "mit licen[cs]ed"),
+    ("mit", "mit", "mit style licen[cs]ed?"),
+    ("bsd", "bsd", "bsd licen[cs]ed"),
+    ("bsd", "bsd", "bsd style licen[cs]ed"),
+    ("bsd-2-clause", "bsd2", "bsd2(?: clause)?(?: licen[cs]ed?)?"),
+    ("bsd-3-clause", "bsd3", "bsd3(?: clause)?(?: licen[cs]ed?)?"),
+    ("isc", "isc", "isc licen[cs]ed"),
+    ("zlib", "zlib", "zlib licen[cs]ed"),
+    ("boost", "boost", "boost licen[cs]ed?(?: 1 0)?"),
+    ("mpl", "mpl", "mpl v?[12](?: [01])?(?: licen[cs]ed?)?"),
+    ("mpl", "mplv2", "mplv2(?: 0)?"),
+    ("mpl", "mpl2", "mpl2(?: 0)?"),
+    ("epl", "epl", "epl v?[12](?: 0)?(?: licen[cs]ed?)?"),
+    ("eupl", "eupl", "eupl(?: v?1 [012])?"),
+    ("cddl", "cddl", "cddl licen[cs]ed"),
+    ("artistic", "artistic", "artistic licen[cs]ed"),
+    ("artistic", "artistic", "artistic 2 0"),
+    ("ofl", "ofl", "(?:sil )?ofl(?: v?1 [01])?"),
+    ("odbl", "odbl", "odbl(?: v?1 0)?"),
+    ("psf", "psf", "psf licen[cs]ed?"),
+    ("php", "php", "php licen[cs]ed"),
+    ("sspl", "server", "server side public license(?: v?1| version 1)?"),
+    ("sspl", "sspl", "sspl licen[cs]ed"),
+    ("bsl", "busl", "busl(?: 1 [01])?"),
+    ("elastic", "elastic", "elastic licen[cs]ed"),
+    ("cc0", "zero", "creative commons zero(?: v?1 0)?(?: universal)?"),
+    ("cc0", "zero", "cc zero"),
+    ("cc0", "cc0", "(?:creative commons )?cc0 licen[cs]ed?"),
+    ("cc-by", "commons", "creative commons attribution [1234] [05] (?:international|unported|generic)"),
+    ("cc-by", "cc", "cc attribution(?: [1234] [05])?"),
+    ("public-domain", "domain", "public domain (?:software|work|code|text)"),
+    ("public-domain", "pd", "pd licen[cs]ed"),
+    ("proprietary", "proprietary", "proprietary licen[cs]ed?"),
+    ("openrail", "rail", "rail (?:m )?licen[cs]ed?"),
+]
+MENTIONED = 40  # their priority
+
 #: Forms of a family: name, priority, words around the family's pattern, its column, keyword.
 _UNDER = (
     "(?:licen[cs]ed|released|distributed|available|provided|published|redistributed|covered|used) "
@@ -141,6 +203,8 @@ def rules() -> list[dict]:
                 gate = keyword or (family[1] if at == 2 else family[4].split(" ")[0])
                 out.append({"label": family[0], "priority": priority, "keyword": gate,
                             "pattern": f" (?:{around.format(f'(?:{family[at]})')})(?= )"})
+    for label, keyword, pattern in MENTIONS:
+        out.append({"label": label, "priority": MENTIONED, "keyword": keyword, "pattern": f" (?:{pattern})(?= )"})
     return out
 
 
