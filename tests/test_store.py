@@ -405,3 +405,44 @@ def test_reports_read_rollups_and_no_logs(spark, tmp_path):
     store.compact(live.STORE_SCHEMAS, live.STORE_PARTITIONS)
     again = live.store_hourly(spark, store.path)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_search_reads_matching_files_only(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    for n, word in enumerate(("alpha", "Bravo", "charlie")):
+        lines = [LINE.replace("root", f"{word}{i}") for i in range(5)]
+        store.commit(live.write_batch(store, envelopes_of(spark, *lines), n))
+    whole = live.store_logs(spark, store.path)
+
+    def found(text):
+        rows = live.search_store(spark, store.path, text)
+        want = whole.where(F.col("content").ilike(f"%{text}%"))
+        assert sorted(r.id for r in rows.collect()) == sorted(r.id for r in want.collect())
+        return rows
+
+    for text, files in (("bravo3", 1), ("BRAVO", 1), ("for _lpha4", 1), ("for%charlie", 1), ("nothing here", 0)):
+        assert len(found(text).inputFiles()) == files
+    for text in ("a", "%", "f_r", "f\u00e9", "10.1.1.1"):
+        assert len(found(text).inputFiles()) == 3 or text == "f\u00e9"
+    # Batches without an index are read whole; a compaction makes the index anew.
+    store.commit(live.write_batch(store, envelopes_of(spark, LINE), 3))
+    entry = [e for e in store.committed() if e.batch == 3][0]
+    assert "text_index" in entry.tables
+    whole = live.store_logs(spark, store.path)
+    assert live.compact_store(spark, store.path) == -1
+    assert live.search_store(spark, store.path, "bravo3").count() == 1
+    assert all("batch=-1" in f for f in live.search_store(spark, store.path, "bravo3").inputFiles())
+
+
+def test_index_of_odd_texts(spark, tmp_path):
+    from vigilog.operators import text_index
+
+    path = str(tmp_path / "rows")
+    rows = [(1, None), (2, ""), (3, "ab"), (4, "x" * 300_000 + "Needle"), (5, "\u0130stanbul K\u212aelvin")]
+    spark.createDataFrame(rows, "id long, content string").repartition(3).write.parquet(path)
+    table = spark.read.schema("id long, content string").parquet(path)
+    index = text_index.index_files(table)
+    for text in ("needle", "ab", "stanbul", "kkelvin", "\u0130stanbul", "", "zzz"):
+        got = text_index.read_matching(spark, index, text, "id long, content string", path)
+        want = table.where(F.col("content").ilike(f"%{text}%"))
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect()), text

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilog.operators import ingest, lookups, stats
-from vigilog.plans.catalog import query, sql_time
+from vigilog.operators import ingest, lookups, stats, text_index
+from vigilog.plans.catalog import ORACLES, query, sql_time
 from vigilog.plans.fixtures import Tables
 from vigilog.rules import pack
+from vigilog.session import cut_lineage, shared_dir
 
 RECV = sql_time("l.recv_time")
 TRIGGERED = sql_time("a.triggered_at")
@@ -54,6 +55,20 @@ def search_logs(t: Tables):
     return lookups.search_logs(t.logs, t.servers, text="Failed Password", limit=100)
 
 
+# The logs lie in one file for each server; files without the text are not read.
+@query("search_indexed_logs")
+def search_indexed_logs(t: Tables):
+    path = shared_dir(t.spark, "searched")
+    t.logs.repartition("server_id").write.partitionBy("log_source").parquet(path)
+    schema = "id bigint, server_id bigint, recv_time timestamp, content string, log_source string"
+    index = cut_lineage(t.spark, text_index.index_files(t.spark.read.schema(schema).parquet(path)), "text-index")
+    found = text_index.read_matching(t.spark, index, "Failed Password", schema, path)
+    return lookups.search_logs(found, t.servers, limit=100)
+
+
+ORACLES["search_indexed_logs"] = ORACLES["search_logs"]
+
+
 STATS_SQL = """
 SELECT s.id, s.hostname, s.ip_address, s.server_type, coalesce(l.n, 0) AS total_logs,
   coalesce(a.n, 0) AS total_alerts, coalesce(a.open, 0) AS active_alerts, l.last AS last_seen,

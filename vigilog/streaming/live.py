@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigilog.operators import detect, ingest, rollups, stats
+from vigilog.operators import detect, ingest, rollups, stats, text_index
 from vigilog.rules.pack import Rule
 from vigilog.sources.files import UPLOAD, envelopes
 from vigilog.streaming.store import Entry, LogStore, row_id
@@ -109,12 +109,33 @@ def write_batch(log_store: LogStore, batch: DataFrame, batch_id: int) -> Entry:
     stats.sightings(servers).write.mode("overwrite").parquet(log_store.folder("server", batch_id))
     rollups.hourly(logs).write.mode("overwrite").parquet(log_store.folder("hourly", batch_id))
     rollups.hourly_addresses(logs).write.mode("overwrite").parquet(log_store.folder("hourly_addresses", batch_id))
+    index_logs(log_store, batch_id).write.mode("overwrite").parquet(log_store.folder("text_index", batch_id))
     told = counted.get
     return Entry(
-        batch_id, tuple(STORE_SCHEMAS), (), told["received"], told["parsed"], saved.get["saved"]
+        batch_id, (*STORE_SCHEMAS, "text_index"), (), told["received"], told["parsed"], saved.get["saved"]
     )
 
 
+def index_logs(log_store: LogStore, batch: int) -> DataFrame:
+    """The skip index of a batch's log rows."""
+    folder, base = log_store.folder("log_entry", batch), f"{log_store.path}/log_entry"
+    return text_index.index_files(log_store.spark.read.schema(LOG_SCHEMA).option("basePath", base).parquet(folder))
+
+
+def search_store(spark: SparkSession, store: str, text: str) -> DataFrame:
+    """Log rows that hold ``text``; only files that may hold it are read."""
+    log_store = LogStore(spark, store)
+    plain = [log_store.folder("log_entry", e.batch) for e in log_store.entries() if "text_index" not in e.tables]
+    index = log_store.table("text_index", f"{text_index.INDEX}, batch bigint")
+    return text_index.read_matching(spark, index, text, LOG_SCHEMA, f"{log_store.path}/log_entry", plain)
+
+
+def compact_store(spark: SparkSession, store: str) -> int | None:
+    """Join the batches of a store, their skip index anew for the new files."""
+    log_store = LogStore(spark, store)
+    return log_store.compact(STORE_SCHEMAS, STORE_PARTITIONS, {"text_index": index_logs})
+
+
 def store_logs(spark: SparkSession, store: str) -> DataFrame:
     """Log rows of the whole batches of a store."""
     return LogStore(spark, store).table("log_entry", LOG_SCHEMA)

@@ -15,6 +15,7 @@ The manifests are one row a batch or compaction and are read on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -87,11 +88,18 @@ class LogStore:
         sums = {k: sum(getattr(e, k) for e in own) for k in ("received", "parsed", "saved")}
         return {**sums, "errors": sums["received"] - sums["parsed"], "batches": sum(e.received > 0 for e in own)}
 
-    def compact(self, schemas: dict[str, str | None], partitions: dict[str, list[str]] | None = None, fewest: int = 2) -> int | None:
+    def compact(
+        self,
+        schemas: dict[str, str | None],
+        partitions: dict[str, list[str]] | None = None,
+        derived: dict[str, Callable[[LogStore, int], DataFrame]] | None = None,
+        fewest: int = 2,
+    ) -> int | None:
         """Join all visible batches into one; its number, or None if there are too few.
 
         ``schemas`` are those of ``table``; ``partitions`` the columns a table is split by on
-        disk. Rows are dealt to files by size, so no task writes a table alone.
+        disk; ``derived`` tables are made of the new files. Rows are dealt to files by size,
+        so no task writes a table alone.
         """
         old = self.entries()
         if len(old) < fewest:
@@ -102,7 +110,9 @@ class LogStore:
             by = (partitions or {}).get(name, [])
             writer = rows.hint("rebalance", *by).write.mode("overwrite")
             (writer.partitionBy(*by) if by else writer).parquet(self.folder(name, number))
-        self.commit(Entry(number, tuple(schemas), tuple(e.batch for e in old)))
+        for name, make in (derived or {}).items():
+            make(self, number).write.mode("overwrite").parquet(self.folder(name, number))
+        self.commit(Entry(number, (*schemas, *(derived or {})), tuple(e.batch for e in old)))
         return number
 
     def vacuum(self) -> list[int]:
