@@ -25,7 +25,7 @@ def grams_of(text):
     out = Counter()
     for w in words:
         for k in range(1, language.LONGEST + 1):
-            out.update(g for i in range(len(w) - k + 1) if (g := w[i : i + k]).strip())
+            out.update(g for i in range(len(w) - k + 1) if (g := w[i : i + k]).strip() and g.count(" ") < 2)
     return out
 
 

@@ -19,7 +19,7 @@ def vectors(spark, rows):
 def expected(rows, k=4):
     """n, S, eigenvalues, vectors and x of the rows that count, from all numbers at once."""
     x = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows}
-    listed = np.unique(np.array(list(x.values())), axis=0)
+    listed = np.unique(np.floor(256 * np.array([v for _, v in rows])).astype(np.int64), axis=0)
     away = listed - listed.mean(axis=0)
     values, columns = np.linalg.eigh(away.T @ away / len(listed))
     return len(listed), listed.sum(axis=0), values[::-1], columns[:, ::-1][:, :k], x
@@ -90,7 +90,7 @@ def test_odd_vectors(spark):
     rng = np.random.default_rng(2)
     good = [(i, rng.standard_normal(5).tolist()) for i in range(30)]
     good += [(7, good[3][1]), (31, good[4][1]), (None, good[5][1]), (32, [c + 1e-9 for c in good[6][1]])]
-    bad = [(40, None), (41, [1.0, None, 1, 1, 1]), (42, [float("nan")] * 5), (43, [float("inf")] * 5), (44, []), (45, [1.0] * 4)]
+    bad = [(40, None), (41, [1.0, None, 1.0, 1.0, 1.0]), (42, [float("nan")] * 5), (43, [float("inf")] * 5), (44, []), (45, [1.0] * 4)]
     got = whitening.whiten(vectors(spark, good + bad)).collect()
     assert sorted((r["vec_id"] for r in got), key=repr) == sorted((i for i, _ in good), key=repr)
     assert {r["n"] for r in got} == {expected(good)[0]}

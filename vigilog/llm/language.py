@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on character n-grams.
 
 Features. A text is lower-cased and cut into words (letters a-z and everything beyond
-ASCII); a word with a blank on both sides gives its runs of 1 to 4 characters. An n-gram is
-a bucket of 2**BITS by hash. Its value is its share of the text's n-grams, in percent, times
+ASCII); a word with a blank on both sides gives its runs of 1 to 4 characters that hold one
+of the blanks at most. An n-gram is a bucket of 2**BITS by hash. Its value is its share of the text's n-grams, in percent, times
 its inverse document frequency: ln((1 + N) / (1 + documents with it)) + 1.
 
 Learning, from texts with a language whose crc32(id as text) modulo FOLDS is not HELD_OUT:

@@ -56,6 +56,7 @@ def suffix_order(hashes: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> tup
     has in common with the one before it; 0 where it shares fewer than DEPTH.
     """
     n = len(hashes)
+    hashes = np.maximum(hashes, np.uint64(1))  # 0 stands for a text's end
     none = np.zeros(0, np.int64)
     whole = np.flatnonzero(np.arange(max(n - DEPTH + 1, 0)) + DEPTH <= ends[: max(n - DEPTH + 1, 0)])
     if not len(whole):

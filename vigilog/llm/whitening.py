@@ -252,10 +252,12 @@ def feast(v: np.ndarray, low: float, high: float, inside: int, seed: int = 20240
         for z, weight in solves:
             projected += (weight * np.linalg.solve(z * np.eye(d) - v, y.astype(complex))).real / 2
         values, vectors = _ritz(v, projected)
-        within = np.flatnonzero((values >= low) & (values <= high))
-        residual = np.linalg.norm(v @ vectors[:, within] - vectors[:, within] * values[within], axis=0)
-        worst = residual.max(initial=0.0)
-        if len(within) == inside and worst <= 4 * d * np.finfo(float).eps * size:
+        residual = np.linalg.norm(v @ vectors - vectors * values, axis=0)
+        # Columns beyond the rank of the projection are noise, whose Ritz values may lie inside.
+        near = residual <= 4 * d * np.finfo(float).eps * size
+        within = np.flatnonzero(near & (values >= low) & (values <= high))
+        worst = residual[within].max(initial=0.0)
+        if len(within) == inside:
             if best is not None and worst >= best[0] / 2:
                 return best[1:] if best[0] < worst else (values[within], vectors[:, within])
             best = (worst, values[within], vectors[:, within])
