@@ -298,8 +298,10 @@ def largest_components(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
             edge, last = following, last + 1
         following = _edge(tri, -bound, edge, last + 1) if last < d else -bound
         low = (edge + max(following, edge - bound / 4)) / 2
-        inside = above(tri, low) - above(tri, top)
-        found, at = feast(v, low, top, inside)
+        # As much room above as below, so that the circle is of the size of the gaps.
+        high = min(top, first + max(edge - low, 4 * np.finfo(float).eps * bound))
+        inside = above(tri, low) - above(tri, high)
+        found, at = feast(v, low, high, inside)
         if inside != len(found) or inside != last - done:
             raise ArithmeticError(f"inertia counts {last - done} and {inside}, contour {len(found)}")
         values += found.tolist()
