@@ -1,4 +1,10 @@
-"""Training-data pipeline over ``documents``: judge, dedupe, decontaminate, mix, tokenise."""
+"""Training-data pipeline over ``documents``: judge, dedupe, decontaminate, mix, tokenise.
+
+Null and empty texts fall to the first stage, which rejects texts of few words. Rows that
+repeat are judged each; of rows equal in id and text the second stage keeps one. Rows without
+an id are kept like others where their component has none with an id. Rows without a source
+are a source of their own. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
