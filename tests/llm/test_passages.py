@@ -158,3 +158,48 @@ def test_texts_with_near_duplicates_share_enough_tokens():
                 assert enough[x, y]
     # A shared line of 25 words is no passage.
     assert not enough[60:70, 60:70][~np.eye(10, dtype=bool)].any()
+
+
+def packed(*texts):
+    hashes = [Words(pa.array([" ".join(t)]), ALNUM).hashes() for t in texts]
+    return [(h >> np.uint64(32)).astype(np.uint32).tobytes() for h in hashes]
+
+
+def test_only_pairs_that_cannot_hold_a_passage_are_left_out():
+    rng = random.Random(13)
+    texts = [t for kind in KINDS for _ in range(6) for t in planted(rng, kind)]
+    run, line = ["x"] * 75, text(rng, 25)
+    texts += [text(rng, 60) + run + text(rng, 60), text(rng, 40) + run[:60] + text(rng, 90), ["a", "b"] * 60, ["a", "b"] * 45]
+    stock = [text(rng, 60) + line + text(rng, 60) + run[:30] + text(rng, 60) for _ in range(8)]
+    texts += stock + [text(rng, 49), []]
+    held, ready = passages.held_tokens(packed(*texts)), prepared(*texts)
+    for x in range(len(texts)):
+        for y in range(x):
+            if passages.near_passages(ready[x], ready[y]):
+                assert passages.may_hold(held[x], held[y]) and passages.may_hold(held[y], held[x])
+    # Lines shared by texts that are far from a passage are no reason to prepare their windows.
+    ours = held[len(texts) - 10 : len(texts) - 2]
+    assert not any(passages.may_hold(a, b) for a in ours for b in ours if a is not b)
+
+
+def test_a_text_is_prepared_once_a_group(monkeypatch):
+    rng = random.Random(17)
+    shared = text(rng, 80)
+    texts = [text(rng, 40) + shared + text(rng, 40) for _ in range(12)]
+    done = []
+    once = passages.prepared
+    monkeypatch.setattr(passages, "prepared", lambda p: done.extend(p) or once(p))
+    pairs = pa.table({"x": [x for x in range(12) for _ in range(x)], "y": [y for x in range(12) for y in range(x)]})
+    rows = pa.table({"node": list(range(12)), "id": [f"t{i}" for i in range(12)], "words": packed(*texts)})
+    found = passages._examined(pairs, rows)
+    assert found.num_rows == 66 and len(done) == 12
+
+
+def test_nearest_smaller_with_runs_of_equal_values():
+    rng = random.Random(19)
+    for _ in range(200):
+        tree = np.array([0, *(v for _ in range(12) for v in [rng.randrange(1, 5)] * rng.randrange(1, 4)), 0], np.uint64)
+        before, after = passages._nearest_smaller(tree, -1), passages._nearest_smaller(tree, 1)
+        for i in range(1, len(tree) - 1):
+            assert before[i] == max(j for j in range(i) if tree[j] <= tree[i])
+            assert after[i] == min(j for j in range(i + 1, len(tree)) if tree[j] < tree[i])

@@ -17,10 +17,12 @@ similarity of ``SIMILARITY`` or more.
 * In each meeting all texts are paired with one of them. A pair is examined whole: its
   windows are intersected over all functions, intervals covered by at least
   ``ENOUGH`` functions are candidates, and their shingle sets decide.
-* Rounds go on with LEADS other texts of each meeting that still holds several classes,
-  until a round links nothing new. What is open then is finished: its texts are dealt to
-  blocks of about BLOCK, and each two blocks meet in a cell, where all pairs of different
-  classes are examined that share windows of ENOUGH functions.
+* A pair is examined only if its tokens leave a near-duplicate passage possible: no link is
+  lost by that (``may_hold``).
+* Rounds go on with LEADS other texts of each meeting that still holds several classes, as
+  long as they link one pair of FRUITFUL. What is open then is finished: its texts are dealt
+  to blocks of about BLOCK, and each two blocks meet in a cell, which names the pairs of
+  different classes with enough tokens in common; each of these is examined once.
 * Equal texts are one text from the start. Connected components of the links are classes.
 
 Null texts have no words and no passages. Rows that repeat share their text's class. Rows
@@ -34,7 +36,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +51,13 @@ CONTEXT = 20  # words around a place that divide a meeting
 SHIFT = 8  # words by which places may drift in any passage; a quarter of it in longer ones
 BLOOM_BITS = 26
 LEADS = 4  # texts of a meeting that a later round pairs with the others
-BLOCK = 64  # texts of a block when a meeting is finished
+FRUITFUL = 16  # rounds go on while one pair of so many is linked
+BLOCK, BLOCK_WORDS = 256, 200_000  # texts of a block when a meeting is finished, and their words
 ALIGNED = 0.6  # share of a span's tokens that must be paired before its sets are compared
-_AT_ONCE = 200_000  # words of pairs examined together
+GROUP = 256  # pairs of a group that are examined together
+_AT_ONCE = 200_000  # words of texts prepared together
 _COLUMNS = 8192  # tokens of a cell counted at once
+_CLOSE = 8  # places within which a token that repeats counts once
 _LEAST = MIN_WORDS - SHINGLE + 1  # shingles of the shortest passage
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -103,15 +107,23 @@ def _nearest_smaller(tree: np.ndarray, side: int) -> np.ndarray:
 
     All links are followed at once: what lies between a value and where its link points is
     never smaller, so a link that points at a larger value may take over that one's link.
+    Neighbours of one value, as repeating words make them, are one value.
     """
-    link = np.arange(len(tree)) + side
-    link[0], link[-1] = 0, len(tree) - 1
-    todo = np.flatnonzero(tree)
+    begins = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+    sizes = np.diff(begins, append=len(tree))
+    values = tree[begins]
+    link = np.arange(len(values)) + side
+    link[0], link[-1] = 0, len(values) - 1
+    todo = np.flatnonzero(values)
     while len(todo):
-        there = tree[link[todo]]
-        todo = todo[there > tree[todo] if side < 0 else there >= tree[todo]]
+        there = values[link[todo]]
+        todo = todo[there > values[todo] if side < 0 else there >= values[todo]]
         link[todo] = link[link[todo]]
-    return link
+    if side > 0:
+        return np.repeat(begins[link], sizes)
+    out = np.arange(len(tree)) - 1
+    out[begins] = (begins + sizes - 1)[link]
+    return out
 
 
 def _tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,12 +135,24 @@ def _tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return runs[at], bounds, at
 
 
-def _contexts(hashes: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _packed_tokens(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of texts given as the first halves of their words' hashes, and their bounds by text."""
+    hashes, first = _packed_hashes(packed)
+    return _tokens(hashes, first)[:2]
+
+
+def _packed_hashes(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    short = [np.frombuffer(x, np.uint32) for x in packed]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int64)
+    return mix(np.concatenate([np.zeros(0, np.uint32), *short]).astype(np.uint64)), first
+
+
+def _contexts(around: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the CONTEXT words from each place on, and of those up to its shingle's end; 0 if there are fewer.
 
-    ``first`` are the bounds of the texts, ``word`` the words at which the shingles begin.
+    ``around`` are the hashes of all runs of CONTEXT words, ``first`` the bounds of the texts,
+    ``word`` the words at which the shingles begin.
     """
-    around = shingles(hashes, CONTEXT)
     text = np.searchsorted(first, word, side="right") - 1
     to_right, to_left = np.zeros((2, len(word)), np.uint64)
     fits = word + CONTEXT <= first[text + 1]
@@ -147,6 +171,7 @@ def _meetings(words: Words, nodes: np.ndarray) -> pa.RecordBatch:
     """
     hashes = words.hashes()
     tokens, bounds, at = _tokens(hashes, words.first)
+    around = shingles(hashes, CONTEXT)
     groups, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for seed in _SEEDS:
         values = mix(tokens ^ seed)
@@ -154,7 +179,7 @@ def _meetings(words: Words, nodes: np.ndarray) -> pa.RecordBatch:
         word = at[place]
         key = mix(values[place] ^ seed)
         owner = nodes[np.searchsorted(words.first, word, side="right") - 1]
-        for tag, side in enumerate(_contexts(hashes, words.first, word), 1):
+        for tag, side in enumerate(_contexts(around, words.first, word), 1):
             groups.append(mix(key ^ mix(side ^ np.uint64(tag)))[side != 0])
             owners.append(owner[side != 0])
     grp, node = np.concatenate(groups), np.concatenate(owners)
@@ -181,7 +206,7 @@ def _meetings(words: Words, nodes: np.ndarray) -> pa.RecordBatch:
 def _shared(batches):
     """Rows that have met and, of the others, those whose group stands next to them with another text.
 
-    The others come in order of group and text.
+    They come in order of group; a group's texts come in any order, and may come out repeated.
     """
     rest, given = None, False  # rows of a group that may go on; whether the first was yielded
     for batch in batches:
@@ -229,7 +254,7 @@ def meetings(texts: DataFrame) -> DataFrame:
 
     rows = texts.mapInArrow(scan, "grp long, node long, met boolean")
     place = F.when(F.col("met"), F.xxhash64("grp", "node")).otherwise(F.col("grp"))
-    dealt = rows.repartition(place).sortWithinPartitions("met", "grp", "node")
+    dealt = rows.repartition(place).sortWithinPartitions("grp")
     return _different(keep(dealt.mapInArrow(_shared, "grp long, node long").distinct(), "passage-windows"))
 
 
@@ -249,14 +274,20 @@ def _different(meet: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Prepared:
+class Tokens:
+    """A text's tokens."""
+
+    tokens: np.ndarray
+
+
+@dataclass
+class Prepared(Tokens):
     """A text's tokens and its windows, in order of their keys.
 
     ``beside`` are the keys with the words to the right, and those with the words to the left
     of the place (0 where there are too few), each ascending in ``order``.
     """
 
-    tokens: np.ndarray
     key: np.ndarray
     beside: np.ndarray
     order: np.ndarray
@@ -268,9 +299,7 @@ class Prepared:
 
 def prepared(packed: list[bytes]) -> list[Prepared]:
     """All texts' windows at once: one run over the texts for all functions."""
-    short = [np.frombuffer(x, np.uint32) for x in packed]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int64)
-    hashes = mix(np.concatenate([np.zeros(0, np.uint32), *short]).astype(np.uint64))
+    hashes, first = _packed_hashes(packed)
     tokens, bounds, at = _tokens(hashes, first)
     n = len(tokens)
     values = np.concatenate([mix(tokens ^ s) for s in _SEEDS])
@@ -282,7 +311,7 @@ def prepared(packed: list[bytes]) -> list[Prepared]:
     key = mix(tokens[place] ^ _SEEDS[function])
     beside = np.stack(
         [np.where(c != 0, mix(key ^ mix(c ^ np.uint64(tag))), np.uint64(0))
-         for tag, c in enumerate(_contexts(hashes, first, at[place]), 1)], axis=1
+         for tag, c in enumerate(_contexts(shingles(hashes, CONTEXT), first, at[place]), 1)], axis=1
     ).reshape(-1, 2)
     order = np.lexsort((key, text))
     text, beside = text[order], beside[order]
@@ -316,7 +345,7 @@ def _collisions(a: Prepared, b: Prepared):
         found.append((a.order[side][i], b.order[side][j]))
     i, j = (np.concatenate(x) for x in zip(*found))
     good = a.key[i] == b.key[j]
-    pairs = np.unique(i[good] * len(b.key) + j[good])
+    pairs = _distinct(i[good] * len(b.key) + j[good])
     return pairs // len(b.key), pairs % len(b.key)
 
 
@@ -349,7 +378,7 @@ def near_passages(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
         function = a.function[i[own]][wide]
         if np.count_nonzero(np.bincount(function, minlength=HASHES)) < ENOUGH:
             continue
-        drifts = np.unique(drift[own][wide])
+        drifts = _distinct(drift[own][wide])
         for begin, end in _covered(low[own][wide], high[own][wide], function):
             out.update(_verified(a.tokens, b.tokens, begin, end, drifts))
     return sorted(out)
@@ -357,7 +386,7 @@ def near_passages(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
 
 def _covered(low: np.ndarray, high: np.ndarray, function: np.ndarray) -> list[tuple[int, int]]:
     """Maximal intervals that lie in windows of at least ENOUGH functions."""
-    marks = np.unique(np.concatenate((low, high)))
+    marks = _distinct(np.concatenate((low, high)))
     step = np.zeros((HASHES, len(marks)), np.int64)
     np.add.at(step, (function, np.searchsorted(marks, low)), 1)
     np.add.at(step, (function, np.searchsorted(marks, high)), -1)
@@ -423,31 +452,104 @@ def _alike_span(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the sets of tokens have the similarity asked for."""
-    one, two = np.unique(a), np.unique(b)
-    common = len(one) + len(two) - len(np.unique(np.concatenate((one, two))))
+    one, two = _distinct(a), _distinct(b)
+    common = len(one) + len(two) - len(_distinct(np.concatenate((one, two))))
     return common >= SIMILARITY * (len(one) + len(two) - common)
 
 
-def _examined(batches):
-    """Verified passages of pairs: (a, b, a_begin, a_end, b_begin, b_end)."""
-    for batch in batches:
-        sizes = [pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("words_a", "words_b")]
-        steps = np.cumsum(sizes[0] + sizes[1]) // (4 * _AT_ONCE)
-        for step in np.unique(steps):
-            own = np.flatnonzero(steps == step)
-            yield _pairs_examined(batch.slice(int(own[0]), len(own)))
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Different values, ascending; for short arrays much faster than numpy's."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def _examined(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Verified passages of the pairs of a group: (a, b, a_begin, a_end, b_begin, b_end)."""
+    ids, words = texts.column("id").to_pylist(), texts.column("words").to_pylist()
+    named: dict[int, list[int]] = {}
+    for at, node in enumerate(texts.column("node").to_pylist()):
+        named.setdefault(node, []).append(at)
+    held = [x for own in _portions(words) for x in held_tokens(own)]
+    met = zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist())
+    open_pairs = [(a, b) for x, y in met for a in named[x] for b in named[y] if a != b and may_hold(held[a], held[b])]
+    wanted = sorted({at for pair in open_pairs for at in pair})
+    ready = dict(zip(wanted, (x for own in _portions([words[at] for at in wanted]) for x in prepared(own))))
+    rows = [(ids[a], ids[b], *span) for a, b in open_pairs for span in near_passages(ready[a], ready[b])]
+    return pa.Table.from_batches([_found(rows)])
+
+
+def _portions(packed: list[bytes]):
+    """Texts of about _AT_ONCE words; a longer one alone."""
+    steps = np.cumsum([len(x) for x in packed]) // (4 * _AT_ONCE)
+    for step in np.unique(steps):
+        own = np.flatnonzero(steps == step)
+        yield packed[int(own[0]) : int(own[-1]) + 1]
+
 
+@dataclass
+class Held:
+    """What a text's tokens tell of the passages it may share with another.
+
+    ``known`` are its different tokens, ascending, ``number`` the place in ``known`` of each
+    token of the text; ``gain`` is what a token counts if the other text has it, ``loss`` what
+    it costs if not, ``slack`` what ``gain`` may leave out of a span.
+    """
+
+    known: np.ndarray
+    number: np.ndarray
+    gain: np.ndarray
+    loss: np.ndarray
+    slack: float
+    fewest: int
 
-def _pairs_examined(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = [batch.column(c).to_pylist() for c in ("id_a", "id_b")]
-    packed: dict[str, bytes] = {}
-    for side, column in zip(ids, ("words_a", "words_b")):
-        words = batch.column(column)
-        for at, name in enumerate(side):
-            if name not in packed:
-                packed[name] = words[at].as_py()
-    ready = dict(zip(packed, prepared(list(packed.values()))))
-    return _found([(a, b, *span) for a, b in zip(*ids) for span in near_passages(ready[a], ready[b])])
+
+def held_tokens(packed: list[bytes]) -> list[Held]:
+    tokens, bounds = _packed_tokens(packed)
+    out = []
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        own = tokens[begin:end]
+        order = np.argsort(own, kind="stable")
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[order][1:] != own[order][:-1]
+        number = np.empty(len(own), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        before = np.full(len(own), -1, dtype=np.int64)  # the same token's place before
+        before[order[1:][~new[1:]]] = order[:-1][~new[1:]]
+        # A span has each token once: one that stands a few places before counts there, if the
+        # span begins no later, and one that the other text lacks costs where it stands first.
+        close = (before >= 0) & (np.arange(len(own)) - before <= _CLOSE)
+        gain = np.where(close, 0.0, 1 - SIMILARITY)
+        slack = (1 - SIMILARITY) * _CLOSE if close.any() else 0.0
+        loss = np.where(before < 0, SIMILARITY, 0.0)
+        out.append(Held(own[order[new]], number, gain, loss, slack, _fewest_new(before)))
+    return out
+
+
+def may_hold(a: Held, b: Held) -> bool:
+    """Whether the tokens of two texts leave any near-duplicate passages possible.
+
+    Each of the two spans has at least the fewest different tokens of its text's spans, and
+    a share of SIMILARITY of them stands in the other text.
+    """
+    if min(len(a.number), len(b.number)) < _LEAST:
+        return False
+    at = np.minimum(np.searchsorted(b.known, a.known), len(b.known) - 1)
+    in_a = b.known[at] == a.known
+    if np.count_nonzero(in_a) < SIMILARITY * max(a.fewest, b.fewest) - 1e-6:
+        return False
+    in_b = np.zeros(len(b.known), dtype=bool)
+    in_b[at[in_a]] = True
+    return _dense(a, in_a) and _dense(b, in_b)
+
+
+def _dense(text: Held, shared: np.ndarray) -> bool:
+    """Whether a span of the least length or more may have its share of tokens that the other text has."""
+    sums = np.zeros(len(text.number) + 1)
+    np.cumsum(np.where(shared[text.number], text.gain, -text.loss), out=sums[1:])
+    lowest = np.minimum.accumulate(sums[: len(sums) - _LEAST])
+    return bool((sums[_LEAST:] - lowest >= -text.slack - 1e-6).any())
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -500,7 +602,7 @@ def _links(texts: DataFrame, meet: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _passages_of(tested, packed)
     roots = keep(components(found.select("a", "b").distinct()), "passage-roots")
     names = packed.select("node", "id")
-    turn = 0
+    turn, fruitful = 0, True
     while True:
         # Meetings whose texts are all of one class are done for good.
         label = F.min(F.coalesce("root", "id")).alias("label")
@@ -509,14 +611,15 @@ def _links(texts: DataFrame, meet: DataFrame) -> tuple[DataFrame, DataFrame]:
         sides = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         open_groups = sides.where("low <> high").select("grp")
         meet = keep(placed.join(open_groups, "grp"), "passage-open")
+        if not fruitful:
+            new = _rest_of(meet, packed, tested)
+            return found.unionAll(new), keep(_merged(roots, new), "passage-roots")
         pairs = _more_pairs(meet, turn).join(tested, ["x", "y"], "left_anti")
         pairs = keep(pairs, "passage-pairs")
         new = _passages_of(pairs, packed)
-        if new.isEmpty():
-            new = _rest_of(meet, packed)
-            return found.unionAll(new), keep(_merged(roots, new), "passage-roots")
         roots = keep(_merged(roots, new), "passage-roots")
         found, tested, turn = found.unionAll(new), tested.unionAll(pairs), turn + 1
+        fruitful = new.select("a", "b").distinct().count() * FRUITFUL > pairs.count()
 
 
 def _more_pairs(meet: DataFrame, turn: int) -> DataFrame:
@@ -528,113 +631,121 @@ def _more_pairs(meet: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y")).distinct()
 
 
-def _rest_of(meet: DataFrame, packed: DataFrame) -> DataFrame:
-    """Passages of all pairs of different classes in open meetings, but not of classes that a cell has joined."""
-    sizes = meet.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+def _rest_of(meet: DataFrame, packed: DataFrame, tested: DataFrame) -> DataFrame:
+    """Passages of all pairs of different classes in open meetings that no round has tested."""
+    lengths = packed.select("node", (F.octet_length("words") / 4).alias("n")).groupBy("node").agg(F.max("n").alias("n"))
+    sizes = meet.join(lengths, "node").groupBy("grp").agg(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS).alias("n"))
+    sizes = keep(sizes.select("grp", "n", F.ceil("n").alias("blocks")), "passage-sizes")
+    small = sizes.where("blocks = 1").agg(F.ceil(F.sum("n"))).first()[0] or 1
     dealt = meet.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("grp", "node", "label", "block", other).select(
-        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label"
-    )
+    alone = F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))
+    together = F.pmod(F.xxhash64("grp"), F.lit(small))
+    cells = dealt.select("grp", "node", "label", "block", "blocks", other).select(
+        F.when(F.col("blocks") > 1, alone).otherwise(together).alias("cell"), "grp",
+        (F.col("block") != F.col("other")).alias("crossing"), "block", "node", "label",
+    )
     texts = _among(packed, meet.select("node"))
-    rows = cells.join(texts, "node").select("grp", "low", "high", "block", "label", "id", "words")
-    return keep(rows.groupBy("grp", "low", "high").applyInArrow(_cell_examined, _FOUND), "passage-links")
-
-
-def _cell_examined(cell: pa.Table) -> pa.Table:
-    """Passages of the pairs of a cell, of two blocks or of one; a class that a pair joins counts as one."""
-    cell = cell.sort_by("id")
-    ids, labels = cell.column("id").to_pylist(), cell.column("label").to_pylist()
-    block = cell.column("block").to_numpy()
-    crossing = cell.column("low")[0] != cell.column("high")[0]
-    ready = prepared(cell.column("words").to_pylist())
-    pairs = np.triu(_tokens_enough(ready) & (_functions_shared(ready) >= ENOUGH), 1)
-    pairs &= np.unique(labels, return_inverse=True)[1][:, None] != np.unique(labels, return_inverse=True)[1]
-    if crossing:
-        pairs &= block[:, None] != block
-    up = {x: x for x in labels}
-
-    def top(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    rows = []
-    for x, y in zip(*(side.tolist() for side in np.nonzero(pairs))):
-        one, two = top(labels[x]), top(labels[y])
-        if one != two and (spans := near_passages(ready[x], ready[y])):
-            rows += [(ids[x], ids[y], *span) for span in spans]
-            up[one] = two
-    return pa.Table.from_batches([_found(rows)])
+    rows = cells.join(texts, "node")
+    pairs = rows.groupBy("cell").applyInArrow(_cell_pairs, "x long, y long").distinct()
+    return _passages_of(keep(pairs.join(tested, ["x", "y"], "left_anti"), "passage-pairs"), packed)
+
+
+def _cell_pairs(cell: pa.Table) -> pa.Table:
+    """Pairs of a meeting, of different classes and with enough tokens in common.
+
+    A cell holds two blocks of a meeting, or one (then not ``crossing``), or whole small meetings.
+    """
+    grp, node, block = (cell.column(c).to_numpy() for c in ("grp", "node", "block"))
+    label = cell.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    crossing = cell.column("crossing").to_numpy()
+    names, place = np.unique(node, return_index=True)
+    words = cell.column("words").take(pa.array(place))
+    tokens, bounds = _packed_tokens(words.to_pylist())
+    enough = _tokens_enough([Tokens(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+    text = np.searchsorted(names, node)
+    pairs = np.triu(enough[text[:, None], text], 1) & (grp[:, None] == grp) & (label[:, None] != label)
+    pairs &= ~crossing[:, None] | (block[:, None] != block)
+    x, y = (node[side] for side in np.nonzero(pairs))
+    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
 
 def _fewest_tokens(tokens: np.ndarray) -> int:
     """The fewest different tokens of any span of the least length."""
-    n = len(tokens)
-    if n < _LEAST:
-        return n
     order = np.argsort(tokens, kind="stable")
-    before = np.full(n, -1, dtype=np.int64)  # the same token's place before
+    before = np.full(len(tokens), -1, dtype=np.int64)  # the same token's place before
     same = tokens[order][1:] == tokens[order][:-1]
     before[order[1:][same]] = order[:-1][same]
+    return _fewest_new(before)
+
+
+def _fewest_new(before: np.ndarray) -> int:
+    """``_fewest_tokens`` by the place before of the same token, -1 if there is none."""
+    n = len(before)
+    if n < _LEAST:
+        return n
     # A token is new in the spans that begin after its place before.
     at = np.arange(n)
-    step = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(step, np.maximum(before, at - _LEAST) + 1, 1)
-    np.add.at(step, at + 1, -1)
+    before = np.maximum(before, -1)
+    step = np.bincount(np.maximum(before, at - _LEAST) + 1, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
     return int(np.cumsum(step)[: n - _LEAST + 1].min())
 
 
-def _tokens_enough(ready: list[Prepared]) -> np.ndarray:
+def _tokens_enough(texts: list[Tokens]) -> np.ndarray:
     """Whether two texts have as many tokens in common as any near-duplicate passages of theirs.
 
     A passage has at least the fewest different tokens of its text's spans, and of the larger
     of two sets that are alike the other holds a share of SIMILARITY.
     """
-    n = len(ready)
-    sizes = [len(p.tokens) for p in ready]
+    n = len(texts)
+    sizes = [len(t.tokens) for t in texts]
     text = np.repeat(np.arange(n), sizes)
-    _, number = np.unique(np.concatenate([p.tokens for p in ready]), return_inverse=True)
-    held = np.unique(number * n + text)  # a token and a text that holds it
-    number, text = held // n, held % n
-    common = np.bincount(number)[number] > 1
-    _, number = np.unique(number[common], return_inverse=True)
-    text = text[common]
+    tokens = np.concatenate([t.tokens for t in texts])
+    order = np.argsort(tokens, kind="stable")
+    tokens, text = tokens[order], text[order]
+    again = np.zeros(len(tokens), dtype=bool)
+    again[1:] = (tokens[1:] == tokens[:-1]) & (text[1:] == text[:-1])
+    before = np.full(len(tokens), -1, dtype=np.int64)
+    before[order[1:][again[1:]]] = order[:-1][again[1:]]
+    bounds = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    fewest = np.array([_fewest_new(before[a:b] - a) for a, b in zip(bounds[:-1], bounds[1:])])
+    tokens, text = tokens[~again], text[~again]
+    # Tokens that the same texts hold are one column that counts as often.
+    begins = np.flatnonzero(np.concatenate((tokens[:1] == tokens[:1], tokens[1:] != tokens[:-1])))
+    sizes = np.diff(begins, append=len(tokens))
+    holders = np.add.reduceat(mix(text.astype(np.uint64) + np.uint64(1)), begins) if len(begins) else tokens
+    common = sizes > 1
+    _, at, times = np.unique(holders[common], return_index=True, return_counts=True)
+    begins, sizes = begins[common][at], sizes[common][at]
     shared = np.zeros((n, n), np.float32)
-    for low in range(0, int(number.max(initial=-1)) + 1, _COLUMNS):
-        own = slice(*np.searchsorted(number, (low, low + _COLUMNS)))
-        holds = np.zeros((n, _COLUMNS), np.float32)
-        holds[text[own], number[own] - low] = 1
-        shared += holds @ holds.T
-    fewest = np.array([_fewest_tokens(p.tokens) for p in ready])
+    for low in range(0, len(begins), _COLUMNS):
+        own = slice(low, low + _COLUMNS)
+        column = np.repeat(np.arange(len(sizes[own])), sizes[own])
+        place = np.repeat(begins[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own]) + np.arange(len(column))
+        holds = np.zeros((n, len(sizes[own])), np.float32)
+        holds[text[place], column] = 1
+        shared += (holds * times[own].astype(np.float32)) @ holds.T
     return shared >= SIMILARITY * np.maximum(fewest[:, None], fewest) - 1e-6
 
 
-def _functions_shared(ready: list[Prepared]) -> np.ndarray:
-    """For each two texts the number of functions of which they share a window's key."""
-    key = np.concatenate([p.key for p in ready])
-    function = np.concatenate([p.function for p in ready])
-    text = np.repeat(np.arange(len(ready)), [len(p.key) for p in ready])
-    out = np.zeros((len(ready), len(ready)), np.int64)
-    for f in range(HASHES):
-        _, number = np.unique(key[function == f], return_inverse=True)
-        at, number = np.unique(np.stack((text[function == f], number)), axis=1)
-        common = np.bincount(number)[number] > 1
-        _, number = np.unique(number[common], return_inverse=True)
-        if len(number):
-            holds = np.zeros((len(ready), number.max() + 1), np.float32)
-            holds[at[common], number] = 1
-            out += holds @ holds.T > 0
-    return out
-
-
 def _passages_of(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """Passages of pairs (x, y) of nodes, those of a text in one group, so that it is prepared once there.
+
+    A text's pairs go where those of the smallest text go that it is paired with; a group of
+    many is dealt by text, small ones are put together.
+    """
+    home = pairs.groupBy("y").agg(F.min("x").alias("home"))
+    placed = pairs.join(home, "y")
+    sizes = placed.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    several = F.xxhash64("home", F.pmod(F.xxhash64("y"), "parts"))
+    single = F.pmod(F.xxhash64("home"), F.lit(pairs.count() // GROUP + 1))
+    grp = F.when(F.col("parts") > 1, several).otherwise(single).alias("grp")
+    placed = keep(placed.join(sizes, "home").select(grp, "x", "y"), "passage-placed")
+    nodes = placed.select(F.col("grp").alias("part"), F.explode(F.array("x", "y")).alias("node")).distinct()
     # Only the texts of these pairs are moved.
-    one = _among(packed, pairs.select(F.col("x").alias("node"))).toDF("x", "id_a", "words_a")
-    two = _among(packed, pairs.select(F.col("y").alias("node"))).toDF("y", "id_b", "words_b")
-    seen = pairs.join(two, "y").join(one, "x").where("id_a <> id_b")
-    return keep(seen.select("id_a", "words_a", "id_b", "words_b").mapInArrow(_examined, _FOUND), "passage-links")
+    texts = _among(packed, nodes.select("node")).join(nodes, "node").select("part", "node", "id", "words")
+    examined = placed.groupBy("grp").cogroup(texts.groupBy("part")).applyInArrow(_examined, _FOUND)
+    return keep(examined, "passage-links")
 
 
 def _among(packed: DataFrame, nodes: DataFrame) -> DataFrame:
