@@ -453,15 +453,17 @@ def _alike_span(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the sets of tokens have the similarity asked for."""
     one, two = _distinct(a), _distinct(b)
-    common = len(one) + len(two) - len(_distinct(np.concatenate((one, two))))
+    both = np.sort(np.concatenate((one, two)))
+    common = np.count_nonzero(both[1:] == both[:-1])
     return common >= SIMILARITY * (len(one) + len(two) - common)
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
     """Different values, ascending; for short arrays much faster than numpy's."""
     values = np.sort(values)
-    new = np.ones(len(values), dtype=bool)
-    new[1:] = values[1:] != values[:-1]
+    new = np.empty(len(values), dtype=bool)
+    new[:1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
     return values[new]
 
 
