@@ -229,6 +229,20 @@ def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert store.counters() == {"received": 4, "parsed": 3, "saved": 3, "errors": 1, "batches": 2}
 
 
+def test_a_batch_without_a_log_is_counted(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    excluded = spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None)
+    store.commit(live.write_batch(store, envelopes_of(spark, "no log", "none either"), 0))
+    store.commit(live.write_batch(store, envelopes_of(spark), 1))
+    assert store.counters() == {"received": 2, "parsed": 0, "saved": 0, "errors": 2, "batches": 1}
+    assert live.store_logs(spark, store.path).count() == 0 == store.table("linux_log_details").count()
+    store.commit(live.write_batch(store, envelopes_of(spark, LINE), 2))
+    assert live.compact_store(spark, store.path) == -1
+    assert live.store_logs(spark, store.path).count() == 1 == store.table("linux_log_details").count()
+    assert live.search_store(spark, store.path, "failed password").count() == 1
+    assert spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None) == excluded
+
+
 def test_a_committed_batch_is_not_written_again(spark, tmp_path):
     folder, store = tmp_path / "in", LogStore(spark, str(tmp_path / "store"))
     folder.mkdir()

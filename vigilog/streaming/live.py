@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vigilog.operators import detect, ingest, rollups, stats, text_index
 from vigilog.rules.pack import Rule
 from vigilog.sources.files import UPLOAD, envelopes
-from vigilog.streaming.store import Entry, LogStore, row_id
+from vigilog.streaming.store import Entry, LogStore, at_once, observed, row_id
 
 DETAILS = {
     "linux_log_details": ("linux", ingest.linux_details),
@@ -100,16 +100,23 @@ def write_batch(log_store: LogStore, batch: DataFrame, batch_id: int) -> Entry:
     path = log_store.folder("log_entry", batch_id)
     # Few files for each folder; a large one is still written by many tasks.
     dealt = rows.hint("rebalance", "log_source", "day")
-    dealt.write.mode("overwrite").partitionBy("log_source", "day").parquet(path)
+    with observed(rows.sparkSession):
+        dealt.write.mode("overwrite").partitionBy("log_source", "day").parquet(path)
     base = f"{log_store.path}/log_entry"
     logs = log_store.spark.read.schema(LOG_SCHEMA).option("basePath", base).parquet(path)
-    for table, (_, details) in DETAILS.items():
-        details(logs).write.mode("overwrite").parquet(log_store.folder(table, batch_id))
     servers = logs.withColumnRenamed("log_source", "server_type")
-    stats.sightings(servers).write.mode("overwrite").parquet(log_store.folder("server", batch_id))
-    rollups.hourly(logs).write.mode("overwrite").parquet(log_store.folder("hourly", batch_id))
-    rollups.hourly_addresses(logs).write.mode("overwrite").parquet(log_store.folder("hourly_addresses", batch_id))
-    index_logs(log_store, batch_id).write.mode("overwrite").parquet(log_store.folder("text_index", batch_id))
+    tables: dict[str, Callable[[], DataFrame]] = {
+        **{table: lambda details=details: details(logs) for table, (_, details) in DETAILS.items()},
+        "server": lambda: stats.sightings(servers),
+        "hourly": lambda: rollups.hourly(logs),
+        "hourly_addresses": lambda: rollups.hourly_addresses(logs),
+        "text_index": lambda: index_logs(log_store, batch_id),
+    }
+
+    def write(table: str) -> None:
+        tables[table]().write.mode("overwrite").parquet(log_store.folder(table, batch_id))
+
+    at_once(log_store.spark, [lambda table=table: write(table) for table in tables])
     told = counted.get
     return Entry(
         batch_id, (*STORE_SCHEMAS, "text_index"), (), told["received"], told["parsed"], saved.get["saved"]
