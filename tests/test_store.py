@@ -243,6 +243,14 @@ def test_a_batch_without_a_log_is_counted(spark, tmp_path):
     assert spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None) == excluded
 
 
+def test_a_batch_of_a_stream_without_a_log_is_counted(spark, tmp_path):
+    folder, store = tmp_path / "in", LogStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "one.log").write_text("no log\nnone either\n\n")
+    live.append_log_store(live.stream_raw_logs(spark, str(folder)), store.path, str(tmp_path / "c")).awaitTermination()
+    assert store.counters() == {"received": 2, "parsed": 0, "saved": 0, "errors": 2, "batches": 1}
+
+
 def test_a_committed_batch_is_not_written_again(spark, tmp_path):
     folder, store = tmp_path / "in", LogStore(spark, str(tmp_path / "store"))
     folder.mkdir()
