@@ -142,6 +142,27 @@ def test_threshold_rules_like_the_batch(spark):
     assert {r[0] for r in want} == {"by-ip", "by-server", "either"}
 
 
+def test_windows_are_counted_without_a_call_for_each_key(spark):
+    stream = Stream(spark, LOG, lambda s: stateful.threshold_stream(s, count_rules()))
+    spark.createDataFrame([], stream.schema).write.parquet(stream.path)
+    plan = stream.operator(live.stream_table(spark, stream.path, stream.schema))._jdf.queryExecution().toString()
+    assert "EventTimeWatermark" in plan and "Python" not in plan and "TransformWithState" not in plan
+
+
+def test_a_log_counts_until_its_window_is_over(spark):
+    hourly = Rule(
+        "hourly", "", "", "low", "stable", "nginx",
+        {"selection": {"Url|contains": "/"}, "aggregation": {"timeframe": "1h", "SourceIp|count": ">2"}, "condition": "selection and aggregation"},
+    )
+    stream = Stream(spark, LOG, lambda s: stateful.threshold_stream(s, [hourly], delay="1 minute"))
+    assert stream.feed([request(1, "10.0.0.1", 10), request(2, "10.0.0.1", 20), (3, 7, at(1800), "linux", "no match")]) == []
+    assert stream.feed([request(4, "10.0.0.1", 30), (None, None, at(3659), "nginx", None)]) == []
+    got = stream.feed([(None, None, at(3660), "nginx", None)])
+    assert [(r.rule_id, r.source, r.window_start, r.matches) for r in got] == [("hourly", "10.0.0.1", at(0), 3)]
+    # The window is over: nothing of it is counted or told again.
+    assert len(stream.feed([request(5 + i, "10.0.0.1", 40 + i) for i in range(4)] + [(None, None, at(9000), "nginx", None)])) == 1
+
+
 # ---- what a rule counts --------------------------------------------------------------
 
 

@@ -49,14 +49,9 @@ def threshold_alerts(
     if not counting:
         return logs.sparkSession.createDataFrame([], ALERT_GROUPS)
     counted = counted_values(logs, counting, timeframe)
-    by_value = counted.groupBy("branch", "source", "window_start", "part", "value").agg(F.count("*").alias("n"))
-    parts = range(max(len(b.counts) for b in counting))
-    of_part = F.col("part")
-    sums = by_value.groupBy("branch", "source", "window_start").agg(
-        *[F.sum(F.when(of_part == p, F.col("n"))).alias(f"n{p}") for p in parts],
-        *[F.count(F.when(of_part == p, F.col("value"))).alias(f"d{p}") for p in parts],
+    found = counts_of_windows(counted, counting, "window_start").select(
+        "branch", "source", "window_start", verdict(counting, least).alias("matches")
     )
-    found = sums.select("branch", "source", "window_start", verdict(counting, least).alias("matches"))
     return named_groups(found.where("matches IS NOT NULL"), counting)
 
 
@@ -72,13 +67,15 @@ def counted_values(
     """(branch, source, window_start, window_end, part, value, recv_time), a row for each
     matching log and count of a branch; ``part`` numbers the counts of the branch, and
     ``value`` is what is counted when different values are. Streams are accepted.
-    ``with_others`` adds logs that match nothing, with their time alone.
+    ``with_others`` adds a row with its time alone for each log, whether it matches or not.
     """
     view = detect._with_host(detect.parsed_view(logs))
     found = detect.matched_rules(view, [b.rule for b in counting], "intent")
-    hits = found.select("*", F.explode_outer("_hits").alias("branch"))
-    if not with_others:
-        hits = hits.where(F.col("branch").isNotNull())
+    if with_others:
+        none = F.array(F.lit(None).cast("int"))
+        hits = found.select("*", F.explode(F.concat(F.coalesce("_hits", F.array().cast("array<int>")), none)).alias("branch"))
+    else:
+        hits = found.select("*", F.explode_outer("_hits").alias("branch")).where(F.col("branch").isNotNull())
 
     def field(rule: Rule, name: str | None) -> str:
         if name is None or name == SERVER:
@@ -92,7 +89,7 @@ def counted_values(
     groups = F.expr(f"array({', '.join(field(b.rule, b.counts[0].group) for b in counting)})")
     asked = F.expr(f"array({', '.join(map(values, counting))})")
     branch = F.col("branch")
-    frames = [timeframe_seconds(timeframe or b.counts[0].timeframe) for b in counting]
+    frames = window_seconds(counting, timeframe)
     width = F.get(F.array(*map(F.lit, frames)), branch)
     start = F.floor(F.unix_seconds("recv_time") / width) * width
     return hits.select(
@@ -105,6 +102,25 @@ def counted_values(
     ).where("branch IS NULL OR source IS NOT NULL")
 
 
+def window_seconds(counting: Sequence[Branch], timeframe: str | None = None) -> list[int]:
+    """The width of each branch's windows."""
+    return [timeframe_seconds(timeframe or b.counts[0].timeframe) for b in counting]
+
+
+def counts_of_windows(counted: DataFrame, counting: Sequence[Branch], *window: str) -> DataFrame:
+    """(branch, source, window, n0, d0, n1, ...): rows and different values of each count.
+
+    Rows are first counted for each value, so a busy source is small when it is grouped.
+    """
+    by_value = counted.groupBy("branch", "source", *window, "part", "value").agg(F.count("*").alias("n"))
+    parts = range(max(len(b.counts) for b in counting))
+    of_part = F.col("part")
+    return by_value.groupBy("branch", "source", *window).agg(
+        *[F.sum(F.when(of_part == p, F.col("n"))).alias(f"n{p}") for p in parts],
+        *[F.count(F.when(of_part == p, F.col("value"))).alias(f"d{p}") for p in parts],
+    )
+
+
 def verdict(counting: Sequence[Branch], least: int | None = None) -> Column:
     """The first count of a branch (columns n0, d0, n1, ...) if all its counts are met, else null."""
     out = None
