@@ -1,12 +1,17 @@
 """Rules met through the index beside the plain pass."""
 
+import json
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from vigilog.functions import keyscan
 from vigilog.operators import detect, rule_index
-from vigilog.rules.pack import Rule, packaged_rules
+from vigilog.rules.pack import Rule, collect_rules, packaged_rules, rules_frame
 
 LOG = "id long, server_id long, recv_time timestamp, log_source string, content string"
 
@@ -110,3 +115,71 @@ def test_many_rules_cost_little(spark):
     print(f"200 rules {few:.2f} s, 20,000 rules {lots:.2f} s")
     assert lots < 5 * few + 10
     logs.unpersist()
+
+
+def as_table(spark, rules):
+    return rules_frame(spark, [vars(r) for r in rules]).repartition(3)
+
+
+@pytest.mark.parametrize("mode", ["intent", "compat"])
+def test_a_rule_table_gives_the_same_alerts(spark, mode):
+    logs = spark.createDataFrame([*lines(), *lines()[:50]], LOG)  # some rows twice
+    odd = [
+        rule("u1", "linux", {"selection": {"Message|contains": ["FAILED PASSWORD", "password for", "never"]}}),
+        rule("u2", "nginx", {"selection": {"Url|contains": "é" * 40}}),
+        rule("u3", "linux", {"selection": {"Message|contains": "shadow"}}, enabled=False),
+        rule("u4", "linux", {"selection": {"count|gte": 2}, "more": {"Message|contains": "shadow"}}, "selection or more"),
+        rule("u5", "other", {"selection": {"Message|contains": "root"}}),
+    ]
+    table = as_table(spark, [*rules(), *odd])
+    listed = [rule("listed", "linux", {"selection": {"Message|contains": "shadow"}})]
+    want = sorted(tuple(map(str, r)) for r in detect.run_rules(logs, [*collect_rules(table), *listed], mode).collect())
+    got = sorted(tuple(map(str, r)) for r in rule_index.run_rules(logs, listed, mode, table=table).collect())
+    assert got == want and len({r[1] for r in want}) > 15
+
+
+def test_a_text_beyond_utf8_is_no_key():
+    own = rule("s", "linux", {"selection": {"Message|contains": ["\ud800x", "Shadow"]}})
+    assert rule_index._compiled_row({**vars(own), "detection": json.dumps(own.detection)}, "intent")["keys"] == ["shadow"]
+
+
+def test_a_rule_table_stays_off_the_driver(spark, monkeypatch):
+    many = spark.range(5000).selectExpr("'linux' AS log_source", "concat('d', id) AS id", "concat('marker ', id * 7919, ';') AS text")
+    table = many.select(
+        "id", *[F.lit("x").alias(n) for n in ("title", "description", "level", "status")], "log_source",
+        F.lit(True).alias("enabled"), F.lit(False).alias("require_fields"),
+        *[F.array().cast("array<string>").alias(n) for n in ("falsepositives", "references")], F.lit("a").alias("author"),
+        F.to_json(F.struct(F.struct(F.col("text").alias("Message|contains")).alias("selection"))).alias("detection"),
+    )
+    log = "Jan 15 10:00:00 host app[1]: marker 7919; and marker 39595000; and marker 15838; x"
+    logs = spark.createDataFrame([(1, 1, None, "linux", log), (2, 1, None, "windows", log)], LOG)
+    read = []
+    monkeypatch.setattr(rule_index, "rule_from_row", read.append)  # tasks have their own
+    compiled = rule_index.compile_table(table)
+    assert compiled.where("tree IS NOT NULL").count() == 5000
+    found = rule_index.run_rules(logs, [], table=table)
+    assert sorted(r.rule_id for r in found.collect()) == ["d1", "d2"] and not read
+    assert "d4321" not in found._jdf.queryExecution().toString()
+
+
+def test_a_scan_misses_no_key():
+    rng = random.Random(1)
+    letters = "abcdé ü0€"
+    keys = sorted({"".join(rng.choices(letters, k=rng.choice([2, 3, 4, 7, 8, 9, 16, 31, 33, 70]))) for _ in range(400)})
+    whole, begun, lengths = keyscan.key_hashes(keys)
+    bits = keyscan.bits_for(len(keys))
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    batches = [pa.RecordBatch.from_arrays([pa.array(whole), pa.array(begun)], ["hash", "begun"])]
+    for piece in keyscan.packed_pieces(keyscan.filter_pieces(iter(batches), bits, 12), 12):
+        for number, own in zip(piece["piece"].to_pylist(), piece["bytes"].to_pylist()):
+            data[number * 512 : (number + 1) * 512] = np.frombuffer(own, np.uint8)
+    known = keyscan.KeyFilter(bits, data, sorted(set(lengths.tolist())))
+    texts = [None, "", *("".join(rng.choices(letters, k=rng.randrange(60))) + rng.choice(keys) for _ in range(200))]
+    told = known.scan(pa.array(texts))
+    of = dict(zip(whole.tolist(), keys))
+    for text, found in zip(texts, told.to_pylist()):
+        assert {k for k in keys if text and k in text} <= {of.get(h) for h in found} and len(found) == len(set(found))
+    assert known.scan(pa.array(texts)[50:90]).to_pylist() == told.to_pylist()[50:90]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(keyscan, "_AT_ONCE", 64)  # keys over the borders of what is read at once
+        assert known.scan(pa.array(texts)) == told

@@ -143,9 +143,14 @@ def with_fields(view: DataFrame, rules: Sequence[Rule], mode: str) -> DataFrame:
 
     The fields of a source live in one struct that is null for other sources.
     """
+    sources = dict.fromkeys(r.log_source for r in rules)
+    return with_named_fields(view, {s: fields_of(r for r in rules if r.log_source == s) for s in sources}, mode)
+
+
+def with_named_fields(view: DataFrame, names_of: dict[str, Sequence[str]], mode: str) -> DataFrame:
+    """``with_fields`` for the named fields of each source."""
     columns = []
-    for source in dict.fromkeys(r.log_source for r in rules):
-        names = fields_of(r for r in rules if r.log_source == source)
+    for source, names in names_of.items():
         fields = [
             f"'f{i}', lower({field_sql(source, name, mode)})" for i, name in enumerate(names)
         ]
@@ -244,7 +249,11 @@ def build_alerts(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         "id string, title string, description string, level string, "
         "falsepositives array<string>, references array<string>",
     )
-    rule = F.get(texts, F.col("_rule"))
+    return alert_rows(matches, F.get(texts, F.col("_rule")))
+
+
+def alert_rows(matches: DataFrame, rule: Column) -> DataFrame:
+    """Alert rows of matches; ``rule`` is a struct of the texts of the rule that is met."""
     return matches.select(
         alert_key(rule["id"], F.col("id")).alias("alert_id"),
         rule["id"].alias("rule_id"),

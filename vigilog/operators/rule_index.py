@@ -10,20 +10,30 @@ equality, lists, absence, keywords) and some text must be in every line it match
 ``and`` the best side is taken, of an ``or`` all sides. The others (regular expressions,
 wildcards, numbers, negations alone) stay in the plain pass beside it. Both give the alerts
 of ``detect.run_rules``.
+
+Rules given as a list are held by the driver and by each worker. Rules given as a table
+(``run_rules(..., table=)``) are not: tasks compile them, a filter of bounded size tells which
+of their texts a line may hold (``functions.keyscan``), and only lines that may hold one are
+joined with the rules that need it and tested.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.functions import keyscan
 from vigilog.operators import detect
-from vigilog.rules.compiler import EMPTY_VALUES, Fields, RuleCompiler, fields_of
-from vigilog.rules.pack import Rule
-from vigilog.session import ship_package
+from vigilog.rules.compiler import EMPTY_VALUES, Fields, RuleCompiler, check_counts, fields_of
+from vigilog.rules.pack import RULE_SCHEMA, Rule, rule_from_row
+from vigilog.session import cut_lineage, ship_package
 
 SEPARATOR = "\n"  # between the fields of a line; a text that holds it is no key
 LEAST_KEY = 2  # characters; shorter texts would name too many rules
@@ -208,13 +218,21 @@ def _hits(index: RuleIndex, names: Sequence[str]) -> Callable:
     return hits
 
 
-def run_rules(logs: DataFrame, rules: Sequence[Rule], mode: str = "intent") -> DataFrame:
-    """The alerts of ``detect.run_rules``, for rule tables of any size.
+def run_rules(
+    logs: DataFrame, rules: Sequence[Rule], mode: str = "intent", table: DataFrame | None = None
+) -> DataFrame:
+    """The alerts of ``detect.run_rules`` for ``rules`` and for the rows of a rule table.
 
-    Nothing is shuffled. The index goes to the workers with the function, so its size is that
-    of the rule table's texts.
+    For the list nothing is shuffled; its index goes to the workers with the function, so it
+    suits some ten thousand rules. ``table`` has the columns of ``pack.RULE_SCHEMA`` and may hold
+    any number; those of its rules that the plain pass has to decide join the list.
     """
     ship_package(logs.sparkSession)
+    if table is not None:
+        compiled = cut_lineage(logs.sparkSession, compile_table(table, mode), "rule-table")
+        left = compiled.where("tree IS NULL").select(*RULE_SCHEMA.fieldNames()).toLocalIterator()
+        listed = [*rules, *(rule_from_row(r.asDict(recursive=True)) for r in left)]
+        return run_rules(logs, listed, mode).unionByName(_run_compiled(logs, compiled.where("tree IS NOT NULL"), mode))
     active = detect.row_rules(rules, mode)
     indexes, plain = split_rules(active, mode)
     if not indexes:
@@ -234,3 +252,136 @@ def run_rules(logs: DataFrame, rules: Sequence[Rule], mode: str = "intent") -> D
         near.append(F.coalesce(told, F.array().cast("array<int>")))
     exploded = found.select(*columns, F.explode_outer(F.concat(*near)).alias("_rule"))
     return detect.build_alerts(exploded.where(F.col("_rule").isNotNull()), active)
+
+
+# ---- rule tables ----------------------------------------------------------------------
+
+COMPILED = (
+    ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RULE_SCHEMA)
+    + ", tree string, keys array<string>, fields array<string>"
+)
+PIECE_BITS = 19  # a piece of the filter is 64 KB
+
+
+def compile_table(table: DataFrame, mode: str = "intent") -> DataFrame:
+    """The enabled rules of a table as decided on single rows, each with a ``number``.
+
+    ``tree`` is null for a rule that is left to the plain pass. A rule whose condition no line
+    meets is left out.
+    """
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [row for r in batch.to_pylist() if (row := _compiled_row(r, mode)) is not None]
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW_COMPILED)
+
+    rows = table.select(*RULE_SCHEMA.fieldNames()).mapInArrow(compiled, COMPILED)
+    return rows.withColumn("number", F.monotonically_increasing_id())
+
+
+_TEXTS = pa.list_(pa.string())
+_ARROW_COMPILED = pa.schema(
+    [
+        (f.name, {"boolean": pa.bool_(), "string": pa.string()}.get(f.dataType.simpleString(), _TEXTS))
+        for f in RULE_SCHEMA
+    ]
+    + [("tree", pa.string()), ("keys", _TEXTS), ("fields", _TEXTS)]
+)
+
+
+def _compiled_row(row: dict, mode: str) -> dict | None:
+    for rule in detect.row_rules([check_counts(rule_from_row(row))], mode):
+        tree = condition_tree(rule, mode)
+        keys = None if tree is None else needed_texts(tree)
+        if keys is not None and not keys:
+            return None
+        told = {name: getattr(rule, name) for name in RULE_SCHEMA.fieldNames()}
+        if keys is None:
+            return {**told, "detection": json.dumps(rule.detection), "tree": None, "keys": [], "fields": []}
+        # The detection is in the tree; a text that UTF-8 cannot hold is in no line.
+        keys = [k for k in sorted(keys) if k.encode("utf-8", "ignore").decode() == k]
+        return {**told, "detection": None, "tree": json.dumps(tree), "keys": keys, "fields": fields_of([rule])}
+    return None
+
+
+def _keys_of(rules: DataFrame) -> DataFrame:
+    """(number, log_source, key) and its hashes and length."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = keyscan.key_hashes(batch.column("key").to_pylist())
+            columns = [*batch.columns, *map(pa.array, told)]
+            yield pa.RecordBatch.from_arrays(columns, ["number", "log_source", "key", "hash", "begun", "length"])
+
+    keys = rules.select("number", "log_source", F.explode("keys").alias("key"))
+    return keys.mapInArrow(hashed, "number long, log_source string, key string, hash long, begun long, length long")
+
+
+def _filter_of(keys: DataFrame) -> keyscan.KeyFilter:
+    """The filter of all keys. Its pieces are made by tasks; the driver joins them."""
+    told = keys.agg(F.approx_count_distinct("hash").alias("n"), F.collect_set("length").alias("lengths")).first()
+    bits = keyscan.bits_for(told["n"])
+    piece_bits = min(bits, PIECE_BITS)
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    pieces = (
+        keys.select("hash", "begun").distinct()
+        .mapInArrow(lambda batches: keyscan.filter_pieces(batches, bits, piece_bits), "piece int, place int")
+        .repartition("piece")
+        .mapInArrow(lambda batches: keyscan.packed_pieces(batches, piece_bits), "piece int, bytes binary")
+    )
+    size = 1 << (piece_bits - 3)
+    for row in pieces.toLocalIterator():
+        data[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
+    return keyscan.KeyFilter(bits, data, told["lengths"])
+
+
+def _run_compiled(logs: DataFrame, rules: DataFrame, mode: str) -> DataFrame:
+    """Alerts of the compiled rules of a table."""
+    used = rules.select("log_source", F.explode("fields").alias("field")).distinct().collect()
+    names_of: dict[str, list[str]] = {s: [] for s in sorted({r["log_source"] for r in rules.select("log_source").distinct().collect()})}
+    for source, name in sorted(map(tuple, used)):
+        names_of[source].append(name)
+    keys = cut_lineage(logs.sparkSession, _keys_of(rules), "rule-keys")
+    known = _filter_of(keys)
+
+    @F.arrow_udf("array<bigint>")
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in texts:
+            yield known.scan(own)
+
+    @F.arrow_udf("boolean")
+    def met(sources: pa.Array, values: pa.Array, trees: pa.Array, keys: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (sources, values, trees, keys)))
+        return pa.array([_met(dict(zip((*names_of[s], "raw"), v)), t, k) for s, v, t, k in rows], pa.bool_())
+
+    view = detect._with_host(detect.parsed_view(logs))
+    columns = view.columns
+    values = F.lit(None).cast("array<string>")
+    for source, names in names_of.items():
+        told = F.array(*[F.col(f"_f_{source}.f{i}") for i in range(len(names))], F.col(f"_f_{source}.raw"))
+        values = F.when((F.col("log_source") == source) & F.col("content").isNotNull(), told).otherwise(values)
+    found = detect.with_named_fields(view, names_of, mode).select(*columns, values.alias("_values"))
+    near = found.select(*columns, "_values", F.explode_outer(scan(F.array_join("_values", SEPARATOR))).alias("_hash"))
+    near = near.where(F.col("_hash").isNotNull())
+    own = keys.select(F.col("log_source").alias("_source"), F.col("hash").alias("_key_hash"), F.col("key").alias("_key"), F.col("number").alias("_number"))
+    met_by = near.join(own, (near["log_source"] == own["_source"]) & (near["_hash"] == own["_key_hash"]))
+    texts = ("id", "title", "description", "level", "falsepositives", "references")
+    of_number = rules.select(F.col("number").alias("_rule_number"), F.struct(*texts).alias("_rule"), F.col("tree").alias("_tree"))
+    tested = met_by.join(of_number, F.col("_number") == F.col("_rule_number"))
+    return detect.alert_rows(tested.where(met("_source", "_values", "_tree", "_key")), F.col("_rule"))
+
+
+def _met(values: dict[str, str | None], tree: str, key: str) -> bool:
+    """Whether a line satisfies a rule, told for the first of the rule's texts that it holds."""
+    condition, needed = _read_tree(tree)
+    line = SEPARATOR.join(v for v in values.values() if v)
+    return next((k for k in needed if k in line), None) == key and holds(condition, values)
+
+
+@lru_cache(maxsize=4096)
+def _read_tree(text: str) -> tuple[tuple, list[str]]:
+    def tuples(part):
+        return tuple(map(tuples, part)) if isinstance(part, list) else part
+
+    tree = tuples(json.loads(text))
+    return tree, sorted(needed_texts(tree))

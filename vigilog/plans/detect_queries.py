@@ -257,13 +257,22 @@ def run_rules(t: Tables):
 # The rules besides are indicators of this table's parts: names that no line holds.
 @query("run_indexed_rules", sql="SELECT log_entry_id, rule_id, severity FROM alert")
 def run_indexed_rules(t: Tables):
-    parts = t.read("part").select("p_partkey", "p_name").toLocalIterator()
-    more = [
-        Rule(f"part-{p['p_partkey']}", "", "", "low", "stable", source, {"selection": {"Message|contains": f"part {p['p_name']} {source}"}})
-        for p in parts
-        for source in ("linux", "windows", "nginx")
-    ]
-    found = rule_index.run_rules(t.logs, [*more, *t.rules])
+    name, source = F.coalesce("p_name", F.lit("None")), F.col("log_source")
+    text = F.concat(F.lit("part "), name, F.lit(" "), source)
+    none = F.array().cast("array<string>")
+    more = (
+        t.read("part")
+        .select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, ("linux", "windows", "nginx")))).alias("log_source"))
+        .select(
+            F.concat(F.lit("part-"), F.coalesce(F.col("p_partkey").cast("string"), F.lit("None"))).alias("id"),
+            F.lit("").alias("title"), F.lit("").alias("description"), F.lit("low").alias("level"),
+            F.lit("stable").alias("status"), "log_source", F.lit(True).alias("enabled"),
+            F.lit(False).alias("require_fields"), none.alias("falsepositives"), none.alias("references"),
+            F.lit("Unknown").alias("author"),
+            F.to_json(F.struct(F.struct(text.alias("Message|contains")).alias("selection"))).alias("detection"),
+        )
+    )
+    found = rule_index.run_rules(t.logs, t.rules, table=more)
     return found.select("log_entry_id", "rule_id", "severity")
 
 
