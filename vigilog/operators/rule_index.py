@@ -275,7 +275,8 @@ def compile_table(table: DataFrame, mode: str = "intent") -> DataFrame:
             out = [row for r in batch.to_pylist() if (row := _compiled_row(r, mode)) is not None]
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW_COMPILED)
 
-    rows = table.select(*RULE_SCHEMA.fieldNames()).mapInArrow(compiled, COMPILED)
+    # A table of many rules may be a single small file: compiling is dealt out anew.
+    rows = table.select(*RULE_SCHEMA.fieldNames()).hint("rebalance").mapInArrow(compiled, COMPILED)
     return rows.withColumn("number", F.monotonically_increasing_id())
 
 
